@@ -52,8 +52,8 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarra
         if j - i >= width:
             out.append(np.unique(runs[i : j - width + 1]))
         elif j > i:
-            whole = (words[i:j] * _C[: j - i]).sum(dtype=U) + U(int(j - i)) * U(0x9E3779B97F4A7C15)
-            out.append(mixed(np.array([whole], U)))
+            whole = (words[i:j] * _C[: j - i]).sum(dtype=U, keepdims=True) + np.array([j - i], U) * U(0x9E3779B97F4A7C15)
+            out.append(mixed(whole))
         else:
             out.append(np.zeros(0, U))
     return out
