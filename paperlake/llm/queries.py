@@ -126,11 +126,18 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op9_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_tokens import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_secret_scan": op6_secret_scan,
+    "op9_piece_tokens": op9_piece_tokens,
 }
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_near_duplicates": OP4_SQL}
