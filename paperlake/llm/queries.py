@@ -126,6 +126,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op9_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_tokens import digest
 
@@ -138,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_secret_scan": op6_secret_scan,
+    "op8_language_model": op8_language_model,
     "op9_piece_tokens": op9_piece_tokens,
 }
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_near_duplicates": OP4_SQL}
