@@ -1,10 +1,63 @@
-"""Corpus pipeline: the stages that turn raw documents into token rows (filled in below as the operators are ready)."""
-STAGES = []
+"""Corpus pipeline: documents to token rows in five stages, each over all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. Between stages the rows are written as Parquet to the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperlake.llm.mixing import mix
+from paperlake.llm.near_dups import near_duplicates
+from paperlake.llm.piece_tokens import encode
+from paperlake.llm.secrets import redact_secrets
+from paperlake.llm.shared import written
+from paperlake.llm.toxicity import drop_toxic, fit
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier, trained on the labelled ones, rejects."""
+    return drop_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group at a similarity of 0.8; rows without an id stay."""
+    kept = near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by their kind in brackets; n_chars follows where the text changed."""
+    clean = redact_secrets(docs.select("*", F.xxhash64("text").alias("text_before")))
+    changed = F.xxhash64("text") != F.col("text_before")
+    return clean.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as its source's rate says; a rate below one leaves some out."""
+    return mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a document with its piece ids."""
+    return encode(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicate),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("tokens", tokens),
+]
+#: SQL can't train the classifier, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

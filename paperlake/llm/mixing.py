@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, join_hot, unit_hash
+from .shared import WORD, join_hot, unit_hash, written
 
 #: Stands for the null source in joins; it can't be a source as it holds a lone surrogate's escape and a line end.
 NO_SOURCE = "\n\\udc00 no source\n"
@@ -53,8 +53,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     number of copies; an empty table gives no rows. Only doc_id, source and text are read."""
     key = F.coalesce(F.col("source"), F.lit(NO_SOURCE))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = docs.select("doc_id", "source", key.alias("source_key"), size.alias("size"))
-    targets = source_targets(sizes, weights, most)
+    sizes = written(docs.select("doc_id", "source", key.alias("source_key"), size.alias("size")), "sizes")
+    targets = written(source_targets(sizes, weights, most), "targets")
     chance = F.col("rate") - F.floor("rate")
     copies = F.floor("rate") + F.when(unit_hash(F.col("doc_id"), seed) < chance, 1).otherwise(0)
     planned = join_hot(sizes, targets, "source_key", "source_rows").withColumn("copies", copies.cast("int"))
@@ -68,7 +68,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     """The mixture itself: docs' rows with all their columns, each repeated as often as the plan says."""
     key = F.coalesce(F.col("source"), F.lit(NO_SOURCE))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    targets = source_targets(docs.select("source", key.alias("source_key"), size.alias("size")), weights, most)
+    sizes = docs.select("source", key.alias("source_key"), size.alias("size"))
+    targets = written(source_targets(sizes, weights, most), "targets")
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), key.alias("source_key"))
     chance = F.col("rate") - F.floor("rate")
     copies = F.floor("rate") + F.when(unit_hash(F.col("row_id"), seed) < chance, 1).otherwise(0)

@@ -144,14 +144,39 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import top_inner
+
+    return top_inner(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP5_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 5
+"""
+
+
+def op7_nearest_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import nearest_cosine
+
+    return nearest_cosine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_secret_scan": op6_secret_scan,
+    "op7_nearest_cosine": op7_nearest_cosine,
     "op8_language_model": op8_language_model,
     "op9_piece_tokens": op9_piece_tokens,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_near_duplicates": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_exact_top_k": OP5_SQL}

@@ -26,7 +26,7 @@ WINDOW, TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 64, 4096, 32768, 12
 #: The outer bytes of a run of such strings are the words around it.
 SHARE, GRAM, MARGIN = 0.01, 5, 2
 #: The fit reads at most so many labelled texts of each label, none longer than so many characters.
-TOXIC_TEXTS, ORDINARY_TEXTS, LONGEST = 3000, 6000, 20_000
+TOXIC_TEXTS, ORDINARY_TEXTS, LONGEST = 3000, 6000, 10_000
 
 
 @dataclass(frozen=True)
@@ -105,12 +105,14 @@ def fit(docs: DataFrame, labels: DataFrame, keep: str = "true") -> Model:
     """The model of the labelled texts that ``keep`` (an SQL condition on doc_id) leaves.
 
     docs: (doc_id, text); labels: (doc_id, toxic). A sample bounded by TOXIC_TEXTS, ORDINARY_TEXTS and
-    LONGEST, in the order of a hash of doc_id, comes to the driver. Without any toxic texts nothing is toxic."""
+    LONGEST, drawn by a hash of doc_id, comes to the driver. Without any toxic texts nothing is toxic."""
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    drawn = [marks.where(F.col("toxic") == t).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(n) for t, n in ((1, TOXIC_TEXTS), (0, ORDINARY_TEXTS))]
+    sample = F.broadcast(drawn[0].union(drawn[1]))  # bounded by the two limits
     texts = docs.select("doc_id", "text").where(F.length("text").between(1, LONGEST))
-    known = texts.join(marks, "doc_id").withColumn("place", F.md5(F.col("doc_id").cast("string")))
-    toxic = [r[0] for r in known.where("toxic = 1").orderBy("place", "text").select("text").limit(TOXIC_TEXTS).toLocalIterator()]
-    plain = [r[0] for r in known.where("toxic = 0").orderBy("place", "text").select("text").limit(ORDINARY_TEXTS).toLocalIterator()]
+    rows = texts.join(sample, "doc_id").select("doc_id", "text", "toxic").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    toxic, plain = ([r["text"] for r in rows if r["toxic"] == t] for t in (1, 0))
     return _trained(toxic, plain)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, join_hot
+from .shared import ascii_lower, join_hot, written
 
 #: The rules of the query, as (action, host and path).
 RULES = (
@@ -83,6 +83,7 @@ def reputation(pages: DataFrame, labels: DataFrame, z: float = 1.645) -> DataFra
         "host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"),
         F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"),
     )
+    hosts = written(hosts, "hosts")
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     base = ((whole["good"] or 0) + 1) / ((whole["n"] or 0) + 2)
 
@@ -109,7 +110,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str]
 
     The longest rule that fits decides; else a host is blocked when upper < least. Null urls and urls
     without :// have an empty host and path. An empty table gives no rows. Other columns aren't read."""
-    hosts = reputation(pages, labels, z).select("host", "pages", "mean", "lower", "upper").where("pages > 0")
+    hosts = written(reputation(pages, labels, z).select("host", "pages", "mean", "lower", "upper").where("pages > 0"), "reputation")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = join_hot(rows, hosts, "host", "pages")
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
