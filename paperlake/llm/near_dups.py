@@ -26,6 +26,8 @@ from .shared import written
 
 #: Minwise tokens a document; the first of them, TREES and some more, are the roots' hash functions.
 SKETCH, TREES = 64, 20
+#: Trees whose large nodes give the first round's links; the second round takes all trees.
+FOREST = 8
 #: Nodes up to LEAF classes are compared exhaustively; up to LOCAL, their branches are followed in one task.
 LEAF, LOCAL = 12, 20_000
 #: Branches are followed this deep; classes together so far down have equal sketches for most purposes.
@@ -129,16 +131,18 @@ def _leaves(sketch: np.ndarray, percent: int, seed: int) -> Iterator[np.ndarray]
 
 
 def _pairs(percent: int, by_group: bool):
-    """For a large node (path, id, sketch, grp): pairs of a leaf whose sketches allow a link.
+    """For a large node (path, id, sketch, grp): rows (a, others) of pairs of a leaf whose sketches allow a link.
 
     First round: of each leaf a forest that joins its classes with the most alike pairs. Second round
-    (by_group): all pairs of different groups."""
+    (by_group): all pairs of different groups, listed with the one whose group is the smaller here."""
     least = least_alike(percent)
 
     def run(node: pd.DataFrame) -> pd.DataFrame:
         node = node.sort_values("id", ignore_index=True)
         sketch = np.array(node["sketch"].tolist(), np.int32).reshape(len(node), SKETCH)
         ids, groups = node["id"].to_numpy(), node["grp"].to_numpy()
+        _, place, held = np.unique(groups, return_inverse=True, return_counts=True)
+        held = held[place]
         found: list[np.ndarray] = []
         root = np.arange(len(node))
 
@@ -161,7 +165,9 @@ def _pairs(percent: int, by_group: bool):
             i, j = np.nonzero(np.triu(alike >= least, 1))
             if by_group:
                 keep = groups[who[i]] != groups[who[j]]
-                found.append(np.stack([who[i[keep]], who[j[keep]]], 1))
+                p, q = who[i[keep]], who[j[keep]]
+                less = held[p] <= held[q]
+                found.append(np.stack([np.where(less, p, q), np.where(less, q, p)], 1))
                 continue
             for k in np.argsort(-alike[i, j], kind="stable"):
                 p, q = top(who[i[k]]), top(who[j[k]])
@@ -169,7 +175,9 @@ def _pairs(percent: int, by_group: bool):
                     root[max(p, q)] = min(p, q)
                     found.append(np.array([[who[i[k]], who[j[k]]]]))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+        first, begin = np.unique(pairs[:, 0], return_index=True)
+        others = [x.tolist() for x in np.split(ids[pairs[:, 1]], begin[1:])] if len(first) else []
+        return pd.DataFrame({"a": ids[first], "others": pd.Series(others, dtype=object)})
 
     return run
 
@@ -211,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     again = 100 / percent - 1
     roots = [t for t in range(TREES)] + [TREES + t for t in range(TREES) if mixed(np.array([t + 1], U))[0] < U(int(again * 2**64))]
     named = F.transform(F.array(*map(F.lit, roots)), lambda c: F.xxhash64(c, F.element_at("sketch", c + 1)))
-    nodes = firsts.select("id", F.explode(named).alias("path"))
+    nodes = firsts.select("id", F.posexplode(named).alias("tree", "path"))
     sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low")).where("members > 1")
     nodes = written(nodes.join(sizes, "path"), "nodes")
 
@@ -228,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
             twice = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(10_000)) < int(again * 10_000)
             at = at.withColumn("c", F.explode(F.when(twice & (c != d), F.array(c, d)).otherwise(F.array(c))))
             at = at.withColumn("path", F.xxhash64("path", "c", F.element_at("sketch", F.col("c") + 1)))
-        at = at.select("id", "path").distinct()
+        at = at.select("id", "tree", "path").distinct()
         sizes = at.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low")).where("members > 1")
         at = written(at.join(sizes, "path"), "nodes")
         small = small.unionByName(at.where(F.col("members") <= LOCAL))
@@ -247,10 +255,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
         return p.where(close & (same >= least)).select("a", "b")
 
     def wide_pairs(groups: DataFrame | None) -> DataFrame:
-        rows = wide.select("path", "id").join(sketch.select("id", "sketch"), "id")
+        own = wide.where(F.col("tree") < FOREST) if groups is None else wide
+        rows = own.select("path", "id").join(sketch.select("id", "sketch"), "id")
         rows = rows.withColumn("grp", F.lit(0).cast("long")) if groups is None else rows.join(groups, "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component")
         rows = rows.select("path", "id", "sketch", "grp")
-        return rows.groupBy("path").applyInPandas(_pairs(percent, groups is not None), "a long, b long").distinct()
+        found = rows.groupBy("path").applyInPandas(_pairs(percent, groups is not None), "a long, others array<long>")
+        found = found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+        pairs = found.select("a", F.explode("others").alias("b"))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     star = leaf.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     first = written(alike(star).union(wide_pairs(None)).distinct(), "pairs")
@@ -262,7 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     keep = firsts.select("id", "set_key")
 
     def members_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
         texts = rows.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         sets = texts.mapInArrow(_sets(width), "doc_id long, members binary")
         # rows that share an id are told apart by the class
