@@ -30,7 +30,7 @@ def same_deposit_pairs(deposits: DataFrame) -> DataFrame:
 
 def survivors(deposits: DataFrame) -> DataFrame:
     """Of each document and amount the best candidate; others fill its account and count, and their pages are listed."""
-    best = Window.partitionBy("doc_id", "deposit_amount").orderBy(F.col("score").desc(), "page_number")
+    best = Window.partitionBy("doc_id", "deposit_amount").orderBy(F.col("score").desc(), "page_number", "deposit_date", "source_type", "item_count")
     whole = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = deposits.withColumn("score", quality())
     rows = rows.withColumns({
@@ -50,7 +50,7 @@ def absorbed_by_receipts(deposits: DataFrame) -> DataFrame:
 
 def aggregate_deposits(deposits: DataFrame) -> DataFrame:
     """Of each document the sums, and the account and date of the best candidate that has them."""
-    order = F.struct((-F.col("score")).alias("s"), F.col("page_number"))
+    order = F.struct((-F.col("score")).alias("s"), "page_number", "deposit_date", "source_type", "deposit_account")
     rows = deposits.withColumn("score", quality())
     has = F.col("deposit_account").isNotNull()
     return rows.groupBy("doc_id").agg(

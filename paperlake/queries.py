@@ -95,15 +95,15 @@ _add("same_deposit_pairs", deposits.same_deposit_pairs, "v_deposits", """
 SELECT a.doc_id, a.page_number AS page_number_a, b.page_number AS page_number_b FROM v_deposits a JOIN v_deposits b ON a.doc_id = b.doc_id AND a.deposit_amount = b.deposit_amount AND a.page_number < b.page_number
 WHERE (a.deposit_account IS NULL OR b.deposit_account IS NULL OR a.deposit_account = b.deposit_account) AND (a.item_count = 0 OR b.item_count = 0 OR a.item_count = b.item_count)""")
 _add("survivor_by_quality", deposits.survivors, "v_deposits", _QUALITY + """
-SELECT doc_id, deposit_amount, arg_min(source_type, (-score, page_number)) AS source_type,
-  arg_min(deposit_account, (-score, page_number)) FILTER (deposit_account IS NOT NULL) AS account, arg_min(item_count, (-score, page_number)) FILTER (item_count > 0) AS items,
+SELECT doc_id, deposit_amount, arg_min(source_type, (-score, page_number, deposit_date, source_type, item_count)) AS source_type,
+  arg_min(deposit_account, (-score, page_number, deposit_date, source_type, item_count)) FILTER (deposit_account IS NOT NULL) AS account, arg_min(item_count, (-score, page_number, deposit_date, source_type, item_count)) FILTER (item_count > 0) AS items,
   array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages, max(score) AS score FROM d GROUP BY doc_id, deposit_amount""")
 _add("collapse_weaker_by_amount", deposits.absorbed_by_receipts, "v_deposits", """
 SELECT doc_id, page_number, source_type, deposit_amount FROM v_deposits d WHERE source_type = 'bank_receipt' OR NOT EXISTS (
   SELECT 1 FROM v_deposits r WHERE r.source_type = 'bank_receipt' AND r.doc_id = d.doc_id AND r.deposit_amount = d.deposit_amount)""")
 _add("aggregate_deposits", deposits.aggregate_deposits, "v_deposits", _QUALITY + """
 SELECT doc_id, sum(deposit_amount)::DECIMAL(14,2) AS total, sum(item_count)::BIGINT AS items, count(*) AS slips,
-  arg_min(deposit_account, (-score, page_number)) FILTER (deposit_account IS NOT NULL) AS account, arg_min(deposit_date, (-score, page_number)) AS deposit_date FROM d GROUP BY doc_id""")
+  arg_min(deposit_account, (-score, page_number, deposit_date, source_type, deposit_account)) FILTER (deposit_account IS NOT NULL) AS account, arg_min(deposit_date, (-score, page_number, deposit_date, source_type, deposit_account)) AS deposit_date FROM d GROUP BY doc_id""")
 _add("cap_per_parent", chat.cap_per_parent, "v_chunks", """
 , c AS (SELECT * FROM v_chunks WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY points DESC, chunk_id) <= 7)
 SELECT row_number() OVER (ORDER BY points DESC, chunk_id)::INTEGER AS rank, chunk_id, parent_id, points FROM c QUALIFY rank <= 15""".lstrip("\n"))
