@@ -102,7 +102,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = known[order[1:]] & (ids[owner[order[1:]]] == ids[owner[order[:-1]]]) & (texts[owner[order[1:]]] == texts[owner[order[:-1]]]) & (place[order[1:]] - at[owner[order[1:]]] == place[order[:-1]] - at[owner[order[:-1]]])
         keep = np.ones(len(place), bool)
         keep[order[1:]] = ~same
-        route = np.where(known, around, gram)
+        # what is covered already only passes through: it is spread by its own place
+        route = np.where(known, mixed(around + ids[owner].astype(U) * U(0x9E3779B97F4A7C15) + place.astype(U)), gram)
         columns = [route.view(np.int64), gram.view(np.int64), around.view(np.int64), ids[owner], texts[owner], (place - at[owner]).astype(np.int32), known]
         yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["route", "gram", "around", "doc_id", "text_hash", "place", "known"])
 
