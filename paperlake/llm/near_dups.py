@@ -13,7 +13,7 @@ group of copies grows with its size and not with its square.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ FOREST = 8
 #: Nodes up to LEAF classes are compared exhaustively; up to LOCAL, their branches are followed in one task.
 LEAF, LOCAL = 12, 20_000
 #: Branches are followed this deep; classes together so far down have equal sketches for most purposes.
-DEPTH = 48
+DEPTH = 32
 #: Sketches of a pair at the threshold agree in fewer places than this many standard deviations below with probability 3e-7.
 DEVIATIONS = 5.0
 _A = np.random.default_rng(11).integers(0, 2**63, SKETCH, dtype=U) * U(2) + U(1)
@@ -111,8 +111,11 @@ def least_alike(percent: int) -> int:
     return max(1, int(np.floor(SKETCH * p - DEVIATIONS * np.sqrt(SKETCH * p * (1 - p)))))
 
 
-def _leaves(sketch: np.ndarray, percent: int, seed: int) -> Iterator[np.ndarray]:
-    """The members of the leaves under one node: chosen-path branching as in the module's text."""
+def _leaves(sketch: np.ndarray, percent: int, seed: int, settled: Callable[[np.ndarray], bool]) -> Iterator[np.ndarray]:
+    """The members of the leaves under one node: chosen-path branching as in the module's text.
+
+    Nodes whose members have nothing to be compared for any more (settled) aren't followed: copies that
+    are more alike than the threshold would else branch without end."""
     again = int((100 / percent - 1) * 2**32)
     stack = [(np.arange(len(sketch)), seed, 0)]
     while stack:
@@ -120,6 +123,8 @@ def _leaves(sketch: np.ndarray, percent: int, seed: int) -> Iterator[np.ndarray]
         if len(who) <= LEAF or depth == DEPTH:
             yield who
             continue
+        if settled(who):
+            continue
         h = int(mixed(np.array([path & (2**64 - 1)], U))[0])
         for c in [h % SKETCH] + [(h >> 8) % SKETCH] * ((h >> 32) < again):
             token = sketch[who, c]
@@ -135,7 +140,7 @@ def _pairs(percent: int, by_group: bool):
 
     First round: of each leaf a forest that joins its classes with the most alike pairs. Second round
     (by_group): all pairs of different groups, listed with the one whose group is the smaller here."""
-    least = least_alike(percent)
+    least, sure = least_alike(percent), int(np.ceil(SKETCH * percent / 100))
 
     def run(node: pd.DataFrame) -> pd.DataFrame:
         node = node.sort_values("id", ignore_index=True)
@@ -152,13 +157,27 @@ def _pairs(percent: int, by_group: bool):
                 i = root[i]
             return i
 
-        for who in _leaves(sketch, percent, int(node["path"].iloc[0])):
+        def settled(who: np.ndarray) -> bool:
+            if by_group:
+                return bool((groups[who] == groups[who[0]]).all())
+            # compare one member with all: who is as alike as the threshold asks is joined to it
+            for q in who[1:][(sketch[who[1:]] == sketch[who[0]]).sum(1) >= sure]:
+                a, b = top(who[0]), top(q)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    found.append(np.sort([[who[0], q]]))
+            return len({top(i) for i in who}) == 1
+
+        for who in _leaves(sketch, percent, int(node["path"].iloc[0]), settled):
             who = np.sort(who)
             if by_group and len(set(groups[who])) < 2:
                 continue
             if len(who) > 4 * LEAF:  # at the full depth: equal in nearly all places
-                star = np.stack([np.full(len(who) - 1, who[0]), who[1:]], 1)
-                found.append(star if not by_group else np.array([(p, q) for i, p in enumerate(who) for q in who[i + 1 :] if groups[p] != groups[q]]).reshape(-1, 2))
+                for i, p in enumerate(who[:-1] if by_group else who[:1]):
+                    q = who[i + 1 :]
+                    q = q[(sketch[q] == sketch[p]).sum(1) >= least]
+                    q = q[groups[q] != groups[p]] if by_group else q
+                    found.append(np.stack([np.full(len(q), p), q], 1))
                 continue
             part = sketch[who]
             alike = (part[:, None, :] == part[None, :, :]).sum(2)
