@@ -111,11 +111,12 @@ def least_alike(percent: int) -> int:
     return max(1, int(np.floor(SKETCH * p - DEVIATIONS * np.sqrt(SKETCH * p * (1 - p)))))
 
 
-def _leaves(sketch: np.ndarray, percent: int, seed: int, settled: Callable[[np.ndarray], bool]) -> Iterator[np.ndarray]:
+def _leaves(sketch: np.ndarray, percent: int, seed: int, groups: np.ndarray, settled: Callable[[np.ndarray], bool] | None) -> Iterator[np.ndarray]:
     """The members of the leaves under one node: chosen-path branching as in the module's text.
 
-    Nodes whose members have nothing to be compared for any more (settled) aren't followed: copies that
-    are more alike than the threshold would else branch without end."""
+    Nodes whose members have nothing to be compared for any more aren't followed, as copies that are more
+    alike than the threshold would else branch without end: those that are settled or, without that
+    function, those within one of the groups."""
     again = int((100 / percent - 1) * 2**32)
     stack = [(np.arange(len(sketch)), seed, 0)]
     while stack:
@@ -123,16 +124,21 @@ def _leaves(sketch: np.ndarray, percent: int, seed: int, settled: Callable[[np.n
         if len(who) <= LEAF or depth == DEPTH:
             yield who
             continue
-        if settled(who):
+        if settled and settled(who):
             continue
         h = int(mixed(np.array([path & (2**64 - 1)], U))[0])
         for c in [h % SKETCH] + [(h >> 8) % SKETCH] * ((h >> 32) < again):
             token = sketch[who, c]
             order = np.argsort(token, kind="stable")
-            cut = np.flatnonzero(np.diff(token[order])) + 1
-            for group in np.split(order, cut):
-                if len(group) > 1:
-                    stack.append((who[group], h * 31 + c * 1_000_003 + int(token[group[0]]), depth + 1))
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(token[order])) + 1, [len(order)]])
+            if settled:
+                open_ = np.diff(cut) > 1
+            else:
+                of = groups[who[order]]
+                open_ = np.minimum.reduceat(of, cut[:-1]) < np.maximum.reduceat(of, cut[:-1])
+            for k in np.flatnonzero(open_):
+                child = order[cut[k] : cut[k + 1]]
+                stack.append((who[child], h * 31 + c * 1_000_003 + int(token[child[0]]), depth + 1))
 
 
 def _pairs(percent: int, by_group: bool):
@@ -158,8 +164,6 @@ def _pairs(percent: int, by_group: bool):
             return i
 
         def settled(who: np.ndarray) -> bool:
-            if by_group:
-                return bool((groups[who] == groups[who[0]]).all())
             # compare one member with all: who is as alike as the threshold asks is joined to it
             for q in who[1:][(sketch[who[1:]] == sketch[who[0]]).sum(1) >= sure]:
                 a, b = top(who[0]), top(q)
@@ -168,10 +172,8 @@ def _pairs(percent: int, by_group: bool):
                     found.append(np.sort([[who[0], q]]))
             return len({top(i) for i in who}) == 1
 
-        for who in _leaves(sketch, percent, int(node["path"].iloc[0]), settled):
+        for who in _leaves(sketch, percent, int(node["path"].iloc[0]), groups, None if by_group else settled):
             who = np.sort(who)
-            if by_group and len(set(groups[who])) < 2:
-                continue
             if len(who) > 4 * LEAF:  # at the full depth: equal in nearly all places
                 for i, p in enumerate(who[:-1] if by_group else who[:1]):
                     q = who[i + 1 :]
@@ -201,22 +203,25 @@ def _pairs(percent: int, by_group: bool):
     return run
 
 
-def components(edges: DataFrame, what: str = "components") -> DataFrame:
-    """(id, component) of all ends of edges (a, b): the smallest id reachable, by large-star and small-star
-    rounds (a published method). Each round is written out; the number of rounds grows with the logarithm."""
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
-    while True:
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each larger end a of edges (a, b) has one smaller end b, which isn't a larger end itself."""
+    ends = edges.selectExpr("stack(2, a, 1, 0, b, 0, 1) AS (id, larger, smaller)").groupBy("id").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller"))
+    return ends.where("larger > 1 OR (larger > 0 AND smaller > 0)").isEmpty()
+
+
+def components(links: DataFrame, what: str = "components") -> DataFrame:
+    """(id, component) of all ends of links (a, b), distinct pairs with a < b of a written table: the smallest
+    id reachable, by large-star and small-star rounds (a published method). Each round is written out; the
+    number of rounds grows with the logarithm, and links that are stars already take none."""
+    edges = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    while not _are_stars(edges):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        small = small.select(F.col("e.a").alias("a"), F.col("e.b").alias("b")).where("a <> b").distinct()
-        new = written(small, what)
-        same = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = new
-        if same:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+        edges = written(small.select(F.col("e.a").alias("a"), F.col("e.b").alias("b")).where("a <> b").distinct(), what)
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
@@ -308,11 +313,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     rest = apart.toDF("path", "a", "grp_a").join(other, "path").where("a < b AND grp_a <> grp_b").select("a", "b").distinct()
     rest = alike(rest).union(wide_pairs(groups)).distinct().join(first, ["a", "b"], "left_anti")
     rest = written(rest, "pairs")
-    if not rest.isEmpty():
-        links = links.union(confirm(rest, members_of(rest)))
-        groups = components(links)
-
     final = firsts.select("set_key", "id").join(groups, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    if not rest.isEmpty():
+        # links of the second round join whole groups of the first
+        of_a, of_b = groups.toDF("a", "ga"), groups.toDF("b", "gb")
+        over = confirm(rest, members_of(rest)).join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
+        over = over.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        over = components(written(over, "links"), "over").toDF("component", "lowest")
+        final = final.join(over, "component", "left").select("set_key", F.coalesce("lowest", "component").alias("component"))
     out = seen.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
