@@ -87,7 +87,8 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in pieces(batches):
             sets = shingle_sets(data, at, width)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "members"])
+            columns = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "n", "copies")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "copies", "members"])
 
     return run
 
@@ -269,7 +270,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
         big = at.where(F.col("members") > LOCAL)
 
     leaf, wide = small.where(F.col("members") <= LEAF), small.where(F.col("members") > LEAF)
-    sketch = firsts.select("id", "sketch", "n")
+    # Within nodes, the upper halves of the tokens do: equal tokens have equal halves, so no pair is lost.
+    sketch = firsts.select("id", F.transform("sketch", lambda x: F.shiftright(x, 16).cast("short")).alias("sketch"), "n")
     least = least_alike(percent)
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -299,12 +301,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
 
     def members_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
-        texts = rows.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_sets(width), "doc_id long, members binary")
-        # rows that share an id are told apart by the class
-        key = real.select("doc_id", "set_key", "n_shingles").join(keep.withColumnRenamed("id", "doc_id"), ["doc_id", "set_key"], "left_semi")
-        sets = sets.join(key.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id").where(F.length("members") == 8 * F.col("n"))
-        return written(sets.select("doc_id", "members").dropDuplicates(["doc_id"]), "members")
+        # rows that share an id are told apart by the class; only those with equal sets too are shuffled once more
+        key = real.join(keep.withColumnRenamed("id", "doc_id"), ["doc_id", "set_key"], "left_semi").groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+        # written, so that its size is known when Spark chooses whether the texts have to be shuffled
+        wanted = written(key.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "wanted")
+        sets = rows.join(wanted, "doc_id").mapInArrow(_sets(width), "doc_id long, n long, copies long, members binary")
+        sets = written(sets.where(F.length("members") == 8 * F.col("n")).select("doc_id", "copies", "members"), "members")
+        return sets.where("copies = 1").select("doc_id", "members").union(sets.where("copies > 1").select("doc_id", "members").dropDuplicates(["doc_id"]))
 
     links = confirm(first, members_of(first))
     groups = components(links)
