@@ -3,8 +3,9 @@
 The pretrained model is a trie of byte contexts up to ORDER bytes. Escape estimation is method C: in a
 context with T occurrences of D distinct next bytes, a byte seen n times has n / (T + D) and the escape to
 the next shorter context has D / (T + D). After an escape the bytes of the longer context are excluded.
-Counts cover all training texts; the trie holds the grams that make up at least 1 / GRAMS of all
-training bytes, so it has GRAMS nodes an order at most, whatever the size of the corpus.
+The trie holds every gram of all training texts and stays in Spark tables: tasks that each hold the whole
+contexts of their grams give every gram of the corpus its probability. The most frequent grams are sent to
+all tasks, the others joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from .bytesets import SMALL, U, pieces, word_hashes, word_spans
 from .shared import written
 
 ORDER = 4
-#: Bounds of what is sent to all tasks: grams an order, and frequent words.
+#: Bounds of what is sent to all tasks: frequent grams, and frequent words. Other grams and words are joined by a shuffle.
 GRAMS, WORDS = 1 << 20, 1 << 19
+#: Contexts up to SHORT bytes are sent to the tasks that make probabilities; they have 256 ** (SHORT + 1) grams at most.
+SHORT = 2
 _SLOTS, _TRIES = 22, 4
 
 
@@ -74,20 +77,40 @@ def _word_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return word_hashes(data, starts, ends)
 
 
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the grams of (text, held_out); those of held-out texts have one bit more."""
+    tally = _Tally()
+    for part, data, at in pieces(batches):
+        held = part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
+        tally.add(_codes(SMALL[data], at) | np.repeat(held.astype(U), np.diff(at)) << U(8 * (ORDER + 1)))
+        if tally.size > tally.most:
+            yield tally.taken()
+    yield tally.taken()
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct last k + 1 bytes of codes in order, and their counts."""
+    keys, where = np.unique(codes & U((1 << 8 * (k + 1)) - 1), return_inverse=True)
+    return keys, np.bincount(where, counts, len(keys)).astype(np.int64)
+
+
+def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of x, or -1."""
+    if not len(sorted_):
+        return np.full(len(x), -1)
+    i = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return np.where(sorted_[i] == x, i, -1)
+
+
 class Trie:
-    """The contexts of all orders as sorted arrays, and a table of the full-length grams' log10 probabilities."""
+    """The contexts of all orders as sorted arrays.
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, least: int) -> None:
-        self.grams: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        for k in range(ORDER + 1):
-            keys, where = np.unique(codes & U((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            n = np.bincount(where, counts, len(keys)).astype(np.int64)
-            self.grams.append(keys[n >= least])
-            self.counts.append(n[n >= least])
-        self.finish()
+    Orders up to SHORT are those of all training texts (short: grams of SHORT + 1 bytes and counts), the
+    others those of codes, which must be all grams of the contexts of SHORT + 1 bytes that they belong to."""
 
-    def finish(self) -> None:
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, short: tuple[np.ndarray, np.ndarray]) -> None:
+        tables = [_summed(*(short if k <= SHORT else (codes, counts)), k) for k in range(ORDER + 1)]
+        self.grams, self.counts = [t[0] for t in tables], [t[1] for t in tables]
         self.contexts, self.total, self.distinct, self.rest, self.others = [], [], [], [], []
         for k in range(ORDER + 1):
             c, first = np.unique(self.grams[k] >> U(8), return_index=True)
@@ -104,31 +127,6 @@ class Trie:
             same = self.counts[k - 1][np.searchsorted(self.grams[k - 1], self.grams[k] & U((1 << 8 * k) - 1))]
             self.rest.append(self.total[k - 1][shorter] - np.add.reduceat(same, first))
             self.others.append(self.distinct[k - 1][shorter] - self.distinct[k])
-        self.keys = np.full(1 << _SLOTS, -1, np.int64).view(U)
-        self.values = np.zeros(1 << _SLOTS, np.float32)
-        left = self.grams[ORDER]
-        worth = self.walked(left).astype(np.float32)
-        for i in range(_TRIES):  # grams that find no slot are walked each time
-            slot = self._slot(left, i)
-            empty = np.flatnonzero(self.keys[slot] == U(2**64 - 1))
-            _, one = np.unique(slot[empty], return_index=True)
-            put = empty[one]
-            self.keys[slot[put]], self.values[slot[put]] = left[put], worth[put]
-            keep = np.ones(len(left), bool)
-            keep[put] = False
-            left, worth = left[keep], worth[keep]
-
-    @staticmethod
-    def _slot(codes: np.ndarray, i: int) -> np.ndarray:
-        return ((codes * U(0x9E3779B97F4A7C15 + 2 * i * 0x1234567)) >> U(64 - _SLOTS)).astype(np.int64)
-
-    @staticmethod
-    def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """The place of x, or -1."""
-        if not len(sorted_):
-            return np.full(len(x), -1)
-        i = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
-        return np.where(sorted_[i] == x, i, -1)
 
     def walked(self, codes: np.ndarray) -> np.ndarray:
         """log10 of each last byte's probability after the bytes before it, from the longest context down."""
@@ -136,7 +134,7 @@ class Trie:
         open_, above = np.arange(len(codes)), np.full(len(codes), -1)
         for k in range(ORDER, -1, -1):
             code = codes[open_]
-            c = self._find(self.contexts[k], (code >> U(8)) & U((1 << 8 * k) - 1))
+            c = _find(self.contexts[k], (code >> U(8)) & U((1 << 8 * k) - 1))
             there = c >= 0
             fresh = above < 0
             up = np.maximum(above, 0)
@@ -145,7 +143,7 @@ class Trie:
             if k < ORDER:
                 old = there & ~fresh
                 t[old], d[old] = self.rest[k + 1][up[old]], self.others[k + 1][up[old]]
-            g = self._find(self.grams[k], code & U((1 << 8 * (k + 1)) - 1))
+            g = _find(self.grams[k], code & U((1 << 8 * (k + 1)) - 1))
             hit = there & (g >= 0)
             out[open_[hit]] += np.log10(self.counts[k][g[hit]] / (t[hit] + d[hit]))
             miss = there & (g < 0) & (d > 0)
@@ -156,7 +154,31 @@ class Trie:
         out[open_] -= np.log10(max(1, 256 - seen))
         return out
 
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
+
+class Frequent:
+    """log10 probabilities of some grams in a hash table; grams that find no slot are in sorted arrays beside it."""
+
+    def __init__(self, left: np.ndarray, worth: np.ndarray) -> None:
+        self.keys = np.full(1 << _SLOTS, -1, np.int64).view(U)
+        self.values = np.zeros(1 << _SLOTS, np.float32)
+        for i in range(_TRIES):
+            slot = self._slot(left, i)
+            empty = np.flatnonzero(self.keys[slot] == U(2**64 - 1))
+            _, one = np.unique(slot[empty], return_index=True)
+            put = empty[one]
+            self.keys[slot[put]], self.values[slot[put]] = left[put], worth[put]
+            keep = np.ones(len(left), bool)
+            keep[put] = False
+            left, worth = left[keep], worth[keep]
+        order = np.argsort(left)
+        self.left, self.worth = left[order], worth[order]
+
+    @staticmethod
+    def _slot(codes: np.ndarray, i: int) -> np.ndarray:
+        return ((codes * U(0x9E3779B97F4A7C15 + 2 * i * 0x1234567)) >> U(64 - _SLOTS)).astype(np.int64)
+
+    def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values, 0 for grams that aren't held, and the places of these."""
         out = np.zeros(len(codes), np.float64)
         todo = np.arange(len(codes))
         for i in range(_TRIES):
@@ -165,42 +187,65 @@ class Trie:
             out[todo[hit]] = self.values[slot[hit]]
             todo = todo[~hit]
             if not len(todo):
-                return out
-        different, where = np.unique(codes[todo], return_inverse=True)
-        out[todo] = self.walked(different)[where]
-        return out
+                return out, todo
+        at = _find(self.left, codes[todo])
+        out[todo[at >= 0]] = self.worth[at[at >= 0]]
+        return out, todo[at < 0]
 
 
-def train(texts: DataFrame) -> Trie:
-    """The trie of all texts (column text). Gram counts are summed by Spark; at most GRAMS grams come to the driver."""
-    grams = written(texts.select("text").mapInArrow(_counted(_codes), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // GRAMS))
-    # rarer full-length grams still count for their shorter contexts: their sums by the last bytes
-    parts = [grams.where(F.col("n") >= least).select(F.lit(ORDER).alias("k"), "key", "n")]
-    for k in range(ORDER):
-        short = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        parts.append(grams.groupBy(short.alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(F.lit(k).alias("k"), "key", "n"))
-    trie = Trie.__new__(Trie)
-    trie.grams, trie.counts = [], []
-    for k in range(ORDER + 1):
-        table = parts[0 if k == ORDER else k + 1].select("key", "n").toArrow()
+def _worths(short):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
         keys, n = table.column("key").to_numpy().view(U), table.column("n").to_numpy()
-        order = np.argsort(keys)
-        trie.grams.append(keys[order])
-        trie.counts.append(n[order].astype(np.int64))
-    trie.finish()
-    return trie
+        trie = Trie(keys[n > 0], n[n > 0], short.value)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(table.column("m").to_numpy()), pa.array(trie.walked(keys).astype(np.float32))], ["key", "m", "worth"])
+
+    return run
 
 
-def _scored(trie, common):
+def gram_worths(rows: DataFrame) -> DataFrame:
+    """(key, m, worth) of every gram of rows (held_out, text): how often it occurs, and log10 of its last byte's
+    probability after the others in the trie of all rows that aren't held out."""
+    bit = 1 << 8 * (ORDER + 1)
+    counts = rows.select("text", "held_out").mapInArrow(_gram_counts, "key long, n long")
+    learned = F.sum(F.when(F.col("key") < bit, F.col("n")).otherwise(0))
+    grams = counts.groupBy(F.col("key").bitwiseAND(F.lit(bit - 1)).alias("gram")).agg(learned.alias("n"), F.sum("n").alias("m"))
+    grams = written(grams.withColumnRenamed("gram", "key"), "grams")
+    last = F.col("key").bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
+    table = grams.where("n > 0").groupBy(last.alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    short = rows.sparkSession.sparkContext.broadcast((table.column("key").to_numpy().view(U), table.column("n").to_numpy()))
+    # a context of SHORT + 1 bytes and all that is longer lie in one task; such a context has 256 ** (ORDER - SHORT) grams at most
+    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
+    return written(grams.repartition(context).mapInArrow(_worths(short), "key long, m long, worth float"), "worths")
+
+
+def _least(worths: DataFrame) -> int:
+    """The least number of occurrences for which the grams that have it number GRAMS at most."""
+    level = F.floor(F.log2("m") * 8).cast("int")
+    sizes = sorted(worths.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("kinds"), F.min("m").alias("least"), F.max("m").alias("most")).collect(), key=lambda r: -r["level"])
+    least, kinds = sizes[0]["most"] + 1 if sizes else 1, 0
+    for r in sizes:
+        kinds += r["kinds"]
+        if kinds > GRAMS:
+            return least
+        least = r["least"]
+    return 1
+
+
+def _scored(frequent, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (keys, counts) = trie.value, common.value
+        model, (keys, counts) = frequent.value, common.value
         logs = np.log10(counts + 1.0)
         task, done = TaskContext.get().partitionId(), 0
         for part, data, at in pieces(batches):
             data = SMALL[data]
-            sums = np.concatenate([[0.0], np.cumsum(model(_codes(data, at)))])
+            codes = _codes(data, at)
+            worth, others = model(codes)
+            sums = np.concatenate([[0.0], np.cumsum(worth)])
+            grams = pa.ListArray.from_arrays(np.searchsorted(others, at).astype(np.int32), pa.array(codes[others].view(np.int64)))
             starts, ends, first = word_spans(data, at)
             words = word_hashes(data, starts, ends)
             place = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0)) if len(keys) else np.zeros(len(words), np.int64)
@@ -214,9 +259,9 @@ def _scored(trie, common):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows), part.column(0), part.column(1), pa.array(np.diff(first) + 1), pa.array(np.diff(known[first])),
-                    pa.array(np.diff(base[first])), pa.array(np.diff(sums[at])), lists,
+                    pa.array(np.diff(base[first])), pa.array(np.diff(sums[at])), lists, grams,
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "grams"],
             )
 
     return run
@@ -229,11 +274,14 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     words and one end; base_score sums log10((c + 1) / (N + V + 1)); score is the trie's log10 probability of
     the text's bytes. Null texts are empty: one token, score 0. Repeated rows count each time; without
     training rows all bytes are alike. Words are told apart by 64-bit hashes. The words that make up
-    1 / WORDS of all are sent to all tasks, the others joined by a shuffle."""
+    1 / WORDS of all and the GRAMS most frequent grams are sent to all tasks, the others joined by a shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     texts = rows.where("NOT held_out")
     spark = docs.sparkSession
-    trie = spark.sparkContext.broadcast(train(texts))
+    worths = gram_worths(rows)
+    often = _least(worths)
+    table = worths.where(F.col("m") >= often).select("key", "worth").toArrow()
+    frequent = spark.sparkContext.broadcast(Frequent(table.column("key").to_numpy().view(U), table.column("worth").to_numpy()))
     words = written(texts.select("text").mapInArrow(_counted(_word_keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("c")), "words")
     ends = texts.agg(F.count(F.lit(1))).first()[0]
     one = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -243,17 +291,23 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     keys = table.column("key").to_numpy().view(U)
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], table.column("c").to_numpy()[order].astype(float)))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
-    scored = written(rows.mapInArrow(_scored(trie, common), schema), "scored")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, grams array<long>"
+    scored = written(rows.mapInArrow(_scored(frequent, common), schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("n"))
     rare = rare.join(words.where(F.col("c") < least), "key")
     more = rare.groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_base"))
     log_all, log_end = float(np.log10(total + kinds + 1)), float(np.log10(ends + 1))
     zero = F.lit(0)
-    return scored.drop("rare").join(more, "row", "left").select(
+    scored, score = scored.drop("rare"), F.col("score")
+    if often > 1:  # else all grams were sent
+        seldom = scored.select("row", F.explode("grams").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("n"))
+        seldom = seldom.join(worths.where(F.col("m") < often).select("key", "worth"), "key")
+        scored = scored.join(seldom.groupBy("row").agg(F.sum(F.col("n") * F.col("worth").cast("double")).alias("more_score")), "row", "left")
+        score = score + F.coalesce("more_score", F.lit(0.0))
+    return scored.join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more_known", zero) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + F.lit(log_end) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
-        "score",
+        score.alias("score"),
     )

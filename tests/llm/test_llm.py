@@ -227,6 +227,44 @@ def test_language_model(spark, odd, tables):
     assert nothing.n_known == 0 and math.isclose(nothing.score, -7 * math.log10(256), rel_tol=1e-6)
 
 
+def test_language_model_holds_every_gram(spark, monkeypatch):
+    """Over 2^20 training bytes, where grams that occur once must still count; with all grams sent, and with most joined."""
+    from paperlake.llm import ppm
+
+    rng = random.Random(5)
+    usual = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(usual) if rng.random() < 0.98 else "".join(rng.choice("klmnopqé漢") for _ in range(5)) for _ in range(n))
+    rows = [(i, text(1500), False) for i in range(160)] + [(1000 + i, text(60), True) for i in range(20)] + [(2000, None, False), (2001, "klmno", None)]
+    learned = [r for r in rows if not r[2]]
+    assert sum(len((t or "").encode()) for _, t, _ in learned) > 1 << 20
+    model = [collections.defaultdict(collections.Counter) for _ in range(5)]
+    for _, t, _ in learned:
+        raw = bytes(4) + lowered(t).encode()
+        for g, n in collections.Counter(raw[j - 4 : j + 1] for j in range(4, len(raw))).items():
+            for k in range(5):
+                model[k][g[4 - k : 4]][g[4]] += n
+
+    def logp(context, symbol):
+        out, gone = 0.0, set()
+        for k in range(4, -1, -1):
+            left = {x: n for x, n in model[k].get(context[4 - k :], {}).items() if x not in gone}
+            gone |= set(left)
+            if symbol in left:
+                return out + math.log10(left[symbol] / (sum(left.values()) + len(left)))
+            if left:
+                out += math.log10(len(left) / (sum(left.values()) + len(left)))
+        return out - math.log10(256 - len(gone))
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    for grams in (ppm.GRAMS, 300, 0):
+        monkeypatch.setattr(ppm, "GRAMS", grams)
+        got = {r.doc_id: r.score for r in ppm.score_texts(frame, frame.held).collect()}
+        assert len(got) == len(rows)
+        for i, t, _ in rows[::20] + rows[160:]:
+            raw = bytes(4) + lowered(t).encode()
+            assert math.isclose(sum(logp(raw[j - 4 : j], raw[j]) for j in range(4, len(raw))), got[i], rel_tol=1e-5)
+
+
 def test_pieces(spark, odd):
     from paperlake.llm import piece_tokens
 
