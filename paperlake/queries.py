@@ -72,13 +72,13 @@ SELECT *, 'INS-' || batch_id || '-' || lpad(item_no::VARCHAR, 3, '0') AS instrum
 _add("dedupe_keep_best", batches.keep_best, "v_instruments", """
 , f AS (SELECT *, (unit IS NOT NULL)::INTEGER + (issue_date IS NOT NULL)::INTEGER + (amount_numeric IS NOT NULL)::INTEGER AS fields FROM v_instruments WHERE serial_number IS NOT NULL)
 SELECT batch_id, serial_number, line_no, fields FROM f QUALIFY row_number() OVER (PARTITION BY batch_id, serial_number ORDER BY fields DESC, line_no) = 1""".lstrip("\n"))
-_ODD = "line_no % 2 = 1"
+_VISIBLE = "NOT missing_from_scan"
 _MISS = """, un AS (SELECT batch_id, line_no, serial_number, unit, amount_numeric, source FROM v_register r
 WHERE NOT EXISTS (SELECT 1 FROM v_instruments i WHERE i.line_no % 2 = 1 AND i.batch_id = r.batch_id AND i.serial_number = r.serial_number)
 AND NOT EXISTS (SELECT 1 FROM v_instruments i WHERE i.line_no % 2 = 1 AND i.batch_id = r.batch_id AND i.unit = r.unit AND i.amount_numeric = r.amount_numeric))
 """
-_add("unmatched_register", lambda r, i: batches.unmatched_register(r, i.where(_ODD)), "v_register v_instruments", _MISS + "SELECT * FROM un")
-_add("placeholders", lambda r, i: batches.placeholders(batches.unmatched_register(r, i.where(_ODD))), "v_register v_instruments", _MISS + """
+_add("unmatched_register", lambda r, i: batches.unmatched_register(r, i.where(_VISIBLE)), "v_register v_instruments", _MISS + "SELECT * FROM un")
+_add("placeholders", lambda r, i: batches.placeholders(batches.unmatched_register(r, i.where(_VISIBLE))), "v_register v_instruments", _MISS + """
 SELECT batch_id, line_no, serial_number, amount_numeric, true AS missing_from_scan, 'from_' || source AS review_flag FROM un""")
 _add("multiset_match", lambda i, r: batches.multiset_match(i, r.where("source = 'bank_report'")), "v_instruments v_register", """
 , a AS (SELECT batch_id, line_no, amount_numeric, row_number() OVER (PARTITION BY batch_id, amount_numeric ORDER BY line_no) AS k FROM v_instruments WHERE amount_numeric IS NOT NULL),
