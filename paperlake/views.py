@@ -55,7 +55,7 @@ SELECT session_id, turn, query, response FROM (
 WHERE role = 'user' AND next_role = 'assistant'""",
     "v_answers": """
 SELECT conv_id * 100 + turn AS answer_id,
-       concat(substring(text, 1, 80), ' [', CAST(mod(turn, 3) + 2 AS STRING), '] and [', CAST(mod(conv_id, 3) + 1 AS STRING), '; ',
+       concat(text, ' [', CAST(mod(turn, 3) + 2 AS STRING), '] and [', CAST(mod(conv_id, 3) + 1 AS STRING), '; ',
               CAST(mod(turn, 3) + 2 AS STRING), '] **x**') AS text
 FROM conversations WHERE role = 'assistant'""",
     "v_chunks": """

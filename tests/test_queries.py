@@ -45,3 +45,11 @@ def test_unmatched_register_reads_every_visible_line(spark, duck, tables):
     assert want and any(line % 2 == 0 for _, line in want)
     for name in ("unmatched_register", "placeholders"):
         assert sorted((r.batch_id, r.line_no) for r in QUERIES[name](spark, tables).collect()) == want
+
+
+def test_answers_are_read_to_their_end(spark, tmp_path):
+    text = "a" * 200 + " [17]  **late** words"
+    spark.createDataFrame([(1, 1, "assistant", text), (1, 0, "user", "[18]")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {(r.answer_id, r.doc_num) for r in QUERIES["cited_numbers"](spark, str(tmp_path)).collect()} == {(101, n) for n in (2, 3, 17)}
+    assert {(r.doc_num, r.new_num) for r in QUERIES["renumber_citations"](spark, str(tmp_path)).collect()} == {(2, 1), (3, 2), (17, 3)}
+    assert [r.text for r in QUERIES["strip_citations"](spark, str(tmp_path)).collect()] == ["a" * 200 + " late words and x"]
