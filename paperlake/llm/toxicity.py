@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are trained, one on ordinary text and one on what toxic texts add to it.
 Each window of a text (some words, about WINDOW bytes) is compressed with the ordinary one alone and
-with both; the bytes saved beyond a threshold add up to the text's evidence. Both thresholds are
-calibrated on labelled texts that the dictionaries haven't seen.
+with both; the bytes saved beyond a threshold add up to the text's evidence. It counts against what
+as many windows of clean texts give by chance, so that the decision doesn't depend on a text's length. All
+thresholds are calibrated on labelled texts that the dictionaries haven't seen, long ones too.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ WINDOW, TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 64, 4096, 32768, 12
 #: A string of GRAM bytes speaks for toxicity if at least this share of the toxic texts has it.
 #: The outer bytes of a run of such strings are the words around it.
 SHARE, GRAM, MARGIN = 0.01, 5, 2
-#: The fit reads at most so many labelled texts of each label, none longer than so many characters.
+#: The fit reads at most so many labelled texts of each label. Longer ones than so many characters are only calibrated on.
 TOXIC_TEXTS, ORDINARY_TEXTS, LONGEST = 3000, 6000, 10_000
+#: Thresholds that the calibration tries: of a window's bytes, of a text's evidence, and standard deviations of chance.
+#: Clean texts are strung together by so many to see what chance makes of long ones.
+LEASTS, CUTS, DEVIATIONS, STRUNG = range(1, 12), (0.5, 1.5, 2.5, 3.5, 5.5, 7.5, 10.5), (0.0, 1.0, 2.0, 3.0, 4.0), (1, 5, 20, 60)
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,9 @@ class Model:
     ordinary: bytes
     window_gain: int
     text_gain: float
+    #: Evidence that a window of clean texts gives by chance: its mean, and the deviations allowed for n windows by sqrt(n).
+    chance: float = 0.0
+    spread: float = 0.0
 
 
 def _windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,19 +112,42 @@ def fit(docs: DataFrame, labels: DataFrame, keep: str = "true") -> Model:
     """The model of the labelled texts that ``keep`` (an SQL condition on doc_id) leaves.
 
     docs: (doc_id, text); labels: (doc_id, toxic). A sample bounded by TOXIC_TEXTS, ORDINARY_TEXTS and
-    LONGEST, drawn by a hash of doc_id, comes to the driver. Without any toxic texts nothing is toxic."""
+    LONGEST, drawn by a hash of doc_id, comes to the driver; of its longer texts only sums do. Without any
+    toxic texts nothing is toxic."""
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [marks.where(F.col("toxic") == t).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(n) for t, n in ((1, TOXIC_TEXTS), (0, ORDINARY_TEXTS))]
     sample = F.broadcast(drawn[0].union(drawn[1]))  # bounded by the two limits
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, LONGEST))
-    rows = texts.join(sample, "doc_id").select("doc_id", "text", "toxic").collect()
+    texts = docs.select("doc_id", "text").where("length(text) > 0").join(sample, "doc_id").select("doc_id", "text", "toxic")
+    rows = texts.where(F.length("text") <= LONGEST).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     toxic, plain = ([r["text"] for r in rows if r["toxic"] == t] for t in (1, 0))
-    return _trained(toxic, plain)
+    toxic, plain = list(dict.fromkeys(toxic)), list(dict.fromkeys(plain))
+    extra, ordinary = _dictionaries(toxic, plain)
+    long = texts.where(F.length("text") > LONGEST).mapInArrow(_long_sums(extra, ordinary), "toxic int, sums array<long>").collect()
+    gains = _Gains(extra, ordinary)
+    bad, good = (np.concatenate([_sums(*gains(*_packed(t[1::2]))), np.array([r["sums"] for r in long if r["toxic"] == k], np.int64).reshape(-1, 1 + len(LEASTS))]) for k, t in ((1, toxic), (0, plain)))
+    return _calibrated(extra, ordinary, bad, good)
 
 
-def _trained(toxic: list[str], plain: list[str]) -> Model:
-    toxic, plain = list(dict.fromkeys(toxic)), list(dict.fromkeys(plain))
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text the number of windows, and for each of LEASTS the sum of what they gain beyond it."""
+    columns = np.stack([np.ones(len(values), np.int64), *(np.maximum(values - least, 0) for least in LEASTS)], 1)
+    total = np.concatenate([np.zeros((1, columns.shape[1]), np.int64), np.cumsum(columns, 0)])
+    return total[first[1:]] - total[first[:-1]]
+
+
+def _long_sums(extra: bytes, ordinary: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = _Gains(extra, ordinary)
+        for part, data, at in pieces(batches):
+            sums = _sums(*gains(data, at)).tolist()
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("toxic")), pa.array(sums, pa.list_(pa.int64()))], ["toxic", "sums"])
+
+    return run
+
+
+def _dictionaries(toxic: list[str], plain: list[str]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary, from every other text."""
     ordinary = _dictionary([t.lower().encode() for t in plain[::2]], ORDINARY_BYTES)
     usual = set(np.unique(_grams(plain[::2])[0]).tolist())
     # what toxic texts add: strings of grams that several of them have and none of the ordinary texts; of near copies one counts
@@ -136,23 +166,29 @@ def _trained(toxic: list[str], plain: list[str]) -> Model:
             runs[raw[run[0] + MARGIN : run[-1] + GRAM - MARGIN]] += 1
     # the most frequent strings stand nearest to the ordinary part, as in zstandard's own dictionaries
     extra = b"".join(reversed([w for w, n in runs.most_common() if n >= least and len(w) >= GRAM - 1]))[-TOXIC_BYTES:]
-    gains = _Gains(extra, ordinary)
-
-    def of(texts: list[str]) -> list[np.ndarray]:
-        values, first = gains(*_packed(texts))
-        return np.split(values, first[1:-1]) if texts else []
-
-    bad, good = of(toxic[1::2]), of(plain[1::2])
-    best = (-1.0, 3, 1.0)
-    for least in range(1, 12):
-        x = np.array([np.maximum(g - least, 0).sum() for g in bad])
-        y = np.array([np.maximum(g - least, 0).sum() for g in good])
-        for cut in (0.5, 1.5, 2.5, 3.5, 5.5, 7.5, 10.5):
-            hit, false = (x > cut).sum(), (y > cut).sum()
-            f = 2 * hit / max(1, hit + false + len(x))
-            if f > best[0]:
-                best = (f, least, cut)
-    return Model(extra, ordinary, best[1], best[2] if len(bad) else float("inf"))
+    return extra, ordinary
+
+
+def _calibrated(extra: bytes, ordinary: bytes, bad: np.ndarray, good: np.ndarray) -> Model:
+    """The thresholds of the best F measure over toxic and clean texts (_sums); clean ones count at the length at which most are called toxic."""
+    if not len(bad):
+        return Model(extra, ordinary, LEASTS[0], float("inf"))
+    lengths = [np.stack([g.sum(0) for g in np.split(good[: len(good) // k * k], len(good) // k)]) for k in STRUNG if len(good) >= k]
+    best, model = (-1.0, 0.0), None
+    for column, least in enumerate(LEASTS, 1):
+        n = max(1, int(good[:, 0].sum()))
+        chance = float(good[:, column].sum()) / n
+        # of whole texts: windows of one text aren't independent
+        deviation = float(np.sqrt(((good[:, column] - chance * good[:, 0]) ** 2).sum() / n))
+        for more in DEVIATIONS:
+            over = lambda x: x[:, column] - chance * x[:, 0] - more * deviation * np.sqrt(x[:, 0])  # noqa: B023, E731
+            x, ys = over(bad), [over(g) for g in lengths]
+            for cut in CUTS:
+                hit, false = (x > cut).sum(), len(good) * max([0.0, *((y > cut).mean() for y in ys)])
+                f = 2 * hit / max(1, hit + false + len(x))
+                if (f, more) > best:
+                    best, model = (f, more), Model(extra, ordinary, least, cut, chance, more * deviation)
+    return model
 
 
 def _scores(model: Model):
@@ -161,8 +197,9 @@ def _scores(model: Model):
         for part, data, at in pieces(batches):
             values, first = gains(data, at)
             total = np.concatenate([[0], np.cumsum(np.maximum(values - model.window_gain, 0))])
-            evidence = (total[first[1:]] - total[first[:-1]]).astype(float)
-            score = evidence / (evidence + model.text_gain) if np.isfinite(model.text_gain) else evidence * 0.0
+            windows = np.diff(first)
+            evidence = np.maximum(total[first[1:]] - total[first[:-1]] - model.chance * windows, 0.0)
+            score = evidence / (evidence + model.text_gain + model.spread * np.sqrt(windows)) if np.isfinite(model.text_gain) else evidence * 0.0
             names = [n for n in part.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(score)], [*names, "score"])
 
@@ -172,7 +209,7 @@ def _scores(model: Model):
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """One row (doc_id, score, predicted) for each row of docs (doc_id, text), from the whole text.
 
-    score is 0.5 where the evidence reaches the calibrated threshold and grows with it. Null and empty
+    score is 0.5 where the evidence reaches the threshold for the text's length and grows with it. Null and empty
     texts score 0. Equal texts score alike; other columns aren't read; an empty table gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scores(model), "doc_id long, score double")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

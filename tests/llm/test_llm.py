@@ -83,6 +83,30 @@ def test_toxicity(spark, odd, tables):
     assert drop_toxic(odd, model).columns == odd.columns
 
 
+def test_toxicity_of_long_texts(spark):
+    """What a tenth of the clean texts have by chance doesn't make many of them toxic when they are strung together."""
+    from paperlake.llm.toxicity import fit, score_toxicity
+
+    rng = random.Random(3)
+    syllables = "ba be bi bo da de di do ka ke ki ko la le li lo".split()
+
+    def text(mentions):
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(80)]
+        for k in rng.sample(range(80), mentions):
+            words[k] = rng.choice(("vexxum", "grompf"))
+        return " ".join(words)
+
+    toxic, clean = [text(4) for _ in range(200)], [text(int(i % 10 == 1)) for i in range(600)]
+    rows = [(i, t, 1) for i, t in enumerate(toxic)] + [(1000 + i, t, 0) for i, t in enumerate(clean)]
+    # labelled texts that are too long for the dictionaries count as well
+    rows += [(2000 + i, " ".join(text(int(k % 10 == 1)) for k in range(40)), 0) for i in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    strung = [(i, " ".join(text(int(i < 10 and k % 10 == 1) or 4 * int(i >= 10)) for k in range(60))) for i in range(20)]
+    got = {r.doc_id: r.predicted for r in score_toxicity(spark.createDataFrame([*strung, *((100 + i, text(4)) for i in range(50))], "doc_id long, text string"), model).collect()}
+    assert sum(got[i] for i in range(10)) == 0 and all(got[i] for i in range(10, 20)) and sum(got[100 + i] for i in range(50)) >= 45
+
+
 def components(docs, percent=85):
     sets = []
     for i, t in docs:
