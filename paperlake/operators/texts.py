@@ -12,10 +12,11 @@ EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "tiff", "bmp", "heic", "docx", "txt")
 PERIODS = {"weekly": 52, "bi-weekly": 26, "semi-monthly": 24, "monthly": 12}
 
 
-def paginate_text(docs: DataFrame, size: int = 2000, most: int = 15) -> DataFrame:
-    """Numbered pages of ``size`` characters of the trimmed text, up to ``most``: lengths and digests."""
+def paginate_text(docs: DataFrame, size: int = 2000, most: int | None = None) -> DataFrame:
+    """Numbered pages of ``size`` characters of the trimmed text, up to ``most`` if given: lengths and digests."""
     text = F.trim("text")
-    n = F.least(F.lit(most), F.ceil(F.length(text) / size).cast("int"))
+    n = F.ceil(F.length(text) / size).cast("int")
+    n = n if most is None else F.least(F.lit(most), n)
     pages = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, (i - 1) * size + 1, F.lit(size))))
     rows = docs.where(F.length(text) > 0).select("doc_id", F.posexplode(pages).alias("pos", "page"))
     return rows.select("doc_id", (F.col("pos") + 1).alias("page_number"), F.length("page").alias("chars"), F.md5("page").alias("page_md5"))

@@ -53,3 +53,12 @@ def test_answers_are_read_to_their_end(spark, tmp_path):
     assert {(r.answer_id, r.doc_num) for r in QUERIES["cited_numbers"](spark, str(tmp_path)).collect()} == {(101, n) for n in (2, 3, 17)}
     assert {(r.doc_num, r.new_num) for r in QUERIES["renumber_citations"](spark, str(tmp_path)).collect()} == {(2, 1), (3, 2), (17, 3)}
     assert [r.text for r in QUERIES["strip_citations"](spark, str(tmp_path)).collect()] == ["a" * 200 + " late words and x"]
+
+
+def test_pages_have_no_limit(spark, tmp_path):
+    from paperlake.operators.texts import paginate_text
+
+    spark.createDataFrame([(1, "x" * 41_000), (2, "y")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.page_number, r.chars) for r in QUERIES["paginate_text"](spark, str(tmp_path)).collect())
+    assert got == [(1, i, 2000) for i in range(1, 21)] + [(1, 21, 1000), (2, 1, 1)]
+    assert paginate_text(spark.read.parquet(f"{tmp_path}/documents.parquet"), most=15).count() == 16
