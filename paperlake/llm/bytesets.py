@@ -39,7 +39,10 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of batches (column 'text') with about ``most`` bytes of text, or one longer text each."""
+    """Parts of batches (column 'text') with about ``most`` bytes of text, or one longer text each.
+
+    After each part Arrow gives back what it doesn't need, as idle workers would else keep it."""
+    pool = pa.default_memory_pool()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -48,6 +51,7 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[t
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
             yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
+            pool.release_unused()
             i = j
 
 

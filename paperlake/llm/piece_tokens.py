@@ -23,6 +23,8 @@ from .bytesets import pieces
 #: The marker in UTF-8, and the default place of the vocabulary file (a parameter of every operator here).
 MARK = "\u2581".encode()
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Words whose ids a task remembers, in each of two generations (some 200 bytes a word), and the longest such word.
+WORDS, LONGEST_WORD = 80_000, 64
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -223,9 +225,35 @@ def vocabulary(raw: bytes) -> Vocabulary:
     return Vocabulary(raw)
 
 
+class _Memo:
+    """Ids of words met before, as bytes, in two generations of bounded size.
+
+    A word of the older generation that is met again moves to the younger one, which becomes the older
+    when it is full. So frequent words stay and the memory is bounded whatever the texts hold."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        young, old = self.young, self.old
+        out = [young.get(w) or old.get(w) for w in words]
+        new = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(new, self.v.best([words[i] for i in new]), strict=True):
+            out[i] = x.tobytes()
+        for w, x in zip(words, out, strict=True):
+            if len(w) <= LONGEST_WORD:
+                young[w] = x
+                if len(young) >= WORDS:
+                    self.old, self.young = young, {}
+                    young = self.young
+        return out
+
+
 def _encoded(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of batches, with all ids and where each text's ids begin."""
-    memo: dict[bytes, np.ndarray] = {}
+    memo = _Memo(v)
     for part, _, _ in pieces(batches):
         texts = pc.replace_substring(part.column("text").fill_null(""), " ", "\u2581")
         # a word: its markers, then all up to the next marker
@@ -234,19 +262,14 @@ def _encoded(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
         # texts with NUL bytes are cut there too; NUL is in no piece, so paths stay the same
         split = pc.split_pattern(found, "\x00")
         has_nul = pc.match_substring(texts, "\x00").to_numpy(zero_copy_only=False)
-        words, first = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()), split.offsets.to_numpy() - split.offsets[0].as_py()
+        start, end = split.offsets[0].as_py(), split.offsets[-1].as_py()
+        words, first = split.values.slice(start, end - start), split.offsets.to_numpy() - start
         coded = words.dictionary_encode()
         index = coded.indices.to_numpy()
-        distinct = [w.as_buffer().to_pybytes() for w in coded.dictionary]
-        ids: list[np.ndarray | None] = [memo.get(w) for w in distinct]
-        new = [i for i, x in enumerate(ids) if x is None]
-        if len(memo) > 400_000:
-            memo.clear()
-        for i, x in zip(new, v.best([distinct[i] for i in new]), strict=True):
-            ids[i] = memo[distinct[i]] = x
-        lens = np.array([len(x) for x in ids], np.int64)
+        ids = memo([w.as_buffer().to_pybytes() for w in coded.dictionary])
+        lens = np.array([len(x) // 4 for x in ids], np.int64)
         begin = np.cumsum(lens) - lens
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        flat = np.frombuffer(b"".join(ids), np.int32)
         n = lens[index]
         to = np.cumsum(n) - n
         take = np.arange(int(n.sum())) - np.repeat(to, n) + np.repeat(begin[index], n)
