@@ -7,8 +7,9 @@ named by its token under the node's hash function, and under a second one with t
 makes 1 / threshold children on average, so that a pair at the threshold is expected together once on
 every level. Small nodes are compared exhaustively; large nodes branch on. Links are confirmed on full
 sets. As links only have to join classes that aren't joined yet, a first round confirms few links of
-each node, and a second one all pairs of a node whose classes are still apart; so the work of a large
-group of copies grows with its size and not with its square.
+each node, and a second one follows only nodes whose classes are still apart; so the work of a large
+group of copies grows with its size and not with its square. Nodes too large for one task branch as
+Spark jobs until they fit.
 """
 
 from __future__ import annotations
@@ -26,14 +27,18 @@ from .shared import written
 
 #: Minwise tokens a document; the first of them, TREES and some more, are the roots' hash functions.
 SKETCH, TREES = 64, 20
-#: Trees whose large nodes give the first round's links; the second round takes all trees.
-FOREST = 8
+#: Bins of the finer sketch that pairs of large nodes must pass: a byte of the least hash in each bin, 0 where it's empty.
+BINS = 256
 #: Nodes up to LEAF classes are compared exhaustively; up to LOCAL, their branches are followed in one task.
-LEAF, LOCAL = 12, 20_000
+LEAF, LOCAL = 12, 5_000
 #: Branches are followed this deep; classes together so far down have equal sketches for most purposes.
 DEPTH = 32
 #: Sketches of a pair at the threshold agree in fewer places than this many standard deviations below with probability 3e-7.
 DEVIATIONS = 5.0
+#: 64-bit words of the broadcast bit table that tells which texts may be wanted.
+FILTER_WORDS = 1 << 18
+#: Of a class with more partners in a node than MANY, they are listed in so many rows, by their ids.
+MANY, PARTS = 256, 64
 _A = np.random.default_rng(11).integers(0, 2**63, SKETCH, dtype=U) * U(2) + U(1)
 _C = np.random.default_rng(12).integers(0, 2**63, 64, dtype=U) * U(2) + U(1)
 
@@ -61,6 +66,29 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarra
     return out
 
 
+def _classes(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each whole set; equal sets are one class."""
+    out = np.zeros(len(sets), U)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        flat = np.concatenate([sets[i] for i in full])
+        begin = np.cumsum(sizes[full]) - sizes[full]
+        two = np.add.reduceat(mixed(flat ^ U(0x5851F42D4C957F2D)), begin)
+        out[full] = mixed(np.add.reduceat(mixed(flat), begin) + mixed(two + sizes[full].astype(U)))
+    return out
+
+
+def _binned(sets: list[np.ndarray]) -> np.ndarray:
+    """One-permutation sketches: sets are in order, so the least hash of a bin is the first with its leading byte."""
+    out = np.zeros(len(sets) * BINS, np.uint8)
+    flat = np.concatenate([np.zeros(0, U), *sets])
+    cell = np.repeat(np.arange(len(sets)), [len(x) for x in sets]) * BINS + (flat >> U(56)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, np.diff(cell) != 0)) if len(cell) else cell
+    out[cell[first]] = 1 + mixed(flat[first]) % U(255)
+    return out
+
+
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in pieces(batches):
@@ -68,27 +96,31 @@ def _sketches(width: int):
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             tokens = np.zeros((len(sets), SKETCH), np.uint32)
-            one, two = np.zeros(len(sets), U), np.zeros(len(sets), U)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 begin = np.cumsum(sizes[full]) - sizes[full]
                 for k in range(SKETCH):
                     tokens[full, k] = (np.minimum.reduceat(flat * _A[k], begin) >> U(32)).astype(np.uint32)
-                one[full] = np.add.reduceat(mixed(flat), begin)
-                two[full] = np.add.reduceat(mixed(flat ^ U(0x5851F42D4C957F2D)), begin)
-            key = [f"{n}:{a:016x}{b:016x}" if n else None for n, a, b in zip(sizes, one, two, strict=True)]
-            sketch = pa.ListArray.from_arrays(np.arange(0, len(sets) * SKETCH + 1, SKETCH, dtype=np.int32), pa.array(tokens.view(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(key, pa.string()), sketch], ["doc_id", "n_shingles", "set_key", "sketch"])
+            cuts = np.arange(0, len(sets) * SKETCH + 1, SKETCH, dtype=np.int32)
+            sketch = pa.ListArray.from_arrays(cuts, pa.array(tokens.view(np.int32).ravel()))
+            ids = pa.array(_classes(sets).view(np.int64), mask=sizes == 0)
+            ends = pa.py_buffer(np.arange(0, (len(sets) + 1) * BINS, BINS, dtype=np.int32))
+            bins = pa.Array.from_buffers(pa.binary(), len(sets), [None, ends, pa.py_buffer(_binned(sets))])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids, sketch, bins], ["doc_id", "n_shingles", "id", "sketch", "bins"])
 
     return run
 
 
 def _sets(width: int):
+    """The sets of the texts that belong to the class ``id``; other texts with the same doc_id are passed over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, at in pieces(batches):
+        for part, data, at in pieces(batches, 1 << 19):
             sets = shingle_sets(data, at, width)
-            columns = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "n", "copies")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "copies", "members"])
+            ids, copies = (part.column(part.schema.get_field_index(c)) for c in ("id", "copies"))
+            own = pa.array(_classes(sets).view(np.int64) == ids.to_numpy())
+            rows = pa.RecordBatch.from_arrays([ids, copies, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "copies", "members"])
+            yield rows.filter(own)
 
     return run
 
@@ -142,8 +174,19 @@ def _leaves(sketch: np.ndarray, percent: int, seed: int, groups: np.ndarray, set
                 stack.append((who[child], h * 31 + c * 1_000_003 + int(token[child[0]]), depth + 1))
 
 
+def _finer(pairs: np.ndarray, bins: np.ndarray, percent: int) -> np.ndarray:
+    """The pairs whose finer sketches allow a link: bins that either has agree in a share that estimates the similarity."""
+    p, keep = percent / 100, np.zeros(len(pairs), bool)
+    for i in range(0, len(pairs), 1 << 16):
+        x, y = bins[pairs[i : i + (1 << 16), 0]], bins[pairs[i : i + (1 << 16), 1]]
+        n = ((x | y) != 0).sum(1)
+        same = ((x == y) & (x != 0)).sum(1)
+        keep[i : i + (1 << 16)] = same >= np.floor(n * p - DEVIATIONS * np.sqrt(n * p * (1 - p)))
+    return pairs[keep]
+
+
 def _pairs(percent: int, by_group: bool):
-    """For a large node (path, id, sketch, grp): rows (a, others) of pairs of a leaf whose sketches allow a link.
+    """For a large node (path, id, sketch, bins, grp): rows (a, part, others) of pairs of a leaf whose sketches allow a link.
 
     First round: of each leaf a forest that joins its classes with the most alike pairs. Second round
     (by_group): all pairs of different groups, listed with the one whose group is the smaller here."""
@@ -151,7 +194,8 @@ def _pairs(percent: int, by_group: bool):
 
     def run(node: pd.DataFrame) -> pd.DataFrame:
         node = node.sort_values("id", ignore_index=True)
-        sketch = np.array(node["sketch"].tolist(), np.int32).reshape(len(node), SKETCH)
+        sketch = np.array(node["sketch"].tolist(), np.int8).reshape(len(node), SKETCH)
+        bins = np.frombuffer(b"".join(node["bins"]), np.uint8).reshape(len(node), BINS)
         ids, groups = node["id"].to_numpy(), node["grp"].to_numpy()
         _, place, held = np.unique(groups, return_inverse=True, return_counts=True)
         held = held[place]
@@ -197,9 +241,16 @@ def _pairs(percent: int, by_group: bool):
                     root[max(p, q)] = min(p, q)
                     found.append(np.array([[who[i[k]], who[j[k]]]]))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        first, begin = np.unique(pairs[:, 0], return_index=True)
-        others = [x.tolist() for x in np.split(ids[pairs[:, 1]], begin[1:])] if len(first) else []
-        return pd.DataFrame({"a": ids[first], "others": pd.Series(others, dtype=object)})
+        pairs = _finer(pairs, bins, percent)
+        # a class with many partners has them in several rows, so that no array grows without bound
+        many = np.bincount(pairs[:, 0], minlength=len(ids)) > MANY
+        part = np.where(many[pairs[:, 0]], ids[pairs[:, 1]] & (PARTS - 1), 0)
+        order = np.lexsort((part, pairs[:, 0]))
+        pairs, part = pairs[order], part[order]
+        new = np.append(True, (np.diff(pairs[:, 0]) != 0) | (np.diff(part) != 0)) if len(pairs) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        others = [x.tolist() for x in np.split(ids[pairs[:, 1]], begin[1:])] if len(begin) else []
+        return pd.DataFrame({"a": ids[pairs[begin, 0]], "part": part[begin].astype(np.int32), "others": pd.Series(others, dtype=object)})
 
     return run
 
@@ -230,48 +281,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
 
     Words are split at ASCII white space after A-Z became a-z; two texts are linked when 100 times the
     common shingles are at least ``percent`` times all of both. Texts without words, null ones too, have
-    no shingles and no links. Rows with one doc_id are told apart by their texts alone. Rows whose doc_id
-    is null have a null component_id, are kept, and link nothing. Sets are of 64-bit hashes. Columns
-    other than doc_id and text aren't read; an empty table gives no rows."""
+    no shingles and no links. Rows with one doc_id are told apart by their texts, each of which has its
+    own links; the smallest doc_id reachable is that of any row. Rows whose doc_id is null have a null
+    component_id, are kept, and link nothing. Sets are of 64-bit hashes, and equal sets one class known
+    by a 64-bit hash. Columns other than doc_id and text aren't read; an empty table gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, set_key string, sketch array<int>"
+    schema = "doc_id long, n_shingles long, id long, sketch array<int>, bins binary"
     seen = written(rows.mapInArrow(_sketches(width), schema), "sketches")
-    real = seen.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    firsts = real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    real = seen.where("doc_id IS NOT NULL AND id IS NOT NULL")
+    firsts = real.groupBy("id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins"))
     firsts = written(firsts, "classes")
 
     # Nodes below the roots: a class and the token that it has under a tree's hash function.
     again = 100 / percent - 1
     roots = [t for t in range(TREES)] + [TREES + t for t in range(TREES) if mixed(np.array([t + 1], U))[0] < U(int(again * 2**64))]
     named = F.transform(F.array(*map(F.lit, roots)), lambda c: F.xxhash64(c, F.element_at("sketch", c + 1)))
-    nodes = firsts.select("id", F.posexplode(named).alias("tree", "path"))
-    sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low")).where("members > 1")
+    nodes = firsts.select("id", F.explode(named).alias("path"))
+    # a large node's representative is drawn anew for each node, so that those of one group differ
+    drawn = F.min_by("id", F.xxhash64("id", "path"))
+    low = F.when(F.count(F.lit(1)) > LOCAL, drawn).otherwise(F.min("id")).alias("low")
+    sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("members"), low).where("members > 1")
     nodes = written(nodes.join(sizes, "path"), "nodes")
-
-    # Nodes beyond what one task takes branch on as Spark jobs, two levels at a time, until they fit.
-    big = nodes.where(F.col("members") > LOCAL)
-    small = nodes.where(F.col("members") <= LOCAL)
-    for _ in range(DEPTH // 2):
-        if big.isEmpty():
-            break
-        at = big.join(firsts.select("id", "sketch"), "id")
-        for _ in range(2):
-            c = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(SKETCH)).cast("int")
-            d = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(SKETCH)).cast("int")
-            twice = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(10_000)) < int(again * 10_000)
-            at = at.withColumn("c", F.explode(F.when(twice & (c != d), F.array(c, d)).otherwise(F.array(c))))
-            at = at.withColumn("path", F.xxhash64("path", "c", F.element_at("sketch", F.col("c") + 1)))
-        at = at.select("id", "tree", "path").distinct()
-        sizes = at.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("low")).where("members > 1")
-        at = written(at.join(sizes, "path"), "nodes")
-        small = small.unionByName(at.where(F.col("members") <= LOCAL))
-        # those who were together keep the link to the node's lowest member, whatever the branches do
-        small = small.unionByName(big.withColumn("members", F.lit(2)))
-        big = at.where(F.col("members") > LOCAL)
-
-    leaf, wide = small.where(F.col("members") <= LEAF), small.where(F.col("members") > LEAF)
-    # Within nodes, the upper halves of the tokens do: equal tokens have equal halves, so no pair is lost.
-    sketch = firsts.select("id", F.transform("sketch", lambda x: F.shiftright(x, 16).cast("short")).alias("sketch"), "n")
+    leaf, big = nodes.where(F.col("members") <= LEAF), nodes.where(F.col("members") > LOCAL)
+    wide = nodes.where(F.col("members").between(LEAF + 1, LOCAL)).select("path", "id")
+    # Within nodes, the lowest byte of each token does (the highest ones of a minimum are nearly always zero):
+    # equal tokens have equal bytes, so no pair is lost.
+    sketch = firsts.select("id", F.transform("sketch", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("byte")).alias("sketch"), "n")
     least = least_alike(percent)
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -280,50 +315,102 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
         same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         return p.where(close & (same >= least)).select("a", "b")
 
-    def wide_pairs(groups: DataFrame | None) -> DataFrame:
-        own = wide.where(F.col("tree") < FOREST) if groups is None else wide
-        rows = own.select("path", "id").join(sketch.select("id", "sketch"), "id")
-        rows = rows.withColumn("grp", F.lit(0).cast("long")) if groups is None else rows.join(groups, "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component")
-        rows = rows.select("path", "id", "sketch", "grp")
-        found = rows.groupBy("path").applyInPandas(_pairs(percent, groups is not None), "a long, others array<long>")
-        found = found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-        pairs = found.select("a", F.explode("others").alias("b"))
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    star = leaf.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    first = written(alike(star).union(wide_pairs(None)).distinct(), "pairs")
-
-    def confirm(pairs: DataFrame, members: DataFrame) -> DataFrame:
-        p = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b")
+    def wide_pairs(own: DataFrame, by_group: bool) -> DataFrame:
+        """own: (path, id, grp)."""
+        held = own.join(sketch.select("id", "sketch"), "id").join(firsts.select("id", "bins"), "id").select("path", "id", "sketch", "bins", "grp")
+        found = held.groupBy("path").applyInPandas(_pairs(percent, by_group), "a long, part int, others array<long>")
+        found = found.groupBy("a", "part").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+        return _ordered(found.select("a", F.explode("others").alias("b")))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = real.select("id", "doc_id").join(firsts.select("id", F.col("doc").alias("doc_id")).join(ids, "id", "left_semi"), ["id", "doc_id"])
+        # written, so that its size is known when Spark chooses whether the texts have to be shuffled
+        wanted = written(texts.groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("copies")), "wanted")
+        sets = written(_likely(rows, wanted).join(wanted, "doc_id").mapInArrow(_sets(width), "id long, copies long, members binary"), "members")
+        once = sets.where("copies = 1").select("id", "members")
+        sets = once.union(sets.where("copies > 1").select("id", "members").dropDuplicates(["id"]))
+        p = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         return written(p.mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
-    keep = firsts.select("id", "set_key")
+    # First round: each member of a node with its representative, and within nodes that fit a task a forest.
+    star = leaf.unionByName(big).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    forest = wide.select("path", "id", F.lit(0).cast("long").alias("grp"))
+    first = written(alike(_ordered(star)).union(wide_pairs(forest, False)).distinct(), "pairs")
+    groups = components(confirm(first))
 
-    def members_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
-        # rows that share an id are told apart by the class; only those with equal sets too are shuffled once more
-        key = real.join(keep.withColumnRenamed("id", "doc_id"), ["doc_id", "set_key"], "left_semi").groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
-        # written, so that its size is known when Spark chooses whether the texts have to be shuffled
-        wanted = written(key.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "wanted")
-        sets = rows.join(wanted, "doc_id").mapInArrow(_sets(width), "doc_id long, n long, copies long, members binary")
-        sets = written(sets.where(F.length("members") == 8 * F.col("n")).select("doc_id", "copies", "members"), "members")
-        return sets.where("copies = 1").select("doc_id", "members").union(sets.where("copies > 1").select("doc_id", "members").dropDuplicates(["doc_id"]))
-
-    links = confirm(first, members_of(first))
-    groups = components(links)
-    apart = leaf.select("path", "id").join(groups, "id", "left").select("path", "id", F.coalesce("component", "id").alias("grp"))
+    # Second round: pairs of nodes whose classes are still apart.
+    def grouped(own: DataFrame) -> DataFrame:
+        return own.join(groups, "id", "left").select("path", "id", F.coalesce("component", "id").alias("grp"))
+
+    deeper_leaf, deeper_wide, last = _branched(grouped(big), firsts.select("id", "sketch"), again)
+    apart = grouped(leaf).union(deeper_leaf)
     other = apart.toDF("path", "b", "grp_b")
-    rest = apart.toDF("path", "a", "grp_a").join(other, "path").where("a < b AND grp_a <> grp_b").select("a", "b").distinct()
-    rest = alike(rest).union(wide_pairs(groups)).distinct().join(first, ["a", "b"], "left_anti")
+    rest = apart.toDF("path", "a", "grp_a").join(other, "path").where("a < b AND grp_a <> grp_b").select("a", "b").union(last).distinct()
+    rest = alike(rest).union(wide_pairs(grouped(wide).union(deeper_wide), True)).distinct().join(first, ["a", "b"], "left_anti")
     rest = written(rest, "pairs")
-    final = firsts.select("set_key", "id").join(groups, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    final = firsts.select("id", "doc").join(groups, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
     if not rest.isEmpty():
         # links of the second round join whole groups of the first
         of_a, of_b = groups.toDF("a", "ga"), groups.toDF("b", "gb")
-        over = confirm(rest, members_of(rest)).join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
-        over = over.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        over = components(written(over, "links"), "over").toDF("component", "lowest")
-        final = final.join(over, "component", "left").select("set_key", F.coalesce("lowest", "component").alias("component"))
-    out = seen.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
+        over = confirm(rest).join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
+        over = components(written(_ordered(over.where("a <> b")), "links"), "over").toDF("component", "lowest")
+        final = final.join(over, "component", "left").select("id", "doc", F.coalesce("lowest", "component").alias("component"))
+    lowest = final.groupBy("component").agg(F.min("doc").alias("lowest"))
+    final = final.join(lowest, "component").select("id", "lowest")
+    out = seen.select("doc_id", "n_shingles", "id").join(final, "id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+
+
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose doc_id isn't wanted, so that few texts are shuffled.
+
+    Wanted ids set bits of a table of FILTER_WORDS words, which is broadcast whatever their number."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS))
+    bit = F.expr("shiftleft(1L, CAST(place % 64 AS INT))")
+    words = wanted.select(place.alias("place")).select(F.floor(F.col("place") / 64).alias("word"), bit.alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    held = rows.withColumn("place", place).withColumn("word", F.floor(F.col("place") / 64)).join(F.broadcast(words), "word")
+    return held.where(F.col("bits").bitwiseAND(bit) != 0).select(rows.columns)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _branched(big: DataFrame, sketch: DataFrame, again: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes beyond what one task takes branch on as Spark jobs, two levels at a time, until they fit.
+
+    big: (path, id, grp). Nodes of one group are settled and aren't followed. Returns the (path, id, grp) of
+    small nodes, those of nodes that fit a task, and pairs (a, b) to be looked at besides: each member with its
+    node's representative, and in nodes that are too large at the full depth with one of each other group."""
+    none = written(big.limit(0), "nodes")
+    leaves, wides, pairs = none, none, none.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for level in range(DEPTH // 2 + 1):
+        low = F.min_by(F.struct("id", "grp"), F.xxhash64("id", "path")).alias("low")
+        sizes = big.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.min("grp").alias("g0"), F.max("grp").alias("g1"), low)
+        here = written(big.join(sizes.where("members > 1 AND g0 < g1").drop("g0", "g1"), "path"), "nodes")
+        leaves = leaves.union(here.where(F.col("members") <= LEAF).select("path", "id", "grp"))
+        wides = wides.union(here.where(F.col("members").between(LEAF + 1, LOCAL)).select("path", "id", "grp"))
+        big = here.where(F.col("members") > LOCAL)
+        if big.isEmpty():
+            break
+        star = big.where("grp <> low.grp").select(F.col("id").alias("a"), F.col("low.id").alias("b"))
+        pairs = pairs.union(_ordered(star))
+        big = big.select("path", "id", "grp")
+        if level == DEPTH // 2:
+            heads = big.groupBy("path", "grp").agg(F.min("id").alias("head")).toDF("path", "head_grp", "head")
+            pairs = pairs.union(_ordered(big.join(heads, "path").where("grp <> head_grp").select(F.col("id").alias("a"), F.col("head").alias("b"))))
+            break
+        # a class meets its sketch once for all its nodes, whose number the trees bound
+        at = big.groupBy("id", "grp").agg(F.collect_list("path").alias("paths")).join(sketch, "id")
+        at = at.select("id", "grp", "sketch", F.explode("paths").alias("path"))
+        for _ in range(2):
+            c = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(SKETCH)).cast("int")
+            d = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(SKETCH)).cast("int")
+            twice = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(10_000)) < int(again * 10_000)
+            at = at.withColumn("c", F.explode(F.when(twice & (c != d), F.array(c, d)).otherwise(F.array(c))))
+            at = at.withColumn("path", F.xxhash64("path", "c", F.element_at("sketch", F.col("c") + 1)))
+        big = at.select("path", "id", "grp").distinct()
+    return leaves, wides, pairs
