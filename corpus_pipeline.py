@@ -18,30 +18,46 @@ from paperlake.llm.toxicity import drop_toxic, fit
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier, trained on the labelled ones, rejects."""
+    """Drops the rows whose whole text the classifier, trained on the labelled ones, rejects.
+
+    Null and empty texts score 0 and stay; repeated rows are judged alike; an empty table stays empty, and without
+    toxic labels nothing is dropped."""
     return drop_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group at a similarity of 0.8; rows without an id stay."""
-    kept = near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one row of each group at a similarity of 0.8: that with the smallest id (rows without an id come last).
+
+    Rows are judged and not ids: of rows that repeat an id and a text one stays, and texts that share an id
+    are told apart. Rows without any word are kept, as they have nothing in common. An empty table stays empty."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), percent=80).select(F.col("doc_id").alias(key), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", key)
+    first = found.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min_by(key, order).alias(key)).select(key)
+    return rows.join(first, key, "left_semi").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by their kind in brackets; n_chars follows where the text changed."""
+    """Replaces secrets by their kind in brackets; n_chars follows where the text changed.
+
+    Each row gives one; null texts stay null, empty ones empty."""
     clean = redact_secrets(docs.select("*", F.xxhash64("text").alias("text_before")))
     changed = F.xxhash64("text") != F.col("text_before")
     return clean.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as its source's rate says; a rate below one leaves some out."""
+    """Repeats each row as its source's rate says; a rate below one leaves some out.
+
+    Null sources are one source, null texts have no words; rows of one id get the same number of copies."""
     return mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a document with its piece ids."""
+    """One row for each row of docs with its piece ids; null and empty texts have none."""
     return encode(docs)
 
 
