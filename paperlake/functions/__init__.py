@@ -24,15 +24,13 @@ def identity_fields(*cs: Column) -> Column:
     return total
 
 
+#: One citation, and a marker of one or more.
+CITATION = r"\s*[0-9]+\s*(?:→\s*Page\s*[0-9]+)?\s*"
+MARKER = rf"\[({CITATION}(?:[;,]{CITATION})*)\]"
+
+
 def strip_citations(c: Column) -> Column:
-    """Without [n] and [n; m] markers and bold marks, runs of spaces as one."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"\[[0-9]+(; ?[0-9]+)*\]", ""), r"\*\*", "")
+    """Without [n], [n → Page p] and grouped markers and bold marks, runs of spaces as one."""
+    bare = F.regexp_replace(F.regexp_replace(c, MARKER, ""), r"\*\*", "")
     return F.trim(F.regexp_replace(bare, " {2,}", " "))
 
-
-def routing_number_ok(c: Column) -> Column:
-    """Nine digits whose sum weighted 3, 7, 1 is a multiple of ten."""
-    total = F.lit(0)
-    for i, w in enumerate((3, 7, 1) * 3):
-        total = total + F.substring(c, i + 1, 1).cast("int") * w
-    return c.rlike("^[0-9]{9}$") & (F.when(c.rlike("^[0-9]{9}$"), total) % 10 == 0)

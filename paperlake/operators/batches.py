@@ -2,37 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity_fields, is_empty
-
-
-def batch_reconciliation(batches: DataFrame, instruments: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Each batch with its instruments' sum and number against the control total, and a decision."""
-    sums = instruments.groupBy("batch_id").agg(
-        F.sum("amount_numeric").cast("decimal(14,2)").alias("instrument_total"),
-        F.count(F.lit(1)).alias("instrument_count"),
-        F.coalesce(F.bool_or(F.col("image_quality") == "unclear"), F.lit(False)).alias("has_unclear"),
-        F.count_if(F.col("amount_numeric").isNull()).alias("without_amount"),
-    )
-    zero = F.lit(0)
-    out = batches.join(sums, "batch_id", "left").withColumns({
-        "instrument_total": F.coalesce("instrument_total", zero.cast("decimal(14,2)")), "instrument_count": F.coalesce("instrument_count", zero),
-        "has_unclear": F.coalesce("has_unclear", F.lit(False)), "without_amount": F.coalesce("without_amount", zero),
-    })
-    gap = (F.col("batch_amount") - F.col("instrument_total")).cast("decimal(14,2)")
-    fits = (F.abs(gap) <= F.lit(str(tolerance)).cast("decimal(14,2)")) & (F.col("instrument_count") == F.col("total_items"))
-    soft = F.col("has_unclear") | (F.col("without_amount") > 0)
-    decision = F.when(~fits, "FAIL").when(soft, "PASS_WITH_REVIEW").otherwise("PASS")
-    return out.select("batch_id", "batch_amount", "instrument_total", gap.alias("gap"), "total_items", "instrument_count", decision.alias("decision"))
+from ..functions import normalise as N
+
+
+def batch_reconciliation(batches: DataFrame, instruments: DataFrame, scored: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Each batch's instruments against its control total and count: gap, decision, overall decision and flags.
+
+    Sums that differ or counts that differ fail; items that risk_scores (scored) doesn't call valid make a pass one with
+    review. A null expected count agrees with any; a null control total agrees with none."""
+    sums = instruments.groupBy("batch_id").agg(F.sum("amount_numeric").cast("decimal(14,2)").alias("total"), F.count(F.lit(1)).alias("n"))
+    items = scored.groupBy("batch_id").agg(F.bool_or(F.col("status") != "VALID").alias("soft"))
+    out = batches.join(sums, "batch_id", "left").join(items, "batch_id", "left")
+    total, n = F.coalesce("total", F.lit(0).cast("decimal(14,2)")), F.coalesce("n", F.lit(0))
+    gap = (total - F.col("batch_amount")).cast("decimal(14,2)")
+    amounts = F.coalesce(F.abs(gap) <= F.lit(str(tolerance)).cast("decimal(14,2)"), F.lit(False))
+    count = F.coalesce(n == F.col("total_items"), F.lit(True))
+    soft = F.coalesce("soft", F.lit(False))
+    decision = F.when(~amounts | ~count, "FAIL").when(soft, "PASS_WITH_REVIEW").otherwise("PASS")
+    overall = F.when(~amounts | ~count, "REJECT").when(soft, "REVIEW").otherwise("ACCEPT")
+    flags = F.concat_ws(
+        ",", F.when(amounts, "amounts_reconciled").otherwise("amount_mismatch"), F.when(count, "item_count_reconciled").otherwise("item_count_mismatch"),
+        F.when(amounts & count & soft, "manual_review_required_for_item_flags"),
+    )
+    return out.select("batch_id", "batch_amount", total.alias("instrument_total"), gap.alias("gap"), "total_items", n.alias("instrument_count"), decision.alias("decision"), overall.alias("overall"), flags.alias("flags"))
 
 
 def duplicate_serials(instruments: DataFrame) -> DataFrame:
-    """Rows not missing from the scan whose serial is on more than one row of their batch."""
-    seen = instruments.where(~F.col("missing_from_scan") & F.col("serial_number").isNotNull())
+    """Rows not missing from the scan whose serial is on more than one row of their batch, missing ones counted."""
     n = F.count(F.lit(1)).over(Window.partitionBy("batch_id", "serial_number"))
-    return seen.withColumn("uses", n).where("uses > 1").select("batch_id", "line_no", "serial_number", "uses")
+    seen = instruments.where(F.col("serial_number").isNotNull()).withColumn("uses", n)
+    return seen.where("uses > 1 AND NOT missing_from_scan").select("batch_id", "line_no", "serial_number", "uses")
 
 
 def split_payments(instruments: DataFrame, least: int = 3) -> DataFrame:
@@ -44,7 +47,7 @@ def split_payments(instruments: DataFrame, least: int = 3) -> DataFrame:
 
 def risk_scores(instruments: DataFrame, as_of: str, max_age: int = 120, high: int = 1000) -> DataFrame:
     """Additive risk of each instrument in hundredths, at most 100, and a status; weights are fixed values."""
-    twice = F.count(F.when(~F.col("missing_from_scan"), F.col("serial_number"))).over(Window.partitionBy("batch_id", "serial_number")) > 1
+    twice = F.count("serial_number").over(Window.partitionBy("batch_id", "serial_number")) > 1
     items = F.count(F.lit(1)).over(Window.partitionBy("batch_id", "unit", "issue_date"))
     age = F.abs(F.datediff(F.lit(as_of).cast("date"), F.col("issue_date")))
     tests = [
@@ -60,22 +63,24 @@ def risk_scores(instruments: DataFrame, as_of: str, max_age: int = 120, high: in
         score = score + F.when(test, weight).otherwise(0)
     flags = F.array_join(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t, _ in tests))), ",")
     out = instruments.select("batch_id", "line_no", "amount_numeric", F.least(score, F.lit(100)).alias("risk"), flags.alias("flags"))
-    status = F.when((F.col("risk") >= 60) | F.col("amount_numeric").isNull(), "INVALID").when((F.col("risk") >= 25) | F.col("flags").contains("duplicate"), "REVIEW").otherwise("VALID")
+    # all of these flags ask for a review by themselves; an unclear image does as far as no amount is verified
+    out = out.withColumn("hard", F.col("flags") != "")
+    status = F.when((F.col("risk") >= 60) | F.col("amount_numeric").isNull(), "INVALID").when((F.col("risk") >= 25) | F.col("hard"), "REVIEW").otherwise("VALID")
     return out.withColumn("status", status).drop("amount_numeric")
 
 
 def risk_summary(scored: DataFrame) -> DataFrame:
-    """Of each batch: rows of each status, summed risk and the decision."""
+    """Of each batch: mean risk, rows of each status and with flags that ask for a review, and the decision."""
     counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("INVALID", "REVIEW", "VALID")]
-    out = scored.groupBy("batch_id").agg(F.sum("risk").alias("risk_sum"), *counts)
-    return out.withColumn("decision", F.when(F.col("invalid") > 0, "REJECT").when(F.col("review") > 0, "REVIEW").otherwise("ACCEPT"))
+    out = scored.groupBy("batch_id").agg(F.round(F.sum("risk").cast("double") / F.count(F.lit(1)) / 100, 3).alias("average_risk"), *counts, F.count_if("hard").alias("flagged"))
+    return out.withColumn("decision", F.when(F.col("invalid") > 0, "REJECT").when((F.col("review") > 0) | (F.col("flagged") > 0), "REVIEW").otherwise("ACCEPT"))
 
 
 def completeness(instruments: DataFrame) -> DataFrame:
-    """How many of the four key fields each instrument has, and whether it is unclear for want of two or of an amount."""
+    """The percentage of the key fields that each instrument has, and whether it is unclear for want of two or of an amount."""
     n = identity_fields(F.col("serial_number"), F.col("unit"), F.col("issue_date").cast("string"))
     amount = F.col("amount_numeric").isNotNull().cast("int")
-    return instruments.select("batch_id", "line_no", (n + amount).alias("fields"), ((n < 2) | (amount == 0)).alias("is_unclear"))
+    return instruments.select("batch_id", "line_no", ((n + amount) * 25).alias("percent"), ((n < 2) | (amount == 0)).alias("is_unclear"))
 
 
 def misread_controls(batches: DataFrame, instruments: DataFrame, most: int = 20) -> DataFrame:
@@ -86,12 +91,13 @@ def misread_controls(batches: DataFrame, instruments: DataFrame, most: int = 20)
     return out.where((F.col("gap") > 0) & (F.col("gap") <= most))
 
 
-def recovery_plan(batches: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Estimated missing items of short batches: the gap over the mean amount held to 50..1500, at most 15."""
-    sums = instruments.groupBy("batch_id").agg(F.coalesce(F.sum("amount_numeric"), F.lit(0)).cast("double").alias("total"), F.count("amount_numeric").alias("n"))
-    gap = F.col("batch_amount").cast("double") - F.col("total")
-    mean = F.least(F.lit(1500.0), F.greatest(F.lit(50.0), F.col("total") / F.greatest("n", F.lit(1))))
-    out = batches.join(sums, "batch_id").where(gap > 0.01)
+def recovery_plan(batches: DataFrame, instruments: DataFrame, least_gap: float = 50) -> DataFrame:
+    """Estimated missing items of batches short by more than ``least_gap``: the gap over the mean of all rows held to 50..1500, at most 15."""
+    sums = instruments.groupBy("batch_id").agg(F.sum("amount_numeric").cast("double").alias("t"), F.count(F.lit(1)).alias("rows"))
+    total = F.coalesce("t", F.lit(0.0))
+    gap = F.col("batch_amount").cast("double") - total
+    mean = F.least(F.lit(1500.0), F.greatest(F.lit(50.0), total / F.greatest(F.coalesce("rows", F.lit(0)), F.lit(1))))
+    out = batches.join(sums, "batch_id", "left").where(gap > least_gap)
     return out.select("batch_id", F.least(F.lit(15), F.ceil(gap / mean).cast("int")).alias("missing_items"))
 
 
@@ -109,26 +115,49 @@ def keep_best(instruments: DataFrame) -> DataFrame:
     return rows.where("r = 1").select("batch_id", "serial_number", "line_no", "fields")
 
 
+def _identity_keys(*columns: str) -> list[Column]:
+    """The digits of serials, MICR lines and check numbers without leading zeros, and their last ten; null where there are none."""
+    keys = []
+    for c in columns:
+        d = F.ltrim(N.digits(N.serial(F.col(c))), F.lit("0"))
+        keys += [F.when(d != "", d), F.when(F.length(d) > 4, F.right(d, F.lit(10)))]
+    return keys
+
+
 def unmatched_register(register: DataFrame, visible: DataFrame) -> DataFrame:
-    """Register rows that share neither serial nor (unit, amount) with a visible row of their batch: two equi joins."""
-    by_serial = visible.where("serial_number IS NOT NULL").select("batch_id", "serial_number").distinct()
+    """Register rows that share neither an identity key nor (unit, amount) with a visible row of their batch: equi joins only.
+
+    Identity keys are the digits of serials, and of micr_line and check_number where the tables have them."""
+    fields = lambda df: [c for c in ("serial_number", "micr_line", "check_number") if c in df.columns]
+    keys = visible.select("batch_id", F.explode(F.array_distinct(F.array_compact(F.array(*_identity_keys(*fields(visible)))))).alias("key")).distinct()
     by_unit = visible.where("unit IS NOT NULL AND amount_numeric IS NOT NULL").select("batch_id", "unit", "amount_numeric").distinct()
-    rows = register.join(by_serial, ["batch_id", "serial_number"], "left_anti").join(by_unit, ["batch_id", "unit", "amount_numeric"], "left_anti")
+    rows = register.join(by_unit, ["batch_id", "unit", "amount_numeric"], "left_anti")
+    for key in _identity_keys(*fields(register)):
+        rows = rows.withColumn("key", key).join(keys, ["batch_id", "key"], "left_anti").drop("key")
     return rows.select("batch_id", "line_no", "serial_number", "unit", "amount_numeric", "source")
 
 
 def placeholders(unmatched: DataFrame) -> DataFrame:
-    """Unmatched register rows as instruments that are missing from the scan."""
-    return unmatched.select("batch_id", "line_no", "serial_number", "amount_numeric", F.lit(True).alias("missing_from_scan"), F.concat(F.lit("from_"), F.col("source")).alias("review_flag"))
+    """Unmatched register rows as instruments: report rows count as seen, others as missing, and without an identity as candidates."""
+    report = F.col("source").isin("transaction_detail_report", "regions_deposit_report")
+    bare = ~report & (F.ltrim(N.digits(F.col("serial_number")), F.lit("0")) == "")
+    weak = F.when(bare, "unverified_register_amount,missing_document_identity,manual_review_required")
+    flags = F.concat_ws(",", weak, F.when(report, "report_row_instrument").otherwise("register_item_not_matched_to_clear_instrument"))
+    quality = F.when(report, "thumbnail_report_image").otherwise("not_extracted_from_scan")
+    return unmatched.select("batch_id", "line_no", "serial_number", "amount_numeric", (~report).alias("missing_from_scan"), quality.alias("image_quality"), F.when(bare, "candidate").alias("amount_status"), flags.alias("review_flags"))
 
 
 def multiset_match(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """The k-th row of an amount meets the k-th listing of it; rows without a listing lose their amount."""
+    """The k-th row of an amount meets the k-th listing of it; rows without one lose their amount and are flagged.
+
+    Only batches that list as many amounts as they have rows are judged."""
     kth = Window.partitionBy("batch_id", "amount_numeric").orderBy("line_no")
-    a = rows.where("amount_numeric IS NOT NULL").withColumn("k", F.row_number().over(kth)).select("batch_id", "line_no", "amount_numeric", "k")
+    a = rows.withColumns({"k": F.row_number().over(kth), "shown": F.count(F.lit(1)).over(Window.partitionBy("batch_id"))}).select("batch_id", "line_no", "amount_numeric", "k", "shown")
     b = listed.withColumn("k", F.row_number().over(kth)).select("batch_id", "amount_numeric", "k", F.lit(True).alias("hit"))
-    out = a.join(b, ["batch_id", "amount_numeric", "k"], "left")
-    return out.select("batch_id", "line_no", F.when(F.col("hit"), F.col("amount_numeric")).alias("amount_numeric"), F.coalesce("hit", F.lit(False)).alias("matched"))
+    sizes = listed.groupBy("batch_id").agg(F.count("amount_numeric").alias("listed"))
+    out = a.join(b, ["batch_id", "amount_numeric", "k"], "left").join(sizes, "batch_id", "left")
+    lost = F.coalesce(F.col("listed") == F.col("shown"), F.lit(False)) & F.col("hit").isNull()
+    return out.select("batch_id", "line_no", F.when(~lost, F.col("amount_numeric")).alias("amount_numeric"), lost.alias("flagged"))
 
 
 def new_identities(recovered: DataFrame, known: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import strip_citations
+from ..functions import MARKER, strip_citations
 
 
 def cap_per_parent(hits: DataFrame, per_parent: int = 7, top: int = 15) -> DataFrame:
@@ -28,9 +28,9 @@ def recent_history(turns: DataFrame, most: int = 10, chars: int = 3000, per: int
 
 def cited_numbers(answers: DataFrame) -> DataFrame:
     """One row for each number an answer cites, grouped markers opened up."""
-    marks = F.explode(F.regexp_extract_all("text", F.lit(r"\[([0-9]+(?:; ?[0-9]+)*)\]"), F.lit(1)))
+    marks = F.explode(F.regexp_extract_all("text", F.lit(MARKER), F.lit(1)))
     rows = answers.select("answer_id", marks.alias("mark"))
-    numbers = F.transform(F.split("mark", "; ?"), lambda x: x.cast("int"))
+    numbers = F.transform(F.split("mark", "[;,]"), lambda x: F.regexp_extract(x, "[0-9]+", 0).cast("int"))
     return rows.select("answer_id", F.explode(numbers).alias("doc_num")).distinct()
 
 

@@ -2,58 +2,128 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How much a kind of source is trusted.
-RANKS = {"bank_receipt": 100, "bank_report": 80, "deposit_ticket": 60, "property_report": 40}
+RANKS = {
+    "yottareal_report": 100,
+    "deposit_detail_report": 90,
+    "bank_receipt": 80,
+    "regions_report": 75,
+    "deposit_ticket": 50,
+    "handwritten_ocr": 30,
+    "summary_page": 20,
+    "metadata": 10,
+}
+#: Weaker sources that a bank receipt of the same amount takes in.
+WEAKER = ("deposit_ticket", "handwritten_ocr", "summary_page", "metadata")
 
 
 def quality() -> Column:
-    """Source rank, 15 each for a count and an amount, 8 for an account, 5 for a date, and the confidence."""
+    """Source rank, 20 for a transaction, 15 each for a count and an amount, 8 for an account, 5 for a date, and ten times the confidence in 0 to 1."""
     rank = F.lit(0)
     for name, value in RANKS.items():
         rank = F.when(F.col("source_type") == name, value).otherwise(rank)
-    points = F.when(F.col("item_count") > 0, 15).otherwise(0) + F.when(F.col("deposit_amount") > 0, 15).otherwise(0)
-    return rank + points + F.when(F.col("deposit_account").isNotNull(), 8).otherwise(0) + F.when(F.col("deposit_date").isNotNull(), 5).otherwise(0) + F.col("confidence")
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))
+    points = F.when(F.col("deposit_transaction").isNotNull(), 20).otherwise(0) + F.when(F.col("item_count") > 0, 15).otherwise(0) + F.when(F.col("deposit_amount") > 0, 15).otherwise(0)
+    return rank + points + F.when(F.col("deposit_account").isNotNull(), 8).otherwise(0) + F.when(F.col("deposit_date").isNotNull(), 5).otherwise(0) + sure * 10
 
 
 def same_deposit_pairs(deposits: DataFrame) -> DataFrame:
-    """Pairs of pages of one document with equal amounts whose accounts and counts don't contradict each other."""
-    a = deposits.select("doc_id", "deposit_amount", *(F.col(c).alias(f"{c}_a") for c in ("page_number", "deposit_account", "item_count")))
-    b = deposits.select("doc_id", "deposit_amount", *(F.col(c).alias(f"{c}_b") for c in ("page_number", "deposit_account", "item_count")))
-    account = F.col("deposit_account_a").isNull() | F.col("deposit_account_b").isNull() | (F.col("deposit_account_a") == F.col("deposit_account_b"))
-    count = (F.col("item_count_a") == 0) | (F.col("item_count_b") == 0) | (F.col("item_count_a") == F.col("item_count_b"))
-    pairs = a.join(b, ["doc_id", "deposit_amount"]).where((F.col("page_number_a") < F.col("page_number_b")) & account & count)
+    """Pairs of pages of one document that show one deposit.
+
+    Transactions, accounts, dates and counts (one apart at most) must not contradict each other, amounts must be equal
+    or readings of one another (ten times, or within a tenth); then an equal transaction, two of account, date and
+    count, equal counts beside an accounting report, or equal amounts of a receipt and its ticket make the pair.
+    One kind of report may show other transactions and counts of the same deposit."""
+    names = ("page_number", "deposit_account", "item_count", "deposit_transaction", "deposit_date", "deposit_amount", "source_type")
+    a, b = (deposits.select("doc_id", *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in "ab")
+    x, y = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    same = lambda c: yes(x(c) == y(c))
+    na, nb = F.when(x("item_count") > 0, x("item_count")), F.when(y("item_count") > 0, y("item_count"))
+    same_n = yes(na == nb)
+    reports = (x("source_type") == "regions_report") & (y("source_type") == "regions_report")
+    high, low = F.greatest(x("deposit_amount"), y("deposit_amount")), F.least(x("deposit_amount"), y("deposit_amount"))
+    exact = yes(high - low <= 0.01)
+    ratio = yes((low > 0) & (F.abs(high.cast("double") / low.cast("double") - 10) <= 0.25))
+    near = yes((low > 0) & ((high - low).cast("double") <= F.greatest(F.lit(1000.0), high.cast("double") * 0.1)))
+    variants = x("deposit_amount").isNull() | y("deposit_amount").isNull() | exact | ratio | near
+    kinds = lambda one, *others: ((x("source_type") == one) & y("source_type").isin(*others)) | ((y("source_type") == one) & x("source_type").isin(*others))
+    account, date, transaction = same("deposit_account"), same("deposit_date"), same("deposit_transaction")
+    report = (x("source_type") == "yottareal_report") | (y("source_type") == "yottareal_report")
+    close = F.abs(x("page_number") - y("page_number")) <= 4
+    like = (account & date) | (account & same_n) | (date & same_n) | (same_n & report) | (exact & kinds("bank_receipt", "deposit_ticket", "handwritten_ocr")) | (exact & same_n & close)
+    against = (yes(x("deposit_transaction") != y("deposit_transaction")) & ~reports) | yes(x("deposit_account") != y("deposit_account"))
+    but = yes(x("deposit_date") != y("deposit_date")) | (yes(F.abs(na - nb) > 1) & ~reports) | ~variants
+    pairs = a.join(b, "doc_id").where((x("page_number") < y("page_number")) & ~against & (transaction | (~but & like)))
     return pairs.select("doc_id", "page_number_a", "page_number_b")
 
 
+def _order() -> Column:
+    """Best first: score, then page, date, source, count, account and transaction."""
+    return F.struct((-F.col("score")).alias("s"), "page_number", "deposit_date", "source_type", "item_count", *(F.coalesce(c, F.lit("")).alias(c) for c in ("deposit_account", "deposit_transaction")))
+
+
+def _first(column: str, order: Column, fit: Column) -> Column:
+    return F.min_by(F.when(fit, F.col(column)), F.when(fit, order))
+
+
 def survivors(deposits: DataFrame) -> DataFrame:
-    """Of each document and amount the best candidate; others fill its account and count, and their pages are listed."""
-    best = Window.partitionBy("doc_id", "deposit_amount").orderBy(F.col("score").desc(), "page_number", "deposit_date", "source_type", "item_count")
-    whole = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = deposits.withColumn("score", quality())
-    rows = rows.withColumns({
-        "r": F.row_number().over(best), "account": F.first("deposit_account", ignorenulls=True).over(whole),
-        "items": F.first(F.when(F.col("item_count") > 0, F.col("item_count")), ignorenulls=True).over(whole),
-        "pages": F.array_join(F.sort_array(F.collect_set("page_number").over(whole)), ","),
-    })
-    return rows.where("r = 1").select("doc_id", "deposit_amount", "source_type", "account", "items", "pages", "score")
+    """Of each document and amount the best candidate; others fill its account, count and transaction, and their pages are listed."""
+    order, rows = _order(), deposits.withColumn("score", quality())
+    has = lambda c: F.col(c).isNotNull()
+    return rows.groupBy("doc_id", "deposit_amount").agg(
+        F.min_by("source_type", order).alias("source_type"), _first("deposit_account", order, has("deposit_account")).alias("account"),
+        _first("item_count", order, F.col("item_count") > 0).alias("items"), _first("deposit_transaction", order, has("deposit_transaction")).alias("transaction"),
+        F.array_join(F.sort_array(F.collect_set("page_number")), ",").alias("pages"), F.max("score").alias("score"),
+    )
 
 
 def absorbed_by_receipts(deposits: DataFrame) -> DataFrame:
-    """What is left when weaker deposits with the amount of a bank receipt of the document are merged into it."""
-    receipts = deposits.where("source_type = 'bank_receipt'").select("doc_id", "deposit_amount").distinct()
-    weaker = deposits.where("source_type <> 'bank_receipt'").join(receipts, ["doc_id", "deposit_amount"], "left_anti")
-    return deposits.where("source_type = 'bank_receipt'").unionByName(weaker).select("doc_id", "page_number", "source_type", "deposit_amount")
+    """What is left when weaker deposits merge into the bank receipt of their document and amount, whose gaps they fill.
+
+    Of several receipts of one amount that with the smallest page takes them in; other sources stay as they are."""
+    receipt = F.col("source_type") == "bank_receipt"
+    taker = deposits.where(receipt).groupBy("doc_id", "deposit_amount").agg(F.min("page_number").alias("taker"))
+    rows = deposits.withColumn("score", quality()).join(taker, ["doc_id", "deposit_amount"], "left")
+    weak = F.col("source_type").isin(*WEAKER) & F.col("taker").isNotNull()
+    takes = receipt & F.coalesce(F.col("page_number") == F.col("taker"), F.lit(False))
+    fill = rows.where(weak).groupBy("doc_id", "deposit_amount").agg(
+        _first("deposit_account", _order(), F.col("deposit_account").isNotNull()).alias("other_account"), _first("item_count", _order(), F.col("item_count") > 0).alias("other_items"),
+        F.count(F.lit(1)).alias("absorbed"),
+    )
+    out = rows.where(~weak).withColumn("takes", takes).join(fill, ["doc_id", "deposit_amount"], "left")
+    items = F.when(F.col("item_count") > 0, F.col("item_count"))
+    return out.select(
+        "doc_id", "page_number", "source_type", "deposit_amount", F.when(F.col("takes"), F.coalesce("deposit_account", "other_account")).otherwise(F.col("deposit_account")).alias("deposit_account"),
+        F.when(F.col("takes"), F.coalesce(items, "other_items")).otherwise(items).alias("items"), F.when(F.col("takes"), F.coalesce("absorbed", F.lit(0))).otherwise(0).alias("absorbed"),
+    )
 
 
 def aggregate_deposits(deposits: DataFrame) -> DataFrame:
     """Of each document the sums, and the account and date of the best candidate that has them."""
-    order = F.struct((-F.col("score")).alias("s"), "page_number", "deposit_date", "source_type", "deposit_account")
+    order = _order()
     rows = deposits.withColumn("score", quality())
-    has = F.col("deposit_account").isNotNull()
+    has = lambda c: F.col(c).isNotNull()
     return rows.groupBy("doc_id").agg(
-        F.sum("deposit_amount").cast("decimal(14,2)").alias("total"), F.sum("item_count").alias("items"), F.count(F.lit(1)).alias("slips"),
-        F.min_by(F.when(has, F.col("deposit_account")), F.when(has, order)).alias("account"), F.min_by("deposit_date", order).alias("deposit_date"),
+        F.sum("deposit_amount").cast("decimal(14,2)").alias("total"), F.sum(F.when(F.col("item_count") > 0, F.col("item_count"))).alias("items"), F.count(F.lit(1)).alias("slips"),
+        _first("deposit_account", order, has("deposit_account")).alias("account"), _first("deposit_transaction", order, has("deposit_transaction")).alias("transaction"),
+        _first("deposit_date", order, has("deposit_date")).alias("deposit_date"),
     )
+
+
+def expected_items(deposits: DataFrame, batches: DataFrame) -> DataFrame:
+    """Of each batch the number of items to expect and its control total.
+
+    Counts of all deposits add up; an incomplete set of several counts gives way to the batch's own count, and then
+    to none. The total is that of the deposits' amounts, else the batch's. deposits: (batch_id, deposit_amount,
+    item_count); batches: (batch_id, batch_amount, total_items)."""
+    own = F.when(F.col("item_count") > 0, F.col("item_count"))
+    by = deposits.groupBy("batch_id").agg(F.count(F.lit(1)).alias("slips"), F.count(own).alias("counted"), F.sum(own).alias("items"), F.sum("deposit_amount").cast("decimal(14,2)").alias("deposited"))
+    rows = batches.join(by, "batch_id", "left")
+    given = F.when(F.col("total_items") > 0, F.col("total_items"))
+    partial = (F.col("slips") > 1) & (F.col("counted") < F.col("slips"))
+    expected = F.when(partial, given).otherwise(F.coalesce("items", given))
+    return rows.select("batch_id", expected.cast("long").alias("expected_items"), F.coalesce("deposited", "batch_amount").alias("control_total"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import last_number
 
 #: Extensions that are taken, and pay periods a year.
-EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "tiff", "bmp", "heic", "docx", "txt")
+EXTENSIONS = ("pdf", "jpg", "jpeg", "png", "heic", "heif")
 PERIODS = {"weekly": 52, "bi-weekly": 26, "semi-monthly": 24, "monthly": 12}
 
 
@@ -33,10 +33,10 @@ def insufficient_text(docs: DataFrame, least: int = 50) -> DataFrame:
     return docs.where(F.length(F.trim(F.coalesce("text", F.lit("")))) < least).select("doc_id", F.length(F.trim(F.coalesce("text", F.lit("")))).alias("chars"))
 
 
-def ingest_files(files: DataFrame, most: int = 15_000_000) -> DataFrame:
+def ingest_files(files: DataFrame, most: int = 15 * 1024 * 1024) -> DataFrame:
     """A status for each file: ok, or why it is rejected."""
-    extension = F.lower(F.regexp_extract("filename", r"\.([A-Za-z0-9]+)$", 1))
-    status = F.when(~extension.isin(*EXTENSIONS), "extension").when(F.coalesce("size_bytes", F.lit(0)) == 0, "empty").when(F.col("size_bytes") > most, "too_large").otherwise("ok")
+    extension = F.lower(F.regexp_extract(F.coalesce("filename", F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
+    status = F.when(F.trim(F.coalesce("filename", F.lit(""))) == "", "no_name").when(~extension.isin(*EXTENSIONS), "extension").when(F.coalesce("size_bytes", F.lit(0)) == 0, "empty").when(F.col("size_bytes") > most, "too_large").otherwise("ok")
     return files.select("doc_id", "filename", status.alias("status"))
 
 
@@ -56,10 +56,25 @@ def group_invoices(lines: DataFrame) -> DataFrame:
 
 
 def item_ids(lines: DataFrame) -> DataFrame:
-    """Item numbers that run through each company's invoices in order."""
-    order = Window.partitionBy("company_name").orderBy("invoice_no", "position")
-    invoice = F.dense_rank().over(Window.partitionBy("company_name").orderBy("invoice_no"))
-    return lines.select("company_name", "invoice_no", "position", invoice.alias("invoice_id"), F.row_number().over(order).alias("item_id"))
+    """Company, invoice and item numbers that run through all files in order of company, invoice and position.
+
+    Rows are sorted by range; each partition's numbers begin where those of the ones before end, so no task sees all rows."""
+    order = ("company_name", "invoice_no", "position")
+    rows = lines.select(*order).repartitionByRange(*order[:2]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    own = Window.partitionBy("part").orderBy(*order)
+    first = lambda *keys: (F.row_number().over(Window.partitionBy("part", *keys).orderBy(*order)) == 1).cast("long")
+    rows = rows.withColumns({"item": F.row_number().over(own), "invoice": F.dense_rank().over(Window.partitionBy("part").orderBy(*order[:2])), "company": F.dense_rank().over(Window.partitionBy("part").orderBy("company_name"))})
+    # one row a partition: how many numbers it uses; a company may go on in the next one
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("items"), F.max("invoice").alias("invoices"), F.max("company").alias("companies"), F.min("company_name").alias("low"), F.max("company_name").alias("high"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = F.coalesce((F.lag("high").over(Window.orderBy("part")) == F.col("low")).cast("long"), F.lit(0))
+    sizes = sizes.withColumn("goes_on", goes_on).withColumn("fresh", F.col("companies") - F.col("goes_on"))
+    base = sizes.select(
+        "part", F.coalesce(F.sum("items").over(before), F.lit(0)).alias("item0"), F.coalesce(F.sum("invoices").over(before), F.lit(0)).alias("invoice0"),
+        (F.coalesce(F.sum("fresh").over(before), F.lit(0)) - F.col("goes_on")).alias("company0"),
+    )
+    out = rows.join(F.broadcast(base), "part")  # a row for each partition
+    return out.select(*order, *((F.col(n) + F.col(f"{n}0")).alias(f"{n}_id") for n in ("company", "invoice", "item")))
 
 
 def monthly_income(checks: DataFrame, n: int = 3) -> DataFrame:

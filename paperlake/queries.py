@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import cases
 from .operators import batches, chat, deposits, texts
 from .views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(cases.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(cases.ORACLE_SQL)
 
 
 def _add(name: str, operator: Callable[..., DataFrame], names: str, sql: str, **how) -> None:
@@ -25,22 +26,14 @@ def _add(name: str, operator: Callable[..., DataFrame], names: str, sql: str, **
     ORACLE_SQL[name] = with_views(sql)
 
 
-_add("batch_reconciliation", batches.batch_reconciliation, "v_batches v_instruments", """
-, sums AS (SELECT batch_id, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t, count(*) AS n, bool_or(coalesce(image_quality = 'unclear', false)) AS unclear,
-          count(*) FILTER (amount_numeric IS NULL) AS lacking FROM v_instruments GROUP BY batch_id),
-j AS (SELECT b.batch_id, batch_amount, coalesce(t, 0)::DECIMAL(14,2) AS instrument_total, total_items, coalesce(n, 0) AS instrument_count,
-      coalesce(unclear, false) AS unclear, coalesce(lacking, 0) AS lacking FROM v_batches b LEFT JOIN sums USING (batch_id))
-SELECT batch_id, batch_amount, instrument_total, (batch_amount - instrument_total)::DECIMAL(14,2) AS gap, total_items, instrument_count,
-  CASE WHEN abs(batch_amount - instrument_total) > 0.01 OR instrument_count <> total_items THEN 'FAIL' WHEN unclear OR lacking > 0 THEN 'PASS_WITH_REVIEW' ELSE 'PASS' END AS decision FROM j
-""".lstrip("\n"))
 _add("cross_check_duplicates", batches.duplicate_serials, "v_instruments", """
-SELECT * FROM (SELECT batch_id, line_no, serial_number, count(*) OVER (PARTITION BY batch_id, serial_number) AS uses FROM v_instruments
-WHERE NOT missing_from_scan AND serial_number IS NOT NULL) WHERE uses > 1""")
+SELECT batch_id, line_no, serial_number, uses FROM (SELECT *, count(*) OVER (PARTITION BY batch_id, serial_number) AS uses FROM v_instruments WHERE serial_number IS NOT NULL) WHERE uses > 1 AND NOT missing_from_scan""")
+_VISIBLE = "NOT missing_from_scan"
 _add("split_payments", batches.split_payments, "v_instruments", """
 SELECT batch_id, unit, issue_date, count(*) AS items, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS total, array_to_string(list_sort(list(line_no)), ',') AS line_nos
 FROM v_instruments WHERE issue_date IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""", least=2)
 _RISK = """
-, r AS (SELECT *, count(CASE WHEN NOT missing_from_scan THEN serial_number END) OVER (PARTITION BY batch_id, serial_number) > 1 AS twice,
+, r AS (SELECT *, count(serial_number) OVER (PARTITION BY batch_id, serial_number) > 1 AS twice,
   count(*) OVER (PARTITION BY batch_id, unit, issue_date) AS together, abs(date_diff('day', issue_date, DATE '1998-12-01')) AS age FROM v_instruments),
 t AS (SELECT batch_id, line_no, amount_numeric, list_filter([
   CASE WHEN missing_from_scan THEN 'missing:35' END, CASE WHEN image_quality = 'unclear' THEN 'unclear:18' END, CASE WHEN serial_number IS NULL THEN 'serial:20' END,
@@ -48,62 +41,108 @@ t AS (SELECT batch_id, line_no, amount_numeric, list_filter([
   CASE WHEN serial_number IS NOT NULL AND NOT missing_from_scan AND twice THEN 'duplicate:35' END, CASE WHEN age > 120 THEN 'stale:15' END,
   CASE WHEN issue_date IS NULL THEN 'no_date:12' END, CASE WHEN issue_date IS NOT NULL AND together >= 3 THEN 'split:5' END], lambda x: x IS NOT NULL) AS f FROM r),
 s AS (SELECT batch_id, line_no, amount_numeric, least(coalesce(list_sum(list_transform(f, lambda x: split_part(x, ':', 2)::INTEGER)), 0), 100)::INTEGER AS risk,
-  array_to_string(list_transform(f, lambda x: split_part(x, ':', 1)), ',') AS flags FROM t),
-scored AS (SELECT batch_id, line_no, risk, flags, CASE WHEN risk >= 60 OR amount_numeric IS NULL THEN 'INVALID' WHEN risk >= 25 OR contains(flags, 'duplicate') THEN 'REVIEW' ELSE 'VALID' END AS status
+  array_to_string(list_transform(f, lambda x: split_part(x, ':', 1)), ',') AS flags, len(list_filter(f, lambda x: x <> 'unclear:18')) > 0 OR list_contains(f, 'unclear:18') AS hard FROM t),
+scored AS (SELECT batch_id, line_no, risk, flags, CASE WHEN risk >= 60 OR amount_numeric IS NULL THEN 'INVALID' WHEN risk >= 25 OR hard THEN 'REVIEW' ELSE 'VALID' END AS status, hard
   FROM s /* v_instruments */)
 """.strip()
-_add("risk_score", batches.risk_scores, "v_instruments", _RISK + "\nSELECT * FROM scored", as_of="1998-12-01")
+_add("risk_score", batches.risk_scores, "v_instruments", _RISK + "\nSELECT batch_id, line_no, risk, flags, status, hard FROM scored", as_of="1998-12-01")
 _add("risk_summary", lambda i: batches.risk_summary(batches.risk_scores(i, "1998-12-01")), "v_instruments", _RISK + """
-SELECT batch_id, sum(risk)::BIGINT AS risk_sum, count(*) FILTER (status = 'INVALID') AS invalid, count(*) FILTER (status = 'REVIEW') AS review, count(*) FILTER (status = 'VALID') AS valid,
-CASE WHEN count(*) FILTER (status = 'INVALID') > 0 THEN 'REJECT' WHEN count(*) FILTER (status = 'REVIEW') > 0 THEN 'REVIEW' ELSE 'ACCEPT' END AS decision FROM scored GROUP BY batch_id""")
+SELECT batch_id, round(sum(risk)::DOUBLE / count(*) / 100, 3) AS average_risk, count(*) FILTER (status = 'INVALID') AS invalid, count(*) FILTER (status = 'REVIEW') AS review, count(*) FILTER (status = 'VALID') AS valid,
+count(*) FILTER (hard) AS flagged,
+CASE WHEN count(*) FILTER (status = 'INVALID') > 0 THEN 'REJECT' WHEN count(*) FILTER (status = 'REVIEW') > 0 OR count(*) FILTER (hard) > 0 THEN 'REVIEW' ELSE 'ACCEPT' END AS decision FROM scored GROUP BY batch_id""")
+_add("batch_reconciliation", lambda b, i: batches.batch_reconciliation(b, i, batches.risk_scores(i, "1998-12-01")), "v_batches v_instruments", _RISK + """
+, sums AS (SELECT batch_id, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t, count(*) AS n FROM v_instruments GROUP BY batch_id),
+st AS (SELECT batch_id, bool_or(status <> 'VALID') AS soft FROM scored GROUP BY batch_id),
+j AS (SELECT b.batch_id, batch_amount, coalesce(t, 0)::DECIMAL(14,2) AS instrument_total, total_items, coalesce(n, 0) AS instrument_count, coalesce(soft, false) AS soft
+      FROM v_batches b LEFT JOIN sums USING (batch_id) LEFT JOIN st USING (batch_id)),
+k AS (SELECT *, coalesce(abs(batch_amount - instrument_total) <= 0.01, false) AS amounts, coalesce(total_items = instrument_count, true) AS items FROM j)
+SELECT batch_id, batch_amount, instrument_total, (instrument_total - batch_amount)::DECIMAL(14,2) AS gap, total_items, instrument_count,
+  CASE WHEN NOT amounts OR NOT items THEN 'FAIL' WHEN soft THEN 'PASS_WITH_REVIEW' ELSE 'PASS' END AS decision,
+  CASE WHEN NOT amounts OR NOT items THEN 'REJECT' WHEN soft THEN 'REVIEW' ELSE 'ACCEPT' END AS overall,
+  CASE WHEN amounts THEN 'amounts_reconciled' ELSE 'amount_mismatch' END || ',' || CASE WHEN items THEN 'item_count_reconciled' ELSE 'item_count_mismatch' END
+    || CASE WHEN amounts AND items AND soft THEN ',manual_review_required_for_item_flags' ELSE '' END AS flags FROM k""")
 _add("completeness", batches.completeness, "v_instruments", """
 , f AS (SELECT *, (serial_number IS NOT NULL)::INTEGER + (unit IS NOT NULL)::INTEGER + (issue_date IS NOT NULL)::INTEGER AS n FROM v_instruments)
-SELECT batch_id, line_no, n + (amount_numeric IS NOT NULL)::INTEGER AS fields, n < 2 OR amount_numeric IS NULL AS is_unclear FROM f""".lstrip("\n"))
+SELECT batch_id, line_no, ((n + (amount_numeric IS NOT NULL)::INTEGER) * 25)::INTEGER AS percent, n < 2 OR amount_numeric IS NULL AS is_unclear FROM f""".lstrip("\n"))
 _add("misread_control", batches.misread_controls, "v_batches v_instruments", """
 , s AS (SELECT batch_id, sum(amount_numeric) AS t, count(*) AS n, bool_and(amount_numeric IS NOT NULL) AS ok FROM v_instruments GROUP BY batch_id)
 SELECT * FROM (SELECT batch_id, abs(batch_amount - t)::DECIMAL(14,2) AS gap FROM v_batches JOIN s USING (batch_id) WHERE ok AND n = total_items) WHERE gap > 0 AND gap <= 20""".lstrip("\n"))
-_add("recovery_plan", batches.recovery_plan, "v_batches v_instruments", """
-, s AS (SELECT batch_id, coalesce(sum(amount_numeric), 0)::DOUBLE AS t, count(amount_numeric) AS n FROM v_instruments GROUP BY batch_id)
-SELECT batch_id, least(15, ceil((batch_amount::DOUBLE - t) / least(1500.0, greatest(50.0, t / greatest(n, 1)))))::INTEGER AS missing_items
-FROM v_batches JOIN s USING (batch_id) WHERE batch_amount::DOUBLE - t > 0.01""".lstrip("\n"))
+_add("recovery_plan", lambda b, i: batches.recovery_plan(b, i.where(_VISIBLE)), "v_batches v_instruments", """
+, s AS (SELECT batch_id, coalesce(sum(amount_numeric), 0)::DOUBLE AS t, count(*) AS n FROM v_instruments WHERE NOT missing_from_scan GROUP BY batch_id),
+j AS (SELECT batch_id, batch_amount::DOUBLE - coalesce(t, 0) AS gap, coalesce(t, 0) / greatest(coalesce(n, 0), 1) AS mean FROM v_batches LEFT JOIN s USING (batch_id))
+SELECT batch_id, least(15, ceil(gap / least(1500.0, greatest(50.0, mean))))::INTEGER AS missing_items FROM j WHERE gap > 50""".lstrip("\n"))
 _add("number_instruments", batches.number_instruments, "v_instruments", """
 , n AS (SELECT batch_id, line_no, row_number() OVER (PARTITION BY batch_id ORDER BY line_no)::INTEGER AS item_no FROM v_instruments)
 SELECT *, 'INS-' || batch_id || '-' || lpad(item_no::VARCHAR, 3, '0') AS instrument_id FROM n""".lstrip("\n"))
 _add("dedupe_keep_best", batches.keep_best, "v_instruments", """
 , f AS (SELECT *, (unit IS NOT NULL)::INTEGER + (issue_date IS NOT NULL)::INTEGER + (amount_numeric IS NOT NULL)::INTEGER AS fields FROM v_instruments WHERE serial_number IS NOT NULL)
 SELECT batch_id, serial_number, line_no, fields FROM f QUALIFY row_number() OVER (PARTITION BY batch_id, serial_number ORDER BY fields DESC, line_no) = 1""".lstrip("\n"))
-_VISIBLE = "NOT missing_from_scan"
-_MISS = """, un AS (SELECT batch_id, line_no, serial_number, unit, amount_numeric, source FROM v_register r
-WHERE NOT EXISTS (SELECT 1 FROM v_instruments i WHERE i.line_no % 2 = 1 AND i.batch_id = r.batch_id AND i.serial_number = r.serial_number)
-AND NOT EXISTS (SELECT 1 FROM v_instruments i WHERE i.line_no % 2 = 1 AND i.batch_id = r.batch_id AND i.unit = r.unit AND i.amount_numeric = r.amount_numeric))
-"""
+_MISS = """
+, seen AS (SELECT * FROM v_instruments WHERE NOT missing_from_scan),
+un AS (SELECT batch_id, line_no, serial_number, unit, amount_numeric, source FROM v_register r
+WHERE NOT EXISTS (SELECT 1 FROM seen i WHERE i.batch_id = r.batch_id AND ltrim(i.serial_number, '0') = ltrim(r.serial_number, '0'))
+AND NOT EXISTS (SELECT 1 FROM seen i WHERE i.batch_id = r.batch_id AND i.unit = r.unit AND i.amount_numeric = r.amount_numeric))
+""".lstrip()
 _add("unmatched_register", lambda r, i: batches.unmatched_register(r, i.where(_VISIBLE)), "v_register v_instruments", _MISS + "SELECT * FROM un")
 _add("placeholders", lambda r, i: batches.placeholders(batches.unmatched_register(r, i.where(_VISIBLE))), "v_register v_instruments", _MISS + """
-SELECT batch_id, line_no, serial_number, amount_numeric, true AS missing_from_scan, 'from_' || source AS review_flag FROM un""")
-_add("multiset_match", lambda i, r: batches.multiset_match(i, r.where("source = 'bank_report'")), "v_instruments v_register", """
-, a AS (SELECT batch_id, line_no, amount_numeric, row_number() OVER (PARTITION BY batch_id, amount_numeric ORDER BY line_no) AS k FROM v_instruments WHERE amount_numeric IS NOT NULL),
-b AS (SELECT batch_id, amount_numeric, row_number() OVER (PARTITION BY batch_id, amount_numeric ORDER BY line_no) AS k FROM v_register WHERE source = 'bank_report')
-SELECT a.batch_id, a.line_no, CASE WHEN b.k IS NOT NULL THEN a.amount_numeric END AS amount_numeric, b.k IS NOT NULL AS matched
-FROM a LEFT JOIN b ON a.batch_id = b.batch_id AND a.amount_numeric = b.amount_numeric AND a.k = b.k""".lstrip("\n"))
+SELECT batch_id, line_no, serial_number, amount_numeric, source <> 'regions_deposit_report' AS missing_from_scan,
+  CASE WHEN source = 'regions_deposit_report' THEN 'thumbnail_report_image' ELSE 'not_extracted_from_scan' END AS image_quality,
+  CASE WHEN source <> 'regions_deposit_report' AND serial_number IS NULL THEN 'candidate' END AS amount_status,
+  CASE WHEN source = 'regions_deposit_report' THEN 'report_row_instrument'
+       WHEN serial_number IS NULL THEN 'unverified_register_amount,missing_document_identity,manual_review_required,register_item_not_matched_to_clear_instrument'
+       ELSE 'register_item_not_matched_to_clear_instrument' END AS review_flags FROM un""")
+_add("multiset_match", lambda i, r: batches.multiset_match(i, r.where("source = 'regions_deposit_report'")), "v_instruments v_register", """
+, l AS (SELECT * FROM v_register WHERE source = 'regions_deposit_report'),
+n AS (SELECT batch_id, count(*) AS listed FROM l GROUP BY batch_id),
+a AS (SELECT batch_id, line_no, amount_numeric, count(*) OVER (PARTITION BY batch_id) AS shown, row_number() OVER (PARTITION BY batch_id, amount_numeric ORDER BY line_no) AS k FROM v_instruments),
+b AS (SELECT batch_id, amount_numeric, row_number() OVER (PARTITION BY batch_id, amount_numeric ORDER BY line_no) AS k FROM l)
+SELECT a.batch_id, a.line_no, CASE WHEN n.listed IS DISTINCT FROM a.shown OR b.k IS NOT NULL THEN a.amount_numeric END AS amount_numeric,
+  coalesce(n.listed = a.shown, false) AND b.k IS NULL AS flagged
+FROM a LEFT JOIN n USING (batch_id) LEFT JOIN b ON a.batch_id = b.batch_id AND a.amount_numeric = b.amount_numeric AND a.k = b.k""".lstrip("\n"))
 _add("new_identities", lambda i, r: batches.new_identities(i, r), "v_instruments v_register", """
 SELECT batch_id, line_no, serial_number FROM v_instruments i WHERE NOT EXISTS (SELECT 1 FROM v_register r WHERE r.batch_id = i.batch_id AND r.serial_number = i.serial_number)""")
-_QUALITY = """, d AS (SELECT *, CASE source_type WHEN 'bank_receipt' THEN 100 WHEN 'bank_report' THEN 80 WHEN 'deposit_ticket' THEN 60 WHEN 'property_report' THEN 40 ELSE 0 END
+_ORDER = "(-score, page_number, deposit_date, source_type, item_count, coalesce(deposit_account, ''), coalesce(deposit_transaction, ''))"
+_QUALITY = """, d AS (SELECT *, CASE source_type WHEN 'yottareal_report' THEN 100 WHEN 'bank_receipt' THEN 80 WHEN 'regions_report' THEN 75 WHEN 'deposit_ticket' THEN 50 END + CASE WHEN deposit_transaction IS NOT NULL THEN 20 ELSE 0 END
   + CASE WHEN item_count > 0 THEN 15 ELSE 0 END + CASE WHEN deposit_amount > 0 THEN 15 ELSE 0 END + CASE WHEN deposit_account IS NOT NULL THEN 8 ELSE 0 END
-  + CASE WHEN deposit_date IS NOT NULL THEN 5 ELSE 0 END + confidence AS score FROM v_deposits)
+  + CASE WHEN deposit_date IS NOT NULL THEN 5 ELSE 0 END + greatest(0.0::DOUBLE, least(1.0::DOUBLE, confidence)) * 10 AS score FROM v_deposits)
 """
-_add("same_deposit_pairs", deposits.same_deposit_pairs, "v_deposits", """
-SELECT a.doc_id, a.page_number AS page_number_a, b.page_number AS page_number_b FROM v_deposits a JOIN v_deposits b ON a.doc_id = b.doc_id AND a.deposit_amount = b.deposit_amount AND a.page_number < b.page_number
-WHERE (a.deposit_account IS NULL OR b.deposit_account IS NULL OR a.deposit_account = b.deposit_account) AND (a.item_count = 0 OR b.item_count = 0 OR a.item_count = b.item_count)""")
-_add("survivor_by_quality", deposits.survivors, "v_deposits", _QUALITY + """
-SELECT doc_id, deposit_amount, arg_min(source_type, (-score, page_number, deposit_date, source_type, item_count)) AS source_type,
-  arg_min(deposit_account, (-score, page_number, deposit_date, source_type, item_count)) FILTER (deposit_account IS NOT NULL) AS account, arg_min(item_count, (-score, page_number, deposit_date, source_type, item_count)) FILTER (item_count > 0) AS items,
+_SAME = """
+, c AS (SELECT *, CASE WHEN item_count > 0 THEN item_count END AS n FROM v_deposits),
+p AS (SELECT a.doc_id, a.page_number AS page_number_a, b.page_number AS page_number_b,
+  a.deposit_transaction AS ta, b.deposit_transaction AS tb, a.deposit_account AS aa, b.deposit_account AS ab, a.deposit_date AS da, b.deposit_date AS db, a.n AS na, b.n AS nb,
+  a.deposit_amount AS ma, b.deposit_amount AS mb, a.source_type AS sa, b.source_type AS sb FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.page_number < b.page_number),
+f AS (SELECT *, sa = 'regions_report' AND sb = 'regions_report' AS reports, abs(ma - mb) <= 0.01 AS exact, abs(page_number_a - page_number_b) <= 4 AS nearby,
+  abs(ma - mb) <= 0.01 OR (least(ma, mb) > 0 AND (abs(greatest(ma, mb)::DOUBLE / least(ma, mb)::DOUBLE - 10) <= 0.25 OR abs(ma - mb)::DOUBLE <= greatest(1000.0::DOUBLE, greatest(ma, mb)::DOUBLE * 0.1))) AS variants,
+  coalesce(ta = tb, false) AS same_t, coalesce(aa = ab, false) AS same_a, coalesce(da = db, false) AS same_d, coalesce(na = nb, false) AS same_n FROM p)
+SELECT doc_id, page_number_a, page_number_b FROM f
+WHERE NOT (coalesce(ta <> tb, false) AND NOT reports) AND NOT coalesce(aa <> ab, false) AND (same_t OR (
+  NOT coalesce(da <> db, false) AND NOT (coalesce(abs(na - nb) > 1, false) AND NOT reports) AND variants AND (
+    (same_a AND same_d) OR (same_a AND same_n) OR (same_d AND same_n) OR (same_n AND (sa = 'yottareal_report' OR sb = 'yottareal_report'))
+    OR (exact AND ((sa = 'bank_receipt' AND sb IN ('deposit_ticket', 'handwritten_ocr')) OR (sb = 'bank_receipt' AND sa IN ('deposit_ticket', 'handwritten_ocr'))))
+    OR (exact AND same_n AND nearby))))""".lstrip("\n")
+_add("same_deposit_pairs", deposits.same_deposit_pairs, "v_deposits", _SAME)
+_add("survivor_by_quality", deposits.survivors, "v_deposits", _QUALITY + f"""
+SELECT doc_id, deposit_amount, arg_min(source_type, {_ORDER}) AS source_type,
+  arg_min(deposit_account, {_ORDER}) FILTER (deposit_account IS NOT NULL) AS account, arg_min(item_count, {_ORDER}) FILTER (item_count > 0) AS items,
+  arg_min(deposit_transaction, {_ORDER}) FILTER (deposit_transaction IS NOT NULL) AS transaction,
   array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages, max(score) AS score FROM d GROUP BY doc_id, deposit_amount""")
-_add("collapse_weaker_by_amount", deposits.absorbed_by_receipts, "v_deposits", """
-SELECT doc_id, page_number, source_type, deposit_amount FROM v_deposits d WHERE source_type = 'bank_receipt' OR NOT EXISTS (
-  SELECT 1 FROM v_deposits r WHERE r.source_type = 'bank_receipt' AND r.doc_id = d.doc_id AND r.deposit_amount = d.deposit_amount)""")
-_add("aggregate_deposits", deposits.aggregate_deposits, "v_deposits", _QUALITY + """
-SELECT doc_id, sum(deposit_amount)::DECIMAL(14,2) AS total, sum(item_count)::BIGINT AS items, count(*) AS slips,
-  arg_min(deposit_account, (-score, page_number, deposit_date, source_type, deposit_account)) FILTER (deposit_account IS NOT NULL) AS account, arg_min(deposit_date, (-score, page_number, deposit_date, source_type, deposit_account)) AS deposit_date FROM d GROUP BY doc_id""")
+_add("collapse_weaker_by_amount", deposits.absorbed_by_receipts, "v_deposits", _QUALITY + f"""
+, t AS (SELECT doc_id, deposit_amount, min(page_number) AS taker FROM d WHERE source_type = 'bank_receipt' GROUP BY ALL),
+w AS (SELECT doc_id, deposit_amount, arg_min(deposit_account, {_ORDER}) FILTER (deposit_account IS NOT NULL) AS a, arg_min(item_count, {_ORDER}) FILTER (item_count > 0) AS i, count(*) AS n
+  FROM d JOIN t USING (doc_id, deposit_amount) WHERE source_type = 'deposit_ticket' GROUP BY ALL)
+SELECT doc_id, page_number, source_type, deposit_amount, CASE WHEN page_number = taker AND source_type = 'bank_receipt' THEN coalesce(deposit_account, a) ELSE deposit_account END AS deposit_account,
+  CASE WHEN item_count > 0 THEN item_count WHEN page_number = taker AND source_type = 'bank_receipt' THEN i END AS items,
+  CASE WHEN page_number = taker AND source_type = 'bank_receipt' THEN coalesce(n, 0) ELSE 0 END AS absorbed
+FROM d LEFT JOIN t USING (doc_id, deposit_amount) LEFT JOIN w USING (doc_id, deposit_amount) WHERE NOT (source_type = 'deposit_ticket' AND taker IS NOT NULL)""")
+_add("aggregate_deposits", deposits.aggregate_deposits, "v_deposits", _QUALITY + f"""
+SELECT doc_id, sum(deposit_amount)::DECIMAL(14,2) AS total, (sum(item_count) FILTER (item_count > 0))::BIGINT AS items, count(*) AS slips,
+  arg_min(deposit_account, {_ORDER}) FILTER (deposit_account IS NOT NULL) AS account,
+  arg_min(deposit_transaction, {_ORDER}) FILTER (deposit_transaction IS NOT NULL) AS transaction,
+  arg_min(deposit_date, {_ORDER}) FILTER (deposit_date IS NOT NULL) AS deposit_date FROM d GROUP BY doc_id""")
+_add("expected_items", lambda d, b: deposits.expected_items(d.withColumnRenamed("doc_id", "batch_id"), b), "v_deposits v_batches", """
+, s AS (SELECT doc_id, count(*) AS slips, count(*) FILTER (item_count > 0) AS counted, sum(item_count) FILTER (item_count > 0) AS items, sum(deposit_amount)::DECIMAL(14,2) AS total FROM v_deposits GROUP BY doc_id)
+SELECT batch_id, (CASE WHEN slips > 1 AND counted < slips THEN nullif(total_items, 0) ELSE coalesce(items, nullif(total_items, 0)) END)::BIGINT AS expected_items, coalesce(total, batch_amount) AS control_total
+FROM v_batches LEFT JOIN s ON doc_id = batch_id""".lstrip("\n"))
 _add("cap_per_parent", chat.cap_per_parent, "v_chunks", """
 , c AS (SELECT * FROM v_chunks WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY points DESC, chunk_id) <= 7)
 SELECT row_number() OVER (ORDER BY points DESC, chunk_id)::INTEGER AS rank, chunk_id, parent_id, points FROM c QUALIFY rank <= 15""".lstrip("\n"))
@@ -111,14 +150,14 @@ _add("recent_history", chat.recent_history, "v_turns", """
 , r AS (SELECT session_id, turn, query, substring(response, 1, 600) AS response FROM v_turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) <= 10),
 u AS (SELECT session_id, turn, sum(length(query) + length(response)) OVER (PARTITION BY session_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS used, length(response)::INTEGER AS kept_chars FROM r)
 SELECT * FROM u WHERE used <= 3000""".lstrip("\n"))
-_CITED = r""", m AS (SELECT answer_id, unnest(regexp_extract_all(text, '\[([0-9]+(?:; ?[0-9]+)*)\]', 1)) AS mark FROM v_answers),
-c AS (SELECT DISTINCT answer_id, trim(unnest(string_split(mark, ';')))::INTEGER AS doc_num FROM m)
+_CITED = r""", m AS (SELECT answer_id, unnest(regexp_extract_all(text, '\[(\s*[0-9]+\s*(?:→\s*Page\s*[0-9]+)?\s*(?:[;,]\s*[0-9]+\s*(?:→\s*Page\s*[0-9]+)?\s*)*)\]', 1)) AS mark FROM v_answers),
+c AS (SELECT DISTINCT answer_id, regexp_extract(unnest(string_split_regex(mark, '[;,]')), '[0-9]+')::INTEGER AS doc_num FROM m)
 """
 _add("cited_numbers", chat.cited_numbers, "v_answers", _CITED + "SELECT * FROM c")
 _add("renumber_citations", lambda a: chat.renumbered_citations(chat.cited_numbers(a)), "v_answers", _CITED + """
 SELECT answer_id, doc_num, dense_rank() OVER (PARTITION BY answer_id ORDER BY doc_num)::INTEGER AS new_num FROM c""")
 _add("strip_citations", chat.plain_answers, "v_answers", r"""
-SELECT answer_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\[[0-9]+(; ?[0-9]+)*\]', '', 'g'), '\*\*', '', 'g'), ' {2,}', ' ', 'g')) AS text FROM v_answers""")
+SELECT answer_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\[\s*[0-9]+\s*(?:→\s*Page\s*[0-9]+)?\s*(?:[;,]\s*[0-9]+\s*(?:→\s*Page\s*[0-9]+)?\s*)*\]', '', 'g'), '\*\*', '', 'g'), ' {2,}', ' ', 'g')) AS text FROM v_answers""")
 _add("append_chat_log", chat.log_rows, "v_turns", """
 SELECT session_id, turn * 2 AS seq, 'user' AS role, length(query)::INTEGER AS chars FROM v_turns UNION ALL SELECT session_id, turn * 2 + 1, 'assistant', length(response)::INTEGER FROM v_turns""")
 _add("rate_limit_aligned", chat.rate_limited, "v_session_events", """
@@ -139,8 +178,8 @@ WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) + 1, 800)) AS s FRO
 SELECT doc_id, ((s - 1) / 800 + 1)::INTEGER AS chunk_number, md5(substring(text, s, 1000)) AS chunk_md5 FROM p""")
 _add("insufficient_text", texts.insufficient_text, "documents", "SELECT doc_id, length(trim(text, ' '))::INTEGER AS chars FROM documents WHERE length(trim(text, ' ')) < 50")
 _add("ingest_files", texts.ingest_files, "v_files", r"""
-SELECT doc_id, filename, CASE WHEN lower(regexp_extract(filename, '\.([A-Za-z0-9]+)$', 1)) NOT IN ('pdf','png','jpg','jpeg','tiff','bmp','heic','docx','txt') THEN 'extension'
-WHEN coalesce(size_bytes, 0) = 0 THEN 'empty' WHEN size_bytes > 15000000 THEN 'too_large' ELSE 'ok' END AS status FROM v_files""")
+SELECT doc_id, filename, CASE WHEN lower(regexp_extract(filename, '\.([A-Za-z0-9]+)$', 1)) NOT IN ('pdf','jpg','jpeg','png','heic','heif') THEN 'extension'
+WHEN coalesce(size_bytes, 0) = 0 THEN 'empty' WHEN size_bytes > 15728640 THEN 'too_large' ELSE 'ok' END AS status FROM v_files""")
 _add("parse_llm_json", texts.parse_answers, "v_responses", r"""
 , b AS (SELECT *, regexp_replace(trim(regexp_replace(body, '```(json)?', '', 'g')), ',\s*\}', '}', 'g') AS j FROM v_responses)
 SELECT doc_id, response_no, CASE WHEN json_valid(j) THEN j->>'vendor_name' END AS vendor_name, CASE WHEN json_valid(j) THEN (j->>'total')::INTEGER END AS total,
@@ -149,8 +188,8 @@ _add("group_invoice_property", texts.group_invoices, "v_bulk_lines", """
 SELECT invoice_no, property_name, min(position) AS first_position, count(*) AS items, string_agg(description, '|' ORDER BY position, description) AS descriptions, sum(total_price)::DECIMAL(14,2) AS total
 FROM v_bulk_lines GROUP BY invoice_no, property_name""")
 _add("assign_ids", texts.item_ids, "v_bulk_lines", """
-SELECT company_name, invoice_no, position, dense_rank() OVER (PARTITION BY company_name ORDER BY invoice_no)::INTEGER AS invoice_id,
-row_number() OVER (PARTITION BY company_name ORDER BY invoice_no, position)::INTEGER AS item_id FROM v_bulk_lines""")
+SELECT company_name, invoice_no, position, dense_rank() OVER (ORDER BY company_name)::BIGINT AS company_id, dense_rank() OVER (ORDER BY company_name, invoice_no)::BIGINT AS invoice_id,
+row_number() OVER (ORDER BY company_name, invoice_no, position)::BIGINT AS item_id FROM v_bulk_lines""")
 _add("monthly_income", texts.monthly_income, "v_checks", """
 , l AS (SELECT * FROM v_checks QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pay_date DESC, event_id DESC) <= 3)
 SELECT user_id, count(amount) AS checks, sum(amount)::DECIMAL(14,2) AS paid,

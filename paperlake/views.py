@@ -26,14 +26,15 @@ LEFT JOIN v_instruments i ON i.batch_id = o.o_orderkey
 GROUP BY o.o_orderkey, c.c_name""",
     "v_register": """
 SELECT batch_id, line_no, unit, amount_numeric, CASE WHEN mod(part_key, 3) = 0 THEN NULL ELSE serial_number END AS serial_number,
-       CASE WHEN mod(part_key, 2) = 0 THEN 'bank_report' ELSE 'property_report' END AS source
+       CASE WHEN mod(part_key, 2) = 0 THEN 'regions_deposit_report' ELSE 'yottareal_batch_detail' END AS source
 FROM v_instruments WHERE amount_numeric IS NOT NULL""",
     "v_deposits": """
 SELECT l_orderkey AS doc_id, l_linenumber AS page_number,
-       CASE mod(l_partkey, 4) WHEN 0 THEN 'bank_receipt' WHEN 1 THEN 'deposit_ticket' WHEN 2 THEN 'bank_report' ELSE 'property_report' END AS source_type,
+       CASE mod(l_partkey, 4) WHEN 0 THEN 'bank_receipt' WHEN 1 THEN 'deposit_ticket' WHEN 2 THEN 'regions_report' ELSE 'yottareal_report' END AS source_type,
        CAST(mod(l_suppkey, 2) * 100 + 250 AS DECIMAL(14,2)) AS deposit_amount, CAST(mod(l_partkey, 3) AS INT) AS item_count,
        CASE WHEN mod(l_partkey, 5) = 0 THEN NULL ELSE CAST(1000 + mod(l_suppkey, 2) AS STRING) END AS deposit_account,
-       CAST(l_shipdate AS DATE) AS deposit_date, CAST(round(l_discount * 100) AS INT) AS confidence
+       CASE WHEN mod(l_partkey, 6) = 0 THEN concat('T', CAST(mod(l_suppkey, 5) AS STRING)) ELSE NULL END AS deposit_transaction,
+       CAST(l_shipdate AS DATE) AS deposit_date, l_discount * 10 AS confidence
 FROM lineitem""",
     "v_bulk_lines": """
 SELECT o.o_orderkey AS invoice_no, l.l_linenumber AS position, c.c_name AS company_name,
@@ -55,7 +56,7 @@ SELECT session_id, turn, query, response FROM (
 WHERE role = 'user' AND next_role = 'assistant'""",
     "v_answers": """
 SELECT conv_id * 100 + turn AS answer_id,
-       concat(text, ' [', CAST(mod(turn, 3) + 2 AS STRING), '] and [', CAST(mod(conv_id, 3) + 1 AS STRING), '; ',
+       concat(text, ' [', CAST(mod(turn, 3) + 2 AS STRING), ' → Page ', CAST(turn + 1 AS STRING), '] and [', CAST(mod(conv_id, 3) + 1 AS STRING), '; ',
               CAST(mod(turn, 3) + 2 AS STRING), '] **x**') AS text
 FROM conversations WHERE role = 'assistant'""",
     "v_chunks": """

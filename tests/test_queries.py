@@ -35,7 +35,7 @@ def test_query(spark, duck, tables, name):
 
 
 def test_unmatched_register_reads_every_visible_line(spark, duck, tables):
-    """Register rows whose instrument is on an even line aren't missing. The registered SQL still leaves even lines out."""
+    """Register rows whose instrument is on an even line aren't missing."""
     seen, listed = (duck.execute(with_views(f"SELECT * FROM {v}")).to_arrow_table().to_pylist() for v in ("v_instruments", "v_register"))
     seen = [i for i in seen if not i["missing_from_scan"]]
     serials = {(i["batch_id"], i["serial_number"]) for i in seen if i["serial_number"]}
