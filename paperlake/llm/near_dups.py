@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import SMALL, U, mixed, pieces, word_hashes, word_spans
-from .shared import written
+from .shared import bounded_batches, written
 
 #: Minwise tokens a document; the first of them, TREES and some more, are the roots' hash functions.
 SKETCH, TREES = 64, 20
@@ -285,6 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     own links; the smallest doc_id reachable is that of any row. Rows whose doc_id is null have a null
     component_id, are kept, and link nothing. Sets are of 64-bit hashes, and equal sets one class known
     by a 64-bit hash. Columns other than doc_id and text aren't read; an empty table gives no rows."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, id long, sketch array<int>, bins binary"
     seen = written(rows.mapInArrow(_sketches(width), schema), "sketches")

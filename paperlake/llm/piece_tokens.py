@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import pieces
+from .shared import bounded_batches
 
 #: The marker in UTF-8, and the default place of the vocabulary file (a parameter of every operator here).
 MARK = "\u2581".encode()
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a task remembers, in each of two generations (some 200 bytes a word), and the longest such word.
-WORDS, LONGEST_WORD = 80_000, 64
+WORDS, LONGEST_WORD = 40_000, 64
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -254,7 +255,7 @@ class _Memo:
 def _encoded(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of batches, with all ids and where each text's ids begin."""
     memo = _Memo(v)
-    for part, _, _ in pieces(batches):
+    for part, _, _ in pieces(batches, 1 << 20):
         texts = pc.replace_substring(part.column("text").fill_null(""), " ", "\u2581")
         # a word: its markers, then all up to the next marker
         texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("\u2581", texts, ""))
@@ -304,6 +305,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     Each row of docs gives one; null and empty texts have no ids; rows may repeat. Memory is bounded by
     a batch and by its distinct words. The vocabulary, a file of the driver, is laid out there and goes to
     the tasks with the function; its size is that of the file."""
+    bounded_batches(docs.sparkSession)
     v = vocabulary(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,6 +332,7 @@ def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def digest(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """One row for each row of docs: n_pieces, n_bytes (byte pieces), log_score, ids_sha256 (of 32-bit little-endian ids)
     and round_trip (decoding gives the text again, markers in it as spaces)."""
+    bounded_batches(docs.sparkSession)
     v = vocabulary(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of the Arrow batches that tasks get; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches; a session that asks for smaller ones keeps them."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = str(spark.conf.get(key, None) or 0)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def unit_hash(key: Column, seed: str) -> Column:
     """A number in [0, 1) that depends on the key and the seed only; null keys get one too."""
     text = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import SMALL, pieces, word_spans
+from .shared import bounded_batches
 
 #: Bytes of a window (whole words), of each dictionary, and zstandard's level.
 WINDOW, TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 64, 4096, 32768, 12
@@ -114,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: str = "true") -> Model:
     docs: (doc_id, text); labels: (doc_id, toxic). A sample bounded by TOXIC_TEXTS, ORDINARY_TEXTS and
     LONGEST, drawn by a hash of doc_id, comes to the driver; of its longer texts only sums do. Without any
     toxic texts nothing is toxic."""
+    bounded_batches(docs.sparkSession)
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [marks.where(F.col("toxic") == t).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(n) for t, n in ((1, TOXIC_TEXTS), (0, ORDINARY_TEXTS))]
     sample = F.broadcast(drawn[0].union(drawn[1]))  # bounded by the two limits
