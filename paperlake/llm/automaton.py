@@ -1,6 +1,6 @@
 """A deterministic automaton for many patterns at once: subset construction, minimisation, transition arrays.
 
-Patterns are written in a small notation: literals, ``[classes]`` with ranges, ``( | )``, ``? * +`` and
+Patterns are written in a small notation: literals, ``[classes]`` with ranges (or ``[^others]``), ``( | )``, ``? * +`` and
 ``{n}``. A scan reads each byte once for all patterns; the state says which patterns end here.
 """
 
@@ -28,6 +28,8 @@ class _Parts:
 def _class(text: str, i: int) -> tuple[frozenset[int], int]:
     found: set[int] = set()
     i += 1
+    others = text[i] == "^"
+    i += others
     while text[i] != "]":
         a = text[i + 1] if text[i] == "\\" else text[i]
         i += 2 if text[i] == "\\" else 1
@@ -36,7 +38,7 @@ def _class(text: str, i: int) -> tuple[frozenset[int], int]:
             i += 2
         else:
             found.add(ord(a))
-    return frozenset(found), i + 1
+    return frozenset(set(range(256)) - found if others else found), i + 1
 
 
 def _either(text: str, i: int, fold: bool) -> tuple[tuple, int]:
@@ -69,6 +71,17 @@ def _either(text: str, i: int, fold: bool) -> tuple[tuple, int]:
     return ("any", [*options, ("row", row)]), i
 
 
+def _backwards(item: tuple) -> tuple:
+    """The item that reads the same strings from their ends."""
+    kind, what = item
+    if kind == "set":
+        return item
+    if kind in ("row", "any"):
+        parts = [_backwards(x) for x in what]
+        return kind, parts[::-1] if kind == "row" else parts
+    return kind, _backwards(what)
+
+
 def _lay(nfa: _Parts, item: tuple, start: int) -> int:
     """Adds the item's states after start; returns the state at which it ends."""
     kind, what = item
@@ -99,17 +112,19 @@ def _lay(nfa: _Parts, item: tuple, start: int) -> int:
 
 
 @lru_cache(maxsize=8)
-def compiled(rules: tuple[tuple[str, bool], ...]) -> tuple[np.ndarray, np.ndarray]:
+def compiled(rules: tuple[tuple[str, bool], ...], anywhere: bool = True, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """next[state, byte] and marks[state] (a bit for each rule that may end in the state), from state 0.
 
-    rules: (pattern, whether letters count in either case). A rule may begin at any byte."""
+    rules: (pattern, whether letters count in either case). A rule may begin at any byte, or only where the
+    reading begins; backwards, bytes are read from the end, so that rules end where their matches start."""
     nfa = _Parts()
     start = nfa.state()
     marks: dict[int, int] = defaultdict(int)
     for k, (pattern, fold) in enumerate(rules):
         first = nfa.state()
         nfa.empty[start].append(first)
-        marks[_lay(nfa, _either(pattern, 0, fold)[0], first)] |= 1 << k
+        item = _either(pattern, 0, fold)[0]
+        marks[_lay(nfa, _backwards(item) if backwards else item, first)] |= 1 << k
 
     def closed(states: set[int]) -> frozenset[int]:
         todo, seen = [*states], set(states)
@@ -124,7 +139,7 @@ def compiled(rules: tuple[tuple[str, bool], ...]) -> tuple[np.ndarray, np.ndarra
     names, rows, todo = {first: 0}, [], [first]
     while todo:
         here = todo.pop(0)
-        reach: list[set[int]] = [{start} for _ in range(256)]
+        reach: list[set[int]] = [{start} if anywhere else set() for _ in range(256)]
         for s in here:
             for chars, t in nfa.edges[s]:
                 for c in chars:
@@ -203,3 +218,29 @@ def scan(table: np.ndarray, data: np.ndarray, at: np.ndarray, lane: int = 512) -
         redo = redo[redo < lanes]
         redo = redo[~fresh[0, redo]]
     return states.T.ravel()[:n]
+
+
+def starts(table: np.ndarray, marks: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which matches start, and a bit for each rule, by one pass of a backwards automaton over all bytes."""
+    n = len(data)
+    states = scan(table, data[::-1], (n - at)[::-1])[::-1]
+    here = np.flatnonzero((marks != 0)[states])
+    return here, marks[states[here]]
+
+
+def longest(table: np.ndarray, marks: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start: where its rule's match may first end, and where the longest one does; all starts move on together.
+
+    The automaton isn't ``anywhere``; begin and end are the start's place and its text's end."""
+    dead = np.flatnonzero((table == np.arange(len(table))[:, None]).all(1) & (marks == 0))
+    state, first, last = np.zeros(len(begin), np.intp), np.full(len(begin), -1), np.full(len(begin), -1)
+    live, place = np.arange(len(begin)), begin.copy()
+    live = live[place < end]
+    while len(live):
+        state[live] = table[state[live], data[place[live]]]
+        place[live] += 1
+        hit = live[(marks[state[live]] >> rule[live]) & 1 == 1]
+        first[hit] = np.where(first[hit] < 0, place[hit], first[hit])
+        last[hit] = place[hit]
+        live = live[(place[live] < end[live]) & ~np.isin(state[live], dead)]
+    return first, last

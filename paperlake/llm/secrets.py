@@ -1,14 +1,14 @@
-"""Secret scans: all rules' prefixes in one automaton, read in one pass; then the spans around its hits.
+"""Secret scans: all rules' whole expressions in one automaton, read in one pass; ends by the same rules from there.
 
-The rules' regular expressions are compiled together (see automaton). A state tells where a rule's
-prefix has been read up to the first byte of its secret; from such a place the span is completed to
-both sides, and leftmost matches of each kind that don't overlap are kept.
+The rules are compiled together (see automaton): subset construction and minimisation into transition arrays. One
+pass over the bytes, from the end, tells every place at which a rule's match starts. From there the forward
+automaton of the same rules reads on to the longest end, all starts at once. Of each kind the leftmost
+matches that don't overlap are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,62 +16,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import compiled, scan
+from .automaton import compiled, longest, starts
 from .bytesets import pieces
+from .shared import bounded_batches
 
-#: Kind, prefix for the automaton (up to the first byte of the secret), either case,
-#: the full expression, the group that is the secret, and its least length. The first three are the base.
+#: Kind, expression (automaton's notation), letters in either case, whether the secret is only what follows
+#: the first place at which a match may end, and its least length. The first three are the base.
 RULES = (
-    ("assign", "(password|passwd|secret|token|api_?key)[\"']?[ ]*[:=][ ]*[\"']?[A-Za-z0-9+/_.=-]", True,
-     rb"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
-    ("access", "AKIA[A-Z0-9]", False, rb"AKIA[A-Z0-9]+", 0, 18),
-    ("hex", "[0-9a-f]{16}", False, rb"[0-9a-f]+", 0, 16),
-    ("github", "gh[pousr]_[A-Za-z0-9]", False, rb"gh[pousr]_[A-Za-z0-9]+", 0, 24),
-    ("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ", False, rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)?", 0, 24),
-    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", False, rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 20),
-)
-def _spans(data: bytes, hits: list[np.ndarray], idle: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, end, kind) in bytes, by start, then kind. idle: places after which no rule's prefix was under way.
-
-    A match that holds a hit can't have begun before the last idle place before the hit."""
+    ("assign", "(password|passwd|secret|token|api_?key)[\"']?[ ]*[:=][ ]*[\"']?[A-Za-z0-9+/_.=-]+", True, True, 12),
+    ("access", "AKIA[A-Z0-9]+", False, False, 18),
+    ("hex", "[0-9a-f]{16}[0-9a-f]*", False, False, 16),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", False, False, 24),
+    ("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)?", False, False, 24),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----([^-]*-----END [A-Z ]*PRIVATE KEY-----)?", False, False, 20),
+)
+
+
+def _spans(places: np.ndarray, rules: np.ndarray, ends: dict[tuple[int, int], tuple[int, int]], more) -> list[tuple[int, int, int]]:
+    """(start, end, kind) in bytes, by start, then kind. ends: of a start and rule; more: the same for a start that isn't there."""
     out = []
-    for kind, (_, _, _, source, group, least) in enumerate(RULES):
-        expression, done = re.compile(source), 0
-        for hit in hits[kind].tolist():
-            if hit < done:
-                continue
-            k = int(np.searchsorted(idle, hit)) - 1
-            for m in expression.finditer(data, max(done, int(idle[k]) + 1 if k >= 0 else 0)):
-                if m.start() > hit:
-                    break
-                done = m.end()
-                if len(m.group(group)) >= least:
-                    out.append((m.start(), m.end(), kind))
-                if done > hit:
-                    break
+    for kind in np.unique(rules).tolist():
+        own = places[rules == kind]
+        done = i = 0
+        while True:
+            i += int(np.searchsorted(own[i:], done))
+            if i >= len(own):
+                break
+            start = int(own[i])
+            first, done = ends.get((start, kind)) or more(start, kind)
+            if done - (first - 1 if RULES[kind][3] else start) >= RULES[kind][4]:
+                out.append((start, done, kind))
     return sorted(out)
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int, int]]]]]:
     """Of parts of batches, the spans of each text in code points."""
-    table, marks = compiled(tuple((r[1], r[2]) for r in RULES))
-    entry = np.zeros(len(marks), bool)
-    entry[marks != 0] = True
+    rules = tuple((r[1], r[2]) for r in RULES)
+    back, ahead = compiled(rules, backwards=True), compiled(rules, anywhere=False)
     for part, data, at in pieces(batches):
-        states = scan(table, data, at)
-        hit = np.flatnonzero(entry[states])
-        owner = np.searchsorted(at, hit, "right") - 1
-        bits = marks[states[hit]]
+        place, bits = starts(*back, data, at)
+        which = (bits[:, None] >> np.arange(len(RULES))) & 1 == 1
+        row, rule = np.nonzero(which)
+        begin = place[row]
+        owner = np.searchsorted(at, begin, "right") - 1
+        # a run of starts of one rule is one match, so only its first start is followed at once
+        key = rule * (len(data) + 2) + begin
+        head = ~np.isin(key - 1, key) | (begin == at[owner])
+        first, last = longest(*ahead, data, begin[head], at[owner[head] + 1], rule[head])
+        ends = {(b, k): (f, e) for b, k, f, e in zip(begin[head].tolist(), rule[head].tolist(), first.tolist(), last.tolist(), strict=True)}
+
+        def more(start: int, kind: int) -> tuple[int, int]:
+            stop = at[np.searchsorted(at, start, "right")]
+            f, e = longest(*ahead, data, np.array([start]), np.array([stop]), np.array([kind]))
+            return int(f[0]), int(e[0])
+
         spans: list[list[tuple[int, int, int]]] = [[] for _ in range(part.num_rows)]
         for d in np.unique(owner):
             own = owner == d
-            raw = data[at[d] : at[d + 1]]
-            places, bit = hit[own] - at[d], bits[own]
-            idle = np.flatnonzero(states[at[d] : at[d + 1]] == 0)
-            found = _spans(raw.tobytes(), [places[(bit >> k) & 1 == 1] for k in range(len(RULES))], idle)
+            found = _spans(begin[own], rule[own], ends, more)
             if found:
-                points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                spans[d] = [(int(points[a]), int(points[b]), k) for a, b, k in found]
+                points = np.concatenate([[0], np.cumsum((data[at[d] : at[d + 1]] & 0xC0) != 0x80)])
+                spans[d] = [(int(points[a - at[d]]), int(points[b - at[d]]), k) for a, b, k in found]
         yield part, spans
 
 
@@ -95,6 +100,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     Spans are kind:start:end in code points, end exclusive. Null and empty texts have none; repeated rows
     are judged each on its own; other columns aren't read; an empty table gives no rows. Texts are read
     whole, a row at a time, so matches never cross rows."""
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_rows, schema)
 
@@ -114,5 +120,8 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with all its columns, each secret in ``text`` replaced by its kind in brackets; null texts stay null."""
+    """docs with all its columns, each secret in ``text`` replaced by its kind in brackets.
+
+    Null texts stay null and empty ones empty; repeated rows are judged each on its own; an empty table stays empty."""
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(_redacted, docs.schema)
