@@ -157,10 +157,17 @@ def test_secrets(spark, odd):
 
     rng = random.Random(1)
     parts = ["token", "Secret", "api_key", "passwd", "=", ":", "==", " ", "   ", '"', "'", "abc", "é", "AKIA", "QWERTY0123456789", "deadbeef", "0123456789abcdef", "-", "ghp_", "eyJ", ".", "\n", "x" * 40, " " * 700, "f" * 600]
+    parts += ["-----BEGIN RSA PRIVATE KEY-----", "-----END PRIVATE KEY-----", "gho_abcdefghijklmnopqrstu", "eyJabc.eyJdefghijklmnopqrstu"]
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for i in range(800)] + [(900, None), (901, "")]
     got = {r.doc_id: r for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     base = (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16)
+    more = (
+        (r"gh[pousr]_[A-Za-z0-9]+", 0, 24), (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)?", 0, 24),
+        (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 20),
+    )
     for i, t in rows:
+        spans = sorted((m.start(), k, m.end()) for k, (p, g, n) in enumerate(base + more) for m in re.finditer(p, t or "") if len(m.group(g)) >= n)
+        assert got[i].spans == ",".join(f"{RULES[k][0]}:{a}:{b}" for a, k, b in spans)
         spans = sorted((m.start(), k, m.end()) for k, (p, g, n) in enumerate(base) for m in re.finditer(p, t or "") if len(m.group(g)) >= n)
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{RULES[k][0]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(s[1] == k for s in spans) for k in range(3)]
@@ -198,6 +205,10 @@ def test_vectors(spark):
     got = {(r.query_id, r.rank, r.vec_id) for r in nearest_cosine(frame, query).collect()}
     want = best(rows, lambda v, w: round(float(v @ w / np.sqrt((v @ v) * (w @ w))), 12), lambda v: any(v))
     assert len(got & want) >= 0.9 * len(want)
+    odd = [(1, [1.0, 0.0]), (1, [1.0, 0.5]), (50, [1.0, 0.25]), (50, [1.0, 0.25]), (3, [1.0]), (100, [2.0]), (4, [])]
+    for how in (top_inner, nearest_cosine):  # repeated ids, and vectors of several lengths
+        out = how(spark.createDataFrame(odd, "vec_id long, embedding array<float>"), query).collect()
+        assert sorted(r.vec_id for r in out if r.query_id == 50) == [1, 1, 1, 1, 50, 50] and [r.vec_id for r in out if r.query_id == 100] == [3]
     assert top_inner(frame.limit(0), query).count() == 0 and nearest_cosine(frame.limit(0), query).count() == 0
 
 
