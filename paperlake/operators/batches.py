@@ -72,7 +72,7 @@ def risk_scores(instruments: DataFrame, as_of: str, max_age: int = 120, high: in
 def risk_summary(scored: DataFrame) -> DataFrame:
     """Of each batch: mean risk, rows of each status and with flags that ask for a review, and the decision."""
     counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("INVALID", "REVIEW", "VALID")]
-    out = scored.groupBy("batch_id").agg(F.round(F.sum("risk").cast("double") / F.count(F.lit(1)) / 100, 3).alias("average_risk"), *counts, F.count_if("hard").alias("flagged"))
+    out = scored.groupBy("batch_id").agg((F.expr("(20 * sum(risk) + count(*)) div (2 * count(*))").cast("double") / 1000).alias("average_risk"), *counts, F.count_if("hard").alias("flagged"))
     return out.withColumn("decision", F.when(F.col("invalid") > 0, "REJECT").when((F.col("review") > 0) | (F.col("flagged") > 0), "REVIEW").otherwise("ACCEPT"))
 
 

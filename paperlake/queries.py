@@ -47,7 +47,7 @@ scored AS (SELECT batch_id, line_no, risk, flags, CASE WHEN risk >= 60 OR amount
 """.strip()
 _add("risk_score", batches.risk_scores, "v_instruments", _RISK + "\nSELECT batch_id, line_no, risk, flags, status, hard FROM scored", as_of="1998-12-01")
 _add("risk_summary", lambda i: batches.risk_summary(batches.risk_scores(i, "1998-12-01")), "v_instruments", _RISK + """
-SELECT batch_id, round(sum(risk)::DOUBLE / count(*) / 100, 3) AS average_risk, count(*) FILTER (status = 'INVALID') AS invalid, count(*) FILTER (status = 'REVIEW') AS review, count(*) FILTER (status = 'VALID') AS valid,
+SELECT batch_id, ((20 * sum(risk) + count(*)) // (2 * count(*)))::DOUBLE / 1000 AS average_risk, count(*) FILTER (status = 'INVALID') AS invalid, count(*) FILTER (status = 'REVIEW') AS review, count(*) FILTER (status = 'VALID') AS valid,
 count(*) FILTER (hard) AS flagged,
 CASE WHEN count(*) FILTER (status = 'INVALID') > 0 THEN 'REJECT' WHEN count(*) FILTER (status = 'REVIEW') > 0 OR count(*) FILTER (hard) > 0 THEN 'REVIEW' ELSE 'ACCEPT' END AS decision FROM scored GROUP BY batch_id""")
 _add("batch_reconciliation", lambda b, i: batches.batch_reconciliation(b, i, batches.risk_scores(i, "1998-12-01")), "v_batches v_instruments", _RISK + """
