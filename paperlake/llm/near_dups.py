@@ -174,19 +174,25 @@ def _leaves(sketch: np.ndarray, percent: int, seed: int, groups: np.ndarray, set
                 stack.append((who[child], h * 31 + c * 1_000_003 + int(token[child[0]]), depth + 1))
 
 
-def _finer(pairs: np.ndarray, bins: np.ndarray, percent: int) -> np.ndarray:
-    """The pairs whose finer sketches allow a link: bins that either has agree in a share that estimates the similarity."""
-    p, keep = percent / 100, np.zeros(len(pairs), bool)
+def _finer(pairs: np.ndarray, sketch: np.ndarray, bins: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """The pairs that may be links: their sizes allow it, and so do all places of both sketches together.
+
+    A bin that either class has, and a token, agree with the pair's similarity as probability."""
+    p = percent / 100
+    small, large = np.minimum(n[pairs[:, 0]], n[pairs[:, 1]]), np.maximum(n[pairs[:, 0]], n[pairs[:, 1]])
+    pairs = pairs[100 * small >= percent * large]
+    keep = np.zeros(len(pairs), bool)
     for i in range(0, len(pairs), 1 << 16):
-        x, y = bins[pairs[i : i + (1 << 16), 0]], bins[pairs[i : i + (1 << 16), 1]]
-        n = ((x | y) != 0).sum(1)
-        same = ((x == y) & (x != 0)).sum(1)
-        keep[i : i + (1 << 16)] = same >= np.floor(n * p - DEVIATIONS * np.sqrt(n * p * (1 - p)))
+        a, b = pairs[i : i + (1 << 16)].T
+        x, y = bins[a], bins[b]
+        places = SKETCH + ((x | y) != 0).sum(1)
+        same = ((x == y) & (x != 0)).sum(1) + (sketch[a] == sketch[b]).sum(1)
+        keep[i : i + (1 << 16)] = same >= np.floor(places * p - DEVIATIONS * np.sqrt(places * p * (1 - p)))
     return pairs[keep]
 
 
 def _pairs(percent: int, by_group: bool):
-    """For a large node (path, id, sketch, bins, grp): rows (a, part, others) of pairs of a leaf whose sketches allow a link.
+    """For a large node (path, id, sketch, bins, n, grp): rows (a, part, others) of pairs of a leaf whose sketches allow a link.
 
     First round: of each leaf a forest that joins its classes with the most alike pairs. Second round
     (by_group): all pairs of different groups, listed with the one whose group is the smaller here."""
@@ -241,7 +247,7 @@ def _pairs(percent: int, by_group: bool):
                     root[max(p, q)] = min(p, q)
                     found.append(np.array([[who[i[k]], who[j[k]]]]))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        pairs = _finer(pairs, bins, percent)
+        pairs = _finer(pairs, sketch, bins, node["n"].to_numpy(), percent)
         # a class with many partners has them in several rows, so that no array grows without bound
         many = np.bincount(pairs[:, 0], minlength=len(ids)) > MANY
         part = np.where(many[pairs[:, 0]], ids[pairs[:, 1]] & (PARTS - 1), 0)
@@ -318,7 +324,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
 
     def wide_pairs(own: DataFrame, by_group: bool) -> DataFrame:
         """own: (path, id, grp)."""
-        held = own.join(sketch.select("id", "sketch"), "id").join(firsts.select("id", "bins"), "id").select("path", "id", "sketch", "bins", "grp")
+        held = own.join(sketch.select("id", "sketch"), "id").join(firsts.select("id", "bins", "n"), "id").select("path", "id", "sketch", "bins", "n", "grp")
         found = held.groupBy("path").applyInPandas(_pairs(percent, by_group), "a long, part int, others array<long>")
         found = found.groupBy("a", "part").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
         return _ordered(found.select("a", F.explode("others").alias("b")))
