@@ -37,8 +37,6 @@ DEPTH = 32
 DEVIATIONS = 5.0
 #: 64-bit words of the broadcast bit table that tells which texts may be wanted.
 FILTER_WORDS = 1 << 18
-#: Of a class with more partners in a node than MANY, they are listed in so many rows, by their ids.
-MANY, PARTS = 256, 64
 _A = np.random.default_rng(11).integers(0, 2**63, SKETCH, dtype=U) * U(2) + U(1)
 _C = np.random.default_rng(12).integers(0, 2**63, 64, dtype=U) * U(2) + U(1)
 
@@ -192,10 +190,10 @@ def _finer(pairs: np.ndarray, sketch: np.ndarray, bins: np.ndarray, n: np.ndarra
 
 
 def _pairs(percent: int, by_group: bool):
-    """For a large node (path, id, sketch, bins, n, grp): rows (a, part, others) of pairs of a leaf whose sketches allow a link.
+    """For a large node (path, id, sketch, bins, n, grp): rows (a, others) of pairs of a leaf whose sketches allow a link.
 
     First round: of each leaf a forest that joins its classes with the most alike pairs. Second round
-    (by_group): all pairs of different groups, listed with the one whose group is the smaller here."""
+    (by_group): all pairs of different groups."""
     least, sure = least_alike(percent), int(np.ceil(SKETCH * percent / 100))
 
     def run(node: pd.DataFrame) -> pd.DataFrame:
@@ -203,8 +201,6 @@ def _pairs(percent: int, by_group: bool):
         sketch = np.array(node["sketch"].tolist(), np.int8).reshape(len(node), SKETCH)
         bins = np.frombuffer(b"".join(node["bins"]), np.uint8).reshape(len(node), BINS)
         ids, groups = node["id"].to_numpy(), node["grp"].to_numpy()
-        _, place, held = np.unique(groups, return_inverse=True, return_counts=True)
-        held = held[place]
         found: list[np.ndarray] = []
         root = np.arange(len(node))
 
@@ -237,9 +233,7 @@ def _pairs(percent: int, by_group: bool):
             i, j = np.nonzero(np.triu(alike >= least, 1))
             if by_group:
                 keep = groups[who[i]] != groups[who[j]]
-                p, q = who[i[keep]], who[j[keep]]
-                less = held[p] <= held[q]
-                found.append(np.stack([np.where(less, p, q), np.where(less, q, p)], 1))
+                found.append(np.stack([who[i[keep]], who[j[keep]]], 1))
                 continue
             for k in np.argsort(-alike[i, j], kind="stable"):
                 p, q = top(who[i[k]]), top(who[j[k]])
@@ -248,15 +242,11 @@ def _pairs(percent: int, by_group: bool):
                     found.append(np.array([[who[i[k]], who[j[k]]]]))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         pairs = _finer(pairs, sketch, bins, node["n"].to_numpy(), percent)
-        # a class with many partners has them in several rows, so that no array grows without bound
-        many = np.bincount(pairs[:, 0], minlength=len(ids)) > MANY
-        part = np.where(many[pairs[:, 0]], ids[pairs[:, 1]] & (PARTS - 1), 0)
-        order = np.lexsort((part, pairs[:, 0]))
-        pairs, part = pairs[order], part[order]
-        new = np.append(True, (np.diff(pairs[:, 0]) != 0) | (np.diff(part) != 0)) if len(pairs) else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        others = [x.tolist() for x in np.split(ids[pairs[:, 1]], begin[1:])] if len(begin) else []
-        return pd.DataFrame({"a": ids[pairs[begin, 0]], "part": part[begin].astype(np.int32), "others": pd.Series(others, dtype=object)})
+        # a pair is always listed with its smaller id, so that all nodes list it alike (ids are in order here)
+        pairs = np.unique(np.sort(pairs, 1), axis=0)
+        first, begin = np.unique(pairs[:, 0], return_index=True)
+        others = [x.tolist() for x in np.split(ids[pairs[:, 1]], begin[1:])] if len(first) else []
+        return pd.DataFrame({"a": ids[first], "others": pd.Series(others, dtype=object)})
 
     return run
 
@@ -325,8 +315,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     def wide_pairs(own: DataFrame, by_group: bool) -> DataFrame:
         """own: (path, id, grp)."""
         held = own.join(sketch.select("id", "sketch"), "id").join(firsts.select("id", "bins", "n"), "id").select("path", "id", "sketch", "bins", "n", "grp")
-        found = held.groupBy("path").applyInPandas(_pairs(percent, by_group), "a long, part int, others array<long>")
-        found = found.groupBy("a", "part").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+        found = held.groupBy("path").applyInPandas(_pairs(percent, by_group), "a long, others array<long>")
+        found = found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
         return _ordered(found.select("a", F.explode("others").alias("b")))
 
     def confirm(pairs: DataFrame) -> DataFrame:
