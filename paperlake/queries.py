@@ -171,7 +171,7 @@ n AS (SELECT session_id, span, count(*) AS events FROM s GROUP BY ALL)
 SELECT session_id, count(*) AS spans, max(events) AS most_events FROM n GROUP BY session_id""".lstrip("\n"))
 _add("upsert_sessions", chat.session_touch, "v_session_events", "SELECT session_id, min(ts) AS created_at, max(ts) AS updated_at FROM v_session_events GROUP BY session_id")
 _add("paginate_text", texts.paginate_text, "documents", """
-WITH p AS (SELECT doc_id, trim(text, ' ') AS t, unnest(range(1, least(15, ceil(length(trim(text, ' ')) / 2000.0)::INTEGER) + 1)) AS page_number FROM documents)
+WITH p AS (SELECT doc_id, trim(text, ' ') AS t, unnest(range(1, ceil(length(trim(text, ' ')) / 2000.0)::INTEGER + 1)) AS page_number FROM documents)
 SELECT doc_id, page_number::INTEGER AS page_number, length(substring(t, (page_number - 1) * 2000 + 1, 2000))::INTEGER AS chars, md5(substring(t, (page_number - 1) * 2000 + 1, 2000)) AS page_md5 FROM p""")
 _add("chunk_text", texts.chunk_text, "documents", """
 WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) + 1, 800)) AS s FROM documents WHERE length(text) > 0)
