@@ -173,9 +173,11 @@ def _leaves(sketch: np.ndarray, percent: int, seed: int, groups: np.ndarray, set
 
 
 def _finer(pairs: np.ndarray, sketch: np.ndarray, bins: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """The pairs that may be links: their sizes allow it, and so do all places of both sketches together.
+    """The pairs that may be links: their sizes and differing bins allow it, and so do all places of both sketches together.
 
-    A bin that either class has, and a token, agree with the pair's similarity as probability."""
+    A bin that either class has, and a token, agree with the pair's similarity as probability. That is chance, but of
+    two differing bins the lesser least hash is in one set only, so a pair has at least as many unshared elements as
+    differing bins: this bound loses no link."""
     p = percent / 100
     small, large = np.minimum(n[pairs[:, 0]], n[pairs[:, 1]]), np.maximum(n[pairs[:, 0]], n[pairs[:, 1]])
     pairs = pairs[100 * small >= percent * large]
@@ -185,7 +187,8 @@ def _finer(pairs: np.ndarray, sketch: np.ndarray, bins: np.ndarray, n: np.ndarra
         x, y = bins[a], bins[b]
         places = SKETCH + ((x | y) != 0).sum(1)
         same = ((x == y) & (x != 0)).sum(1) + (sketch[a] == sketch[b]).sum(1)
-        keep[i : i + (1 << 16)] = same >= np.floor(places * p - DEVIATIONS * np.sqrt(places * p * (1 - p)))
+        unshared = (100 + percent) * (x != y).sum(1) <= (100 - percent) * (n[a] + n[b])
+        keep[i : i + (1 << 16)] = unshared & (same >= np.floor(places * p - DEVIATIONS * np.sqrt(places * p * (1 - p))))
     return pairs[keep]
 
 

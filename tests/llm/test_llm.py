@@ -152,6 +152,29 @@ def test_near_duplicates(spark, odd, monkeypatch):
     assert near_dups.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_bound_of_differing_bins_loses_no_link():
+    """Pairs on both sides of the threshold, small and large sets: no pair beyond it is filtered by its bins."""
+    from paperlake.llm import near_dups as nd
+
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 150, 2000):
+        for percent in (80, 85):
+            sets = []
+            for share in rng.uniform(0.6, 1.0, 60):
+                both = int(n * share)
+                pool = np.unique(rng.integers(0, 2**64, 2 * n - both, dtype=np.uint64))
+                sets += [pool[rng.permutation(len(pool))[:n]] for _ in range(2)]
+            sets = [np.sort(x) for x in sets]
+            sizes = np.array([len(x) for x in sets])
+            alike = np.zeros((len(sets), nd.SKETCH), np.int8)  # equal tokens: the bins alone decide
+            pairs = np.array([(i, i + 1) for i in range(0, len(sets), 2)])
+            kept = {tuple(p) for p in nd._finer(pairs, alike, nd._binned(sets).reshape(-1, nd.BINS), sizes, percent).tolist()}
+            for i, j in pairs.tolist():
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                    assert (i, j) in kept
+
+
 def test_secrets(spark, odd):
     from paperlake.llm.secrets import RULES, find_secrets, redact_secrets
 
