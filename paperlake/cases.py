@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import normalise as N
-from .operators import normal, pages, records
+from .operators import normal, pages, records, rollups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -189,3 +189,32 @@ _add("accept_detections", records.accepted_detections, "probability double, x do
     ((0.55, 0.5, 0.5, 0.75, 0.25), [(1.0, 0.75, 0)]), ((0.54, 0.0, 0.0, 0.5, 0.5), []), ((0.9, 0.25, 0.25, 0.25, 0.5), [(0.5, 0.75, 90)]), ((0.9, 0.25, 0.25, 0.0, 0.5), []),
 ])
 _add("count_fronts_by_text", records.fronts_by_text, "text string", "fronts INTEGER", [("PAY TO THE ORDER OF x", 1), ("western union pay exactly pay exactly pay exactly", 2), ("Pay  exactly, pay exactly", 1), ("none", 0), (None, 0)])
+_add("sniff_content", lambda df: records.sniffed(df.withColumn("content", F.unhex("bytes"))), "bytes string, content_type string", "accepted BOOLEAN", [
+    (("255044462D312E37", "application/pdf"), True), (("FFD8FFE0", None), True), (("89504E470D0A1A0A00", None), True), (("89504E470D0A1A", None), False), (("49492A00", None), True), (("4D4D002A", None), True),
+    (("424D", None), True), (("504B0304", None), True), (("68C3A9", "text/plain"), True), (("68C3", "text/plain"), False), (("68C3A9", "text/html"), False), (("", "text/plain"), True), ((None, None), False),
+    (("61" * 1023 + "C3A9", "text/plain"), False), (("61" * 1024 + "FF", "text/plain"), True),
+])
+_add("clean_person_name", records.person_names, "first_name string, last_name string", "first_name VARCHAR, last_name VARCHAR, full_name VARCHAR", [
+    (("OLIVIA 178-82-6396", "Stone"), ("OLIVIA", "Stone", "OLIVIA Stone")), (("Ann\nDOB 1980", None), ("Ann", None, "Ann")), ((" Ann \n Mary ", ""), ("Ann Mary", "", "Ann Mary")), (("4", "Li"), (None, "Li", "Li")), ((None, None), (None, None, None)),
+])
+_add("clean_field", lambda df: df.withColumn("field", records.clean_field(F.col("field"))), "field string", "field VARCHAR", [
+    ("1. Main St,; ", "Main St"), (" 12.x ,", "x"), ("a, b", "a, b"), ("", None), (None, None), (";", ""), ("7 Elm;", "7 Elm"),
+])
+_add("format_address", records.addresses, "street string, city string, state string, postal_code string", "address VARCHAR", [
+    (("8. 123 Main St", "Reno", "NV", "89501"), "123 Main St, Reno, NV, 89501"), (("123 Main St", None, "NV", ""), "123 Main St, NV"), ((None, "", None, None), None), (("", "Reno", None, None), "Reno"),
+])
+_JOBS = "array<struct<document_type:string,employer:string>>"
+_APPLICANTS = [
+    (("Ann", '[{"document_type":"paystub","employer":"x"},{"document_type":"employment verification application","employer":"y"},{"employer":"z"}]'), [(1, "paystub", "x"), (2, "employment verification application", "y"), (3, None, "z")]),
+    (("Bo", '[{"document_type":"employment verification application","employer":"y"}]'), [(1, "employment verification application", "y")]), (("Cy", "[]"), []), (("Di", None), []),
+]
+_add("explode_jobs", lambda df: records.exploded_jobs(df.withColumn("jobs", F.from_json("jobs", _JOBS))), "applicant string, jobs string", "applicant VARCHAR, job_no INTEGER, document_type VARCHAR, employer VARCHAR", [
+    (c, [(c[0], *r) for r in rows]) for c, rows in _APPLICANTS
+])
+_add("drop_verification_jobs", lambda df: records.exploded_jobs(records.income_jobs(df.withColumn("jobs", F.from_json("jobs", _JOBS)))), "applicant string, jobs string", "applicant VARCHAR, job_no INTEGER, employer VARCHAR", [
+    (_APPLICANTS[0][0], [("Ann", 1, "x"), ("Ann", 2, "z")]), (_APPLICANTS[1][0], []), (_APPLICANTS[2][0], []), (_APPLICANTS[3][0], []),
+])
+_add("limit_pages", rollups.limited_pages, "document_type string, is_pdf boolean, page_number int", "document_type VARCHAR, is_pdf BOOLEAN, page_number INTEGER", [
+    (("income", True, 8), [("income", True, 8)]), (("income", False, 9), []), (("insurance", True, 10), [("insurance", True, 10)]), (("insurance", True, 11), []), (("vendor", True, 4), []),
+    (("id", True, 2), [("id", True, 2)]), (("id", True, 3), []), (("id", False, 9), [("id", False, 9)]), (("other", True, 99), [("other", True, 99)]),
+])

@@ -122,3 +122,59 @@ def fronts_by_text(df: DataFrame, text: str = "text") -> DataFrame:
     n = lambda p: F.regexp_count(t, F.lit(p))
     exact = F.when(t.contains("WESTERN UNION"), F.ceil(n("PAY EXACTLY") / 2)).otherwise(n("PAY EXACTLY"))
     return df.withColumn("fronts", F.greatest(exact, n("PAY TO THE ORDER"), n("CASHIER'S CHECK")).cast("int"))
+
+
+#: How files begin that are taken (PDF, JPEG, PNG, TIFF in two orders, BMP, ZIP), in hexadecimal.
+SIGNATURES = ("25504446", "FFD8FF", "89504E470D0A1A0A", "49492A00", "4D4D002A", "424D", "504B0304")
+#: Fixed value: jobs of this type say nothing about an income.
+VERIFICATION = "employment verification application"
+_LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
+def sniffed(files: DataFrame) -> DataFrame:
+    """Whether a file's first bytes are those of a kind that is taken; plain text must begin with 1024 bytes of UTF-8.
+
+    files: (content binary, content_type). Null contents count as empty ones, which only plain text may be."""
+    content = F.coalesce("content", F.lit(b""))
+    start = F.hex(F.substring(content, 1, 8))
+    signed = F.greatest(*(start.startswith(s) for s in SIGNATURES))
+    plain = F.coalesce(F.col("content_type") == "text/plain", F.lit(False))
+    return files.withColumn("accepted", signed | (plain & F.is_valid_utf8(F.substring(content, 1, 1024).cast("string"))))
+
+
+def clean_name(c: Column) -> Column:
+    """A name without social security numbers and without lines that hold digits; null if nothing is left. Empty names stay."""
+    lines = F.split(F.regexp_replace(c, r"\b\d{3}-\d{2}-\d{4}\b", ""), _LINE_END)
+    kept = F.filter(F.transform(F.filter(lines, lambda x: ~x.rlike(r"\p{Nd}")), lambda x: N.stripped(x)), lambda x: x != "")
+    return F.when(c == "", c).otherwise(F.nullif(F.array_join(kept, " "), F.lit("")))
+
+
+def person_names(rows: DataFrame) -> DataFrame:
+    """Clean first and last names, and the full name of those that there are."""
+    first, last = clean_name(F.col("first_name")), clean_name(F.col("last_name"))
+    full = F.nullif(F.concat_ws(" ", F.nullif(first, F.lit("")), F.nullif(last, F.lit(""))), F.lit(""))
+    return rows.withColumns({"first_name": first, "last_name": last, "full_name": full})
+
+
+def clean_field(c: Column) -> Column:
+    """A field without its number ("1. ") and without commas, semicolons and blanks at its end; empty fields are null."""
+    bare = F.regexp_replace(N.stripped(c), r"^\d+\.\s*", "")
+    return F.when(c != "", N.stripped(F.regexp_replace(bare, r"[,; ]+$", "")))
+
+
+def addresses(rows: DataFrame) -> DataFrame:
+    """One line of street (without its number in the form), city, state and postal code, as far as there are any."""
+    parts = [F.when(F.col("street") != "", F.regexp_replace("street", r"^\d+\.\s*", "")), *(F.nullif(F.col(c), F.lit("")) for c in ("city", "state", "postal_code"))]
+    return rows.withColumn("address", F.nullif(F.concat_ws(", ", *parts), F.lit("")))
+
+
+def income_jobs(applicants: DataFrame) -> DataFrame:
+    """Applicants with their jobs, but for those that are only applied for; who has no other jobs is left out. jobs: array of structs."""
+    kept = F.filter("jobs", lambda j: F.coalesce(j["document_type"], F.lit("")) != VERIFICATION)
+    return applicants.withColumn("jobs", kept).where(F.size("jobs") > 0)
+
+
+def exploded_jobs(applicants: DataFrame) -> DataFrame:
+    """One row for each job of an applicant, numbered from 1; missing lists of jobs give none."""
+    rows = applicants.select(*(c for c in applicants.columns if c != "jobs"), F.posexplode("jobs").alias("pos", "job"))
+    return rows.select("*", (F.col("pos") + 1).alias("job_no"), "job.*").drop("pos", "job")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import cases
-from .operators import batches, chat, deposits, texts
+from .operators import batches, chat, deposits, rollups, texts
 from .views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,3 +215,32 @@ df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
 s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score
   FROM q JOIN tf USING (word) JOIN df USING (word), st GROUP BY item_id, doc_id)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s QUALIFY rank <= 5""")
+_add("vital_status", rollups.vital_status, "v_instruments", """
+SELECT batch_id, bool_and(serial_number IS NOT NULL) AS serial_number_all, bool_or(serial_number IS NOT NULL) AS serial_number_any, bool_and(image_quality IS NOT NULL) AS image_quality_all,
+  bool_or(image_quality IS NOT NULL) AS image_quality_any, bool_and(serial_number IS NULL AND image_quality IS NULL) AS not_a_document FROM v_instruments GROUP BY batch_id""", key="batch_id", vitals=("serial_number", "image_quality"))
+_add("majority_amount", rollups.majority_amounts, "v_readings", """
+, v AS (SELECT item, reading_no, amount FROM v_readings WHERE confidence >= 0.72 AND amount IS NOT NULL), n AS (SELECT item, count(*) AS n FROM v_readings GROUP BY item),
+a AS (SELECT *, (SELECT count(*) FROM v y WHERE y.item = x.item AND abs(x.amount - y.amount) <= 0.01) AS agree FROM v x)
+SELECT n.item, any_value(n) AS readings, arg_min(amount, reading_no * 100000 + amount) FILTER (2 * agree > n) AS amount FROM n LEFT JOIN a ON a.item = n.item GROUP BY n.item""".lstrip("\n"))
+_add("usage_rollup", rollups.usage_rollup, "v_usage", """
+, p AS (SELECT doc_id, phase, count(*) AS c, sum(prompt_tokens) AS a, sum(completion_tokens) AS b FROM v_usage GROUP BY ALL)
+SELECT doc_id, sum(c)::BIGINT AS calls, sum(a)::BIGINT AS prompt_tokens, sum(b)::BIGINT AS completion_tokens, sum(a + b)::BIGINT AS total_tokens, string_agg(phase || ':' || (a + b)::BIGINT, ',' ORDER BY phase) AS by_phase,
+  sum(a + b) > 120000 AS over_budget, coalesce(sum(a + b) FILTER (phase = 'recovery_pass'), 0) > 48000 AS recovery_over_share FROM p GROUP BY doc_id""".lstrip("\n"))
+_add("prompt_stats", rollups.prompt_stats, "v_contexts", """
+SELECT session_id, coalesce(sum(length(content)), 0)::BIGINT AS total_chars, coalesce(sum(length(content)) FILTER (source_type = 'uploaded'), 0)::BIGINT AS uploaded_chars,
+  coalesce(sum(least(length(content), 10000)) FILTER (source_type = 'company' AND content IS NOT NULL), 0)::BIGINT AS company_chars, (coalesce(sum(length(content)), 0) // 4)::BIGINT AS est_tokens FROM v_contexts GROUP BY session_id""")
+_add("first_source_per_file", rollups.first_sources, "v_sources", """
+SELECT answer_id, coalesce(filename, 'Unknown') AS filename, position, kind FROM v_sources QUALIFY row_number() OVER (PARTITION BY answer_id, coalesce(filename, 'Unknown') ORDER BY position, kind) = 1""")
+_add("chat_source_stats", rollups.source_stats, "v_sources", """
+SELECT filename, kind, count(*) AS citations, count(DISTINCT answer_id) AS answers FROM v_sources GROUP BY filename, kind""")
+_add("resolve_citations", lambda a, d: rollups.resolved_citations(chat.cited_numbers(a), d), "v_answers v_docmap", _CITED + """
+, j AS (SELECT c.answer_id, c.doc_num, filename FROM c LEFT JOIN v_docmap d ON d.answer_id = c.answer_id AND d.doc_num = c.doc_num),
+f AS (SELECT answer_id, filename, row_number() OVER (PARTITION BY answer_id ORDER BY min(doc_num))::INTEGER AS new_num FROM j WHERE filename IS NOT NULL GROUP BY answer_id, filename)
+SELECT j.answer_id, j.doc_num, j.filename, f.new_num FROM j LEFT JOIN f ON f.answer_id = j.answer_id AND f.filename = j.filename""".lstrip("\n"))
+_add("reassemble_tables", rollups.reassembled_tables, "v_cells", """
+, o AS (SELECT doc_id, table_idx, row_index, column_index, trim(coalesce(content, '')) AS t FROM v_cells QUALIFY row_number() OVER (PARTITION BY doc_id, table_idx, row_index, column_index ORDER BY cell_no DESC, content DESC NULLS LAST) = 1),
+r AS (SELECT doc_id, table_idx, row_index, string_agg(t, ' | ' ORDER BY column_index) AS line FROM o GROUP BY ALL)
+SELECT doc_id, table_idx, chr(10) || '--- TABLE ' || (table_idx + 1) || ' ---' || chr(10) || string_agg(line, chr(10) ORDER BY row_index) || chr(10) AS text FROM r GROUP BY doc_id, table_idx""".lstrip("\n"))
+_add("document_text", rollups.document_texts, "v_whole_texts v_doc_pages", """
+, p AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS joined FROM v_doc_pages WHERE text <> '' GROUP BY doc_id)
+SELECT d.doc_id, coalesce(nullif(content, ''), joined) AS text, CASE WHEN coalesce(nullif(content, ''), joined) IS NULL THEN 'no text' END AS error FROM v_whole_texts d LEFT JOIN p ON p.doc_id = d.doc_id""".lstrip("\n"))

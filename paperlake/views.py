@@ -75,6 +75,32 @@ SELECT l_orderkey AS doc_id, l_linenumber AS response_no,
        concat(CASE WHEN mod(l_partkey, 2) = 0 THEN '```json ' ELSE '' END, '{"vendor_name": "v', CAST(l_suppkey AS STRING), '", "total": ', CAST(l_linenumber AS STRING),
               CASE WHEN mod(l_partkey, 7) = 0 THEN ',}' WHEN mod(l_partkey, 11) = 0 THEN '' ELSE '}' END, CASE WHEN mod(l_partkey, 2) = 0 THEN ' ```' ELSE '' END) AS body
 FROM lineitem""",
+    "v_readings": """
+SELECT l_orderkey AS item, l_linenumber AS reading_no, CASE WHEN mod(l_partkey, 11) = 0 THEN NULL ELSE CAST((10000 + mod(l_suppkey, 3)) / 100.0 AS DECIMAL(12,2)) END AS amount,
+       CAST(60 + 5 * mod(l_partkey, 8) AS DOUBLE) / 100 AS confidence
+FROM lineitem""",
+    "v_usage": """
+SELECT l_orderkey AS doc_id, CASE mod(l_linenumber, 3) WHEN 0 THEN 'recovery_pass' WHEN 1 THEN 'extraction' ELSE 'verification' END AS phase,
+       CAST(floor(l_extendedprice) AS BIGINT) AS prompt_tokens, CAST(l_quantity AS BIGINT) AS completion_tokens
+FROM lineitem""",
+    "v_contexts": """
+SELECT lang AS session_id, CASE WHEN source < 'm' THEN 'uploaded' ELSE 'company' END AS source_type, text AS content FROM documents""",
+    "v_sources": """
+SELECT l_orderkey AS answer_id, l_linenumber AS position, CASE WHEN mod(l_partkey, 9) = 0 THEN NULL ELSE concat('file', CAST(mod(l_suppkey, 4) AS STRING)) END AS filename,
+       CASE WHEN mod(l_partkey, 2) = 0 THEN 'uploaded' ELSE 'company' END AS kind
+FROM lineitem""",
+    "v_docmap": """
+SELECT conv_id * 100 + turn AS answer_id, n.doc_num, concat('file', CAST(mod(conv_id + n.doc_num, 2) AS STRING)) AS filename
+FROM conversations CROSS JOIN (SELECT 1 AS doc_num UNION ALL SELECT 2 AS doc_num UNION ALL SELECT 3 AS doc_num) n WHERE role = 'assistant'""",
+    "v_cells": """
+SELECT l_orderkey AS doc_id, mod(l_linenumber, 2) AS table_idx, mod(l_partkey, 3) AS row_index, mod(l_suppkey, 2) AS column_index, l_linenumber AS cell_no,
+       CASE WHEN mod(l_partkey, 13) = 0 THEN NULL ELSE concat(' c', CAST(l_partkey AS STRING), ' ') END AS content
+FROM lineitem""",
+    "v_doc_pages": """
+SELECT conv_id AS doc_id, turn AS page_number, text FROM conversations""",
+    "v_whole_texts": """
+SELECT conv_id AS doc_id, CASE mod(conv_id, 3) WHEN 0 THEN max(text) WHEN 1 THEN '' ELSE NULL END AS content FROM conversations GROUP BY conv_id
+UNION ALL SELECT -1 - conv_id AS doc_id, NULL AS content FROM conversations GROUP BY conv_id""",
 }
 _NEEDS = {"v_batches": ["v_instruments"], "v_register": ["v_instruments"]}
 
