@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import cases
 from .operators import batches, chat, deposits, rollups, texts
+from .streaming import sessions
 from .views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -244,3 +246,33 @@ SELECT doc_id, table_idx, chr(10) || '--- TABLE ' || (table_idx + 1) || ' ---' |
 _add("document_text", rollups.document_texts, "v_whole_texts v_doc_pages", """
 , p AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS joined FROM v_doc_pages WHERE text <> '' GROUP BY doc_id)
 SELECT d.doc_id, coalesce(nullif(content, ''), joined) AS text, CASE WHEN coalesce(nullif(content, ''), joined) IS NULL THEN 'no text' END AS error FROM v_whole_texts d LEFT JOIN p ON p.doc_id = d.doc_id""".lstrip("\n"))
+
+
+def _add_stream(name: str, how: Callable[[DataFrame], DataFrame], table: str, sql: str) -> None:
+    """Registers a stream over a given table's files."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sessions.run_available(spark, f"{sf_dir}/{table}.parquet", how)
+
+    QUERIES[name] = query
+    ORACLE_SQL[name] = with_views(sql)
+
+
+def _session_events(events: DataFrame) -> DataFrame:
+    action = F.when(F.col("event_type").isin("purchase", "signup"), "upload").otherwise("chat")
+    return events.select("event_id", F.col("user_id").alias("session_id"), action.alias("action"), "ts")
+
+
+_add_stream("rate_limit", lambda events: sessions.rate_limited(_session_events(events), "1/day"), "events", """
+, e AS MATERIALIZED (SELECT event_id, session_id, action, epoch_us(ts) AS us FROM v_session_events),
+starts AS (WITH RECURSIVE s AS (SELECT session_id, action, min(us) AS t0 FROM e GROUP BY ALL UNION ALL
+  SELECT s.session_id, s.action, min(e.us) FROM s JOIN e ON e.session_id = s.session_id AND e.action = s.action AND e.us >= s.t0 + 86400000000 GROUP BY s.session_id, s.action) SELECT * FROM s),
+w AS (SELECT event_id, e.session_id, e.action, us, t0 FROM e ASOF JOIN starts s ON e.session_id = s.session_id AND e.action = s.action AND e.us >= s.t0),
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id, action, t0 ORDER BY us, event_id) AS n FROM w)
+SELECT event_id, session_id, action, n, (t0 + 86400000000 - us + 500000) // 1000000 AS retry_after FROM n WHERE n > 1""".lstrip("\n"))
+_add_stream("session_documents", lambda events: sessions.session_uploads(_session_events(events)), "events", """
+, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM v_session_events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS span FROM g),
+u AS (SELECT event_id, session_id, row_number() OVER (PARTITION BY session_id, span ORDER BY ts, event_id) AS k FROM s WHERE action = 'upload')
+SELECT event_id, session_id, k <= 5 AS taken, greatest(0, 5 - k) AS remaining FROM u""".lstrip("\n"))
+_add_stream("document_stream", texts.paginate_text, "documents", ORACLE_SQL["paginate_text"])

@@ -62,3 +62,28 @@ def test_pages_have_no_limit(spark, tmp_path):
     got = sorted((r.doc_id, r.page_number, r.chars) for r in QUERIES["paginate_text"](spark, str(tmp_path)).collect())
     assert got == [(1, i, 2000) for i in range(1, 21)] + [(1, 21, 1000), (2, 1, 1)]
     assert paginate_text(spark.read.parquet(f"{tmp_path}/documents.parquet"), most=15).count() == 16
+
+
+def test_streams_keep_state_over_batches(spark, tmp_path):
+    """Events in two files, one a batch: windows and uploads go on where the batch before ended."""
+    import datetime as dt
+
+    from paperlake.streaming.sessions import parse_limit, rate_limited, session_uploads
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "event_id long, session_id long, action string, ts timestamp_ntz"
+    for i, seconds in enumerate([(0, 10, 20), (59, 60, 61, 7300)]):
+        rows = [(100 * i + k, 1, "upload", at(s)) for k, s in enumerate(seconds)] + [(900 + i, None, "chat", at(1))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/events/batch={i}")
+    for name, how in (("limit", lambda e: rate_limited(e, "2/minute")), ("uploads", lambda e: session_uploads(e, 2))):
+        for _ in range(2):  # the second time there is nothing new
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/events")
+            out = how(stream).writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/{name}-progress")
+            out.trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.event_id, r.n, r.retry_after) for r in spark.read.parquet(f"{tmp_path}/limit").collect()) == [(2, 3, 40), (100, 4, 1)]
+    got = sorted((r.event_id, r.taken, r.remaining) for r in spark.read.parquet(f"{tmp_path}/uploads").collect())
+    assert got == [(0, True, 1), (1, True, 0), (2, False, 0), (100, False, 0), (101, False, 0), (102, False, 0), (103, True, 1)]
+    assert parse_limit(" 20/minutes") == (20, 60)
+    for wrong in ("0/minute", "x/minute", "5", "5/year"):
+        with pytest.raises(ValueError):
+            parse_limit(wrong)
