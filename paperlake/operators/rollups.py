@@ -121,3 +121,45 @@ def document_texts(docs: DataFrame, pages: DataFrame) -> DataFrame:
     joined = pages.where("text <> ''").join(bare, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_join(texts, "\n\n").alias("joined"))
     rows = docs.join(joined, "doc_id", "left").withColumn("text", F.coalesce(whole, "joined"))
     return rows.select("doc_id", "text", F.when(F.col("text").isNull(), "no text").alias("error"))
+
+
+def request_keys(requests: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The requests with ``request_key``, the SHA-256 of their fields as JSON with sorted names; nulls are part of it."""
+    body = F.to_json(F.struct(*(F.col(f) for f in sorted(fields))), {"ignoreNullFields": "false"})
+    return requests.withColumn("request_key", F.sha2(body, 256))
+
+
+def pending_requests(requests: DataFrame, cache: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Each distinct request that the cache (request_key) doesn't answer, with the smallest id that asks and how many do.
+
+    requests: (request_id, *fields). Equal requests are counted before the join, so a hot one is one row there."""
+    asked = request_keys(requests, fields).groupBy("request_key").agg(F.min("request_id").alias("request_id"), F.count(F.lit(1)).alias("asked"))
+    return asked.join(cache.select("request_key").distinct(), "request_key", "left_anti")
+
+
+def combined_rows(reads: DataFrame, readers: tuple[str, ...] = ("text", "page", "crop")) -> DataFrame:
+    """Rows of a page that several readers found, each once by serial (else account) and amount; the first reader's stays.
+
+    reads: (page_id, row_no, reader, serial_number, account_number, amount_numeric). Rows with neither a number nor an
+    amount are dropped; other readers come last. Equal rows of a reader: the smallest row_no stays."""
+    full = lambda c: F.when(F.col(c) != "", F.col(c))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, readers)), F.col("reader")), F.lit(0)), F.lit(len(readers) + 1))
+    rows = reads.withColumn("row_key", F.coalesce(full("serial_number"), full("account_number"), F.lit("")))
+    rows = rows.withColumn("amount", F.round(F.coalesce("amount_numeric", F.lit(0)), 2)).where("row_key <> '' OR amount <> 0")
+    first = F.min_by(F.struct("row_no", "reader"), F.struct(rank, F.col("row_no"))).alias("first")
+    return rows.groupBy("page_id", "row_key", "amount").agg(first).select("page_id", "row_key", "amount", "first.*")
+
+
+def upload_pages(uploads: DataFrame) -> DataFrame:
+    """One row for each page of an upload (upload_id, page_texts); pages without a number get their position, without a text an empty one.
+
+    Uploads whose page_texts is null or empty have no rows."""
+    pages = uploads.select("upload_id", F.posexplode("page_texts").alias("position", "page"))
+    number = F.coalesce(F.col("page.page_number"), F.col("position") + 1).cast("int")
+    return pages.select("upload_id", number.alias("page_number"), F.coalesce("page.text", F.lit("")).alias("page_text"))
+
+
+def upload_rows(uploads: DataFrame) -> DataFrame:
+    """One row for each upload (upload_id, extracted_text, page_texts): its pages and the length of its text, 0 for null."""
+    count = F.when(F.col("page_texts").isNull(), 0).otherwise(F.size("page_texts"))
+    return uploads.select("upload_id", count.alias("page_count"), F.coalesce(F.length("extracted_text"), F.lit(0)).alias("text_length"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cases
-from .operators import batches, chat, deposits, rollups, texts
+from .operators import batches, chat, deposits, layout, rollups, texts
 from .streaming import sessions
 from .views import view, with_views
 
@@ -248,6 +248,75 @@ _add("document_text", rollups.document_texts, "v_whole_texts v_doc_pages", """
 SELECT d.doc_id, coalesce(nullif(content, ''), joined) AS text, CASE WHEN coalesce(nullif(content, ''), joined) IS NULL THEN 'no text' END AS error FROM v_whole_texts d LEFT JOIN p ON p.doc_id = d.doc_id""".lstrip("\n"))
 
 
+_EDGES = """
+, e AS (SELECT page_id, a.region_idx AS a, b.region_idx AS b FROM v_regions a JOIN v_regions b USING (page_id)
+  WHERE a.region_idx <> b.region_idx AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
+    AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) * 1.42 >= 0.42 * ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0))),
+g AS (WITH RECURSIVE r AS (SELECT page_id, region_idx AS id, region_idx AS seen FROM v_regions UNION SELECT r.page_id, r.id, e.b FROM r JOIN e ON e.page_id = r.page_id AND e.a = r.seen)
+  SELECT page_id, id, min(seen) AS component FROM r GROUP BY page_id, id)""".lstrip("\n")
+
+
+def _region_groups(regions: DataFrame) -> DataFrame:
+    pairs = texts.overlapping_regions(regions).select("page_id", F.col("region_idx_a").alias("a"), F.col("region_idx_b").alias("b"))
+    return layout.components(regions.select("page_id", F.col("region_idx").alias("id")), pairs, "page_id")
+
+
+_add("components", _region_groups, "v_regions", _EDGES + " SELECT page_id, id, component FROM g")
+_add("merged_regions", lambda r: layout.merged_regions(r, texts.overlapping_regions(r)), "v_regions", _EDGES + """
+SELECT v.page_id, component, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, max(confidence) AS confidence, count(*) AS members
+FROM v_regions v JOIN g ON g.page_id = v.page_id AND g.id = v.region_idx GROUP BY v.page_id, component""")
+_add("nearby_words", layout.nearby_words, "v_words", """
+SELECT a.page_id, a.word_no AS word_a, b.word_no AS word_b, abs(a.x - b.x) < 0.28 AND abs(a.y - b.y) < 0.045 AS same_line
+FROM v_words a JOIN v_words b ON a.page_id = b.page_id AND a.word_no < b.word_no WHERE abs(a.x - b.x) < 0.30 AND abs(a.y - b.y) < 0.28""")
+_add("words_in_regions", layout.words_in_regions, "v_words v_scaled_regions", """
+SELECT r.page_id, r.region_idx, count(w.word_no) AS words, coalesce(string_agg(content, chr(10) ORDER BY word_no, content), '') AS text
+FROM v_scaled_regions r LEFT JOIN v_words w ON w.page_id = r.page_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY r.page_id, r.region_idx""")
+_add("anchor_groups", layout.anchor_groups, "v_words", """
+, a AS (SELECT page_id, y FROM v_words WHERE content <> 'total' QUALIFY count(*) OVER (PARTITION BY page_id) >= 4),
+s AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page_id ORDER BY y) > 0.16 THEN 1 ELSE 0 END AS cut FROM a),
+p AS (SELECT *, sum(cut) OVER (PARTITION BY page_id ORDER BY y RANGE UNBOUNDED PRECEDING) AS part FROM s),
+g AS (SELECT page_id, part, count(*) AS anchors, avg(y) AS c FROM p GROUP BY ALL HAVING count(*) > 1)
+SELECT page_id, row_number() OVER w::INTEGER AS strip, anchors, greatest(0.0::DOUBLE, coalesce((lag(c) OVER w + c) / 2, 0.0::DOUBLE) - 0.04::DOUBLE) AS top,
+  least(1.0::DOUBLE, coalesce((c + lead(c) OVER w) / 2, 1.0::DOUBLE) + 0.04::DOUBLE) AS bottom
+FROM g WINDOW w AS (PARTITION BY page_id ORDER BY part) QUALIFY count(*) OVER (PARTITION BY page_id) > 1""".lstrip("\n"))
+_add("rank_pages_for_recovery", layout.recovery_pages, "v_scored_pages", """
+, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_instruments, front_score DESC, page_number, coalesce(n_regions, 0))::INTEGER AS rank FROM v_scored_pages
+  WHERE kind = 'instrument' OR kind = 'back' OR (kind = 'unknown' AND front_score > 2) QUALIFY rank < 9),
+c AS (SELECT *, least(8, coalesce(n_regions, 0)) AS w, sum(w) OVER (PARTITION BY doc_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+SELECT doc_id, rank, page_number, (least(36, upto) - (upto - w))::BIGINT AS calls FROM c WHERE upto - w < 36""".lstrip("\n"))
+_add("deposit_consensus", layout.deposit_consensus, "v_readings", """
+, t AS (SELECT item, max(amount) FILTER (reading_no = 1) AS a, max(amount) FILTER (reading_no = 2) AS b, max(amount) FILTER (reading_no = 3) AS c FROM v_readings GROUP BY item),
+k AS (SELECT *, CASE WHEN a IS NULL THEN CASE WHEN b IS NULL THEN 1 ELSE 2 END WHEN b IS NULL OR abs(a - b) <= 0.01 OR abs(c - a) <= 0.01 THEN 1 WHEN abs(c - b) <= 0.01 THEN 2 ELSE 0 END AS n FROM t)
+SELECT item, greatest(n, 1)::INTEGER AS reading_no, CASE n WHEN 2 THEN b ELSE a END AS amount, n = 0 AS uncertain FROM k""".lstrip("\n"))
+_FIELDS = ("zoom", "kind", "page")
+
+
+def _pending(requests: DataFrame) -> DataFrame:
+    known = rollups.request_keys(requests.where("kind = 'layout' AND zoom < 2"), _FIELDS)
+    return rollups.pending_requests(requests, known, _FIELDS)
+
+
+_add("pending_requests", _pending, "v_requests", """
+SELECT sha256('{"kind":"' || kind || '","page":' || page || ',"zoom":' || zoom || '}') AS request_key, min(request_id) AS request_id, count(*) AS asked
+FROM v_requests WHERE kind <> 'layout' OR zoom >= 2 GROUP BY kind, page, zoom""")
+_add("combined_rows", rollups.combined_rows, "v_row_reads", """
+SELECT page_id, coalesce(nullif(serial_number, ''), account_number, '') AS row_key, coalesce(amount_numeric, 0) AS amount, row_no, reader FROM v_row_reads
+WHERE row_key <> '' OR amount_numeric <> 0
+QUALIFY row_number() OVER (PARTITION BY page_id, row_key, coalesce(amount_numeric, 0) ORDER BY CASE reader WHEN 'text' THEN 1 WHEN 'page' THEN 2 ELSE 3 END, row_no) = 1""")
+
+
+def _uploads(turns: DataFrame) -> DataFrame:
+    page = F.struct(F.when(F.col("role") == "user", F.col("turn")).cast("int").alias("page_number"), F.nullif(F.col("text"), F.lit("")).alias("text"))
+    listed = F.array_sort(F.collect_list(F.struct("turn", page.alias("page"))))
+    return turns.groupBy(F.col("conv_id").alias("upload_id")).agg(F.transform(listed, lambda x: x["page"]).alias("page_texts"), F.max("text").alias("extracted_text"))
+
+
+_add("append_upload_pages", lambda turns: rollups.upload_pages(_uploads(turns)), "conversations", """
+SELECT conv_id AS upload_id, CASE role WHEN 'user' THEN turn ELSE row_number() OVER (PARTITION BY conv_id ORDER BY turn) END::INTEGER AS page_number, coalesce(text, '') AS page_text FROM conversations""")
+_add("append_uploads", lambda turns: rollups.upload_rows(_uploads(turns)), "conversations", """
+SELECT conv_id AS upload_id, count(*)::INTEGER AS page_count, length(max(text))::INTEGER AS text_length FROM conversations GROUP BY conv_id""")
+
+
 def _add_stream(name: str, how: Callable[[DataFrame], DataFrame], table: str, sql: str) -> None:
     """Registers a stream over a given table's files."""
 

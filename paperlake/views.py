@@ -95,6 +95,25 @@ FROM conversations CROSS JOIN (SELECT 1 AS doc_num UNION ALL SELECT 2 AS doc_num
     "v_cells": """
 SELECT l_orderkey AS doc_id, mod(l_linenumber, 2) AS table_idx, mod(l_partkey, 3) AS row_index, mod(l_suppkey, 2) AS column_index, l_linenumber AS cell_no,
        CASE WHEN mod(l_partkey, 13) = 0 THEN NULL ELSE concat(' c', CAST(l_partkey AS STRING), ' ') END AS content
+FROM lineitem""",
+    "v_words": """
+SELECT l_orderkey AS page_id, l_linenumber AS word_no, CAST(mod(l_partkey, 64) AS DOUBLE) / 64 AS x, CAST(mod(l_suppkey * 7 + l_linenumber * 11, 64) AS DOUBLE) / 64 AS y,
+       CASE mod(l_partkey, 6) WHEN 0 THEN 'PAY' WHEN 1 THEN 'Remitter' WHEN 2 THEN 'exactly' WHEN 3 THEN 'Orders' WHEN 4 THEN 'total' ELSE NULL END AS content
+FROM lineitem""",
+    "v_scaled_regions": """
+SELECT page_id, region_idx, CAST(x0 AS DOUBLE) / 64 AS x0, CAST(y0 AS DOUBLE) / 64 AS y0, CAST(x1 AS DOUBLE) / 64 AS x1, CAST(y1 AS DOUBLE) / 64 AS y1 FROM v_regions""",
+    "v_scored_pages": """
+SELECT l_orderkey - mod(l_orderkey, 16) AS doc_id, CAST(mod(l_orderkey, 16) * 10 + l_linenumber AS INT) AS page_number,
+       CASE mod(l_partkey, 5) WHEN 0 THEN 'instrument' WHEN 1 THEN 'back' WHEN 2 THEN 'batch_report' ELSE 'unknown' END AS kind, CAST(mod(l_suppkey, 6) AS INT) AS front_score,
+       CAST(mod(l_partkey, 2) AS INT) AS n_instruments, CASE WHEN mod(l_partkey, 17) = 0 THEN NULL ELSE CAST(mod(l_suppkey * 3 + l_partkey, 12) AS INT) END AS n_regions
+FROM lineitem""",
+    "v_requests": """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, CASE mod(l_linenumber, 2) WHEN 0 THEN 'layout' ELSE 'vision' END AS kind, l_suppkey AS page, mod(l_partkey, 3) AS zoom FROM lineitem""",
+    "v_row_reads": """
+SELECT l_orderkey AS page_id, l_linenumber AS row_no, CASE mod(l_partkey, 3) WHEN 0 THEN 'text' WHEN 1 THEN 'page' ELSE 'crop' END AS reader,
+       CASE WHEN mod(l_partkey, 4) = 0 THEN NULL WHEN mod(l_partkey, 4) = 1 THEN '' ELSE concat('7', CAST(mod(l_suppkey, 2) AS STRING)) END AS serial_number,
+       CASE WHEN mod(l_partkey, 5) = 0 THEN NULL ELSE concat('A', CAST(mod(l_suppkey, 2) AS STRING)) END AS account_number,
+       CASE WHEN mod(l_partkey, 7) = 0 THEN NULL ELSE CAST(mod(l_suppkey, 3) AS DECIMAL(12,2)) END AS amount_numeric
 FROM lineitem""",
     "v_doc_pages": """
 SELECT conv_id AS doc_id, turn AS page_number, text FROM conversations""",
@@ -102,7 +121,7 @@ SELECT conv_id AS doc_id, turn AS page_number, text FROM conversations""",
 SELECT conv_id AS doc_id, CASE mod(conv_id, 3) WHEN 0 THEN max(text) WHEN 1 THEN '' ELSE NULL END AS content FROM conversations GROUP BY conv_id
 UNION ALL SELECT -1 - conv_id AS doc_id, NULL AS content FROM conversations GROUP BY conv_id""",
 }
-_NEEDS = {"v_batches": ["v_instruments"], "v_register": ["v_instruments"]}
+_NEEDS = {"v_batches": ["v_instruments"], "v_register": ["v_instruments"], "v_scaled_regions": ["v_regions"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
