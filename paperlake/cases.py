@@ -218,3 +218,26 @@ _add("limit_pages", rollups.limited_pages, "document_type string, is_pdf boolean
     (("income", True, 8), [("income", True, 8)]), (("income", False, 9), []), (("insurance", True, 10), [("insurance", True, 10)]), (("insurance", True, 11), []), (("vendor", True, 4), []),
     (("id", True, 2), [("id", True, 2)]), (("id", True, 3), []), (("id", False, 9), [("id", False, 9)]), (("other", True, 99), [("other", True, 99)]),
 ])
+_add("map_id_type", records.id_types, "doc_type string, type_field string, number string", "id_type VARCHAR", [
+    (("idDocument.passport", "driver", None), "passport"), (("idDocument.socialSecurityCard", None, None), "social_security"), (("idDocument.driverLicense", None, None), "driver_license"),
+    ((None, " p ", None), "passport"), ((None, "Pasaporté", None), "passport"), ((None, "ПАСПОРТ", None), "passport"), ((None, "Green Card", None), "residence_permit"),
+    (("idDocument", "Seguro Social", None), "social_security"), ((None, "Alien Registration", None), "foreign_id"), ((None, "Identity card", None), "state_id"), ((None, "National Identification", None), "national_id"),
+    ((None, None, " 123-45-6789 "), "social_security"), ((None, "", "123456789"), "id"), ((None, None, None), "id"), (("idDocument.residence_permit", None, None), "residence_permit"), ((None, "Work visa", None), "visa"),
+])
+_add("should_extract_unknown", records.maybe_instruments, "text string, front_score int", "may_be BOOLEAN", [
+    (("", 0), True), ((None, None), True), ((" \n", 0), True), (("Deposit  Detail Report $ 5", 9), False), (("short", 1), True), (("short", 0), False), (("x" * 500, 1), False), (("x" * 500, 2), True),
+    (("x" * 500 + " money order", None), True), (("costs $ 7", 0), True), (("cashiers", 0), False), (("pls", 0), True),
+])
+_INVOICE = "vendor_name string, customer_name string, vendor_phone_number string, invoice_id string, unit_list string, source_text string"
+_BILL = "ACME Roofing Company of Reno\nPhone (775) 555-0101\nInvoice INV 2024-77\nApt 12B, #4"
+_add("ground_fields", lambda df: records.grounded(df.withColumn("units", F.split("unit_list", ","))).withColumn("kept_units", F.array_join("units", ",")), _INVOICE,
+     "vendor_name VARCHAR, customer_name VARCHAR, vendor_phone_number VARCHAR, invoice_id VARCHAR, kept_units VARCHAR", [
+    (("Acme Roofing", "Bob Stone", "775-555-0101", "INV2024-77", "12b,4,9,99Z", _BILL), ("Acme Roofing", None, "775-555-0101", "INV2024-77", "12b,4")),
+    (("Acme Roofing Company Inc", "X Y", "775-555-0102", "2024/88", "C", _BILL), ("Acme Roofing Company Inc", "X Y", None, "2024/88", "C")),
+    (("Acme Paving Company", "", "none", "ZZ-9", None, _BILL), (None, "", "none", None, None)),
+    (("Acme", None, None, None, "7", None), (None, None, None, None, "")), ((None, None, "", "", "12", _BILL), (None, None, "", "", "12")),
+])
+_RECORD = "a string, b struct<c:int,d:array<string>>, e array<struct<f:string,g:double>>, h map<string,string>"
+_add("field_count", lambda df: records.counted_fields(df.withColumn("record", F.from_json("body", _RECORD)), "record"), "body string", "n_fields INTEGER", [
+    ('{"a":"x","b":{"c":0,"d":["p","",null,"q"]},"e":[{"f":"y","g":1.5},{"f":""}],"h":{"k":"v","l":""}}', 7), ("{}", 0), (None, 0), ('{"a":"","b":{"c":null,"d":[]}}', 0), ('{"a":"z","e":[null]}', 1),
+])

@@ -124,3 +124,13 @@ def deposit_consensus(readings: DataFrame, slack: float = 0.01) -> DataFrame:
     return by.select(
         "item", F.when(second, 2).otherwise(1).alias("reading_no"), F.when(second, F.col("t2")).otherwise(F.col("t1")).alias("amount"), unsure.alias("uncertain")
     )
+
+
+def front_census(pages: DataFrame) -> DataFrame:
+    """Visible fronts of each document, and whether a page is known to hold several that haven't been read.
+
+    pages: (doc_id, strong_rows, census_count, classification). A page counts what was read or what the census saw,
+    whichever is more; nulls are 0."""
+    strong, seen = F.coalesce("strong_rows", F.lit(0)), F.coalesce("census_count", F.lit(0))
+    several = F.coalesce(F.col("classification").isin("multi_front", "report_with_fronts"), F.lit(False)) & (seen >= 2) & (seen > strong)
+    return pages.groupBy("doc_id").agg(F.sum(F.greatest(strong, seen)).alias("fronts"), F.bool_or(several).alias("multi_front"))

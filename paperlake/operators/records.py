@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import is_empty
 from ..functions import normalise as N
@@ -178,3 +179,81 @@ def exploded_jobs(applicants: DataFrame) -> DataFrame:
     """One row for each job of an applicant, numbered from 1; missing lists of jobs give none."""
     rows = applicants.select(*(c for c in applicants.columns if c != "jobs"), F.posexplode("jobs").alias("pos", "job"))
     return rows.select("*", (F.col("pos") + 1).alias("job_no"), "job.*").drop("pos", "job")
+
+
+#: Kinds of identity documents, as marks of the model's type and as words of the type field, in order.
+ID_TYPES = (
+    ("social_security", ("socialsecurity", "social_security", "ssn")), ("passport", ("passport",)), ("driver_license", ("driverlicense", "driver_license")),
+    ("national_id", ("nationalidentitycard", "national_identity_card")), ("residence_permit", ("residencepermit", "residence_permit")), ("visa", ("visa",)),
+)
+ID_WORDS = (
+    ("social_security", ("social security", "seguro social", "ssn")), ("driver_license", ("driver", "licence", "license", "dl")),
+    ("passport", ("passport", "pasaporte", "passaporte", "pasaport", "passaporto", "reisepass", "паспорт")),
+    ("residence_permit", ("residence", "residency", "permit", "green card", "permanent resident")), ("visa", ("visa",)),
+    ("national_id", ("national id", "national identification", "citizen id", "citizenship card")),
+    ("foreign_id", ("foreign id", "alien id", "immigration id", "alien registration")), ("state_id", ("id", "identity", "identification")),
+)
+#: Reports that hold no instrument, and words of instruments.
+REPORT_TEXT = r"(?i)DETAILS\s+OF\s+DEPOSITS\s+BY\s+ACCOUNT|DEPOSIT\s+DETAIL\s+REPORT|CAPTURE\s+SEQ|TOTAL\s+OF\s+DEPOSITS\s+SUBMITTED"
+INSTRUMENT_TEXT = r"(?i)\b(PAY\s+EXACTLY|PAY\s+TO\s+THE\s+ORDER|MONEY\s*ORDER|CASHIER|WESTERN\s+UNION|MONEYGRAM|INTERMEX|BARRI|FIDELITY|PLS)\b|\$\s*\d"
+SPARSE = 500
+
+
+def id_types(df: DataFrame) -> DataFrame:
+    """``id_type`` of identity documents (doc_type, type_field, number): by the model's type, then by words of the type
+    field, then by the shape of the number, else ``id``. Case and accents don't count; nulls say nothing."""
+    holds = lambda c, words: F.greatest(F.lit(False), *(F.collate(F.coalesce(F.col(c), F.lit("")), "UNICODE_CI_AI").contains(w) for w in words))
+    first = lambda c, rules: F.coalesce(*(F.when(holds(c, words), F.lit(kind)) for kind, words in rules))
+    letter = F.when(F.upper(N.stripped(F.col("type_field"))) == "P", F.lit("passport"))
+    social = F.when(N.stripped(F.col("number")).rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.lit("social_security"))
+    return df.withColumn("id_type", F.coalesce(first("doc_type", ID_TYPES), letter, first("type_field", ID_WORDS), social, F.lit("id")))
+
+
+def maybe_instruments(pages: DataFrame) -> DataFrame:
+    """``may_be``: whether an unknown page (text, front_score) is worth the costly reader: it has no text, or it is no
+    report and has little text and some front score, a front score of two, or words of an instrument. Nulls are empty and 0."""
+    text, score = N.stripped(F.coalesce("text", F.lit(""))), F.coalesce("front_score", F.lit(0))
+    fits = ((F.length(text) < SPARSE) & (score >= 1)) | (score >= 2) | text.rlike(INSTRUMENT_TEXT)
+    return pages.withColumn("may_be", F.when(text == "", True).when(text.rlike(REPORT_TEXT), False).otherwise(fits))
+
+
+def grounded(df: DataFrame) -> DataFrame:
+    """Invoice fields (vendor_name, customer_name, vendor_phone_number, invoice_id, units) that source_text supports; others become null.
+
+    A name needs 70 % of its words of three letters or more in the text, a phone number its digits among the text's
+    digits, an id its letters without blanks or one long part. Units stay that the text holds as written or by their
+    digits, so units without digits always stay. Null texts are empty; null and empty fields stay."""
+    text = F.lower(F.coalesce("source_text", F.lit("")))
+    compact = lambda c: F.regexp_replace(c, r"\s+", "")
+    digits = lambda c: F.regexp_replace(c, r"[^0-9]", "")
+
+    def name(c: str) -> Column:
+        words = F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda w: F.length(w) > 2)
+        return F.when(10 * F.size(F.filter(words, text.contains)) < 7 * F.size(words), None).otherwise(F.col(c))
+
+    parts = F.filter(F.regexp_extract_all("invoice_id", F.lit(r"(?U)\w+"), 0), lambda w: F.length(w) > 2)
+    known = compact(text).contains(F.lower(compact(F.col("invoice_id")))) | F.exists(parts, lambda w: text.contains(F.lower(w)))
+    unit = lambda u: F.coalesce(text.contains(F.lower(N.stripped(u))) | text.contains(digits(u)), F.lit(True))
+    phone = digits(text).contains(digits(F.col("vendor_phone_number")))
+    return df.withColumns({
+        "vendor_name": name("vendor_name"), "customer_name": name("customer_name"), "units": F.filter("units", unit),
+        "vendor_phone_number": F.when(phone, F.col("vendor_phone_number")), "invoice_id": F.when(known, F.col("invoice_id")),
+    })
+
+
+def field_count(c: Column, kind: T.DataType) -> Column:
+    """How many leaves of a nested value aren't null or empty; the expression follows the type, so no row is interpreted."""
+    total = lambda values, of: F.coalesce(F.aggregate(values, F.lit(0), lambda n, x: n + field_count(x, of)), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((field_count(c[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        return total(c, kind.elementType)
+    if isinstance(kind, T.MapType):
+        return total(F.map_values(c), kind.valueType)
+    empty = is_empty(c) if isinstance(kind, T.StringType) else c.isNull()
+    return F.when(empty, 0).otherwise(1)
+
+
+def counted_fields(df: DataFrame, record: str) -> DataFrame:
+    """The rows with ``n_fields``, the filled leaves of one nested column; 0 where it is null."""
+    return df.withColumn("n_fields", field_count(F.col(record), df.schema[record].dataType))

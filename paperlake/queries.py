@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cases
@@ -284,6 +284,15 @@ _add("rank_pages_for_recovery", layout.recovery_pages, "v_scored_pages", """
   WHERE kind = 'instrument' OR kind = 'back' OR (kind = 'unknown' AND front_score > 2) QUALIFY rank < 9),
 c AS (SELECT *, least(8, coalesce(n_regions, 0)) AS w, sum(w) OVER (PARTITION BY doc_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM r)
 SELECT doc_id, rank, page_number, (least(36, upto) - (upto - w))::BIGINT AS calls FROM c WHERE upto - w < 36""".lstrip("\n"))
+
+
+def _kinds() -> Column:
+    return F.when(F.col("kind") == "instrument", "multi_front").when(F.col("kind") == "back", "report_with_fronts")
+
+
+_add("front_census", lambda p: layout.front_census(p.select("doc_id", F.col("n_instruments").alias("strong_rows"), F.col("n_regions").alias("census_count"), _kinds().alias("classification"))), "v_scored_pages", """
+SELECT doc_id, sum(greatest(n_instruments, coalesce(n_regions, 0)))::BIGINT AS fronts, bool_or(kind IN ('instrument', 'back') AND coalesce(n_regions, 0) > greatest(1, n_instruments)) AS multi_front
+FROM v_scored_pages GROUP BY doc_id""")
 _add("deposit_consensus", layout.deposit_consensus, "v_readings", """
 , t AS (SELECT item, max(amount) FILTER (reading_no = 1) AS a, max(amount) FILTER (reading_no = 2) AS b, max(amount) FILTER (reading_no = 3) AS c FROM v_readings GROUP BY item),
 k AS (SELECT *, CASE WHEN a IS NULL THEN CASE WHEN b IS NULL THEN 1 ELSE 2 END WHEN b IS NULL OR abs(a - b) <= 0.01 OR abs(c - a) <= 0.01 THEN 1 WHEN abs(c - b) <= 0.01 THEN 2 ELSE 0 END AS n FROM t)
