@@ -241,3 +241,13 @@ _RECORD = "a string, b struct<c:int,d:array<string>>, e array<struct<f:string,g:
 _add("field_count", lambda df: records.counted_fields(df.withColumn("record", F.from_json("body", _RECORD)), "record"), "body string", "n_fields INTEGER", [
     ('{"a":"x","b":{"c":0,"d":["p","",null,"q"]},"e":[{"f":"y","g":1.5},{"f":""}],"h":{"k":"v","l":""}}', 7), ("{}", 0), (None, 0), ('{"a":"","b":{"c":null,"d":[]}}', 0), ('{"a":"z","e":[null]}', 1),
 ])
+_add("should_extract", records.extracted_pages, "kind string, front_score int, text string, multi_front boolean", "should_extract BOOLEAN, skip_reason VARCHAR", [
+    (("instrument", 0, "x", None), (True, None)), (("back", 9, "x", False), (False, "page_kind_excluded")), (("back", 0, "x", True), (True, None)), (("blank", 0, "", True), (False, "page_kind_excluded")),
+    (("deposit_ticket", 3, "x", None), (True, None)), (("deposit_ticket", 2, "x", None), (False, "page_kind_excluded")), (("unknown", 0, "text", None), (False, "unknown_keyword_miss")), (("unknown", 0, "text", True), (True, None)),
+    ((None, None, None, None), (True, None)), (("batch_header", None, "x", None), (False, "page_kind_excluded")), (("report_with_instruments", None, None, None), (True, None)),
+])
+_ITEMS = "array<struct<description:string,n:int>>"
+_add("clean_whitespace", lambda df: records.clean_whitespace(df.withColumn("items", F.from_json("body", _ITEMS)), ("vendor_name",), "items").withColumn("line_items", F.to_json("items")),
+     "vendor_name string, body string", "vendor_name VARCHAR, line_items VARCHAR", [
+    ((" A\n\t B ", '[{"description":"x \\n y","n":1},{"n":2}]'), ("A B", '[{"description":"x y","n":1},{"n":2}]')), ((None, None), (None, "[]")), (("", "[]"), ("", "[]")),
+])

@@ -257,3 +257,32 @@ def field_count(c: Column, kind: T.DataType) -> Column:
 def counted_fields(df: DataFrame, record: str) -> DataFrame:
     """The rows with ``n_fields``, the filled leaves of one nested column; 0 where it is null."""
     return df.withColumn("n_fields", field_count(F.col(record), df.schema[record].dataType))
+
+
+def extracted_pages(pages: DataFrame) -> DataFrame:
+    """``should_extract`` and ``skip_reason`` of pages (kind, front_score, text, multi_front).
+
+    Instruments always; unknown pages by maybe_instruments; blanks, backs and headers never, other kinds by a front
+    score of three; a page known to hold several fronts in any case unless it is blank. A null kind is like unknown."""
+    kind = F.coalesce("kind", F.lit("unknown"))
+    rows = maybe_instruments(pages)
+    plain = (
+        F.when(kind == "unknown", F.col("may_be"))
+        .when(kind.isin("blank", "back", "batch_header"), False)
+        .when(kind.isin("instrument", "report_with_instruments"), True)
+        .otherwise(F.coalesce("front_score", F.lit(0)) >= 3)
+    )
+    takes = plain | (F.coalesce("multi_front", F.lit(False)) & (kind != "blank"))
+    why = F.when(kind == "unknown", "unknown_keyword_miss").otherwise("page_kind_excluded")
+    return rows.withColumn("should_extract", takes).withColumn("skip_reason", F.when(~takes, why)).drop("may_be")
+
+
+def clean_whitespace(df: DataFrame, fields: tuple[str, ...], items: str | None = None) -> DataFrame:
+    """The named texts with each run of blanks and line ends as one blank, none at the ends; also the description of each
+    struct of the array ``items``. Nulls stay, and a null array becomes an empty one."""
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    out = df.withColumns({f: tidy(F.col(f)) for f in fields})
+    if items is None:
+        return out
+    cleaned = F.transform(items, lambda i: i.withField("description", tidy(i["description"])))
+    return out.withColumn(items, F.coalesce(cleaned, F.array().cast(df.schema[items].dataType)))
