@@ -201,8 +201,14 @@ SPARSE = 500
 
 def id_types(df: DataFrame) -> DataFrame:
     """``id_type`` of identity documents (doc_type, type_field, number): by the model's type, then by words of the type
-    field, then by the shape of the number, else ``id``. Case and accents don't count; nulls say nothing."""
-    holds = lambda c, words: F.greatest(F.lit(False), *(F.collate(F.coalesce(F.col(c), F.lit("")), "UNICODE_CI_AI").contains(w) for w in words))
+    field, then by the shape of the number, else ``id``. Case and accents don't count; nulls say nothing.
+    Texts with other letters than ASCII's are compared by a collation, which is slower."""
+
+    def holds(c: str, words: tuple[str, ...]) -> Column:
+        text = F.coalesce(F.col(c), F.lit(""))
+        any_of = lambda t: F.greatest(F.lit(False), *(t.contains(w) for w in words))
+        return F.when(text.rlike(r"^\p{ASCII}*$"), any_of(F.lower(text))).otherwise(any_of(F.collate(text, "UNICODE_CI_AI")))
+
     first = lambda c, rules: F.coalesce(*(F.when(holds(c, words), F.lit(kind)) for kind, words in rules))
     letter = F.when(F.upper(N.stripped(F.col("type_field"))) == "P", F.lit("passport"))
     social = F.when(N.stripped(F.col("number")).rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.lit("social_security"))

@@ -145,7 +145,7 @@ def combined_rows(reads: DataFrame, readers: tuple[str, ...] = ("text", "page",
     full = lambda c: F.when(F.col(c) != "", F.col(c))
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, readers)), F.col("reader")), F.lit(0)), F.lit(len(readers) + 1))
     rows = reads.withColumn("row_key", F.coalesce(full("serial_number"), full("account_number"), F.lit("")))
-    rows = rows.withColumn("amount", F.round(F.coalesce("amount_numeric", F.lit(0)), 2)).where("row_key <> '' OR amount <> 0")
+    rows = rows.withColumn("amount", F.round(F.coalesce("amount_numeric", F.lit(0)), 2).cast(reads.schema["amount_numeric"].dataType)).where("row_key <> '' OR amount <> 0")
     first = F.min_by(F.struct("row_no", "reader"), F.struct(rank, F.col("row_no"))).alias("first")
     return rows.groupBy("page_id", "row_key", "amount").agg(first).select("page_id", "row_key", "amount", "first.*")
 
