@@ -167,6 +167,85 @@ def op7_nearest_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_cosine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+#: crc32 of a text's bytes in SQL: the usual table from its polynomial, then one step a byte.
+CRC_SQL = """
+crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM (SELECT unnest(range(256))::BIGINT AS i))"""
+OP11_SQL = f"""
+WITH {CRC_SQL},
+own AS MATERIALIZED (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns, any_value(conv_id)::VARCHAR AS name
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, turns, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(name) + 1), lambda i: ascii(name[i]))::BIGINT[]),
+                                  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h FROM own, crc_table),
+seqs AS MATERIALIZED (
+  SELECT x.conv_id, list_concat(coalesce(y.turns[:x.h], []), x.turns[x.h + 1:]) AS seq
+  FROM hashed x LEFT JOIN own y ON y.conv_id = x.conv_id - x.conv_id % 100),
+members AS (SELECT conv_id, len(seq) AS n, d, seq[:d] AS p FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM seqs)),
+nodes AS MATERIALIZED (
+  SELECT d, p, p[:d - 1] AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(p[d].text) END AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM members GROUP BY d, p),
+children AS (SELECT d - 1 AS d, up AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (d, p)),
+subtrees AS (
+  SELECT a AS d, p[:a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM full_nodes) GROUP BY ALL)
+SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM full_nodes x JOIN subtrees s ON s.d = x.d AND s.p = x.p LEFT JOIN nodes u ON u.d = x.d - 1 AND u.p = x.up
+"""
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = rf"""
+WITH {CRC_SQL},
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, text, true AS own FROM documents UNION ALL SELECT NULL, NULL, text, false FROM benchmark),
+words AS MATERIALIZED (
+  SELECT r, doc_id, own, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+hashed AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)),
+                            lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w, hex(encode(w)) AS x FROM words), crc_table),
+counted AS MATERIALIZED (SELECT r, own, bucket, count(*) AS n FROM words JOIN hashed USING (w) GROUP BY ALL),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT bucket, coalesce(sum(n) FILTER (own), 0)::BIGINT AS s, coalesce(sum(n) FILTER (NOT own), 0)::BIGINT AS t FROM counted GROUP BY bucket)),
+weighed AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM counted JOIN gain USING (bucket) WHERE own GROUP BY r),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM texts LEFT JOIN weighed USING (r) WHERE own),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, n_features) AS place,
+         count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM placed
+"""
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import digest
+
+    return digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
@@ -178,5 +257,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_piece_tokens": op9_piece_tokens,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_importance_resample": op12_importance_resample,
+    "op13_byte_bpe": op13_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_exact_top_k": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_exact_top_k": OP5_SQL, "op11_prefix_trie": OP11_SQL, "op12_importance_resample": OP12_SQL}
