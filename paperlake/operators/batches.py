@@ -115,26 +115,37 @@ def keep_best(instruments: DataFrame) -> DataFrame:
     return rows.where("r = 1").select("batch_id", "serial_number", "line_no", "fields")
 
 
-def _identity_keys(*columns: str) -> list[Column]:
-    """The digits of serials, MICR lines and check numbers without leading zeros, and their last ten; null where there are none."""
-    keys = []
-    for c in columns:
-        d = F.ltrim(N.digits(N.serial(F.col(c))), F.lit("0"))
-        keys += [F.when(d != "", d), F.when(F.length(d) > 4, F.right(d, F.lit(10)))]
-    return keys
+def identity_keys(*columns: str) -> Column:
+    """The digits of serials, MICR lines and check numbers without leading zeros, and the last ten of more than four, each once."""
+    digits = F.transform(F.array(*columns), lambda c: F.ltrim(N.digits(N.serial(c)), F.lit("0")))
+    both = F.transform(digits, lambda d: F.array(F.when(d != "", d), F.when(F.length(d) > 4, F.right(d, F.lit(10)))))
+    return F.array_distinct(F.array_compact(F.flatten(both)))
+
+
+def _match_keys(df: DataFrame) -> Column:
+    """Identity keys, and one of unit and amount."""
+    fields = [c for c in ("serial_number", "micr_line", "check_number") if c in df.columns]
+    by_unit = F.concat(F.lit("u"), "unit", F.lit("|"), F.col("amount_numeric").cast("decimal(14,2)").cast("string"))
+    return F.array_compact(F.concat(identity_keys(*fields), F.array(by_unit)))
+
+
+def without_match(register: DataFrame, visible: DataFrame) -> DataFrame:
+    """Register rows, with all their columns, that share neither an identity key nor (unit, amount) with a visible row of their batch.
+
+    Whether a row matches depends on its batch and keys only, so keys are exploded and joined once, and what matched is
+    taken out by batch and keys; repeated rows share their fate."""
+    rows = register.withColumn("keys", _match_keys(register))
+    known = visible.select("batch_id", F.explode(_match_keys(visible)).alias("key")).distinct()
+    listed = rows.select("batch_id", "keys").distinct().withColumn("key", F.explode("keys"))
+    matched = listed.join(known, ["batch_id", "key"], "left_semi").select("batch_id", "keys").distinct()
+    return rows.join(matched, ["batch_id", "keys"], "left_anti").drop("keys")
 
 
 def unmatched_register(register: DataFrame, visible: DataFrame) -> DataFrame:
     """Register rows that share neither an identity key nor (unit, amount) with a visible row of their batch: equi joins only.
 
     Identity keys are the digits of serials, and of micr_line and check_number where the tables have them."""
-    fields = lambda df: [c for c in ("serial_number", "micr_line", "check_number") if c in df.columns]
-    keys = visible.select("batch_id", F.explode(F.array_distinct(F.array_compact(F.array(*_identity_keys(*fields(visible)))))).alias("key")).distinct()
-    by_unit = visible.where("unit IS NOT NULL AND amount_numeric IS NOT NULL").select("batch_id", "unit", "amount_numeric").distinct()
-    rows = register.join(by_unit, ["batch_id", "unit", "amount_numeric"], "left_anti")
-    for key in _identity_keys(*fields(register)):
-        rows = rows.withColumn("key", key).join(keys, ["batch_id", "key"], "left_anti").drop("key")
-    return rows.select("batch_id", "line_no", "serial_number", "unit", "amount_numeric", "source")
+    return without_match(register, visible).select("batch_id", "line_no", "serial_number", "unit", "amount_numeric", "source")
 
 
 def placeholders(unmatched: DataFrame) -> DataFrame:

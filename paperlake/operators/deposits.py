@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folds import fold
+from ..tables import written
+
 #: How much a kind of source is trusted.
 RANKS = {
     "yottareal_report": 100,
@@ -30,35 +35,78 @@ def quality() -> Column:
     return rank + points + F.when(F.col("deposit_account").isNotNull(), 8).otherwise(0) + F.when(F.col("deposit_date").isNotNull(), 5).otherwise(0) + sure * 10
 
 
-def same_deposit_pairs(deposits: DataFrame) -> DataFrame:
-    """Pairs of pages of one document that show one deposit.
+#: What tells the two rows of a pair apart.
+_FACTS = ("page_number", "deposit_account", "item_count", "deposit_transaction", "deposit_date", "deposit_amount", "source_type", "family")
+
+
+def _variants(a: Column, b: Column) -> Column:
+    """Whether two amounts may be readings of one: equal, ten times, or within a tenth or 1000; unknown ones may."""
+    high, low = F.greatest(a, b).cast("double"), F.least(a, b).cast("double")
+    ratio = (low > 0) & (F.abs(high / low - 10) <= 0.25)
+    near = (low > 0) & (high - low <= F.greatest(F.lit(1000.0), high * 0.1))
+    return a.isNull() | b.isNull() | F.coalesce((F.abs(a - b) <= 0.01) | ratio | near, F.lit(False))
+
+
+def same_deposit_rows(deposits: DataFrame, key: str) -> DataFrame:
+    """Pairs (doc_id, a, b), a < b, of a document's rows, told by ``key``, that show one deposit.
 
     Transactions, accounts, dates and counts (one apart at most) must not contradict each other, amounts must be equal
     or readings of one another (ten times, or within a tenth); then an equal transaction, two of account, date and
-    count, equal counts beside an accounting report, or equal amounts of a receipt and its ticket make the pair.
-    One kind of report may show other transactions and counts of the same deposit."""
-    names = ("page_number", "deposit_account", "item_count", "deposit_transaction", "deposit_date", "deposit_amount", "source_type")
-    a, b = (deposits.select("doc_id", *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in "ab")
+    count, equal counts beside an accounting report, equal amounts of a receipt and its ticket, or equal counts of one source system beside a
+    receipt or summary make the pair, and of pages near each other equal amounts with an equal count, or of one source system with an equal date or as
+    representations of one kind. One kind of report may show other transactions and counts of the same deposit.
+
+    Each of these ways holds an equality, so rows meet by the equalities they have and not by document; each pair comes once. deposits may have
+    source_system; without it the ways that need one don't apply."""
+    family = F.upper(F.regexp_replace("source_system", "[^A-Za-z0-9]", "")) if "source_system" in deposits.columns else F.lit(None).cast("string")
+    rows = deposits.withColumns({
+        "family": F.when(family != "", family), "deposit_account": F.try_element_at(F.regexp_extract_all("deposit_account", F.lit("([0-9]{4,})")), F.lit(-1)),
+        "deposit_transaction": F.nullif(F.upper(F.regexp_replace("deposit_transaction", "[^A-Za-z0-9]", "")), F.lit("")),
+    })
+    n = F.when(F.col("item_count") > 0, F.col("item_count")).cast("string")
+    cents, page = F.round(F.col("deposit_amount") * 100).cast("long"), F.floor((F.col("page_number") - 1) / 5)
+    paper = ("bank_receipt", "deposit_ticket", "handwritten_ocr", "summary_page")
+
+    def ways(side: int) -> Column:
+        """Equalities, each under a name; amounts may differ by a cent, pages by a step, and of some ways one side must be of one kind and the other of another."""
+        key = lambda name, *cs: F.concat(F.lit(name), *(x for c in cs for x in (F.lit("|"), c.cast("string"))))
+        account, date, is_a = F.col("deposit_account"), F.col("deposit_date"), lambda *names: F.col("source_type").isin(*names)
+        amounts, pages = ([x + d for d in ((-1, 0, 1) if side else (0,))] for x in (cents, page))
+        out = [key("t", F.col("deposit_transaction")), key("ad", account, date), key("an", account, n), key("dn", date, n)]
+        for name, kinds, others, *cs in (("rn", ("yottareal_report",), None, n), ("fn", ("bank_receipt", "summary_page"), None, F.col("family"), n), ("cr", ("bank_receipt",), ("deposit_ticket", "handwritten_ocr"))):
+            for x in [cs] if cs else [[c] for c in amounts]:
+                # the special kind stands on side a under one name, on side b under the other
+                special, other = F.when(is_a(*kinds), key(f"{name}{side}", *x)), key(f"{name}{1 - side}", *x)
+                out += [special, F.when(is_a(*others), other) if others else other]
+        for c in amounts:
+            out += [key(name, c, x, p) for p in pages for name, x in (("cn", n), ("cf", F.col("family")))]
+        return F.array_compact(F.array(*out))
+
+    a = rows.select("doc_id", F.col(key).alias("a"), *(F.col(c).alias(f"{c}_a") for c in _FACTS), F.explode(ways(0)).alias("way"))
+    b = rows.select("doc_id", F.col(key).alias("b"), *(F.col(c).alias(f"{c}_b") for c in _FACTS), F.explode(ways(1)).alias("way"))
     x, y = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     same = lambda c: yes(x(c) == y(c))
     na, nb = F.when(x("item_count") > 0, x("item_count")), F.when(y("item_count") > 0, y("item_count"))
     same_n = yes(na == nb)
     reports = (x("source_type") == "regions_report") & (y("source_type") == "regions_report")
-    high, low = F.greatest(x("deposit_amount"), y("deposit_amount")), F.least(x("deposit_amount"), y("deposit_amount"))
-    exact = yes(high - low <= 0.01)
-    ratio = yes((low > 0) & (F.abs(high.cast("double") / low.cast("double") - 10) <= 0.25))
-    near = yes((low > 0) & ((high - low).cast("double") <= F.greatest(F.lit(1000.0), high.cast("double") * 0.1)))
-    variants = x("deposit_amount").isNull() | y("deposit_amount").isNull() | exact | ratio | near
+    exact = yes(F.abs(x("deposit_amount") - y("deposit_amount")) <= 0.01)
     kinds = lambda one, *others: ((x("source_type") == one) & y("source_type").isin(*others)) | ((y("source_type") == one) & x("source_type").isin(*others))
-    account, date, transaction = same("deposit_account"), same("deposit_date"), same("deposit_transaction")
-    report = (x("source_type") == "yottareal_report") | (y("source_type") == "yottareal_report")
-    close = F.abs(x("page_number") - y("page_number")) <= 4
-    like = (account & date) | (account & same_n) | (date & same_n) | (same_n & report) | (exact & kinds("bank_receipt", "deposit_ticket", "handwritten_ocr")) | (exact & same_n & close)
+    either = lambda *names: x("source_type").isin(*names) | y("source_type").isin(*names)
+    account, date, transaction, family = same("deposit_account"), same("deposit_date"), same("deposit_transaction"), same("family")
+    close = yes((F.abs(x("page_number") - y("page_number")) <= 4) & (x("page_number") > 0) & (y("page_number") > 0))
+    like = (account & date) | (account & same_n) | (date & same_n) | (same_n & either("yottareal_report")) | (exact & kinds("bank_receipt", "deposit_ticket", "handwritten_ocr")) | (exact & same_n & close)
+    like = like | (family & same_n & either("bank_receipt", "summary_page")) | (exact & family & close & (date | (x("source_type").isin(*paper) & y("source_type").isin(*paper))))
     against = (yes(x("deposit_transaction") != y("deposit_transaction")) & ~reports) | yes(x("deposit_account") != y("deposit_account"))
-    but = yes(x("deposit_date") != y("deposit_date")) | (yes(F.abs(na - nb) > 1) & ~reports) | ~variants
-    pairs = a.join(b, "doc_id").where((x("page_number") < y("page_number")) & ~against & (transaction | (~but & like)))
-    return pairs.select("doc_id", "page_number_a", "page_number_b")
+    but = yes(x("deposit_date") != y("deposit_date")) | (yes(F.abs(na - nb) > 1) & ~reports) | ~_variants(x("deposit_amount"), y("deposit_amount"))
+    pairs = a.join(b, ["doc_id", "way"]).where(F.col("a") != F.col("b")).where(~against & (transaction | (~but & like)))
+    return pairs.select("doc_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def same_deposit_pairs(deposits: DataFrame) -> DataFrame:
+    """``same_deposit_rows`` by page_number."""
+    pairs = same_deposit_rows(deposits, "page_number")
+    return pairs.select("doc_id", F.col("a").alias("page_number_a"), F.col("b").alias("page_number_b"))
 
 
 def _order() -> Column:
@@ -127,3 +175,100 @@ def expected_items(deposits: DataFrame, batches: DataFrame) -> DataFrame:
     partial = (F.col("slips") > 1) & (F.col("counted") < F.col("slips"))
     expected = F.when(partial, given).otherwise(F.coalesce("items", given))
     return rows.select("batch_id", expected.cast("long").alias("expected_items"), F.coalesce("deposited", "batch_amount").alias("control_total"))
+
+
+def _grouped(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows (row_no, cents, receipt, earlier) in order to (row_no, group): the first group with one of the ``earlier`` rows that a row is like
+    and whose amounts allow it, else a new one. Keeps each row's group, and each group's different amounts."""
+    of: dict[int, int] = {}
+    amounts: list[set[int]] = []
+    receipts: list[set[int]] = []
+    for row, cents, receipt, earlier in rows:
+        group = next((g for g in sorted({of[x] for x in earlier or ()}) if _admits(cents, receipt, amounts[g], receipts[g])), None)
+        if group is None:
+            group = len(amounts)
+            amounts.append(set())
+            receipts.append(set())
+        if cents is not None:
+            amounts[group].add(cents)
+            if receipt:
+                receipts[group].add(cents)
+        of[row] = group
+        yield row, group
+
+
+def _admits(cents: int | None, receipt: bool, amounts: set[int], receipts: set[int]) -> bool:
+    """Whether an amount may be a reading of all of a group's amounts; receipts must agree to the cent."""
+    if cents is None:
+        return True
+    if receipt and any(abs(cents - c) > 1 for c in receipts):
+        return False
+    for c in amounts:
+        high, low = max(c, cents), min(c, cents)
+        if high - low > 1 and (low <= 0 or abs(high / low - 10) > 0.25 and high - low > max(100_000.0, high * 0.1)):
+            return False
+    return True
+
+
+def _flag(test: Column, name: str) -> Column:
+    return F.when(test, F.lit(name))
+
+
+def logical_deposits(candidates: DataFrame) -> DataFrame:
+    """The deposits that a document's candidates show, each once, under the document's control reports.
+
+    candidates: (doc_id, row_no, page_number, source_type, source_system, deposit_amount, item_count, deposit_account, deposit_date, deposit_transaction, confidence); row_no is
+    unique in a document and gives the order. Amounts of 0 and counts that aren't positive are unknown; candidates without both don't count. A candidate joins the first group in which it is
+    like some row (``same_deposit_rows``) and which its amount doesn't contradict; groups are never joined, so the result depends on the order, and isn't
+    that of connected components. A group's best row by quality is filled from the others. A bank receipt takes in weaker deposits of exactly its amount
+    (of several receipts of one amount the last stands for all). Then, where a document has an accounting report: receipts that add up to it, or several receipts, replace
+    it (rule ``receipts``), else the best report alone stays and is filled from all (rule ``report``); otherwise all stay (rule ``all``).
+    Gives place (by page), group_no, pages (all source pages), flags and rule besides the columns of a deposit."""
+    number = F.col("item_count") > 0
+    rows = candidates.withColumn("deposit_amount", F.when(F.col("deposit_amount") != 0, F.col("deposit_amount")))
+    rows = written(rows.where(F.col("deposit_amount").isNotNull() | number).select(
+        "doc_id", "row_no", "page_number", "source_type", "source_system", "deposit_amount", F.when(number, F.col("item_count")).alias("item_count"), "deposit_account", "deposit_date", "deposit_transaction", "confidence",
+    ))
+    earlier = same_deposit_rows(rows, "row_no").groupBy("doc_id", F.col("b").alias("row_no")).agg(F.sort_array(F.collect_list("a")).alias("earlier"))
+    linked = rows.withColumns({"cents": F.round(F.col("deposit_amount") * 100).cast("long"), "receipt": F.coalesce(F.col("source_type") == "bank_receipt", F.lit(False))}).join(earlier, ["doc_id", "row_no"], "left")
+    groups = fold(linked, ["doc_id"], ["row_no"], ["row_no", "cents", "receipt", "earlier"], _grouped, "doc_id long, row_no long, group_no long")
+    facts = ["source_type", "source_system", "deposit_amount", "item_count", "deposit_account", "deposit_date", "deposit_transaction", "confidence"]
+
+    def merged(df: DataFrame, by: list[str], order: Column, *more: Column) -> DataFrame:
+        """The row that comes first in the order, its gaps filled by the next that has something; all pages."""
+        return df.groupBy(*by).agg(*(_first(c, order, F.col(c).isNotNull()).alias(c) for c in facts), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), *more)
+
+    scored = rows.join(groups, ["doc_id", "row_no"]).withColumns({"score": quality(), "pages": F.when(F.col("page_number") > 0, F.array("page_number")).otherwise(F.array().cast("array<int>"))})
+    best = F.struct((-F.col("score")).alias("s"), "row_no")
+    logical = merged(scored, ["doc_id", "group_no"], best, F.count(F.lit(1)).alias("n"))
+    logical = written(logical.withColumn("flags", F.array_compact(F.array(_flag(F.col("n") > 1, "duplicate_deposit_candidates_collapsed")))).drop("n"))
+    # receipts take in weaker deposits of their amount; the last receipt of an amount stands for all of them
+    takes = (F.col("source_type") == "bank_receipt") & F.col("deposit_amount").isNotNull()
+    taker = logical.where(takes).groupBy("doc_id", "deposit_amount").agg(F.max("group_no").alias("taker"))
+    near = logical.join(taker, ["doc_id", "deposit_amount"], "left").withColumn("weak", F.col("source_type").isin(*WEAKER) & F.col("taker").isNotNull())
+    part = near.where(F.col("weak") | (F.col("group_no") == F.col("taker")))
+    after = F.struct("weak", "group_no")
+    # only the first row that is taken in can leave its flags
+    taken = merged(part, ["doc_id", "taker"], after, F.min_by("flags", after).alias("own"), F.min_by(F.when(F.col("weak"), F.col("flags")), F.when(F.col("weak"), after)).alias("next"), F.count_if("weak").alias("absorbed"))
+    taken = taken.withColumn("flags", F.concat(F.when((F.size("own") > 0) | F.col("next").isNull(), F.col("own")).otherwise(F.col("next")), F.array_repeat(F.lit("same_amount_weaker_deposit_candidate_collapsed"), F.col("absorbed").cast("int")))).drop("absorbed", "own", "next")
+    receipts = near.where(takes).select("doc_id", "group_no", "taker").join(taken, ["doc_id", "taker"]).drop("taker")
+    names = ["doc_id", "group_no", *facts, "pages", "flags"]
+    kept = near.where(~F.coalesce("weak", F.lit(False)) & ~F.coalesce(takes, F.lit(False))).select(names).unionByName(receipts.select(names))
+    kept = kept.withColumns({"page_number": F.try_element_at("pages", F.lit(1)), "score": quality()})
+    report = F.coalesce(F.col("source_type") == "yottareal_report", F.lit(False))
+    paid, receipt = F.col("deposit_amount").isNotNull() & ~report, F.coalesce(F.col("source_type") == "bank_receipt", F.lit(False))
+    control = F.struct((-F.col("score")).alias("s"), "group_no")
+    facts_of = kept.groupBy("doc_id").agg(
+        F.min_by("group_no", F.when(report, control)).alias("control"), F.min_by("deposit_amount", F.when(report, control)).alias("control_amount"), F.count_if(paid).alias("paid"),
+        F.count_if(paid & receipt).alias("receipts"), F.sum(F.when(paid, F.col("deposit_amount"))).alias("sum_paid"), F.count_if(~report).alias("others"),
+    )
+    exact = (F.col("paid") >= 2) & (F.col("paid") == F.col("receipts")) & F.coalesce(F.abs(F.col("sum_paid") - F.col("control_amount")) <= 0.01, F.lit(False))
+    rule = F.when(F.col("control").isNull(), "all").when(exact | (F.col("receipts") > 1), "receipts").otherwise("report")
+    ruled = kept.join(facts_of.select("doc_id", "control", "others", rule.alias("rule")), "doc_id")
+    own = F.col("group_no") == F.col("control")
+    plain = ruled.where((F.col("rule") == "all") | ((F.col("rule") == "receipts") & paid & receipt)).select(*names, "rule")
+    whole = merged(ruled.where((F.col("rule") == "report") & (own | ~report)), ["doc_id"], F.struct((~own).alias("o"), "group_no"), _first("flags", F.struct((~own).alias("o"), "group_no"), F.size("flags") > 0).alias("flags"), F.first("control").alias("group_no"), F.first("others").alias("others"), F.first("rule").alias("rule"))
+    whole = whole.withColumn("flags", F.when(F.col("others") > 0, F.concat(F.coalesce("flags", F.array().cast("array<string>")), F.array(F.lit("aggregate_control_superseded_component_deposits")))).otherwise(F.col("flags")))
+    out = plain.unionByName(whole.select(*names, "rule")).withColumn("page_number", F.try_element_at("pages", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("page_number").asc_nulls_last(), "group_no"))
+    return out.select("doc_id", place.alias("place"), "group_no", "page_number", *facts, F.array_join("pages", ",").alias("pages"), F.array_join("flags", ",").alias("flags"), "rule")

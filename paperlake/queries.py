@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cases
+from . import cases, selected
 from .operators import batches, chat, deposits, layout, rollups, texts
 from .streaming import sessions
 from .views import view, with_views
@@ -354,3 +354,5 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts, event_id R
 u AS (SELECT event_id, session_id, row_number() OVER (PARTITION BY session_id, span ORDER BY ts, event_id) AS k FROM s WHERE action = 'upload')
 SELECT event_id, session_id, k <= 5 AS taken, greatest(0, 5 - k) AS remaining FROM u""".lstrip("\n"))
 _add_stream("document_stream", texts.paginate_text, "documents", ORACLE_SQL["paginate_text"])
+
+selected.register(_add)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -120,14 +122,56 @@ SELECT conv_id AS doc_id, turn AS page_number, text FROM conversations""",
     "v_whole_texts": """
 SELECT conv_id AS doc_id, CASE mod(conv_id, 3) WHEN 0 THEN max(text) WHEN 1 THEN '' ELSE NULL END AS content FROM conversations GROUP BY conv_id
 UNION ALL SELECT -1 - conv_id AS doc_id, NULL AS content FROM conversations GROUP BY conv_id""",
+    "v_lines": """
+SELECT l_orderkey AS batch_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS BIGINT) AS line,
+       l_partkey AS part, l_suppkey AS supp, CAST(l_shipdate AS DATE) AS day
+FROM lineitem""",
+    "v_candidates": """
+SELECT batch_id - mod(batch_id, 4) AS doc_id, mod(batch_id, 4) * 100 + line AS row_no, CAST(1 + mod(part, 9) AS INT) AS page_number,
+       CASE mod(part, 7) WHEN 0 THEN 'bank_receipt' WHEN 1 THEN 'deposit_ticket' WHEN 2 THEN 'regions_report' WHEN 3 THEN CASE WHEN mod(supp, 4) = 0 THEN 'yottareal_report' ELSE 'handwritten_ocr' END
+            WHEN 4 THEN 'summary_page' WHEN 5 THEN 'bank_receipt' ELSE 'metadata' END AS source_type,
+       CASE WHEN mod(part, 3) = 0 THEN NULL WHEN mod(part, 3) = 1 THEN 'Regions Bank' ELSE 'First-Bank' END AS source_system,
+       CASE WHEN mod(supp, 6) = 0 THEN NULL ELSE CAST(CASE WHEN mod(supp, 6) = 1 THEN 250 WHEN mod(supp, 6) = 2 THEN 250.01 WHEN mod(supp, 6) = 3 THEN 2500 WHEN mod(supp, 6) = 4 THEN 1900 ELSE 9000 END AS DECIMAL(14,2)) END AS deposit_amount,
+       CAST(mod(part, 4) AS INT) AS item_count, CASE WHEN mod(part, 5) > 1 THEN NULL ELSE concat('x', CAST(1000 + mod(supp, 2) AS STRING)) END AS deposit_account,
+       CASE WHEN mod(part, 8) = 0 THEN NULL ELSE CAST(concat('2024-01-0', CAST(1 + mod(supp, 3) AS STRING)) AS DATE) END AS deposit_date,
+       CASE WHEN mod(part, 6) = 0 THEN concat('T-', CAST(mod(supp, 5) AS STRING)) ELSE NULL END AS deposit_transaction, CAST(mod(part, 5) AS DOUBLE) / 4 AS confidence
+FROM v_lines""",
+    "v_seen": """
+SELECT batch_id, row_no, CASE WHEN mod(part, 41) = 0 THEN 'vision_register_items' ELSE 'scan' END AS source,
+       CAST(CASE WHEN mod(part, 31) = 0 THEN 90 ELSE 1 + floor((line - 1) / 2) END AS INT) AS page_number, CAST(NULL AS INT) AS item_no,
+       CASE WHEN mod(part, 5) = 0 THEN NULL ELSE concat('1', CAST(1000000 + mod(part * 7919, 9973) AS STRING)) END AS serial_number,
+       CASE WHEN mod(supp, 4) = 0 THEN concat('00', CAST(70000000 + supp AS STRING)) ELSE NULL END AS micr_line, CAST(NULL AS STRING) AS check_number,
+       concat('A', CAST(100 + mod(supp, 3) AS STRING)) AS unit,
+       CASE WHEN mod(line + part, 13) = 0 THEN NULL ELSE CAST(50 + 25 * mod(part, 6) AS DECIMAL(12,2)) END AS amount_numeric,
+       CASE WHEN mod(supp, 3) = 0 THEN 'fifty' ELSE NULL END AS amount_words, CASE WHEN mod(part, 3) = 0 THEN 'Oak Court' ELSE NULL END AS payee_raw,
+       CASE WHEN mod(part, 4) <> 0 THEN NULL ELSE day END AS issue_date, CASE WHEN mod(part, 23) = 0 THEN 'unclear' ELSE NULL END AS image_quality,
+       (mod(part, 29) = 0) AS missing_from_scan, CAST(NULL AS INT) AS slip_page, CAST(NULL AS INT) AS report_page
+FROM (SELECT batch_id, line AS row_no, line, part, supp, day FROM v_lines UNION ALL SELECT batch_id, line + 50, line, part, supp, day FROM v_lines WHERE mod(part, 10) = 0) x""",
+    "v_listed": """
+SELECT batch_id, line + 100 AS row_no,
+       CASE mod(part, 5) WHEN 0 THEN 'regions_deposit_report' WHEN 1 THEN 'transaction_detail_report' WHEN 2 THEN 'vision_register_items' ELSE 'yottareal_batch_detail' END AS source,
+       CAST(CASE WHEN mod(part, 7) = 0 THEN 90 ELSE 2 END AS INT) AS page_number, CASE WHEN mod(part, 6) = 0 THEN NULL ELSE CAST(8 - line AS INT) END AS item_no,
+       CASE WHEN mod(part, 3) = 0 THEN concat('1', CAST(1000000 + mod(part * 7919, 9973) AS STRING)) WHEN mod(part, 3) = 1 THEN concat('5', CAST(part AS STRING)) ELSE NULL END AS serial_number,
+       CASE WHEN mod(supp, 5) = 0 THEN concat('000', CAST(70000000 + supp AS STRING)) ELSE NULL END AS micr_line, CAST(NULL AS STRING) AS check_number,
+       CASE WHEN mod(supp, 2) = 0 THEN NULL ELSE concat('A', CAST(100 + mod(supp, 3) AS STRING)) END AS unit,
+       CASE WHEN mod(line + part, 17) = 0 THEN NULL ELSE CAST(50 + 25 * mod(part, 6) AS DECIMAL(12,2)) END AS amount_numeric,
+       CAST(NULL AS STRING) AS amount_words, CAST(NULL AS STRING) AS payee_raw, CAST(NULL AS DATE) AS issue_date, CAST(NULL AS STRING) AS image_quality, CAST(NULL AS BOOLEAN) AS missing_from_scan,
+       CASE WHEN mod(part, 5) > 2 THEN 3 ELSE NULL END AS slip_page, CAST(CASE WHEN mod(part, 5) < 2 THEN 4 ELSE NULL END AS INT) AS report_page
+FROM v_lines WHERE mod(supp, 3) > 0""",
+    "v_controls": """
+SELECT o.o_orderkey AS batch_id, CAST(3 + mod(o.o_custkey, 2) AS INT) AS total_pages, CASE WHEN mod(o.o_custkey, 7) = 0 THEN NULL WHEN mod(o.o_custkey, 7) = 1 THEN r.n WHEN mod(o.o_custkey, 7) < 5 THEN mod(o.o_custkey, 7) ELSE s.n END AS expected_count,
+       CASE WHEN mod(o.o_orderkey, 5) = 0 THEN NULL WHEN mod(o.o_orderkey, 5) = 1 THEN s.t WHEN mod(o.o_custkey, 7) = 1 THEN r.t WHEN mod(o.o_orderkey, 5) = 2 THEN s.part ELSE CAST(25 * mod(o.o_custkey, 30) + 100 AS DECIMAL(14,2)) END AS deposit_total
+FROM orders o LEFT JOIN (SELECT batch_id, count(amount_numeric) AS n, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t, CAST(sum(CASE WHEN row_no < 4 THEN amount_numeric END) AS DECIMAL(14,2)) AS part FROM v_seen GROUP BY batch_id) s ON s.batch_id = o.o_orderkey
+LEFT JOIN (SELECT batch_id, count(*) AS n, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t FROM v_listed WHERE source = 'yottareal_batch_detail' AND page_number = 2 GROUP BY batch_id) r ON r.batch_id = o.o_orderkey""",
 }
-_NEEDS = {"v_batches": ["v_instruments"], "v_register": ["v_instruments"], "v_scaled_regions": ["v_regions"]}
+_NEEDS = {"v_candidates": ["v_lines"], "v_seen": ["v_lines"], "v_listed": ["v_lines"], "v_controls": ["v_lines", "v_seen", "v_listed"], "v_batches": ["v_instruments"], "v_register": ["v_instruments"], "v_scaled_regions": ["v_regions"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table; the given tables it reads become temporary views."""
+    text = VIEWS[name] + "".join(VIEWS[n] for n in _NEEDS.get(name, []))
     for t in TABLES:
-        if t in VIEWS[name] or name in _NEEDS:
+        if re.search(rf"\b{t}\b", text):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     for need in _NEEDS.get(name, []):
         spark.sql(VIEWS[need]).createOrReplaceTempView(need)
@@ -139,4 +183,4 @@ def with_views(sql: str) -> str:
     names = [n for n in VIEWS if n in sql]
     names = [*dict.fromkeys(x for n in names for x in [*_NEEDS.get(n, []), n])]
     head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
-    return f"WITH {head}\n{sql.lstrip()}" if names else sql.lstrip()
+    return f"WITH RECURSIVE {head}\n{sql.lstrip()}" if names else sql.lstrip()
