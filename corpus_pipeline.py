@@ -17,6 +17,13 @@ from paperlake.llm.shared import written
 from paperlake.llm.toxicity import drop_toxic, fit
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, or one like it that no column has; Spark's names don't tell cases apart."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows whose whole text the classifier, trained on the labelled ones, rejects.
 
@@ -30,9 +37,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows are judged and not ids: of rows that repeat an id and a text one stays, and texts that share an id
     are told apart. Rows without any word are kept, as they have nothing in common. An empty table stays empty."""
-    key = "row_key"
-    while key in docs.columns:
-        key += "_"
+    key = _free(docs, "row_key")
     rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), percent=80).select(F.col("doc_id").alias(key), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", key)
@@ -44,8 +49,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by their kind in brackets; n_chars follows where the text changed.
 
     Each row gives one; null texts stay null, empty ones empty."""
-    clean = redact_secrets(docs.select("*", F.xxhash64("text").alias("text_before")))
-    changed = F.xxhash64("text") != F.col("text_before")
+    before = _free(docs, "text_before")
+    clean = redact_secrets(docs.select("*", F.xxhash64("text").alias(before)))
+    changed = F.xxhash64("text") != F.col(before)
     return clean.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -398,3 +398,18 @@ def test_pipeline(spark, tables):
     mixed = corpus_pipeline.mixing(spark, clean, tables)
     assert mixed.columns == columns
     assert corpus_pipeline.run(spark, tables).count() == mixed.count()
+
+
+def test_stages_with_clashing_names(spark, tables):
+    """Columns that are named like those the stages add for themselves stay as they are."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("n_chars < 3000")
+    names = ["text_before", "ROW_KEY", "score", "rate", "row", "component_id"]
+    docs = docs.select("*", *(docs.doc_id.cast("string").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, tables)
+        assert after.columns == docs.columns, name
+        assert after.where(" OR ".join(f"{n} <> doc_id" for n in names)).count() == 0 < after.count(), name
+        assert stage(spark, docs.limit(0), tables).count() == 0, name
+    assert corpus_pipeline.tokens(spark, docs, tables).count() == docs.count()
