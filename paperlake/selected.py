@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import deposits, selection
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .operators import boxes, deposits, selection, similar
 
 #: What was seen and listed, told apart and measured, in SQL; the derived serials and payees are clean, so nothing has to be mended.
 _TOLD = """
@@ -131,7 +134,146 @@ res AS (
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pages[1] NULLS LAST, group_no)::INTEGER AS place, group_no, pages[1] AS page_number, source_type, source_system, deposit_amount, item_count, deposit_account, deposit_date, deposit_transaction,
        confidence, array_to_string(pages, ',') AS pages, array_to_string(flags, ',') AS flags, rule FROM res"""
 
+def _ratio_sql(pairs: str) -> str:
+    """rated(l, r, ratio) of distinct pairs (l, r): again and again the longest common block of a segment, leftmost in l, then in r, splits it in two."""
+    return f"""
+met AS MATERIALIZED (SELECT l, r, i, j, len(list_filter(range(1, least(len(l) - i, len(r) - j) + 2), lambda k: l[i:i + k - 1] = r[j:j + k - 1])) AS n
+  FROM (SELECT l, r, i, unnest(range(1, len(r) + 1)) AS j FROM (SELECT l, r, unnest(range(1, len(l) + 1)) AS i FROM {pairs})) WHERE l[i] = r[j]),
+parts AS (
+  SELECT l, r, 1::BIGINT AS a0, len(l) + 1 AS a1, 1::BIGINT AS b0, len(r) + 1 AS b1, 0::BIGINT AS hit FROM {pairs}
+  UNION ALL
+  SELECT l, r, CASE side WHEN 0 THEN a0 ELSE i + k END, CASE side WHEN 0 THEN i ELSE a1 END, CASE side WHEN 0 THEN b0 ELSE j + k END, CASE side WHEN 0 THEN j ELSE b1 END, CASE side WHEN 0 THEN k ELSE 0 END
+  FROM (SELECT p.*, i, j, least(n, a1 - i, b1 - j) AS k, row_number() OVER (PARTITION BY p.l, p.r, a0, a1, b0, b1 ORDER BY least(n, a1 - i, b1 - j) DESC, i, j) AS nth
+        FROM parts p JOIN met m ON m.l = p.l AND m.r = p.r AND i >= a0 AND i < a1 AND j >= b0 AND j < b1) x, (SELECT unnest([0, 1]) AS side) WHERE nth = 1),
+rated AS MATERIALIZED (SELECT l, r, 2.0::DOUBLE * sum(hit) / (len(l) + len(r)) AS ratio FROM parts GROUP BY l, r)"""
+
+
+_PAYEE = """
+, p0 AS (SELECT batch_id, line_no, regexp_replace(upper(payee_raw), '[^A-Z0-9]', '', 'g') AS p FROM v_payees),
+n0 AS (SELECT DISTINCT batch_id, regexp_replace(upper(alias), '[^A-Z0-9]', '', 'g') AS t, false AS word FROM v_names UNION SELECT batch_id, upper(unnest(regexp_extract_all(alias, '[A-Za-z0-9]{5,}'))), true FROM v_names),
+pairs_ AS (SELECT DISTINCT p AS l, t AS r FROM p0 JOIN n0 USING (batch_id) WHERE p <> '' AND t <> ''),
+""".rstrip(",\n") + "," + _ratio_sql("pairs_") + """,
+sc AS (SELECT batch_id, line_no, CASE WHEN word THEN CASE WHEN round(ratio, 3) >= 0.8 THEN greatest(0.88, round(ratio, 3)) END
+                                  ELSE greatest(round(ratio, 3), CASE WHEN least(len(p), len(t)) >= 5 AND (contains(p, t) OR contains(t, p)) THEN 0.95 END) END AS s
+       FROM p0 JOIN n0 USING (batch_id) JOIN rated ON l = p AND r = t)
+SELECT batch_id, line_no, coalesce(max(s), 0)::DOUBLE AS score FROM p0 LEFT JOIN sc USING (batch_id, line_no) GROUP BY batch_id, line_no"""
+_SAME_ROWS = """
+, ob AS MATERIALIZED (
+  SELECT *, regexp_replace(upper(coalesce(serial_number, '')), '[^A-Z0-9]', '', 'g') AS s, regexp_replace(upper(coalesce(micr_line, '')), '[^A-Z0-9]', '', 'g') AS ml, regexp_replace(coalesce(micr_line, ''), '[^0-9]', '', 'g') AS m,
+         regexp_replace(upper(coalesce(payee_raw, '')), '[^A-Z0-9]', '', 'g') AS py FROM v_observations),
+cross_ AS (SELECT a.page_id, a.row_no AS a, b.row_no AS b, a.s AS sa, b.s AS sb, a.m AS ma, b.m AS mb, a.ml AS la, a.py <> '' AND a.py = b.py AND a.amount_numeric = b.amount_numeric AND coalesce(a.instrument_type, '') = coalesce(b.instrument_type, '') AS same
+           FROM ob a JOIN ob b ON a.page_id = b.page_id AND a.row_no < b.row_no),
+pairs_ AS (SELECT DISTINCT sb AS l, sa AS r FROM cross_ WHERE sa <> '' AND sb <> '' UNION SELECT mb, ma FROM cross_ WHERE ma <> '' AND mb <> ''),
+""".rstrip(",\n") + "," + _ratio_sql("pairs_") + """,
+linked AS MATERIALIZED (
+  SELECT page_id, a, b FROM cross_ LEFT JOIN rated x ON x.l = sb AND x.r = sa LEFT JOIN rated y ON y.l = mb AND y.r = ma
+  WHERE coalesce(x.ratio >= 0.82, false) OR coalesce(y.ratio >= 0.82, false) OR coalesce(same, false) OR (sb <> '' AND contains(la, sb)) OR (sa <> '' AND contains(mb, sa)))"""
+_MERGED_ROWS = _SAME_ROWS + """,
+facts AS MATERIALIZED (SELECT o.page_id, o.row_no, list(a) FILTER (a IS NOT NULL) AS likes FROM ob o LEFT JOIN linked k ON k.page_id = o.page_id AND k.b = o.row_no GROUP BY ALL),
+steps AS (
+  SELECT page_id, 1::BIGINT AS k, [0] AS g FROM facts WHERE row_no = 1
+  UNION ALL
+  SELECT s.page_id, s.k + 1, list_append(g, coalesce(list_min(list_transform(likes, lambda m: g[m])), list_max(g) + 1)) FROM steps s JOIN facts f ON f.page_id = s.page_id AND f.row_no = s.k + 1),
+grouped AS (
+  SELECT o.*, g[row_no] AS group_no, (serial_number IS NOT NULL)::INT + (micr_line IS NOT NULL)::INT + (amount_numeric IS NOT NULL)::INT + (payee_raw IS NOT NULL)::INT + (instrument_type IS NOT NULL)::INT + (issue_date IS NOT NULL)::INT AS n_full
+  FROM ob o JOIN (SELECT page_id, arg_max(g, k) AS g FROM steps GROUP BY page_id) USING (page_id)),
+placed AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY page_id, group_no ORDER BY n_full DESC, row_no) = 1 THEN -1 ELSE row_no END AS o FROM grouped),
+merged_ AS (
+  SELECT page_id, group_no, arg_min(serial_number, o) FILTER (serial_number IS NOT NULL) AS sn, arg_min(micr_line, o) FILTER (micr_line IS NOT NULL) AS micr_line, arg_min(amount_numeric, o) FILTER (amount_numeric IS NOT NULL) AS am,
+         arg_min(payee_raw, o) FILTER (payee_raw IS NOT NULL) AS payee_raw, arg_min(instrument_type, o) FILTER (instrument_type IS NOT NULL) AS instrument_type, arg_min(issue_date, o) FILTER (issue_date IS NOT NULL) AS issue_date,
+         count(*) AS observations, count(DISTINCT amount_numeric) > 1 AS torn, count(DISTINCT s) FILTER (s <> '') > 1 AS twice FROM placed GROUP BY ALL),
+mo AS (
+  SELECT page_id, group_no, CASE WHEN NOT twice THEN sn END AS serial_number, micr_line, CASE WHEN NOT torn THEN am END AS amount_numeric, payee_raw, instrument_type, issue_date, observations, CASE WHEN torn OR twice THEN 'unclear' END AS image_quality,
+         array_to_string(list_filter([CASE WHEN torn THEN 'conflicting_region_amounts,manual_review_required' END, CASE WHEN twice THEN 'conflicting_region_document_numbers,manual_review_required' END], lambda x: x IS NOT NULL), ',') AS review_flags FROM merged_)"""
+_ONE_FRONT = _MERGED_ROWS + """,
+cf AS (
+  SELECT m.*, kind = 'instrument' AND NOT several_fronts AND count(*) OVER (PARTITION BY page_id) > 1 AND count(DISTINCT amount_numeric) FILTER (amount_numeric > 0) OVER (PARTITION BY page_id) <= 1 AS one,
+         row_number() OVER (PARTITION BY page_id ORDER BY 4 * (micr_line IS NOT NULL)::INT + 3 * (serial_number IS NOT NULL)::INT + 2 * (payee_raw IS NOT NULL)::INT + 2 * (issue_date IS NOT NULL)::INT + (amount_numeric IS NOT NULL)::INT DESC, group_no) AS nth
+  FROM mo m LEFT JOIN v_fronts USING (page_id))
+SELECT * EXCLUDE (one, nth) REPLACE (CASE WHEN one THEN 'unclear' ELSE image_quality END AS image_quality, CASE WHEN one THEN array_to_string(list_filter([nullif(review_flags, ''), 'multiple_interpretations_single_front'], lambda x: x IS NOT NULL), ',') ELSE review_flags END AS review_flags)
+FROM cf WHERE NOT coalesce(one, false) OR nth = 1"""
+_ROLLUP = """
+, h AS (SELECT *, (batch_number IS NOT NULL)::INT + (batch_amount IS NOT NULL)::INT + (total_items IS NOT NULL)::INT + (property_name <> '' AND property_name IS NOT NULL)::INT AS fields FROM v_headers),
+o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY fields = 0, batch_number IS NULL, coalesce(total_items, 0) DESC, coalesce(batch_amount, 0) DESC, fields DESC, page_number) = 1 THEN -1 ELSE page_number END AS o FROM h)
+SELECT doc_id, arg_min(batch_number, o) FILTER (batch_number IS NOT NULL) AS batch_number, arg_min(batch_amount, o) FILTER (batch_amount IS NOT NULL) AS batch_amount, arg_min(total_items, o) FILTER (total_items IS NOT NULL) AS total_items,
+  arg_min(property_name, o) FILTER (property_name <> '') AS property_name, arg_max(deposit_account, page_number) FILTER (deposit_account IS NOT NULL) AS deposit_account, arg_max(deposit_date, page_number) FILTER (deposit_date IS NOT NULL) AS deposit_date,
+  arg_max(deposit_amount, page_number) FILTER (deposit_amount IS NOT NULL) AS deposit_amount FROM o GROUP BY doc_id"""
+
+_TYPED = r"""
+, w AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, CASE WHEN content LIKE 'Pay to%' THEN 'payee' WHEN content LIKE 'Check No%' THEN 'document_number' WHEN content LIKE '$%' OR content LIKE '%.25' THEN 'amount_box'
+             WHEN content LIKE '%dollars' THEN 'amount_words' WHEN regexp_matches(content, '^[0-9]{4,}$') THEN 'micr' END AS kind,
+           CASE WHEN content LIKE 'For dep%' THEN 'back' WHEN content LIKE 'Pay to%' OR content = 'Remitter' THEN 'front' WHEN content LIKE '$%' OR content LIKE '%.25' THEN 'amount' WHEN regexp_matches(content, '[0-9]{4,}$') THEN 'number' END AS anchor
+        FROM v_placed_words WHERE x1 <= 1 AND y1 <= 1)"""
+_GRAPH = _TYPED + """,
+nodes AS MATERIALIZED (SELECT * FROM w WHERE kind IS NOT NULL),
+near AS MATERIALIZED (SELECT a.page_id, a.word_no AS a, b.word_no AS b FROM nodes a JOIN nodes b ON a.page_id = b.page_id AND abs(a.cx - b.cx) < 0.30 AND abs(a.cy - b.cy) < 0.28),
+reach AS (SELECT page_id, a, b FROM near UNION SELECT r.page_id, r.a, n.b FROM reach r JOIN near n ON n.page_id = r.page_id AND n.a = r.b),
+comp AS (SELECT page_id, a AS word_no, min(b) AS group_no FROM reach GROUP BY ALL),
+eg AS (SELECT page_id, group_no, count(*) AS words, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, greatest(0.0, min(x0) - 0.08) AS x0, greatest(0.0, min(y0) - 0.14) AS y0, least(1.0, max(x1) + 0.08) AS x1, least(1.0, max(y1) + 0.14) AS y1,
+         string_agg(kind || ': ' || content, chr(10) ORDER BY word_no) AS text, least(0.99, sum(confidence) / count(*)) AS confidence
+       FROM nodes JOIN comp USING (page_id, word_no) GROUP BY ALL HAVING bool_or(kind IN ('document_number', 'micr')) AND bool_or(kind IN ('amount_box', 'amount_words')))"""
+_SHARED = "(greatest(0.0, least(x.x1, b.x1) - greatest(x.x0, b.x0)) * greatest(0.0, least(x.y1, b.y1) - greatest(x.y0, b.y0)))"
+
+
+def _greedy(boxes: str, overlap: float) -> str:
+    """place, region_idx, box, confidence, members of the kept boxes: one box a step, the first kept one that it overlaps enough grows."""
+    hit = f"list_min(list_filter(range(1, len(g) + 1), lambda i: list_transform([g[i]], lambda x: {_SHARED} / ((x.x1 - x.x0) * (x.y1 - x.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_SHARED}) >= {overlap})[1]))"
+    one = "{'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1, 'c': b.confidence, 'i': b.region_idx, 'n': 1::BIGINT}"
+    grown = "{'x0': least(x.x0, b.x0), 'y0': least(x.y0, b.y0), 'x1': greatest(x.x1, b.x1), 'y1': greatest(x.y1, b.y1), 'c': x.c, 'i': x.i, 'n': x.n + 1}"
+    return f"""
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, region_idx) AS k FROM {boxes}),
+steps AS (
+  SELECT page_id, 1::BIGINT AS k, [{one}] AS g FROM ordered b WHERE k = 1
+  UNION ALL
+  SELECT page_id, k, CASE WHEN h IS NULL THEN list_append(g, {one}) ELSE list_transform(g, lambda x, i: CASE WHEN i = h THEN {grown} ELSE x END) END
+  FROM (SELECT s.page_id, b.k, s.g, b, {hit} AS h FROM steps s JOIN ordered b ON b.page_id = s.page_id AND b.k = s.k + 1)),
+final AS (SELECT page_id, unnest(g) AS u, unnest(range(1, len(g) + 1))::INTEGER AS place FROM (SELECT page_id, arg_max(g, k) AS g FROM steps GROUP BY page_id))
+SELECT page_id, place, u.i AS region_idx, u.x0 AS x0, u.y0 AS y0, u.x1 AS x1, u.y1 AS y1, u.c AS confidence, u.n AS members FROM final"""
+
+
+_SUPPRESSED = f"""
+, ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, region_idx) AS k FROM v_boxes),
+steps AS (
+  SELECT page_id, 1::BIGINT AS k, [b] AS g FROM ordered b WHERE k = 1
+  UNION ALL
+  SELECT s.page_id, b.k, CASE WHEN len(list_filter(g, lambda x: {_SHARED} > 0.65 * least((x.x1 - x.x0) * (x.y1 - x.y0), (b.x1 - b.x0) * (b.y1 - b.y0)))) > 0 THEN g ELSE list_append(g, b) END
+  FROM steps s JOIN ordered b ON b.page_id = s.page_id AND b.k = s.k + 1)
+SELECT page_id, unnest(range(1, len(g) + 1))::INTEGER AS place, unnest(g).region_idx AS region_idx FROM (SELECT page_id, arg_max(g, k) AS g FROM steps GROUP BY page_id)"""
+_TERRITORY = _TYPED + """,
+an AS (SELECT * FROM w WHERE anchor IS NOT NULL)
+SELECT s.page_id, s.word_no, count(*) AS anchors, greatest(0.0, min(a.x0) - 0.07) AS x0, greatest(0.0, min(a.y0) - 0.12) AS y0, least(1.0, max(a.x1) + 0.07) AS x1, least(1.0, max(a.y1) + 0.12) AS y1
+FROM an s JOIN an a ON a.page_id = s.page_id AND abs(a.cx - s.cx) <= 0.30 AND abs(a.cy - s.cy) <= 0.24 WHERE s.anchor <> 'back' GROUP BY s.page_id, s.word_no
+HAVING bool_or(a.anchor = 'amount') AND (bool_or(a.anchor = 'front') OR bool_or(a.anchor = 'number')) AND (NOT bool_or(a.anchor = 'back') OR bool_or(a.anchor = 'front'))"""
+_HASHED = """
+, ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY item) AS k FROM v_hashes WHERE hash IS NOT NULL),
+steps AS (
+  SELECT page_id, 1::BIGINT AS k, [hash] AS g, [item] AS kept FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT page_id, k, CASE WHEN seen THEN g ELSE list_append(g, hash) END, CASE WHEN seen THEN kept ELSE list_append(kept, item) END
+  FROM (SELECT s.page_id, b.k, g, kept, hash, item, len(list_filter(g, lambda x: bit_count(xor(x, hash)) < 0.08 * 64)) > 0 AS seen FROM steps s JOIN ordered b ON b.page_id = s.page_id AND b.k = s.k + 1))
+SELECT page_id, unnest(kept) AS item FROM (SELECT page_id, arg_max(kept, k) AS kept FROM steps GROUP BY page_id) UNION ALL SELECT page_id, item FROM v_hashes WHERE hash IS NULL"""
+
+
+def _merged_rows(observations: DataFrame) -> DataFrame:
+    return similar.merge_observations(observations, similar.same_instrument_pairs(observations))
+
+
+def _one_front(observations: DataFrame, fronts: DataFrame) -> DataFrame:
+    merged = _merged_rows(observations).withColumn("amount_words", F.lit(None).cast("string"))
+    return similar.consolidate_single_front(merged, fronts).drop("amount_words")
+
 
 def register(add: Callable) -> None:
+    add("payee_score", similar.payee_score, "v_payees v_names", _PAYEE)
+    add("same_instrument_pairs", similar.same_instrument_pairs, "v_observations", _SAME_ROWS + "\nSELECT page_id, a, b FROM linked")
+    add("merge_observations", _merged_rows, "v_observations", _MERGED_ROWS + "\nSELECT * FROM mo")
+    add("consolidate_single_front", _one_front, "v_observations v_fronts", _ONE_FRONT)
+    add("evidence_groups", boxes.evidence_groups, "v_placed_words", _GRAPH + "\nSELECT * FROM eg")
+    add("evidence_regions", boxes.evidence_regions, "v_placed_words", _GRAPH + ",\nbx AS (SELECT page_id, group_no AS region_idx, x0, y0, x1, y1, confidence FROM eg)," + _greedy("bx", 0.58) + " WHERE place <= 12")
+    add("amount_bound_regions", boxes.amount_bound_regions, "v_placed_words", _TERRITORY)
+    add("merge_regions_greedily", boxes.greedily_merged, "v_boxes", "," + _greedy("v_boxes", 0.42))
+    add("suppress_contained", boxes.suppress_contained, "v_boxes", _SUPPRESSED)
+    add("distinct_hashes", boxes.distinct_hashes, "v_hashes", _HASHED)
+    add("rollup_document", similar.rollup_document, "v_headers", _ROLLUP)
     add("logical_deposits", deposits.logical_deposits, "v_candidates", _LOGICAL)
     add("select_instruments", selection.select_instruments, "v_seen v_listed v_controls", _SELECTED + _FINAL)

@@ -126,6 +126,44 @@ UNION ALL SELECT -1 - conv_id AS doc_id, NULL AS content FROM conversations GROU
 SELECT l_orderkey AS batch_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS BIGINT) AS line,
        l_partkey AS part, l_suppkey AS supp, CAST(l_shipdate AS DATE) AS day
 FROM lineitem""",
+    "v_observations": """
+SELECT batch_id AS page_id, line AS row_no,
+       CASE WHEN mod(part, 5) = 0 THEN NULL WHEN mod(part, 3) = 0 THEN concat(left(base, 3), 'O', substr(base, 5)) WHEN mod(part, 7) = 0 THEN concat(left(base, 2), '-', substr(base, 3), 'X') ELSE base END AS serial_number,
+       CASE WHEN mod(supp, 3) = 0 THEN NULL WHEN mod(supp, 7) = 0 THEN concat('C021000021C ', substr(base, 1, 6), '9 ', CAST(mod(supp, 90) AS STRING)) ELSE concat('C', base, 'C ', CAST(mod(part, 1000) AS STRING), ' ', left(base, 5)) END AS micr_line,
+       CASE WHEN mod(part, 6) = 0 THEN NULL ELSE CAST(100 + 25 * mod(unit + mod(supp, 2), 3) AS DECIMAL(12,2)) END AS amount_numeric,
+       CASE mod(supp, 4) WHEN 0 THEN NULL WHEN 1 THEN 'Oak Court' WHEN 2 THEN 'OAK-COURT' ELSE concat('Maple ', CAST(mod(part, 3) AS STRING)) END AS payee_raw,
+       CASE WHEN mod(part, 9) = 0 THEN NULL WHEN mod(unit, 2) = 0 THEN 'money_order' ELSE 'check' END AS instrument_type, CASE WHEN mod(part, 4) = 0 THEN NULL ELSE day END AS issue_date,
+       CASE WHEN mod(part, 11) = 0 THEN 'one hundred' ELSE NULL END AS amount_words
+FROM (SELECT batch_id, line, part, supp, day, CAST(floor((line + 1) / 2) AS BIGINT) AS unit, CAST(10000000 + mod(batch_id * 7919 + CAST(floor((line + 1) / 2) AS BIGINT) * 1047293, 89999999) AS STRING) AS base FROM v_lines) x""",
+    "v_fronts": """
+SELECT batch_id AS page_id, CASE WHEN mod(batch_id, 3) = 0 THEN 'back' ELSE 'instrument' END AS kind, (mod(batch_id, 5) = 0) AS several_fronts FROM v_lines GROUP BY batch_id""",
+    "v_names": """
+SELECT l_orderkey AS batch_id, concat(upper(left(p_name, 1)), substr(p_name, 2), CASE WHEN mod(l_partkey, 3) = 0 THEN ' Apartments, LLC' ELSE '' END) AS alias
+FROM lineitem JOIN part ON p_partkey = l_partkey WHERE mod(l_suppkey, 2) = 0""",
+    "v_payees": """
+SELECT batch_id, line AS line_no, CASE mod(supp, 7) WHEN 0 THEN p_name WHEN 1 THEN translate(p_name, 'aeiou', '4e10u') WHEN 2 THEN concat(p_name, ' apartment homes') WHEN 3 THEN replace(p_name, ' ', '') WHEN 4 THEN substr(p_name, 3) WHEN 5 THEN NULL ELSE upper(p_name) END AS payee_raw
+FROM v_lines JOIN part ON p_partkey = part""",
+    "v_headers": """
+SELECT batch_id - mod(batch_id, 4) AS doc_id, mod(batch_id, 4) * 100 + line AS page_number, CASE WHEN mod(part, 3) = 0 THEN concat('B', CAST(mod(supp, 50) AS STRING)) ELSE NULL END AS batch_number,
+       CASE WHEN mod(part, 4) = 0 THEN NULL ELSE CAST(mod(supp, 5) * 100 AS DECIMAL(14,2)) END AS batch_amount, CASE WHEN mod(supp, 3) = 0 THEN NULL ELSE CAST(mod(part, 5) AS INT) END AS total_items,
+       CASE WHEN mod(supp, 4) = 0 THEN '' WHEN mod(supp, 4) = 1 THEN NULL ELSE concat('Property ', CAST(mod(part, 20) AS STRING)) END AS property_name,
+       CASE WHEN mod(part, 6) = 0 THEN concat('9', CAST(mod(supp, 30) AS STRING)) ELSE NULL END AS deposit_account, CASE WHEN mod(part, 5) = 0 THEN day ELSE NULL END AS deposit_date,
+       CASE WHEN mod(part, 7) < 2 THEN CAST(mod(supp, 9) AS DECIMAL(14,2)) ELSE NULL END AS deposit_amount
+FROM v_lines""",
+    "v_placed_words": """
+SELECT batch_id AS page_id, line AS word_no, CAST(mod(part, 64) AS DOUBLE) / 64 AS x0, CAST(mod(supp * 7 + line * 11, 64) AS DOUBLE) / 64 AS y0, CAST(mod(part, 64) + 1 + mod(supp, 3) AS DOUBLE) / 64 AS x1,
+       CAST(mod(supp * 7 + line * 11, 64) + 1 AS DOUBLE) / 64 AS y1, CAST(mod(part, 5) AS DOUBLE) / 4 AS confidence,
+       CASE mod(part + supp, 9) WHEN 0 THEN 'Pay to the order of' WHEN 1 THEN concat('Check No ', CAST(supp AS STRING)) WHEN 2 THEN concat('$ ', CAST(part AS STRING), '.00') WHEN 3 THEN 'one hundred dollars' WHEN 4 THEN CAST(100000 + part AS STRING)
+            WHEN 5 THEN concat(CAST(mod(part, 900) AS STRING), '.25') WHEN 6 THEN 'For deposit only' WHEN 7 THEN 'Remitter' ELSE 'the' END AS content
+FROM v_lines""",
+    "v_boxes": """
+SELECT batch_id AS page_id, line AS region_idx, CAST(mod(part, 40) AS DOUBLE) / 64 AS x0, CAST(mod(supp * 7, 40) AS DOUBLE) / 64 AS y0, CAST(mod(part, 40) + 12 + mod(supp, 13) AS DOUBLE) / 64 AS x1,
+       CAST(mod(supp * 7, 40) + 10 + mod(part, 15) AS DOUBLE) / 64 AS y1, CAST(mod(part, 8) AS DOUBLE) / 8 AS confidence
+FROM v_lines""",
+    "v_hashes": """
+SELECT mod(vec_id, 20) AS page_id, vec_id AS item, CASE WHEN mod(vec_id, 17) = 0 THEN NULL WHEN mod(vec_id, 7) = 0 THEN 1023
+            ELSE mod(mod(vec_id, 60) * 7046029254386353, 1000003) * 1048576 + CASE mod(vec_id, 8) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 7 WHEN 3 THEN 63 WHEN 4 THEN 255 WHEN 5 THEN 4095 WHEN 6 THEN 65535 ELSE 73 END END AS hash
+FROM embeddings""",
     "v_candidates": """
 SELECT batch_id - mod(batch_id, 4) AS doc_id, mod(batch_id, 4) * 100 + line AS row_no, CAST(1 + mod(part, 9) AS INT) AS page_number,
        CASE mod(part, 7) WHEN 0 THEN 'bank_receipt' WHEN 1 THEN 'deposit_ticket' WHEN 2 THEN 'regions_report' WHEN 3 THEN CASE WHEN mod(supp, 4) = 0 THEN 'yottareal_report' ELSE 'handwritten_ocr' END
@@ -164,7 +202,7 @@ SELECT o.o_orderkey AS batch_id, CAST(3 + mod(o.o_custkey, 2) AS INT) AS total_p
 FROM orders o LEFT JOIN (SELECT batch_id, count(amount_numeric) AS n, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t, CAST(sum(CASE WHEN row_no < 4 THEN amount_numeric END) AS DECIMAL(14,2)) AS part FROM v_seen GROUP BY batch_id) s ON s.batch_id = o.o_orderkey
 LEFT JOIN (SELECT batch_id, count(*) AS n, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t FROM v_listed WHERE source = 'yottareal_batch_detail' AND page_number = 2 GROUP BY batch_id) r ON r.batch_id = o.o_orderkey""",
 }
-_NEEDS = {"v_candidates": ["v_lines"], "v_seen": ["v_lines"], "v_listed": ["v_lines"], "v_controls": ["v_lines", "v_seen", "v_listed"], "v_batches": ["v_instruments"], "v_register": ["v_instruments"], "v_scaled_regions": ["v_regions"]}
+_NEEDS = {"v_placed_words": ["v_lines"], "v_boxes": ["v_lines"], "v_observations": ["v_lines"], "v_fronts": ["v_lines"], "v_payees": ["v_lines"], "v_headers": ["v_lines"], "v_candidates": ["v_lines"], "v_seen": ["v_lines"], "v_listed": ["v_lines"], "v_controls": ["v_lines", "v_seen", "v_listed"], "v_batches": ["v_instruments"], "v_register": ["v_instruments"], "v_scaled_regions": ["v_regions"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
