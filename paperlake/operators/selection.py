@@ -11,7 +11,8 @@ from ..folds import fold
 from ..functions import is_empty
 from ..functions import normalise as N
 from ..tables import written
-from .batches import identity_keys, placeholders, without_match
+from .batches import batch_reconciliation, identity_keys, multiset_match, placeholders, risk_scores, without_match
+from .deposits import logical_deposits
 from .records import strong_visible
 
 #: Registers whose rows may stand in for instruments that weren't seen, and when the search for a sum is given up.
@@ -182,7 +183,7 @@ def select_instruments(seen: DataFrame, register: DataFrame, controls: DataFrame
     hit, picked = F.col("outcome") == "found", F.array_contains("picks", F.col("row_no"))
     keep = visible.join(state, "batch_id").where((F.col("rule") != "report") & (~F.col("rule").isin("surplus", "searched") | ~hit | picked))
     kept_all = (F.col("rule") == "surplus") & ~hit
-    keep = keep.select("batch_id", "row_no", F.when(kept_all, "surplus_kept").otherwise(F.col("rule")).alias("rule"), "source", "page_number", "item_no", "serial_number", "amount_numeric",
+    keep = keep.select("batch_id", "row_no", F.when(kept_all, "surplus_kept").otherwise(F.col("rule")).alias("rule"), "source", "page_number", "item_no", "serial_number", "unit", "issue_date", "amount_numeric",
                        F.coalesce("missing_from_scan", F.lit(False)).alias("missing_from_scan"), "image_quality", F.lit(None).cast("string").alias("amount_status"),
                        F.when(kept_all, "visible_instruments_exceed_control_count,manual_review_required").otherwise("").alias("review_flags"), F.lit(0).alias("unseen"), (-F.col("quality")).alias("nth"))
     full = listed.join(state.where("rule = 'report'"), "batch_id").where("agrees").withColumn("nth", F.lit(0))
@@ -192,9 +193,69 @@ def select_instruments(seen: DataFrame, register: DataFrame, controls: DataFrame
     facts = placeholders(stand.withColumnRenamed("row_no", "line_no").withColumn("serial_number", F.coalesce("serial_number", "micr_line", "check_number"))).withColumnRenamed("line_no", "row_no")
     facts = facts.select("batch_id", "row_no", "missing_from_scan", F.col("image_quality").alias("quality_"), "amount_status", "review_flags")
     stand = stand.drop("missing_from_scan").join(facts, ["batch_id", "row_no"])
-    stand = stand.select("batch_id", "row_no", "rule", "source", F.lit(None).cast("int").alias("page_number"), "item_no", "serial_number", "amount_numeric", "missing_from_scan", F.coalesce("image_quality", "quality_").alias("image_quality"),
+    stand = stand.select("batch_id", "row_no", "rule", "source", F.lit(None).cast("int").alias("page_number"), "item_no", "serial_number", "unit", "issue_date", "amount_numeric", "missing_from_scan", F.coalesce("image_quality", "quality_").alias("image_quality"),
                          "amount_status", "review_flags", F.lit(1).alias("unseen"), "nth")
     order = Window.partitionBy("batch_id").orderBy("unseen", "page_number", F.col("item_no").asc_nulls_last(), "nth", "row_no")
     out = keep.unionByName(stand).withColumn("item_no", F.row_number().over(order)).drop("unseen", "nth")
     return out.withColumn("instrument_id", F.concat(F.lit("INS-"), F.col("batch_id").cast("string"), F.lit("-"), F.format_string("%03d", F.col("item_no"))))
 
+
+def with_control_candidate(candidates: DataFrame, batches: DataFrame) -> DataFrame:
+    """Deposit candidates, and before them each batch's own control, if it comes from a control report or the batch has no other candidate.
+
+    batches: (batch_id, batch_number, source_system, batch_amount, total_items); the source system's name, or else a batch number, tells the kind of report."""
+    known = ~is_empty(F.col("batch_number"))
+    system = F.upper(F.coalesce("source_system", F.lit("")))
+    named = lambda name: system.contains(name)
+    others = candidates.select(F.col("doc_id").alias("batch_id")).distinct().withColumn("others", F.lit(True))
+    own = batches.join(others, "batch_id", "left").where((F.col("batch_amount").isNotNull() | F.col("total_items").isNotNull()) & (known | named("YOTTA") | named("REGIONS") | named("DEPOSIT DETAIL") | F.col("others").isNull()))
+    kind = F.when(named("YOTTA") | (known & (system == "")), "yottareal_report").when(named("REGIONS"), "regions_report").when(named("DEPOSIT DETAIL"), "deposit_detail_report").otherwise("summary_page")
+    empty = {"page_number": "int", "deposit_account": "string", "deposit_date": "date", "deposit_transaction": "string", "confidence": "double"}
+    rows = own.select(F.col("batch_id").alias("doc_id"), F.lit(0).cast("long").alias("row_no"), kind.alias("source_type"), "source_system", F.col("batch_amount").alias("deposit_amount"), F.col("total_items").cast("int").alias("item_count"), *(F.lit(None).cast(t).alias(c) for c, t in empty.items()))
+    return candidates.unionByName(rows)
+
+
+def evidence_controls(deposits: DataFrame, batches: DataFrame, register: DataFrame) -> DataFrame:
+    """Each batch's expected number of items and control total, from its logical deposits (doc_id = batch_id).
+
+    The counts of all deposits add up; where only some of several have one, and where none has, the batch's own count stands, then the number of
+    register rows of the report kinds. The total is that of the deposits' amounts."""
+    own = F.when(F.col("item_count") > 0, F.col("item_count"))
+    sums = deposits.groupBy(F.col("doc_id").alias("batch_id")).agg(F.count(F.lit(1)).alias("slips"), F.count(own).alias("counted"), F.sum(own).alias("items"), F.sum("deposit_amount").cast("decimal(14,2)").alias("deposit_total"))
+    listed = register.where(F.col("source").isin(*STAND_INS)).groupBy("batch_id").agg(F.count(F.lit(1)).alias("listed"))
+    rows = batches.join(sums, "batch_id", "left").join(listed, "batch_id", "left")
+    some = (F.col("slips") > 1) & (F.col("counted") < F.col("slips"))
+    given = F.coalesce(F.when(F.col("total_items") > 0, F.col("total_items").cast("long")), F.col("listed"))
+    return rows.select("batch_id", "total_pages", F.when(some, given).otherwise(F.coalesce("items", given)).alias("expected_count"), "deposit_total")
+
+
+def finalize_evidence(batches: DataFrame, candidates: DataFrame, seen: DataFrame, register: DataFrame, listings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """From all that was read of the batches to (controls, instruments): their deposits, each once, the controls that follow, and the instruments chosen by these.
+
+    batches: (batch_id, total_pages, batch_number, source_system, batch_amount, total_items); candidates as for ``logical_deposits`` with doc_id = batch_id and row_no from 1; seen and register as for
+    ``select_instruments``; listings: (batch_id, line_no, amount_numeric), amounts that a deposit slip lists, if any. If exactly one receipt has the total of what is
+    seen and the control total differs, that receipt is the control, and the items are as many as were chosen. Seen instruments whose amount isn't listed, where as many
+    are listed as chosen, lose it and are unclear. controls: (batch_id, total_items, batch_amount, by_receipt)."""
+    deposits = written(logical_deposits(with_control_candidate(candidates, batches)))
+    controls = written(evidence_controls(deposits, batches, register))
+    chosen = written(select_instruments(seen, register, controls))
+    shown = F.when(F.col("page_number").isNotNull(), F.col("amount_numeric"))
+    sums = chosen.groupBy("batch_id").agg(F.sum(shown).cast("decimal(14,2)").alias("shown"), F.count(F.lit(1)).alias("n"))
+    receipts = deposits.where(F.col("source_type") == "bank_receipt").join(sums, F.col("doc_id") == F.col("batch_id")).where(F.abs(F.col("deposit_amount") - F.col("shown")) <= F.lit("0.01").cast("decimal(3,2)"))
+    one = receipts.groupBy("batch_id").agg(F.count(F.lit(1)).alias("receipts")).where("receipts = 1")
+    rows = controls.join(sums, "batch_id", "left").join(one, "batch_id", "left")
+    by = F.col("receipts").isNotNull() & F.coalesce(F.abs(F.col("deposit_total") - F.col("shown")) > F.lit("0.01").cast("decimal(3,2)"), F.lit(True))
+    final = rows.select("batch_id", F.when(by, F.col("n")).otherwise(F.col("expected_count")).alias("total_items"), F.when(by, F.col("shown")).otherwise(F.col("deposit_total")).alias("batch_amount"), by.alias("by_receipt"))
+    if listings is not None:
+        judged = multiset_match(chosen.select("batch_id", F.col("item_no").alias("line_no"), "amount_numeric"), listings).select("batch_id", F.col("line_no").alias("item_no"), "flagged")
+        lost = F.col("flagged") & F.col("page_number").isNotNull()
+        flags = F.concat_ws(",", F.when(F.col("review_flags") != "", F.col("review_flags")), F.when(lost, "amount_not_in_deposit_listing,manual_review_required"))
+        chosen = chosen.join(judged, ["batch_id", "item_no"]).withColumns({"amount_numeric": F.when(~lost, F.col("amount_numeric")), "image_quality": F.when(lost, "unclear").otherwise(F.col("image_quality")), "review_flags": flags}).drop("flagged")
+    return final, chosen
+
+
+def validate_batches(batches: DataFrame, candidates: DataFrame, seen: DataFrame, register: DataFrame, as_of: str, listings: DataFrame | None = None) -> DataFrame:
+    """One row a batch: its instruments against its controls, as in ``batch_reconciliation``, with the risk of what was chosen; see ``finalize_evidence``."""
+    controls, chosen = finalize_evidence(batches, candidates, seen, register, listings)
+    chosen = written(chosen.withColumn("line_no", F.col("item_no")))
+    return batch_reconciliation(controls, chosen, risk_scores(chosen, as_of))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import last_number
+from .search import best_by_words, derived_filename
 
 #: Extensions that are taken, and pay periods a year.
 EXTENSIONS = ("pdf", "jpg", "jpeg", "png", "heic", "heif")
@@ -113,25 +114,12 @@ def region_ids(regions: DataFrame) -> DataFrame:
     return regions.select("page_id", "region_idx", F.concat(F.lit("REG-"), F.col("page_id").cast("string"), F.lit("-"), F.substring(F.md5(box), 1, 10)).alias("region_id"))
 
 
-def derived_filenames(pages: DataFrame) -> DataFrame:
-    """The last segment of a URL's path, or a stand-in."""
-    path = F.regexp_extract("url", r"://[^/?#]*/?([^?#]*)", 1)
-    last = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
-    return pages.select("page_id", F.coalesce(F.nullif(last, F.lit("")), F.lit("Unknown Document")).alias("filename"))
+def derived_filenames(hits: DataFrame) -> DataFrame:
+    """The name of each hit (page_id, title, filepath, parent_id); see ``derived_filename``."""
+    return hits.select("page_id", derived_filename(F.col("title"), F.col("filepath"), F.col("parent_id")).alias("filename"))
 
 
 def keyword_rank(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """BM25 over whole texts for each query's distinct words. queries: (item_id, text); docs: (doc_id, text)."""
-    word = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
-    asked = queries.select("item_id", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))
-    wanted = asked.select("word").distinct()
-    words = docs.select("doc_id", word(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    n, mean = words.agg(F.count(F.lit(1)), F.avg("len")).first()
-    tf = words.select("doc_id", "len", F.explode("w").alias("word")).join(wanted, "word", "left_semi").groupBy("doc_id", "len", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / (mean or 1)))
-    found = asked.join(tf.join(df, "word").select("word", "doc_id", weight.alias("weight")), "word")
-    scores = found.groupBy("item_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
-    order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    """BM25 over whole texts for each query's distinct words. queries: (item_id, text); docs: (doc_id, text); see ``best_by_words``."""
+    found = best_by_words(queries.select(F.col("item_id").alias("query_id"), "text"), docs, k)
+    return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")

@@ -207,8 +207,11 @@ _add("overlapping_regions", texts.overlapping_regions, "v_regions", """
 SELECT page_id, region_idx_a, region_idx_b, common, both_ - common AS whole FROM p WHERE common >= 0.42::DOUBLE * (both_ - common)""".lstrip("\n"))
 _add("region_id", texts.region_ids, "v_regions", """
 SELECT page_id, region_idx, 'REG-' || page_id || '-' || substring(md5(concat_ws(',', page_id, x0, y0, x1, y1)), 1, 10) AS region_id FROM v_regions""")
-_add("derive_filename", texts.derived_filenames, "pages", r"""
-SELECT page_id, coalesce(nullif(string_split(regexp_replace(regexp_extract(url, '://[^/?#]*/?([^?#]*)', 1), '/+$', ''), '/')[-1], ''), 'Unknown Document') AS filename FROM pages""")
+_NAMED = r"""CASE WHEN trim(coalesce(title, '')) <> '' THEN title WHEN trim(coalesce(filepath, '')) <> '' THEN string_split(filepath, '/')[-1]
+  ELSE coalesce(nullif(CASE WHEN contains(regexp_extract(parent_id, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/')
+    THEN url_decode(regexp_replace(string_split(regexp_extract(parent_id, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/')[-1], ';.*$', '')) END, ''), 'Unknown Document') END"""
+_add("derive_filename", texts.derived_filenames, "v_named_pages", f"""
+SELECT page_id, {_NAMED} AS filename FROM v_named_pages""")
 _add("keyword_rank", texts.keyword_rank, "benchmark documents", """
 WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM benchmark),
 w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
@@ -355,4 +358,4 @@ u AS (SELECT event_id, session_id, row_number() OVER (PARTITION BY session_id, s
 SELECT event_id, session_id, k <= 5 AS taken, greatest(0, 5 - k) AS remaining FROM u""".lstrip("\n"))
 _add_stream("document_stream", texts.paginate_text, "documents", ORACLE_SQL["paginate_text"])
 
-selected.register(_add)
+selected.register(_add, _RISK, _NAMED)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import boxes, deposits, selection, similar
+from .operators import boxes, deposits, search, selection, similar
 
 #: What was seen and listed, told apart and measured, in SQL; the derived serials and payees are clean, so nothing has to be mended.
 _TOLD = """
@@ -49,7 +49,7 @@ chosen AS (SELECT t.batch_id, t.row_no FROM tried t JOIN best b ON b.batch_id =
 
 _FINAL = """,
 kept AS (
-  SELECT v.batch_id, v.row_no, CASE WHEN rule = 'surplus' AND b.mask IS NULL THEN 'surplus_kept' ELSE rule END AS rule, source, page_number, item_no AS given, serial_number, amount_numeric, coalesce(missing_from_scan, false) AS missing_from_scan, image_quality,
+  SELECT v.batch_id, v.row_no, CASE WHEN rule = 'surplus' AND b.mask IS NULL THEN 'surplus_kept' ELSE rule END AS rule, source, page_number, item_no AS given, serial_number, unit, issue_date, amount_numeric, coalesce(missing_from_scan, false) AS missing_from_scan, image_quality,
          NULL::VARCHAR AS amount_status, CASE WHEN rule = 'surplus' AND b.mask IS NULL THEN 'visible_instruments_exceed_control_count,manual_review_required' ELSE '' END AS review_flags, page_number AS o1, 0 AS o2, -quality AS o3
   FROM visible v JOIN st USING (batch_id) LEFT JOIN best b USING (batch_id)
   WHERE rule <> 'report' AND (rule NOT IN ('surplus', 'searched') OR b.mask IS NULL OR (v.batch_id, v.row_no) IN (SELECT (batch_id, row_no) FROM chosen))),
@@ -58,16 +58,16 @@ stood AS (
   UNION ALL SELECT s.* EXCLUDE (nth), rule, CASE WHEN rule = 'shortfall' THEN nth ELSE 0 END AS o3 FROM spare s JOIN st USING (batch_id) LEFT JOIN best b USING (batch_id)
   WHERE rule = 'register' OR rule = 'shortfall' AND CASE WHEN b.mask IS NOT NULL THEN (s.batch_id, s.row_no) IN (SELECT (batch_id, row_no) FROM chosen) ELSE nth <= e - n END),
 filled AS (
-  SELECT batch_id, row_no, rule, source, NULL AS page_number, item_no AS given, coalesce(serial_number, micr_line) AS serial, serial_number, amount_numeric, source = 'yottareal_batch_detail' AS missing_from_scan, o3 FROM stood),
+  SELECT batch_id, row_no, rule, source, NULL AS page_number, item_no AS given, coalesce(serial_number, micr_line) AS serial, serial_number, unit, issue_date, amount_numeric, source = 'yottareal_batch_detail' AS missing_from_scan, o3 FROM stood),
 allrows AS (
   SELECT * FROM kept UNION ALL
-  SELECT batch_id, row_no, rule, source, page_number, given, serial_number, amount_numeric, missing_from_scan, CASE WHEN missing_from_scan THEN 'not_extracted_from_scan' ELSE 'thumbnail_report_image' END,
+  SELECT batch_id, row_no, rule, source, page_number, given, serial_number, unit, issue_date, amount_numeric, missing_from_scan, CASE WHEN missing_from_scan THEN 'not_extracted_from_scan' ELSE 'thumbnail_report_image' END,
          CASE WHEN missing_from_scan AND serial IS NULL THEN 'candidate' END,
          CASE WHEN NOT missing_from_scan THEN 'report_row_instrument' WHEN serial IS NULL THEN 'unverified_register_amount,missing_document_identity,manual_review_required,register_item_not_matched_to_clear_instrument' ELSE 'register_item_not_matched_to_clear_instrument' END,
-         1 << 30, 0, o3 FROM filled)
-SELECT *, concat('INS-', batch_id, '-', lpad(item_no::VARCHAR, 3, '0')) AS instrument_id FROM (
-  SELECT batch_id, row_no, rule, source, page_number, serial_number, amount_numeric, missing_from_scan, image_quality, amount_status, review_flags,
-         row_number() OVER (PARTITION BY batch_id ORDER BY o1, given NULLS LAST, o3, row_no)::INTEGER AS item_no FROM allrows)"""
+         1 << 30, 0, o3 FROM filled),
+selected_ AS (SELECT *, concat('INS-', batch_id, '-', lpad(item_no::VARCHAR, 3, '0')) AS instrument_id FROM (
+  SELECT batch_id, row_no, rule, source, page_number, serial_number, unit, issue_date, amount_numeric, missing_from_scan, image_quality, amount_status, review_flags,
+         row_number() OVER (PARTITION BY batch_id ORDER BY o1, given NULLS LAST, o3, row_no)::INTEGER AS item_no FROM allrows))"""
 
 _RANKED = """
 , c AS MATERIALIZED (
@@ -199,6 +199,35 @@ SELECT doc_id, arg_min(batch_number, o) FILTER (batch_number IS NOT NULL) AS bat
   arg_min(property_name, o) FILTER (property_name <> '') AS property_name, arg_max(deposit_account, page_number) FILTER (deposit_account IS NOT NULL) AS deposit_account, arg_max(deposit_date, page_number) FILTER (deposit_date IS NOT NULL) AS deposit_date,
   arg_max(deposit_amount, page_number) FILTER (deposit_amount IS NOT NULL) AS deposit_amount FROM o GROUP BY doc_id"""
 
+#: The whole job: a batch's control joins its candidates, logical deposits give the controls, these choose the instruments, and a lone receipt may overrule.
+_CONTROLLED = """
+, slips_ AS MATERIALIZED (
+  SELECT doc_id, row_no, page_number, source_type, source_system, deposit_amount, item_count, deposit_account, deposit_date, deposit_transaction, confidence FROM v_slips
+  UNION ALL
+  SELECT batch_id, 0, NULL, CASE WHEN batch_number IS NOT NULL AND source_system IS NULL THEN 'yottareal_report' WHEN source_system LIKE 'Regions%' THEN 'regions_report' WHEN source_system LIKE 'Deposit Detail%' THEN 'deposit_detail_report' ELSE 'summary_page' END,
+         source_system, batch_amount, total_items, NULL, NULL, NULL, NULL
+  FROM v_heads WHERE (batch_amount IS NOT NULL OR total_items IS NOT NULL) AND (batch_number IS NOT NULL OR source_system IS NOT NULL OR batch_id NOT IN (SELECT doc_id FROM v_slips)))"""
+_CONTROLS = """,
+dsum AS (SELECT doc_id AS batch_id, count(*) AS slips, count(item_count) AS counted, sum(item_count) AS items, sum(deposit_amount)::DECIMAL(14,2) AS dt FROM res GROUP BY doc_id),
+lsum AS (SELECT batch_id, count(*) AS n_listed FROM v_listed WHERE source <> 'vision_register_items' GROUP BY batch_id),
+controls_ AS MATERIALIZED (
+  SELECT batch_id, total_pages, CASE WHEN slips > 1 AND counted < slips THEN coalesce(nullif(total_items, 0), n_listed) ELSE coalesce(items, nullif(total_items, 0), n_listed) END AS expected_count, dt AS deposit_total
+  FROM v_heads LEFT JOIN dsum USING (batch_id) LEFT JOIN lsum USING (batch_id))"""
+_JUDGED = """,
+ssum AS (SELECT batch_id, sum(amount_numeric) FILTER (page_number IS NOT NULL) AS shown, count(*) AS n FROM selected_ GROUP BY batch_id),
+lone AS (SELECT s.batch_id FROM ssum s JOIN res ON doc_id = s.batch_id AND source_type = 'bank_receipt' AND abs(deposit_amount - shown) <= 0.01 GROUP BY s.batch_id HAVING count(*) = 1),
+final_ AS (
+  SELECT c.batch_id, coalesce(n, 0) AS n, coalesce(t, 0)::DECIMAL(14,2) AS instrument_total, CASE WHEN by_ THEN n ELSE expected_count END AS total_items, CASE WHEN by_ THEN shown ELSE deposit_total END::DECIMAL(14,2) AS batch_amount
+  FROM (SELECT c.*, shown, n, c.batch_id IN (SELECT batch_id FROM lone) AND coalesce(abs(deposit_total - shown) > 0.01, true) AS by_ FROM controls_ c LEFT JOIN ssum USING (batch_id)) c
+  LEFT JOIN (SELECT batch_id, sum(amount_numeric) AS t FROM selected_ GROUP BY batch_id) USING (batch_id)),
+inst_ AS (SELECT *, item_no AS line_no FROM selected_)"""
+_DECIDED = """,
+soft_ AS (SELECT batch_id, bool_or(status <> 'VALID') AS soft FROM scored GROUP BY batch_id),
+tested AS (SELECT *, coalesce(abs(instrument_total - batch_amount) <= 0.01, false) AS amounts, coalesce(n = total_items, true) AS items FROM final_ LEFT JOIN soft_ USING (batch_id))
+SELECT batch_id, batch_amount, instrument_total, (instrument_total - batch_amount)::DECIMAL(14,2) AS gap, total_items, n AS instrument_count, CASE WHEN NOT amounts OR NOT items THEN 'FAIL' WHEN soft THEN 'PASS_WITH_REVIEW' ELSE 'PASS' END AS decision,
+  CASE WHEN NOT amounts OR NOT items THEN 'REJECT' WHEN soft THEN 'REVIEW' ELSE 'ACCEPT' END AS overall,
+  concat_ws(',', CASE WHEN amounts THEN 'amounts_reconciled' ELSE 'amount_mismatch' END, CASE WHEN items THEN 'item_count_reconciled' ELSE 'item_count_mismatch' END, CASE WHEN amounts AND items AND soft THEN 'manual_review_required_for_item_flags' END) AS flags
+FROM tested"""
 _TYPED = r"""
 , w AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, CASE WHEN content LIKE 'Pay to%' THEN 'payee' WHEN content LIKE 'Check No%' THEN 'document_number' WHEN content LIKE '$%' OR content LIKE '%.25' THEN 'amount_box'
              WHEN content LIKE '%dollars' THEN 'amount_words' WHEN regexp_matches(content, '^[0-9]{4,}$') THEN 'micr' END AS kind,
@@ -253,6 +282,37 @@ steps AS (
   FROM (SELECT s.page_id, b.k, g, kept, hash, item, len(list_filter(g, lambda x: bit_count(xor(x, hash)) < 0.08 * 64)) > 0 AS seen FROM steps s JOIN ordered b ON b.page_id = s.page_id AND b.k = s.k + 1))
 SELECT page_id, unnest(kept) AS item FROM (SELECT page_id, arg_max(kept, k) AS kept FROM steps GROUP BY page_id) UNION ALL SELECT page_id, item FROM v_hashes WHERE hash IS NULL"""
 
+_FOUND = """
+, qv AS (SELECT query_id, list_transform(vector, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM v_questions WHERE vector IS NOT NULL),
+cv AS (SELECT chunk_id, list_transform(vector, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM v_named_chunks),
+nn AS (SELECT q.query_id, c.chunk_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::DOUBLE / sqrt(list_sum(list_transform(q.v, lambda x: x * x))::DOUBLE * list_sum(list_transform(c.v, lambda x: x * x))::DOUBLE) AS score FROM qv q, cv c),
+near_ AS MATERIALIZED (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS r1 FROM nn WHERE score IS NOT NULL QUALIFY r1 <= 120)"""
+_HYBRID = _FOUND + """,
+q AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM v_questions),
+w AS (SELECT chunk_id, coalesce(regexp_extract_all(lower(content), '[a-z]+'), []) AS w FROM v_named_chunks), stt AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+tf AS (SELECT chunk_id, len, word, count(*) AS tf FROM (SELECT chunk_id, len(w) AS len, unnest(w) AS word FROM w) WHERE word IN (SELECT word FROM q) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+sw AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score FROM q JOIN tf USING (word) JOIN df USING (word), stt GROUP BY query_id, chunk_id),
+said_ AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r2 FROM sw QUALIFY r2 <= 75),
+fused AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0) DESC, chunk_id) AS place FROM near_ FULL JOIN said_ USING (query_id, chunk_id) QUALIFY place <= 75),
+hits AS (SELECT query_id, chunk_id, place, coalesce(parent_id, 'chunk ' || chunk_id) AS parent, NAMED AS own_name, substr(content, 1, 5000) AS content FROM fused JOIN v_named_chunks USING (chunk_id)),
+named AS (SELECT *, first_value(own_name) OVER (PARTITION BY query_id, parent ORDER BY place) AS filename FROM hits),
+seven AS (SELECT * FROM named WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY query_id, parent ORDER BY place) <= 7)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INTEGER AS rank, chunk_id, parent, filename, content FROM seven QUALIFY rank <= 15"""
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    """Vectors in whole numbers of 1/256, of which sums are exact."""
+    return df.withColumn("vector", F.transform("vector", lambda x: F.floor(x.cast("double") * 256)))
+
+
+def _nearest(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    return search.nearest(_whole(questions).select("query_id", "vector"), _whole(chunks).select("chunk_id", "vector"), 120)
+
+
+def _hybrid(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    return search.hybrid_search(_whole(questions), _whole(chunks))
+
 
 def _merged_rows(observations: DataFrame) -> DataFrame:
     return similar.merge_observations(observations, similar.same_instrument_pairs(observations))
@@ -263,11 +323,19 @@ def _one_front(observations: DataFrame, fronts: DataFrame) -> DataFrame:
     return similar.consolidate_single_front(merged, fronts).drop("amount_words")
 
 
-def register(add: Callable) -> None:
+def register(add: Callable, risk: str, named: str) -> None:
+    """Adds the queries; ``risk`` is the SQL of v_instruments' risk scores, ``named`` that of a hit's name."""
+    logical = _LOGICAL.replace("v_candidates", "slips_").split("\nSELECT doc_id, row_number()")[0]
+    own = lambda text: text.replace("v_controls", "controls_")
+    scored = risk.replace("v_instruments", "inst_").replace(", r AS", ",\nrk AS").replace("FROM r)", "FROM rk)")
+    whole = _CONTROLLED + logical + _CONTROLS + own(_SELECTED + _FINAL).replace("\n, cand", ",\ncand").replace("steps AS", "steps AS") + _JUDGED + scored + _DECIDED
+    add("validate_batches", selection.validate_batches, "v_heads v_slips v_seen v_listed", whole, as_of="1998-12-01")
     add("payee_score", similar.payee_score, "v_payees v_names", _PAYEE)
     add("same_instrument_pairs", similar.same_instrument_pairs, "v_observations", _SAME_ROWS + "\nSELECT page_id, a, b FROM linked")
     add("merge_observations", _merged_rows, "v_observations", _MERGED_ROWS + "\nSELECT * FROM mo")
     add("consolidate_single_front", _one_front, "v_observations v_fronts", _ONE_FRONT)
+    add("knn", _nearest, "v_questions v_named_chunks", _FOUND + "\nSELECT query_id, r1 AS rank, chunk_id, score FROM near_")
+    add("hybrid_search", _hybrid, "v_questions v_named_chunks", _HYBRID.replace("NAMED", named))
     add("evidence_groups", boxes.evidence_groups, "v_placed_words", _GRAPH + "\nSELECT * FROM eg")
     add("evidence_regions", boxes.evidence_regions, "v_placed_words", _GRAPH + ",\nbx AS (SELECT page_id, group_no AS region_idx, x0, y0, x1, y1, confidence FROM eg)," + _greedy("bx", 0.58) + " WHERE place <= 12")
     add("amount_bound_regions", boxes.amount_bound_regions, "v_placed_words", _TERRITORY)
@@ -276,4 +344,4 @@ def register(add: Callable) -> None:
     add("distinct_hashes", boxes.distinct_hashes, "v_hashes", _HASHED)
     add("rollup_document", similar.rollup_document, "v_headers", _ROLLUP)
     add("logical_deposits", deposits.logical_deposits, "v_candidates", _LOGICAL)
-    add("select_instruments", selection.select_instruments, "v_seen v_listed v_controls", _SELECTED + _FINAL)
+    add("select_instruments", selection.select_instruments, "v_seen v_listed v_controls", _SELECTED + _FINAL + "\nSELECT * FROM selected_")

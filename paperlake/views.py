@@ -164,6 +164,30 @@ FROM v_lines""",
 SELECT mod(vec_id, 20) AS page_id, vec_id AS item, CASE WHEN mod(vec_id, 17) = 0 THEN NULL WHEN mod(vec_id, 7) = 0 THEN 1023
             ELSE mod(mod(vec_id, 60) * 7046029254386353, 1000003) * 1048576 + CASE mod(vec_id, 8) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 7 WHEN 3 THEN 63 WHEN 4 THEN 255 WHEN 5 THEN 4095 WHEN 6 THEN 65535 ELSE 73 END END AS hash
 FROM embeddings""",
+    "v_slips": """
+SELECT x.batch_id AS doc_id, line AS row_no, CAST(1 + mod(part, 4) AS INT) AS page_number,
+       CASE mod(part, 6) WHEN 0 THEN 'bank_receipt' WHEN 1 THEN 'deposit_ticket' WHEN 2 THEN 'regions_report' WHEN 3 THEN 'handwritten_ocr' WHEN 4 THEN 'summary_page' ELSE 'bank_receipt' END AS source_type,
+       CASE WHEN mod(part, 3) = 0 THEN NULL ELSE 'First-Bank' END AS source_system,
+       CASE WHEN mod(supp, 5) = 0 THEN NULL WHEN mod(supp, 5) < 3 THEN t ELSE CAST(25 * mod(part, 12) AS DECIMAL(14,2)) END AS deposit_amount, CAST(CASE WHEN mod(supp, 3) = 0 THEN 0 WHEN mod(supp, 3) = 1 THEN n ELSE mod(part, 4) END AS INT) AS item_count,
+       CASE WHEN mod(part, 5) > 1 THEN NULL ELSE concat('x', CAST(1000 + mod(supp, 2) AS STRING)) END AS deposit_account, day AS deposit_date, CASE WHEN mod(part, 6) = 0 THEN concat('T-', CAST(mod(supp, 5) AS STRING)) ELSE NULL END AS deposit_transaction, CAST(mod(part, 5) AS DOUBLE) / 4 AS confidence
+FROM v_lines x JOIN (SELECT batch_id, count(*) AS n, CAST(sum(CASE WHEN row_no < 50 THEN amount_numeric END) AS DECIMAL(14,2)) AS t FROM v_seen GROUP BY batch_id) s ON s.batch_id = x.batch_id
+WHERE mod(part, 4) = 0""",
+    "v_heads": """
+SELECT o_orderkey AS batch_id, CAST(3 + mod(o_custkey, 2) AS INT) AS total_pages, CASE WHEN mod(o_custkey, 4) = 0 THEN concat('B', CAST(o_custkey AS STRING)) ELSE NULL END AS batch_number,
+       CASE mod(o_custkey, 5) WHEN 0 THEN 'Regions Bank' WHEN 1 THEN 'Deposit Detail Report' ELSE NULL END AS source_system, CASE WHEN mod(o_orderkey, 3) = 0 THEN NULL ELSE CAST(25 * mod(o_custkey, 30) + 100 AS DECIMAL(14,2)) END AS batch_amount,
+       CASE WHEN mod(o_orderkey, 4) = 0 THEN NULL ELSE CAST(mod(o_custkey, 6) AS INT) END AS total_items
+FROM orders""",
+    "v_named_pages": """
+SELECT page_id, CASE WHEN mod(page_id, 7) = 0 THEN concat('Title ', CAST(page_id AS STRING)) WHEN mod(page_id, 7) = 1 THEN '  ' ELSE NULL END AS title,
+       CASE WHEN mod(page_id, 5) = 0 THEN concat('a/b c/', CAST(page_id AS STRING), '.pdf') WHEN mod(page_id, 5) = 1 THEN 'plain.txt' WHEN mod(page_id, 5) = 2 THEN '' ELSE NULL END AS filepath,
+       CASE WHEN mod(page_id, 3) = 0 THEN concat(url, '/last%20one+%C3%A9.pdf;v=', CAST(page_id AS STRING), '?q=1') ELSE url END AS parent_id
+FROM pages""",
+    "v_named_chunks": """
+SELECT e.vec_id AS chunk_id, CASE WHEN mod(e.vec_id, 9) = 0 THEN NULL ELSE concat('https://h.example/c/doc%20', CAST(mod(e.vec_id, 12) AS STRING), '.pdf?x=1') END AS parent_id, CASE WHEN mod(e.vec_id, 12) = 5 THEN 'Five' ELSE NULL END AS title,
+       CASE WHEN mod(e.vec_id, 9) = 0 THEN concat('x/', CAST(e.vec_id AS STRING)) ELSE NULL END AS filepath, d.text AS content, e.embedding AS vector
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id""",
+    "v_questions": """
+SELECT b.item_id AS query_id, b.text, e.embedding AS vector FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id""",
     "v_candidates": """
 SELECT batch_id - mod(batch_id, 4) AS doc_id, mod(batch_id, 4) * 100 + line AS row_no, CAST(1 + mod(part, 9) AS INT) AS page_number,
        CASE mod(part, 7) WHEN 0 THEN 'bank_receipt' WHEN 1 THEN 'deposit_ticket' WHEN 2 THEN 'regions_report' WHEN 3 THEN CASE WHEN mod(supp, 4) = 0 THEN 'yottareal_report' ELSE 'handwritten_ocr' END
@@ -202,7 +226,7 @@ SELECT o.o_orderkey AS batch_id, CAST(3 + mod(o.o_custkey, 2) AS INT) AS total_p
 FROM orders o LEFT JOIN (SELECT batch_id, count(amount_numeric) AS n, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t, CAST(sum(CASE WHEN row_no < 4 THEN amount_numeric END) AS DECIMAL(14,2)) AS part FROM v_seen GROUP BY batch_id) s ON s.batch_id = o.o_orderkey
 LEFT JOIN (SELECT batch_id, count(*) AS n, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t FROM v_listed WHERE source = 'yottareal_batch_detail' AND page_number = 2 GROUP BY batch_id) r ON r.batch_id = o.o_orderkey""",
 }
-_NEEDS = {"v_placed_words": ["v_lines"], "v_boxes": ["v_lines"], "v_observations": ["v_lines"], "v_fronts": ["v_lines"], "v_payees": ["v_lines"], "v_headers": ["v_lines"], "v_candidates": ["v_lines"], "v_seen": ["v_lines"], "v_listed": ["v_lines"], "v_controls": ["v_lines", "v_seen", "v_listed"], "v_batches": ["v_instruments"], "v_register": ["v_instruments"], "v_scaled_regions": ["v_regions"]}
+_NEEDS = {"v_slips": ["v_lines", "v_seen"], "v_placed_words": ["v_lines"], "v_boxes": ["v_lines"], "v_observations": ["v_lines"], "v_fronts": ["v_lines"], "v_payees": ["v_lines"], "v_headers": ["v_lines"], "v_candidates": ["v_lines"], "v_seen": ["v_lines"], "v_listed": ["v_lines"], "v_controls": ["v_lines", "v_seen", "v_listed"], "v_batches": ["v_instruments"], "v_register": ["v_instruments"], "v_scaled_regions": ["v_regions"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
