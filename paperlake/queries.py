@@ -339,6 +339,12 @@ def _add_stream(name: str, how: Callable[[DataFrame], DataFrame], table: str, sq
     ORACLE_SQL[name] = with_views(sql)
 
 
+def _exchanges(turns: DataFrame) -> DataFrame:
+    """Each turn as an exchange of one side, a minute after the one before."""
+    said = lambda own: F.when((F.col("role") == "user") == F.lit(own), F.col("text")).otherwise("")
+    return turns.select(F.col("conv_id").alias("session_id"), "turn", said(True).alias("query"), said(False).alias("response"), F.timestamp_seconds(F.col("turn") * 60 + 60).alias("ts"))
+
+
 def _session_events(events: DataFrame) -> DataFrame:
     action = F.when(F.col("event_type").isin("purchase", "signup"), "upload").otherwise("chat")
     return events.select("event_id", F.col("user_id").alias("session_id"), action.alias("action"), "ts")
@@ -356,6 +362,10 @@ _add_stream("session_documents", lambda events: sessions.session_uploads(_sessio
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS span FROM g),
 u AS (SELECT event_id, session_id, row_number() OVER (PARTITION BY session_id, span ORDER BY ts, event_id) AS k FROM s WHERE action = 'upload')
 SELECT event_id, session_id, k <= 5 AS taken, greatest(0, 5 - k) AS remaining FROM u""".lstrip("\n"))
+_add_stream("conversation_state", lambda turns: sessions.recent_turns(_exchanges(turns)), "conversations", """
+, e AS (SELECT conv_id AS session_id, turn, CASE WHEN role = 'user' THEN text ELSE '' END AS query, CASE WHEN role = 'user' THEN '' ELSE text END AS response FROM conversations)
+SELECT session_id, turn, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS place, query, trim(regexp_replace(replace(response, '**', ''), ' {2,}', ' ', 'g'), ' ') AS response FROM e QUALIFY place <= 10""".lstrip("\n,").replace(" e AS", "WITH e AS", 1))
+_add_stream("event_stream", lambda events: sessions.once_each(events.unionByName(events.where("event_id % 3 = 0")).select("event_id", "user_id", "ts"), ("event_id",)).select("event_id", "user_id"), "events", "SELECT event_id, user_id FROM events")
 _add_stream("document_stream", texts.paginate_text, "documents", ORACLE_SQL["paginate_text"])
 
 selected.register(_add, _RISK, _NAMED)

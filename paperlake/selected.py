@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import boxes, deposits, search, selection, similar
+from .operators import boxes, deposits, increments, search, selection, similar
+from .tables import shared_folder
 
 #: What was seen and listed, told apart and measured, in SQL; the derived serials and payees are clean, so nothing has to be mended.
 _TOLD = """
@@ -314,6 +317,27 @@ def _hybrid(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return search.hybrid_search(_whole(questions), _whole(chunks))
 
 
+def _grown_index(documents: DataFrame) -> DataFrame:
+    """An index that grows: a run over half of the documents, one over all and one more, of which each text's chunks stay once."""
+    path = f"{shared_folder(documents.sparkSession)}/index-{uuid.uuid4().hex}"
+    for rows in (documents.where("doc_id % 2 = 0"), documents, documents):
+        index = increments.incremental_index(rows, path)
+    return index.select("doc_id", "chunk_number", F.md5("content").alias("chunk_md5"))
+
+
+def _read_page(requests: pd.DataFrame) -> pd.DataFrame:
+    if (requests["zoom"] == 2).any():
+        raise ValueError("zoom 2 can't be read")
+    return pd.DataFrame({"place": requests["page"] * 10 + requests["zoom"]})
+
+
+def _read_requests(requests: DataFrame) -> DataFrame:
+    """Requests whose answers were kept by an earlier call for some of them."""
+    path, fields = f"{shared_folder(requests.sparkSession)}/answers-{uuid.uuid4().hex}", ("kind", "page", "zoom")
+    increments.with_reader(requests.where("kind = 'layout'"), fields, _read_page, "place long", path)
+    return increments.with_reader(requests, fields, _read_page, "place long", path).select("request_id", "kind", "page", "zoom", "place", "error")
+
+
 def _merged_rows(observations: DataFrame) -> DataFrame:
     return similar.merge_observations(observations, similar.same_instrument_pairs(observations))
 
@@ -336,6 +360,11 @@ def register(add: Callable, risk: str, named: str) -> None:
     add("consolidate_single_front", _one_front, "v_observations v_fronts", _ONE_FRONT)
     add("knn", _nearest, "v_questions v_named_chunks", _FOUND + "\nSELECT query_id, r1 AS rank, chunk_id, score FROM near_")
     add("hybrid_search", _hybrid, "v_questions v_named_chunks", _HYBRID.replace("NAMED", named))
+    add("incremental_index", _grown_index, "documents", """
+WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) + 1, 800)) AS s FROM documents WHERE text <> '')
+SELECT doc_id, ((s - 1) / 800 + 1)::INTEGER AS chunk_number, md5(substring(text, s, 1000)) AS chunk_md5 FROM p""")
+    add("with_reader", _read_requests, "v_requests", """
+SELECT request_id, kind, page, zoom, CASE WHEN zoom <> 2 THEN page * 10 + zoom END AS place, CASE WHEN zoom = 2 THEN 'ValueError: zoom 2 can''t be read' END AS error FROM v_requests""")
     add("evidence_groups", boxes.evidence_groups, "v_placed_words", _GRAPH + "\nSELECT * FROM eg")
     add("evidence_regions", boxes.evidence_regions, "v_placed_words", _GRAPH + ",\nbx AS (SELECT page_id, group_no AS region_idx, x0, y0, x1, y1, confidence FROM eg)," + _greedy("bx", 0.58) + " WHERE place <= 12")
     add("amount_bound_regions", boxes.amount_bound_regions, "v_placed_words", _TERRITORY)
