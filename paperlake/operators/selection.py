@@ -259,3 +259,55 @@ def validate_batches(batches: DataFrame, candidates: DataFrame, seen: DataFrame,
     controls, chosen = finalize_evidence(batches, candidates, seen, register, listings)
     chosen = written(chosen.withColumn("line_no", F.col("item_no")))
     return batch_reconciliation(controls, chosen, risk_scores(chosen, as_of))
+
+
+#: Re-reads that are tried of a batch, their least confidence, and the gap beyond which instruments are missing and not misread.
+MOST_REREADS, SURE_REREAD, MISREAD_GAP = 4, 0.72, 150
+
+
+def _closer(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Re-reads (row_no, old cents, new cents, total, target) in order to (row_no, taken): each is taken if it brings the total nearer, until it agrees."""
+    now = None
+    for row, old, new, total, target in rows:
+        now = total if now is None else now
+        if abs(target - now) <= 1:
+            return
+        tried = now - (old or 0) + new
+        if abs(target - tried) < abs(target - now):
+            now = tried
+            yield row, new / 100
+
+
+def match_verified(rows: DataFrame, readings: DataFrame, controls: DataFrame) -> DataFrame:
+    """Amounts read again replace the first reading where they bring a batch's total nearer to its control: rows with ``amount_numeric`` and ``replaced``.
+
+    rows: (batch_id, row_no, page_number, total_pages, amount_numeric, words_amount, image_quality, conflict); readings: (batch_id, row_no, amount, confidence, agree, source), one a row at most;
+    controls: (batch_id, expected_count, deposit_total). Only batches with a gap, with no fewer rows than expected and, without an expected count, a gap of MISREAD_GAP at most are judged.
+    Rows on a page without written amount, with another written amount, or unclear may be misread; the first MOST_REREADS of them are read again, in order of row_no. A
+    reading needs an amount, confidence and agreeing views, and where the first reading's evidence conflicts both kinds of evidence."""
+    cents = lambda c: F.round(c.cast("decimal(18,2)") * 100).cast("long")
+    sums = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(cents(F.col("amount_numeric"))), F.lit(0)).alias("sum_cents"))
+    open_ = controls.where("deposit_total IS NOT NULL").join(sums, "batch_id").withColumn("target", cents(F.col("deposit_total")))
+    gap, counted = F.abs(F.col("target") - F.col("sum_cents")), F.coalesce(F.col("expected_count") > 0, F.lit(False))
+    open_ = open_.where((gap > 1) & F.when(counted, F.col("n") >= F.col("expected_count")).otherwise(gap <= MISREAD_GAP * 100)).select("batch_id", "sum_cents", "target")
+    doubt = F.col("words_amount").isNull() | F.coalesce(F.abs(F.col("words_amount") - F.col("amount_numeric")) > 0.01, F.lit(False)) | F.coalesce(F.col("image_quality") == "unclear", F.lit(False))
+    asked = rows.where(F.col("page_number").between(1, F.col("total_pages")) & doubt).join(open_, "batch_id")
+    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy("batch_id").orderBy("row_no"))).where(F.col("nth") <= MOST_REREADS)
+    good = readings.where((F.col("amount").isNotNull()) & (F.col("confidence") >= SURE_REREAD) & F.col("agree"))
+    tried = asked.join(good, ["batch_id", "row_no"]).where(~F.coalesce("conflict", F.lit(False)) | (F.col("source") == "both"))
+    tried = tried.withColumns({"old": cents(F.col("amount_numeric")), "new": cents(F.col("amount"))})
+    taken = fold(tried, ["batch_id"], ["row_no"], ["row_no", "old", "new", "sum_cents", "target"], _closer, "batch_id long, row_no long, taken double")
+    out = rows.join(taken, ["batch_id", "row_no"], "left")
+    kind = rows.schema["amount_numeric"].dataType
+    return out.withColumns({"amount_numeric": F.coalesce(F.col("taken").cast(kind), F.col("amount_numeric")), "replaced": F.col("taken").isNotNull()}).drop("taken")
+
+
+def inferred_property(instruments: DataFrame) -> DataFrame:
+    """The payee that most of a batch's instruments name and that may be a property, in title case; the first seen of equally frequent ones.
+
+    instruments: (batch_id, row_no, payee_raw). Names of banks and issuers and names that are noise don't count; batches without a name give no row."""
+    name = N.payee(F.col("payee_raw"))
+    banks = r"(?i)\b(BANK|CHASE|REGIONS|WESTERN\s+UNION|MONEYGRAM|INTERMEX|FIDELITY)\b"
+    rows = instruments.select("batch_id", "row_no", name.alias("name")).where(F.col("name").isNotNull() & N.property_name(F.col("name")).isNotNull() & ~F.col("name").rlike(banks))
+    by = rows.groupBy("batch_id", F.initcap("name").alias("property_name")).agg(F.count(F.lit(1)).alias("items"), F.min("row_no").alias("first"))
+    return by.groupBy("batch_id").agg(F.min_by(F.struct("property_name", "items"), F.struct((-F.col("items")).alias("n"), "first")).alias("best")).select("batch_id", "best.*")

@@ -123,3 +123,36 @@ def keyword_rank(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """BM25 over whole texts for each query's distinct words. queries: (item_id, text); docs: (doc_id, text); see ``best_by_words``."""
     found = best_by_words(queries.select(F.col("item_id").alias("query_id"), "text"), docs, k)
     return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")
+
+
+#: What makes a line of a scan worth keeping, without regard to case; the lines that stand in for none, and the budget.
+FOCUS = (
+    r"PAY\s+EXACTLY", r"PAY\s+TO\s+THE\s+ORDER", r"PAYABLE\s+TO", r"PURCHASER|REMITTER|DRAWER|SENDER", r"MONEY\s*ORDER|CASHIER|CHECK\s+NO|SERIAL",
+    r"WESTERN\s+UNION|MONEYGRAM|INTERMEX|FIDELITY|BARRI|DOLEX|PLS|CHASE|JPMORGAN|WELLS\s+FARGO|PROSPERITY", r"\$\s*\d|\*+\s*\$?\d", r"\b\d{2}[-\s]?\d{7,12}\b|\b\d{9,14}\b",
+    r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b|\b20\d{2}-\d{2}-\d{2}\b", r"APT|APARTMENT|UNIT|SUITE|#\s*\d", r"BATCH\s*#|BATCH\s+AMOUNT|ACTUAL\s+ITEMS|TOTALS?\b|DEPOSIT\s+ACCOUNT|TRANSACTION\s+ID", r"MICR|ROUTING|ACCOUNT",
+)
+STAND_IN_LINES, FOCUS_CHARS = 35, 2600
+
+
+def focus_context(pages: DataFrame, most: int = FOCUS_CHARS) -> DataFrame:
+    """The lines of each page that say something of a payment, each with its neighbours, up to ``most`` characters: (doc_id, lines, text).
+
+    pages: (doc_id, text). Lines are cleaned of outer white space and runs of blanks; those of one character don't count. A page without such a line gives its first
+    STAND_IN_LINES. Of lines that are equal in their letters and digits the first stays; lines without any go. A line that would pass the budget ends the text, unless all fit.
+    Null and empty texts give an empty text; repeated rows of a page are one page, and of different texts with one id the lines come together."""
+    cut = F.split(F.coalesce("text", F.lit("")), "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]")
+    lines = F.filter(F.transform(cut, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), "[ \t]+", " ")), lambda x: F.length(x) >= 2)
+    rows = pages.select("doc_id", "text").distinct().select("doc_id", F.posexplode(lines).alias("pos", "line"))
+    by = Window.partitionBy("doc_id").orderBy("pos")
+    page = Window.partitionBy("doc_id")
+    rows = rows.withColumn("hit", F.col("line").rlike("(?i)" + "|".join(FOCUS)))
+    near = F.col("hit") | F.lag("hit", 1, False).over(by) | F.lead("hit", 1, False).over(by)
+    rows = rows.withColumns({"near": near, "any_hit": F.max("hit").over(page), "nth": F.row_number().over(by)})
+    kept = rows.where("near OR (NOT any_hit AND nth <= " + str(STAND_IN_LINES) + ")").withColumn("same", F.upper(F.regexp_replace("line", r"[^\p{L}\p{N}_]+", ""))).where("same <> ''")
+    once = kept.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "same").orderBy("pos"))).where("copy = 1")
+    size = F.length("line") + 1
+    once = once.withColumns({"upto": F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum(size).over(page)})
+    fit = once.where((F.col("upto") <= most) | (F.col("all") - 1 <= most))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    texts = fit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.array_join(listed, "\n").alias("text"))
+    return pages.select("doc_id").distinct().join(texts, "doc_id", "left").select("doc_id", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("text", F.lit("")).alias("text"))

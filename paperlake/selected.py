@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import boxes, deposits, increments, search, selection, similar
+from .operators import boxes, deposits, increments, search, selection, similar, texts
 from .tables import shared_folder
 
 #: What was seen and listed, told apart and measured, in SQL; the derived serials and payees are clean, so nothing has to be mended.
@@ -360,6 +360,35 @@ def register(add: Callable, risk: str, named: str) -> None:
     add("consolidate_single_front", _one_front, "v_observations v_fronts", _ONE_FRONT)
     add("knn", _nearest, "v_questions v_named_chunks", _FOUND + "\nSELECT query_id, r1 AS rank, chunk_id, score FROM near_")
     add("hybrid_search", _hybrid, "v_questions v_named_chunks", _HYBRID.replace("NAMED", named))
+    add("match_verified", selection.match_verified, "v_first_reads v_second_reads v_totals", """
+, s AS (SELECT batch_id, count(*) AS n, coalesce(sum(amount_numeric), 0) AS t FROM v_first_reads GROUP BY batch_id),
+o AS (SELECT batch_id, t, deposit_total AS dt FROM v_totals JOIN s USING (batch_id) WHERE abs(deposit_total - t) > 0.01 AND CASE WHEN expected_count > 0 THEN n >= expected_count ELSE abs(deposit_total - t) <= 150 END),
+a AS (SELECT f.*, t, dt, row_number() OVER (PARTITION BY batch_id ORDER BY row_no) AS nth FROM v_first_reads f JOIN o USING (batch_id)
+      WHERE page_number BETWEEN 1 AND total_pages AND (words_amount IS NULL OR coalesce(abs(words_amount - amount_numeric) > 0.01, false) OR coalesce(image_quality = 'unclear', false)) QUALIFY nth <= 4),
+r AS (SELECT a.batch_id, a.row_no, coalesce(amount_numeric, 0) AS was, amount AS now_, t, dt, row_number() OVER (PARTITION BY a.batch_id ORDER BY a.row_no) AS k FROM a JOIN v_second_reads b ON a.batch_id = b.batch_id AND a.row_no = b.row_no
+      AND amount IS NOT NULL AND confidence >= 0.72 AND agree AND (NOT conflict OR source = 'both')),
+steps AS (
+  SELECT batch_id, 0::BIGINT AS k, any_value(t) AS now_t, any_value(dt) AS dt, []::BIGINT[] AS taken FROM r GROUP BY batch_id
+  UNION ALL
+  SELECT batch_id, k, CASE WHEN better THEN now_t - was + now_ ELSE now_t END, dt, CASE WHEN better THEN list_append(taken, row_no) ELSE taken END
+  FROM (SELECT s.batch_id, r.k, s.now_t, s.dt, s.taken, r.row_no, r.was, r.now_, abs(s.dt - now_t) > 0.01 AND abs(s.dt - (now_t - r.was + r.now_)) < abs(s.dt - now_t) AS better FROM steps s JOIN r ON r.batch_id = s.batch_id AND r.k = s.k + 1)),
+won AS (SELECT batch_id, unnest(taken) AS row_no FROM (SELECT batch_id, arg_max(taken, k) AS taken FROM steps GROUP BY batch_id))
+SELECT f.* REPLACE (CASE WHEN w.row_no IS NOT NULL THEN b.amount ELSE f.amount_numeric END AS amount_numeric), w.row_no IS NOT NULL AS replaced
+FROM v_first_reads f LEFT JOIN won w ON w.batch_id = f.batch_id AND w.row_no = f.row_no LEFT JOIN v_second_reads b ON b.batch_id = f.batch_id AND b.row_no = f.row_no""")
+    add("infer_property", selection.inferred_property, "v_first_reads", """
+, n AS (SELECT batch_id, row_no, CASE WHEN lower(payee_raw) = 'oak court' THEN 'Oak Court' ELSE payee_raw END AS p FROM v_first_reads WHERE payee_raw NOT IN ('First Bank', 'Pay to the order of')),
+g AS (SELECT batch_id, p AS property_name, count(*) AS items, min(row_no) AS f FROM n GROUP BY ALL)
+SELECT batch_id, property_name, items FROM g QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY items DESC, f) = 1""")
+    pattern = "(?i)" + "|".join(texts.FOCUS)
+    add("focus_context", texts.focus_context, "documents", rf"""
+WITH l0 AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(regexp_replace(x, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'), '[ \t]+', ' ', 'g')), lambda x: length(x) >= 2)) AS line,
+             generate_subscripts(list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(regexp_replace(x, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'), '[ \t]+', ' ', 'g')), lambda x: length(x) >= 2), 1) AS pos FROM documents),
+h AS (SELECT *, regexp_matches(line, '{pattern}') AS hit FROM l0),
+k AS (SELECT *, hit OR lag(hit, 1, false) OVER w OR lead(hit, 1, false) OVER w AS near, bool_or(hit) OVER (PARTITION BY doc_id) AS any_hit, upper(regexp_replace(line, '[^\p{{L}}\p{{N}}_]+', '', 'g')) AS same FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+o AS (SELECT * FROM k WHERE (near OR NOT any_hit AND pos <= 35) AND same <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, same ORDER BY pos) = 1),
+b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, sum(length(line) + 1) OVER (PARTITION BY doc_id) AS whole FROM o),
+t AS (SELECT doc_id, count(*) AS lines, string_agg(line, chr(10) ORDER BY pos) AS text FROM b WHERE upto <= 2600 OR whole - 1 <= 2600 GROUP BY doc_id)
+SELECT doc_id, coalesce(lines, 0) AS lines, coalesce(t.text, '') AS text FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN t USING (doc_id)""")
     add("incremental_index", _grown_index, "documents", """
 WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) + 1, 800)) AS s FROM documents WHERE text <> '')
 SELECT doc_id, ((s - 1) / 800 + 1)::INTEGER AS chunk_number, md5(substring(text, s, 1000)) AS chunk_md5 FROM p""")

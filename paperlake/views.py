@@ -188,6 +188,19 @@ SELECT e.vec_id AS chunk_id, CASE WHEN mod(e.vec_id, 9) = 0 THEN NULL ELSE conca
 FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id""",
     "v_questions": """
 SELECT b.item_id AS query_id, b.text, e.embedding AS vector FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id""",
+    "v_first_reads": """
+SELECT batch_id, line AS row_no, CAST(CASE WHEN mod(part, 13) = 0 THEN NULL ELSE mod(part, 5) END AS INT) AS page_number, 3 AS total_pages, CASE WHEN mod(part, 11) = 0 THEN NULL ELSE CAST(50 + 25 * mod(part, 6) AS DECIMAL(12,2)) END AS amount_numeric,
+       CASE WHEN mod(supp, 2) = 0 THEN NULL ELSE CAST(50 + 25 * mod(part + mod(supp, 4), 6) AS DECIMAL(12,2)) END AS words_amount, CASE WHEN mod(part, 7) = 0 THEN 'unclear' ELSE NULL END AS image_quality, (mod(part, 9) = 0) AS conflict,
+       CASE mod(supp, 6) WHEN 0 THEN 'oak court' WHEN 1 THEN 'Oak Court' WHEN 2 THEN 'First Bank' WHEN 3 THEN NULL WHEN 4 THEN 'Maple Ridge Homes' ELSE 'Pay to the order of' END AS payee_raw
+FROM v_lines""",
+    "v_second_reads": """
+SELECT batch_id, line AS row_no, CASE WHEN mod(part, 10) = 0 THEN NULL ELSE CAST(50 + 25 * mod(part + mod(supp, 4), 6) AS DECIMAL(12,2)) END AS amount, CAST(60 + 5 * mod(supp, 8) AS DOUBLE) / 100 AS confidence, (mod(part, 4) > 0) AS agree,
+       CASE WHEN mod(supp, 3) = 0 THEN 'both' ELSE 'numeric_box' END AS source
+FROM v_lines WHERE mod(part, 8) > 0""",
+    "v_totals": """
+SELECT batch_id, CASE WHEN mod(batch_id, 3) = 0 THEN NULL ELSE count(*) + CASE WHEN mod(batch_id, 4) = 1 THEN 1 ELSE 0 END END AS expected_count,
+       CASE WHEN mod(batch_id, 7) = 0 THEN NULL ELSE CAST(sum(50 + 25 * mod(part + mod(supp, 4), 6)) AS DECIMAL(14,2)) END AS deposit_total
+FROM v_lines GROUP BY batch_id""",
     "v_candidates": """
 SELECT batch_id - mod(batch_id, 4) AS doc_id, mod(batch_id, 4) * 100 + line AS row_no, CAST(1 + mod(part, 9) AS INT) AS page_number,
        CASE mod(part, 7) WHEN 0 THEN 'bank_receipt' WHEN 1 THEN 'deposit_ticket' WHEN 2 THEN 'regions_report' WHEN 3 THEN CASE WHEN mod(supp, 4) = 0 THEN 'yottareal_report' ELSE 'handwritten_ocr' END
@@ -226,7 +239,7 @@ SELECT o.o_orderkey AS batch_id, CAST(3 + mod(o.o_custkey, 2) AS INT) AS total_p
 FROM orders o LEFT JOIN (SELECT batch_id, count(amount_numeric) AS n, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t, CAST(sum(CASE WHEN row_no < 4 THEN amount_numeric END) AS DECIMAL(14,2)) AS part FROM v_seen GROUP BY batch_id) s ON s.batch_id = o.o_orderkey
 LEFT JOIN (SELECT batch_id, count(*) AS n, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t FROM v_listed WHERE source = 'yottareal_batch_detail' AND page_number = 2 GROUP BY batch_id) r ON r.batch_id = o.o_orderkey""",
 }
-_NEEDS = {"v_slips": ["v_lines", "v_seen"], "v_placed_words": ["v_lines"], "v_boxes": ["v_lines"], "v_observations": ["v_lines"], "v_fronts": ["v_lines"], "v_payees": ["v_lines"], "v_headers": ["v_lines"], "v_candidates": ["v_lines"], "v_seen": ["v_lines"], "v_listed": ["v_lines"], "v_controls": ["v_lines", "v_seen", "v_listed"], "v_batches": ["v_instruments"], "v_register": ["v_instruments"], "v_scaled_regions": ["v_regions"]}
+_NEEDS = {"v_first_reads": ["v_lines"], "v_second_reads": ["v_lines"], "v_totals": ["v_lines"], "v_slips": ["v_lines", "v_seen"], "v_placed_words": ["v_lines"], "v_boxes": ["v_lines"], "v_observations": ["v_lines"], "v_fronts": ["v_lines"], "v_payees": ["v_lines"], "v_headers": ["v_lines"], "v_candidates": ["v_lines"], "v_seen": ["v_lines"], "v_listed": ["v_lines"], "v_controls": ["v_lines", "v_seen", "v_listed"], "v_batches": ["v_instruments"], "v_register": ["v_instruments"], "v_scaled_regions": ["v_regions"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
