@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,10 @@ from .shared import bounded_batches
 #: The default rank file and the pattern that splits texts before merging (parameters of every operator here).
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same matches as PATTERN's in less time: letters, the most frequent case, are tried first (nothing else but one space begins like them), and runs aren't given back.
+LETTERS_FIRST = r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: Pieces that a task remembers in each of two generations, the longest such piece, and remembered pairs of tokens.
-PIECES, LONGEST_PIECE, PAIRS = 150_000, 64, 1 << 17
+PIECES, LONGEST_PIECE, PAIRS = 150_000, 64, 1 << 18
 
 
 class Ranks:
@@ -41,10 +44,11 @@ class Ranks:
         self.shorter, self.halves = [-1] * size, [None] * size
         self.merged: dict[tuple[int, int], int] = {}
         self.automaton = ahocorasick.Automaton()
-        self.fits = lru_cache(PAIRS)(self._fits)
+        self.known: dict[int, bool] = {}
+        self.size = [0] * size
         for token, r in sorted(self.rank.items(), key=lambda x: x[1]):
-            self.token[r] = token
-            self.automaton.add_word(token.decode("latin-1"), r)
+            self.token[r], self.size[r] = token, len(token)
+            self.automaton.add_word(token.decode("latin-1"), (r, len(token) - 1))
         for token, r in self.rank.items():
             self.shorter[r] = next((self.rank[token[:i]] for i in range(len(token) - 1, 0, -1) if token[:i] in self.rank), -1)
         for token, r in sorted(self.rank.items(), key=lambda x: x[1]):
@@ -57,8 +61,8 @@ class Ranks:
                     self.merged[left, right] = r
                     break
                 left = self.shorter[left]
-        self.fits.cache_clear()
         self.automaton.make_automaton()
+        self.little = [r.to_bytes(4, "little") for r in range(size)]
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b by rank ends with just these two.
@@ -84,29 +88,40 @@ class Ranks:
         whole = self.rank.get(piece)
         if whole is not None:
             return [whole]
-        longest = [-1] * len(piece)
-        token, fits, shorter = self.token, self.fits, self.shorter
-        for end, r in self.automaton.iter(piece.decode("latin-1")):
-            longest[end + 1 - len(token[r])] = r
-        failed = bytearray(len(piece) + 1)
+        n, size, known, shorter = len(piece), self.size, self.known, self.shorter
+        longest = [-1] * n
+        for end, (r, before) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - before] = r
+        failed = bytearray(n + 1)
         out: list[int] = []
-        at, now = 0, longest[0]
+        at, last, now, pairs = 0, -1, longest[0], len(self.token)
         while True:
-            last = out[-1] if out else -1
-            while now >= 0 and (failed[at + len(token[now])] or last >= 0 and not fits(last, now)):
+            while now >= 0:
+                if not failed[at + size[now]]:
+                    if last < 0:
+                        break
+                    pair = last * pairs + now
+                    fits = known.get(pair)
+                    if fits is None:
+                        if len(known) >= PAIRS:
+                            known.clear()
+                        fits = known[pair] = self._fits(last, now)
+                    if fits:
+                        break
                 now = shorter[now]
             if now < 0:
                 failed[at] = 1
-                if not out:
+                if last < 0:
                     raise ValueError("the rank file has no token for some byte")
                 now = out.pop()
-                at -= len(token[now])
+                at -= size[now]
+                last = out[-1] if out else -1
                 continue
             out.append(now)
-            at += len(token[now])
-            if at == len(piece):
+            at += size[now]
+            if at == n:
                 return out
-            now = longest[at]
+            last, now = now, longest[at]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
@@ -127,7 +142,7 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            out = np.array(self.r.piece(piece.encode()), "<u4").tobytes()
+            out = b"".join(map(self.r.little.__getitem__, self.r.piece(piece.encode())))
         if len(piece) <= LONGEST_PIECE:
             if len(self) >= PIECES:
                 self.old = dict(self)
@@ -157,11 +172,12 @@ class Splitter:
     """Texts to pieces. Symbols that are newer than the reference's classes count as what they are there: neither letter nor number."""
 
     def __init__(self, pattern: str, newer: str) -> None:
-        self.pattern = regex.compile(pattern)
-        self.newer = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _runs(newer)) + "]") if newer else None
+        self.pattern = regex.compile(LETTERS_FIRST if pattern == PATTERN else pattern)
+        self.newer = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _runs(newer)) + "]") if newer else None
+        self.beyond = re.compile(f"[{min(newer)}-\U0010ffff]") if newer else None  # one range is searched much faster than many
 
     def __call__(self, text: str) -> list[str]:
-        if self.newer is None or text.isascii() or not self.newer.search(text):
+        if self.newer is None or text.isascii() or not self.beyond.search(text) or not self.newer.search(text):
             return self.pattern.findall(text)
         # the same places in a text in which each of them is a plain symbol
         return [text[slice(*m.span())] for m in self.pattern.finditer(self.newer.sub("☃", text))]

@@ -163,6 +163,10 @@ def test_bpe_equals_the_library(name):
         text = "".join(rng.choice(alphabets[i % 6]) for _ in range(rng.randint(0, 80)))
         ids = np.frombuffer(b"".join(memo[p] for p in split(text)), "<u4")
         assert ids.tolist() == known.encode_ordinary(text) and r.decode(ids) == text.encode()
+    slow = __import__("regex").compile(PATTERN)
+    for _ in range(3000):
+        text = "".join(rng.choices("''stmdrevl aé1٣!\n\t　x", k=rng.randint(0, 30)))
+        assert split(text) == slow.findall(text)
     for text in ("a" * 50_000, " " * 50_000, "".join(rng.choices("abcdefgh", k=50_000))):
         assert r.piece(text.encode()) == known.encode_ordinary(text)
 
