@@ -20,9 +20,12 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines see; one is set only where the session names none, as in tests."""
+    """The folder that all machines see. Where the session names none, one is set if all of it runs on one machine, as in tests; else ValueError."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
