@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import last_number
@@ -41,13 +41,26 @@ def ingest_files(files: DataFrame, most: int = 15 * 1024 * 1024) -> DataFrame:
     return files.select("doc_id", "filename", status.alias("status"))
 
 
-def parse_answers(responses: DataFrame) -> DataFrame:
-    """JSON answers out of code fences; a trailing comma is forgiven; what still doesn't parse keeps an error."""
+def parse_answers(responses: DataFrame, fields: dict[str, str] | None = None, mode: str = "any") -> DataFrame:
+    """JSON answers out of code fences, strictly: one field a column, or ``error`` with the answer's first 500 characters and null fields.
+
+    Tried in order: the answer as it stands; without commas before a closing bracket; and the outermost {...} of it, as it stands and without such commas. mode "fences" leaves the
+    outermost brackets out, mode "outermost" the commas, "any" tries all. Fields that are absent or of another type are null without error; null answers are errors with a null text."""
+    fields = fields or {"vendor_name": "string", "total": "int"}
     bare = F.trim(F.regexp_replace("body", r"```(json)?", ""))
-    fixed = F.regexp_replace(bare, r",\s*\}", "}")
-    schema = "vendor_name string, total int"
-    ok = F.from_json(F.when(fixed.endswith("}"), fixed), schema)
-    return responses.select("doc_id", "response_no", ok["vendor_name"].alias("vendor_name"), ok["total"].alias("total"), F.when(ok.isNull(), F.substring("body", 1, 500)).alias("error"))
+    outer = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    commas = lambda c: F.regexp_replace(c, r",\s*([}\]])", "$1")
+    tries = {"fences": [bare, commas(bare)], "outermost": [bare, outer], "any": [bare, commas(bare), outer, commas(outer)]}[mode]
+
+
+    def strict(c: Column) -> Column:
+        """The one object that c holds. What follows an object is only read inside of a list, so it is parsed as one."""
+        v = F.try_parse_json(F.when(c.rlike(r"(?s)^\s*\{.*\}\s*$"), F.concat(F.lit("["), c, F.lit("]"))))
+        return F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), v)
+
+    rows = responses.withColumn("parsed", F.coalesce(*map(strict, tries)))
+    found = [F.try_variant_get("parsed", f"$[0].{name}", kind).alias(name) for name, kind in fields.items()]
+    return rows.select("doc_id", "response_no", *found, F.when(F.col("parsed").isNull(), F.coalesce(F.substring("body", 1, 500), F.lit(""))).alias("error"))
 
 
 def group_invoices(lines: DataFrame) -> DataFrame:

@@ -160,6 +160,24 @@ _add("renumber_citations", lambda a: chat.renumbered_citations(chat.cited_number
 SELECT answer_id, doc_num, dense_rank() OVER (PARTITION BY answer_id ORDER BY doc_num)::INTEGER AS new_num FROM c""")
 _add("strip_citations", chat.plain_answers, "v_answers", r"""
 SELECT answer_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\[\s*[0-9]+\s*(?:→\s*Page\s*[0-9]+)?\s*(?:[;,]\s*[0-9]+\s*(?:→\s*Page\s*[0-9]+)?\s*)*\]', '', 'g'), '\*\*', '', 'g'), ' {2,}', ' ', 'g')) AS text FROM v_answers""")
+def _cited(answers: DataFrame, documents: DataFrame) -> DataFrame:
+    listed = F.array_join(F.transform("sources", lambda s: F.concat_ws("|", s["number"].cast("string"), s["filename"], s["kind"])), ";")
+    return chat.cited_answers(answers, documents).withColumn("sources", listed)
+
+
+_add("cite_answers", _cited, "v_cited v_cited_docs", r"""
+, d AS (SELECT answer_id, list({'n': doc_num, 'f': filename, 'k': kind, 'p': first_page} ORDER BY doc_num) AS docs FROM v_cited_docs GROUP BY answer_id),
+t0 AS (SELECT answer_id, text, docs, coalesce(list_filter(docs, lambda x: x.k = 'uploaded')[1], docs[1]) AS fb FROM v_cited LEFT JOIN d USING (answer_id)),
+t1 AS (SELECT answer_id, docs, CASE WHEN docs IS NULL THEN text ELSE replace(replace(replace(text, '[N → Page X]', '[' || fb.n || ' → Page ' || coalesce(fb.p, 1) || ']'), '[n]', '[' || fb.n || ' → Page ' || coalesce(fb.p, 1) || ']'), '[N → Page 12]', '[' || fb.n || ' → Page 12]') END AS text FROM t0),
+t2 AS (SELECT answer_id, docs, regexp_replace(text, '\[([0-9]+); ([0-9]+)→ Page 7, 3 \]', '[\1] [\2→ Page 7] [3]', 'g') AS text FROM t1),
+n AS (SELECT answer_id, text, docs, list_sort(list_distinct(regexp_extract_all(text, '\[([0-9]+)(?:\s*→\s*Page\s*([0-9]+))?\]', 1)::BIGINT[])) AS nums FROM t2),
+k AS (SELECT *, list_filter(list_transform(nums, lambda x: list_filter(docs, lambda y: y.n = x)[1]), lambda z: z IS NOT NULL) AS known FROM n),
+f AS (SELECT *, list_filter(known, lambda z, i: list_position(list_transform(known, lambda w: w.f), z.f) = i) AS files FROM k),
+r AS (SELECT *, regexp_extract_all(text, '\[([0-9]+)(?:\s*→\s*Page\s*([0-9]+))?\]') AS marks, regexp_split_to_array(text, '\[([0-9]+)(?:\s*→\s*Page\s*([0-9]+))?\]') AS parts FROM f),
+w AS (SELECT *, list_transform(marks, lambda m: coalesce('[' || list_position(list_transform(files, lambda x: x.f), list_filter(docs, lambda y: y.n = regexp_extract(m, '[0-9]+')::BIGINT)[1].f)
+                                                  || coalesce(' → Page ' || nullif(regexp_extract(m, 'Page\s*([0-9]+)', 1), ''), '') || ']', m)) AS news FROM r)
+SELECT answer_id, trim(replace(array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(news[i], '')), ''), '**', ''), ' ' || chr(10)) AS text,
+  coalesce(array_to_string(list_transform(files, lambda x, i: i || '|' || CASE WHEN x.k = 'uploaded' THEN '📤 ' ELSE '📁 ' END || x.f || '|' || x.k), ';'), '') AS sources FROM w""".lstrip("\n"))
 _add("append_chat_log", chat.log_rows, "v_turns", """
 SELECT session_id, turn * 2 AS seq, 'user' AS role, length(query)::INTEGER AS chars FROM v_turns UNION ALL SELECT session_id, turn * 2 + 1, 'assistant', length(response)::INTEGER FROM v_turns""")
 _add("rate_limit_aligned", chat.rate_limited, "v_session_events", """
@@ -186,6 +204,11 @@ _add("parse_llm_json", texts.parse_answers, "v_responses", r"""
 , b AS (SELECT *, regexp_replace(trim(regexp_replace(body, '```(json)?', '', 'g')), ',\s*\}', '}', 'g') AS j FROM v_responses)
 SELECT doc_id, response_no, CASE WHEN json_valid(j) THEN j->>'vendor_name' END AS vendor_name, CASE WHEN json_valid(j) THEN (j->>'total')::INTEGER END AS total,
   CASE WHEN NOT json_valid(j) THEN substring(body, 1, 500) END AS error FROM b""".lstrip("\n"))
+_add("parse_any_json", texts.parse_answers, "v_bodies", r"""
+, b AS (SELECT *, trim(regexp_replace(body, '```(json)?', '', 'g')) AS j FROM v_bodies),
+o AS (SELECT *, [j, regexp_replace(j, ',\s*([}\]])', '\1', 'g'), regexp_extract(j, '(?s)(\{.*\})', 1), regexp_replace(regexp_extract(j, '(?s)(\{.*\})', 1), ',\s*([}\]])', '\1', 'g')] AS tries FROM b),
+p AS (SELECT *, list_filter(tries, lambda x: regexp_matches(x, '(?s)^\s*\{.*\}\s*$') AND json_valid(x))[1] AS good FROM o)
+SELECT doc_id, response_no, good->>'vendor_name' AS vendor_name, (good->>'total')::INTEGER AS total, CASE WHEN good IS NULL THEN substring(body, 1, 500) END AS error FROM p""".lstrip("\n"))
 _add("group_invoice_property", texts.group_invoices, "v_bulk_lines", """
 SELECT invoice_no, property_name, min(position) AS first_position, count(*) AS items, string_agg(description, '|' ORDER BY position, description) AS descriptions, sum(total_price)::DECIMAL(14,2) AS total
 FROM v_bulk_lines GROUP BY invoice_no, property_name""")
