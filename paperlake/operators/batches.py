@@ -123,10 +123,11 @@ def identity_keys(*columns: str) -> Column:
 
 
 def _match_keys(df: DataFrame) -> Column:
-    """Identity keys, and one of unit and amount."""
+    """Identity keys (``ids`` where they are known already), and one of unit and amount."""
     fields = [c for c in ("serial_number", "micr_line", "check_number") if c in df.columns]
+    ids = F.col("ids") if "ids" in df.columns else identity_keys(*fields)
     by_unit = F.concat(F.lit("u"), "unit", F.lit("|"), F.col("amount_numeric").cast("decimal(14,2)").cast("string"))
-    return F.array_compact(F.concat(identity_keys(*fields), F.array(by_unit)))
+    return F.array_compact(F.concat(ids, F.array(by_unit)))
 
 
 def without_match(register: DataFrame, visible: DataFrame) -> DataFrame:

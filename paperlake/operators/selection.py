@@ -116,11 +116,11 @@ def distinct_candidates(rows: DataFrame) -> DataFrame:
 
 
 def _coherent(register: DataFrame, controls: DataFrame) -> DataFrame:
-    """Register rows with ``agrees``: whether they are the one group of a source and page that has the batch's count and total.
+    """Register rows (with ``ids``) and ``agrees``: whether they are the one group of a source and page that has the batch's count and total.
 
     Of several such groups that with the most rows that have an identity counts, then the one that begins first. Batches without such a group keep all rows."""
     page = F.coalesce("report_page", "slip_page")
-    known = (F.size(identity_keys("serial_number", "micr_line", "check_number")) > 0).cast("int")
+    known = (F.size("ids") > 0).cast("int")
     rows = register.withColumn("group_page", page)
     groups = rows.groupBy("batch_id", "source", "group_page").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_numeric").alias("t"), F.sum(known).alias("known"), F.min("row_no").alias("first"))
     fits = groups.join(controls, "batch_id").where((F.col("expected_count") > 0) & (F.col("n") == F.col("expected_count")) & (F.abs(F.col("t") - F.col("deposit_total")) <= F.lit("0.01").cast("decimal(12,2)")))
@@ -153,7 +153,8 @@ def select_instruments(seen: DataFrame, register: DataFrame, controls: DataFrame
     more = ~is_empty(F.col("micr_line")) | ~is_empty(F.col("amount_words")) | F.col("issue_date").isNotNull()
     read = ~F.col("source").isin("vision_register_items", *STAND_INS) & ~F.coalesce("missing_from_scan", F.lit(False)) & F.col("page_number").between(1, F.col("total_pages")) & F.col("amount_numeric").isNotNull()
     rows = rows.withColumn("strong", F.col("strong") | F.coalesce(more & read, F.lit(False))).withColumn("quality", instrument_quality())
-    rows = written(rows)  # it is read in several ways below
+    # read in several ways below
+    rows = written(rows.withColumn("ids", identity_keys("serial_number", "micr_line", "check_number")))
     visible = rows.where("strong")
     listed = _coherent(rows.where(~F.col("strong") & F.col("source").isin(*STAND_INS) & F.col("amount_numeric").isNotNull()), controls)
     counts = visible.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_numeric").cast(_MONEY).alias("t"))
