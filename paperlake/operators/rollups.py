@@ -163,3 +163,28 @@ def upload_rows(uploads: DataFrame) -> DataFrame:
     """One row for each upload (upload_id, extracted_text, page_texts): its pages and the length of its text, 0 for null."""
     count = F.when(F.col("page_texts").isNull(), 0).otherwise(F.size("page_texts"))
     return uploads.select("upload_id", count.alias("page_count"), F.coalesce(F.length("extracted_text"), F.lit(0)).alias("text_length"))
+
+
+#: The orientations in which a listing is read, in order, and the weights of what speaks for one.
+ORIENTATIONS = (0, 180, 90, 270)
+EACH_ROW, MISSED_ROW, ALL_ROWS, TOTAL_AGREES, TOTAL_NEAR = 100.0, 500.0, 1000.0, 400.0, 75.0
+
+
+def best_rotation(readings: DataFrame, controls: DataFrame) -> DataFrame:
+    """The orientation in which a page's listing was read best: (page_id, orientation, items, total).
+
+    readings: (page_id, orientation, row_no, amount), a row for each listed item read in one of ORIENTATIONS; controls: (page_id, expected_count, expected_total), either may be null. The upright reading stands
+    if it has the expected number of items and, if one is expected, the total to 1.00. Else the reading with the highest score counts, the first in order of equal ones: items count, those missed or too many count against it, the
+    expected number counts for it, so does a total that agrees or is within 250, a further one counts against it, and larger sums count a little. Null amounts are 0; pages without readings give no row."""
+    turn = F.array_position(F.array(*map(F.lit, ORIENTATIONS)), F.col("orientation"))
+    by = readings.groupBy("page_id", "orientation").agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(14,2)").alias("total")).withColumn("turn", turn).where("turn > 0")
+    rows = by.join(controls, "page_id", "left")
+    counted, summed = F.coalesce(F.col("expected_count") > 0, F.lit(False)), F.coalesce(F.col("expected_total") != 0, F.lit(False))
+    exact = counted & (F.col("items") == F.col("expected_count"))
+    off = F.abs(F.col("total") - F.col("expected_total")).cast("double")
+    near = F.when(off <= 1, TOTAL_AGREES).when(off <= 250, TOTAL_NEAR).otherwise(-F.least(off, F.lit(1000.0)) / 25)
+    score = F.col("items") * EACH_ROW + F.when(counted, F.abs(F.col("items") - F.col("expected_count")) * -MISSED_ROW).otherwise(0.0) + F.when(exact, ALL_ROWS).otherwise(0.0)
+    score = score + F.when(summed, near).otherwise(0.0) + F.col("total").cast("double") / 1000
+    stands = (F.col("turn") == 1) & exact & (~summed | (off <= 1))
+    order = F.struct((~stands).alias("a"), (-score).alias("b"), F.col("turn").alias("c"))
+    return rows.groupBy("page_id").agg(F.min_by(F.struct("orientation", "items", "total"), order).alias("best")).select("page_id", "best.*")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import boxes, deposits, increments, search, selection, similar, texts
+from .operators import boxes, deposits, increments, rollups, search, selection, similar, texts
 from .tables import shared_folder
 
 #: What was seen and listed, told apart and measured, in SQL; the derived serials and payees are clean, so nothing has to be mended.
@@ -375,6 +375,12 @@ steps AS (
 won AS (SELECT batch_id, unnest(taken) AS row_no FROM (SELECT batch_id, arg_max(taken, k) AS taken FROM steps GROUP BY batch_id))
 SELECT f.* REPLACE (CASE WHEN w.row_no IS NOT NULL THEN b.amount ELSE f.amount_numeric END AS amount_numeric), w.row_no IS NOT NULL AS replaced
 FROM v_first_reads f LEFT JOIN won w ON w.batch_id = f.batch_id AND w.row_no = f.row_no LEFT JOIN v_second_reads b ON b.batch_id = f.batch_id AND b.row_no = f.row_no""")
+    add("best_rotation", rollups.best_rotation, "v_turned v_turned_controls", """
+, b AS (SELECT page_id, orientation, count(*) AS items, coalesce(sum(amount), 0)::DECIMAL(14,2) AS total FROM v_turned GROUP BY ALL),
+j AS (SELECT b.*, nullif(expected_count, 0) AS e, nullif(expected_total, 0) AS t, abs(total - expected_total)::DOUBLE AS off_, list_position([0, 180, 90, 270], orientation) AS turn FROM b LEFT JOIN v_turned_controls USING (page_id)),
+s AS (SELECT *, coalesce(turn = 1 AND items = e AND (t IS NULL OR off_ <= 1), false) AS stands, items * 100.0::DOUBLE - coalesce(abs(items - e) * 500.0::DOUBLE, 0) + CASE WHEN items = e THEN 1000 ELSE 0 END
+             + CASE WHEN t IS NULL THEN 0 WHEN off_ <= 1 THEN 400 WHEN off_ <= 250 THEN 75 ELSE -least(off_, 1000.0) / 25 END + total::DOUBLE / 1000 AS score FROM j)
+SELECT page_id, orientation, items, total FROM s QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY stands DESC, score DESC, turn) = 1""")
     add("infer_property", selection.inferred_property, "v_first_reads", """
 , n AS (SELECT batch_id, row_no, CASE WHEN lower(payee_raw) = 'oak court' THEN 'Oak Court' ELSE payee_raw END AS p FROM v_first_reads WHERE payee_raw NOT IN ('First Bank', 'Pay to the order of')),
 g AS (SELECT batch_id, p AS property_name, count(*) AS items, min(row_no) AS f FROM n GROUP BY ALL)

@@ -215,6 +215,13 @@ FROM conversations""",
 SELECT conv_id * 100 + turn AS answer_id, n.doc_num, concat('file', CAST(mod(conv_id + n.doc_num, 2) AS STRING)) AS filename, CASE WHEN mod(conv_id + n.doc_num, 3) = 0 THEN 'uploaded' ELSE 'company' END AS kind,
        CASE WHEN mod(turn, 2) = 0 THEN NULL ELSE CAST(turn + 3 AS INT) END AS first_page
 FROM conversations CROSS JOIN (SELECT 1 AS doc_num UNION ALL SELECT 2 AS doc_num UNION ALL SELECT 3 AS doc_num) n WHERE mod(conv_id, 6) < 5""",
+    "v_turned": """
+SELECT batch_id - mod(batch_id, 3) AS page_id, CAST(CASE mod(part, 4) WHEN 0 THEN 0 WHEN 1 THEN 180 WHEN 2 THEN 90 ELSE 270 END AS INT) AS orientation, mod(batch_id, 3) * 100 + line AS row_no,
+       CASE WHEN mod(part, 11) = 0 THEN NULL ELSE CAST(50 + 25 * mod(part, 6) AS DECIMAL(12,2)) END AS amount
+FROM v_lines""",
+    "v_turned_controls": """
+SELECT batch_id AS page_id, CASE WHEN mod(batch_id, 4) = 0 THEN NULL ELSE mod(min(part), 5) END AS expected_count, CASE WHEN mod(batch_id, 5) = 0 THEN NULL ELSE CAST(25 * mod(min(supp), 24) AS DECIMAL(14,2)) END AS expected_total
+FROM v_lines WHERE mod(batch_id, 3) = 0 GROUP BY batch_id""",
     "v_candidates": """
 SELECT batch_id - mod(batch_id, 4) AS doc_id, mod(batch_id, 4) * 100 + line AS row_no, CAST(1 + mod(part, 9) AS INT) AS page_number,
        CASE mod(part, 7) WHEN 0 THEN 'bank_receipt' WHEN 1 THEN 'deposit_ticket' WHEN 2 THEN 'regions_report' WHEN 3 THEN CASE WHEN mod(supp, 4) = 0 THEN 'yottareal_report' ELSE 'handwritten_ocr' END
@@ -253,7 +260,7 @@ SELECT o.o_orderkey AS batch_id, CAST(3 + mod(o.o_custkey, 2) AS INT) AS total_p
 FROM orders o LEFT JOIN (SELECT batch_id, count(amount_numeric) AS n, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t, CAST(sum(CASE WHEN row_no < 4 THEN amount_numeric END) AS DECIMAL(14,2)) AS part FROM v_seen GROUP BY batch_id) s ON s.batch_id = o.o_orderkey
 LEFT JOIN (SELECT batch_id, count(*) AS n, CAST(sum(amount_numeric) AS DECIMAL(14,2)) AS t FROM v_listed WHERE source = 'yottareal_batch_detail' AND page_number = 2 GROUP BY batch_id) r ON r.batch_id = o.o_orderkey""",
 }
-_NEEDS = {"v_bodies": ["v_lines"], "v_first_reads": ["v_lines"], "v_second_reads": ["v_lines"], "v_totals": ["v_lines"], "v_slips": ["v_lines", "v_seen"], "v_placed_words": ["v_lines"], "v_boxes": ["v_lines"], "v_observations": ["v_lines"], "v_fronts": ["v_lines"], "v_payees": ["v_lines"], "v_headers": ["v_lines"], "v_candidates": ["v_lines"], "v_seen": ["v_lines"], "v_listed": ["v_lines"], "v_controls": ["v_lines", "v_seen", "v_listed"], "v_batches": ["v_instruments"], "v_register": ["v_instruments"], "v_scaled_regions": ["v_regions"]}
+_NEEDS = {"v_turned": ["v_lines"], "v_turned_controls": ["v_lines"], "v_bodies": ["v_lines"], "v_first_reads": ["v_lines"], "v_second_reads": ["v_lines"], "v_totals": ["v_lines"], "v_slips": ["v_lines", "v_seen"], "v_placed_words": ["v_lines"], "v_boxes": ["v_lines"], "v_observations": ["v_lines"], "v_fronts": ["v_lines"], "v_payees": ["v_lines"], "v_headers": ["v_lines"], "v_candidates": ["v_lines"], "v_seen": ["v_lines"], "v_listed": ["v_lines"], "v_controls": ["v_lines", "v_seen", "v_listed"], "v_batches": ["v_instruments"], "v_register": ["v_instruments"], "v_scaled_regions": ["v_regions"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

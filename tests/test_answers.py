@@ -126,3 +126,16 @@ def test_hybrid_caps_parents(spark):
     assert [r.rank for r in rows] == list(range(1, len(rows) + 1)) and {r.query_id for r in rows} == {1}
     assert sum(r.parent == "p" for r in rows) == 7 and max(len(r.content) for r in rows) == 5000 and len(rows) == 14
     assert {r.filename for r in rows} == {"Unknown Document", "c+d+e.pdf"} and not {31, 32} & {r.chunk_id for r in rows}
+
+
+def test_best_rotation(spark):
+    from paperlake.operators.rollups import best_rotation
+
+    readings = [(1, 0, 1, 10), (1, 0, 2, 20), (1, 180, 1, 900), (1, 180, 2, 900)]  # upright agrees and stands, though the other sum is larger
+    readings += [(2, 0, 1, 10), (2, 90, 1, 10), (2, 90, 2, 20)]  # the expected number is elsewhere
+    readings += [(3, 180, 1, 5), (3, 90, 1, 5)]  # equal scores: the first in order
+    readings += [(4, 0, 1, 5), (4, 270, 1, None), (4, 45, 1, 99)]  # no controls; no such orientation
+    rows = spark.createDataFrame([(p, o, r, D(a) if a is not None else None) for p, o, r, a in readings], "page_id long, orientation int, row_no int, amount decimal(12,2)")
+    controls = spark.createDataFrame([(1, 2, D(30)), (2, 2, D(500)), (3, None, None)], "page_id long, expected_count int, expected_total decimal(12,2)")
+    assert sorted((r.page_id, r.orientation, r["items"], int(r.total)) for r in best_rotation(rows, controls).collect()) == [(1, 0, 2, 30), (2, 90, 2, 30), (3, 180, 1, 5), (4, 0, 1, 5)]
+    assert best_rotation(rows.limit(0), controls).count() == 0
