@@ -27,3 +27,23 @@ def test_deposits_of_small_documents_meet_without_copies(spark, tables, monkeypa
     long = deposits.same_deposit_rows(rows, key)
     assert "Generate" in plan(long)
     same(short, long)
+
+
+@pytest.mark.parametrize("name", ["amount_from_words", "property_aliases", "money", "date", "labelled_amount", "serial", "serial_in", "payee", "micr", "issuer", "property_name"])
+def test_a_value_is_worked_out_once(spark, name):
+    """A column that is named twice is worked out twice, so expressions that name earlier ones again and again had thousands of parts."""
+    from pyspark.sql import functions as F
+
+    from paperlake.functions import normalise as N
+
+    text = str(getattr(N, name)(F.col("text")))
+    assert text.count("regexp") + text.count("RLIKE") < 120
+    assert text.count("text") == 1 or name in ("property_aliases",) and text.count("text") <= 6
+
+
+@pytest.mark.parametrize("name", ["score_pages", "classify_pages", "tag_reports"])
+def test_page_texts_are_made_plain_once(spark, name):
+    from paperlake.operators import pages
+
+    rows = getattr(pages, name)(spark.createDataFrame([("PAY EXACTLY $5.00",)], "text string"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
