@@ -47,3 +47,13 @@ def test_page_texts_are_made_plain_once(spark, name):
 
     rows = getattr(pages, name)(spark.createDataFrame([("PAY EXACTLY $5.00",)], "text string"))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_observations_of_small_pages_meet_by_one_shuffle(spark, tables, monkeypatch):
+    from paperlake.operators import similar
+
+    rows = view(spark, tables, "v_observations").localCheckpoint()
+    short = similar.same_instrument_pairs(rows)
+    assert "Generate" not in plan(short) and plan(short).count("Window") == 0
+    monkeypatch.setattr(similar, "by_crowd", functools.partial(crowds.by_crowd, most=2))
+    same(short, similar.same_instrument_pairs(rows))
