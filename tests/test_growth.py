@@ -57,3 +57,17 @@ def test_observations_of_small_pages_meet_by_one_shuffle(spark, tables, monkeypa
     assert "Generate" not in plan(short) and plan(short).count("Window") == 0
     monkeypatch.setattr(similar, "by_crowd", functools.partial(crowds.by_crowd, most=2))
     same(short, similar.same_instrument_pairs(rows))
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_answers_that_cannot_be_json_are_not_parsed(spark):
+    from pyspark.sql import functions as F
+
+    from paperlake.operators import texts
+
+    bodies = ['{"a": [1,]}', '{"a": 1, }', '{"a": "b" "c": 2}', '{"a": {"b": 1}', '{"a": ",]"}', '{"a": "{"}', '{"a": "x\\",]"}', '{"a": "", "b": ""}', '{"a": "b, }']
+    broken = spark.createDataFrame([(b,) for b in bodies], "body string").select(texts._surely_broken(F.col("body"))).collect()
+    assert [r[0] for r in broken] == [True, True, True, True, False, False, False, False, True]
