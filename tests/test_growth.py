@@ -63,6 +63,14 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_inferred_property_works_a_name_out_once(spark):
+    from paperlake.operators.selection import inferred_property
+
+    rows = spark.createDataFrame([(1, 1, "First Bank"), (1, 2, "oak court"), (1, 3, "Oak  Court"), (2, 1, None)], "batch_id long, row_no long, payee_raw string")
+    assert optimized(inferred_property(rows)).count("APARTMENT") == 1
+    assert list(map(tuple, inferred_property(rows).collect())) == [(1, "Oak Court", 2)]
+
+
 def test_answers_that_cannot_be_json_are_not_parsed(spark):
     from pyspark.sql import functions as F
 
