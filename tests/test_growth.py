@@ -63,6 +63,27 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_word_kinds_name_their_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from paperlake.operators import boxes
+
+    for kind in (boxes.node_kind, boxes.anchor_kind):
+        assert str(kind(F.col("content"))).count("content") == 1
+    words = [(1, i, 0.1, 0.1, 0.2, 0.2, t, 0.5) for i, t in enumerate(["CHECK", "Check 7", "pay to", "12 34", "$5", "remitter", "for deposit", None])]
+    rows = spark.createDataFrame(words, "page_id long, word_no long, x0 double, y0 double, x1 double, y1 double, content string, confidence double")
+    got = rows.select(boxes.node_kind(F.col("content")), boxes.anchor_kind(F.col("content"))).collect()
+    assert list(map(tuple, got)) == [(None, None), ("document_number", None), ("payee", "front"), ("micr", "number"), ("amount_box", "amount"), (None, "front"), (None, "back"), (None, None)]
+
+
+@pytest.mark.parametrize("name", ["evidence_groups", "amount_bound_regions"])
+def test_words_are_read_once_for_both_sides(spark, tables, name):
+    from paperlake.operators import boxes
+
+    rows = view(spark, tables, "v_placed_words")
+    assert plan(getattr(boxes, name)(rows)).count("lineitem") == 0
+
+
 def test_inferred_property_works_a_name_out_once(spark):
     from paperlake.operators.selection import inferred_property
 
