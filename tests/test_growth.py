@@ -100,3 +100,18 @@ def test_answers_that_cannot_be_json_are_not_parsed(spark):
     bodies = ['{"a": [1,]}', '{"a": 1, }', '{"a": "b" "c": 2}', '{"a": {"b": 1}', '{"a": ",]"}', '{"a": "{"}', '{"a": "x\\",]"}', '{"a": "", "b": ""}', '{"a": "b, }']
     broken = spark.createDataFrame([(b,) for b in bodies], "body string").select(texts._surely_broken(F.col("body"))).collect()
     assert [r[0] for r in broken] == [True, True, True, True, False, False, False, False, True]
+
+
+def test_focus_lines_equal_their_patterns(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from paperlake.operators import texts
+
+    parts = "|".join(texts.FOCUS).split("|")
+    examples = [re.sub(r"\\b|\?", "", p).replace(r"\s+", " ").replace(r"\s*", "").replace("[-\\s]", "-").replace("[/.-]", "/").replace(r"\d{7,12}", "1234567").replace(r"\d{9,14}", "123456789").replace(r"\d{1,2}", "1") for p in parts]
+    examples = [e.replace(r"\d{2,4}", "22").replace(r"\d{2}", "12").replace(r"\d", "4").replace("\\$", "$").replace("\\*+", "*") for e in examples]
+    lines = [*examples, *(e.lower() for e in examples), *(e[1:] for e in examples), "Total", "subtotals", "totality", "aptly", "Pay  exactly", "payexactly", "ſerial", "# x 4", "none of it", "", None]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", texts._focused(F.col("line")).alias("got"), F.col("line").rlike("(?i)" + "|".join(texts.FOCUS)).alias("want")).collect()
+    assert [r for r in rows if r.got != r.want] == [] and sum(bool(r.got) for r in rows) > len(parts)
