@@ -115,3 +115,25 @@ def test_focus_lines_equal_their_patterns(spark):
     lines = [*examples, *(e.lower() for e in examples), *(e[1:] for e in examples), "Total", "subtotals", "totality", "aptly", "Pay  exactly", "payexactly", "ſerial", "# x 4", "none of it", "", None]
     rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", texts._focused(F.col("line")).alias("got"), F.col("line").rlike("(?i)" + "|".join(texts.FOCUS)).alias("want")).collect()
     assert [r for r in rows if r.got != r.want] == [] and sum(bool(r.got) for r in rows) > len(parts)
+
+
+def test_instruments_are_graded_once(spark, tables, monkeypatch):
+    from paperlake.operators import selection
+
+    class Stop(Exception):
+        pass
+
+    kept = []
+
+    def spy(df):
+        kept.append(df.columns)
+        if "ids" in df.columns:
+            kept.append(optimized(df).count("APARTMENT"))
+            raise Stop
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(selection, "written", spy)
+    with pytest.raises(Stop):
+        selection.select_instruments(*(view(spark, tables, v) for v in ("v_seen", "v_listed", "v_controls")))
+    # the controls, then the graded rows, whose plan makes a payee once
+    assert kept[0] == ["batch_id", "total_pages", "expected_count", "deposit_total"] and kept[2] == 1
