@@ -143,6 +143,9 @@ def _approximate(part: Part, asked: Part, k: int, seed: int = 5) -> Found:
                 if width >= d * SURE:
                     break
             width *= GROWTH
+        if len(found) > k:
+            # rounding moves a cosine by far less than that, so the best k and their ties are among these
+            found = found[cosines >= np.partition(cosines, len(cosines) - k)[len(cosines) - k] - 1e-9]
         exact = (base[found] * query).sum(1) / (np.sqrt((base[found] ** 2).sum(1)) * norm)
         out += [(int(me), int(my_id), int(ids[found[p]]), float(exact[p])) for p in _best(exact, ids[found], k)]
     return out
