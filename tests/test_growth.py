@@ -1,6 +1,7 @@
 """Steps whose cost must grow no faster than the rows: small groups take the short way, crowded ones the same rows by another."""
 
 import functools
+import re
 
 import pytest
 
@@ -137,3 +138,12 @@ def test_instruments_are_graded_once(spark, tables, monkeypatch):
         selection.select_instruments(*(view(spark, tables, v) for v in ("v_seen", "v_listed", "v_controls")))
     # the controls, then the graded rows, whose plan makes a payee once
     assert kept[0] == ["batch_id", "total_pages", "expected_count", "deposit_total"] and kept[2] == 1
+
+
+def test_merged_observations_stay_in_their_pages_shuffle(spark, tables):
+    from paperlake.operators import similar
+
+    rows = view(spark, tables, "v_observations").localCheckpoint()
+    found = re.sub(r"#\d+L?", "", plan(similar.merge_observations(rows, similar.same_instrument_pairs(rows).localCheckpoint())))
+    assert "Expand" not in found and "hashpartitioning(page_id," in found
+    assert "hashpartitioning(page_id, row_no" not in found and "hashpartitioning(page_id, group_no" not in found
