@@ -140,6 +140,26 @@ def test_instruments_are_graded_once(spark, tables, monkeypatch):
     assert kept[0] == ["batch_id", "total_pages", "expected_count", "deposit_total"] and kept[2] == 1
 
 
+def test_groups_of_small_pages_need_no_rounds(spark, tables, monkeypatch):
+    """Every round of labels was two joins and a written table of all nodes, and few pages need any."""
+    from paperlake.operators import layout, texts
+
+    regions = view(spark, tables, "v_regions").localCheckpoint()
+    pairs = texts.overlapping_regions(regions).localCheckpoint()
+    nodes, edges = regions.selectExpr("page_id", "region_idx AS id"), pairs.selectExpr("page_id", "region_idx_a AS a", "region_idx_b AS b")
+    rounds = layout.written
+
+    def short():
+        monkeypatch.setattr(layout, "written", lambda df: pytest.fail("a round was written"))
+        return [layout.components(nodes, edges, "page_id").localCheckpoint(), layout.merged_regions(regions, pairs).localCheckpoint()]
+
+    groups, boxes = short()
+    monkeypatch.setattr(layout, "written", rounds)
+    monkeypatch.setattr(layout, "by_crowd", functools.partial(crowds.by_crowd, most=3))
+    same(groups, layout.components(nodes, edges, "page_id"))
+    same(boxes, layout.merged_regions(regions, pairs))
+
+
 def test_merged_observations_stay_in_their_pages_shuffle(spark, tables):
     from paperlake.operators import similar
 
