@@ -160,6 +160,18 @@ def test_groups_of_small_pages_need_no_rounds(spark, tables, monkeypatch):
     same(boxes, layout.merged_regions(regions, pairs))
 
 
+def test_requests_meet_their_answers_without_the_long_key(spark, tmp_path):
+    from paperlake.operators.increments import with_reader
+
+    rows = spark.createDataFrame([(1, None, 5), (2, None, 5), (3, "a", None), (4, "a", 5), (5, "", 5)], "request_id long, kind string, page long")
+    out = with_reader(rows, ("kind", "page"), lambda f: f.assign(text=[f"{k}/{p}" for k, p in zip(f["kind"], f["page"], strict=True)])[["text"]], "text string", f"file://{tmp_path}/answers")
+    assert "sha2" not in plan(out)
+    got = {r.request_id: r for r in out.collect()}
+    assert len(got) == 5 and out.columns == ["request_key", "request_id", "kind", "page", "text", "error"]
+    assert len({r.request_key for r in got.values()}) == 4 and got[1].request_key == got[2].request_key and got[1].text == got[2].text
+    assert got[4].text.startswith("a/5") and got[5].text.startswith("/5") and not any(r.error for r in got.values())
+
+
 def test_merged_observations_stay_in_their_pages_shuffle(spark, tables):
     from paperlake.operators import similar
 
