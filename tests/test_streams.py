@@ -129,3 +129,19 @@ def test_reader_reads_once(spark, tmp_path, counted):
     again = with_reader(frame([1, 2, 3]), ("page",), reader, "text string", path)
     assert again.count() == 3 and marks() == [1, 2, 3]
     assert with_reader(frame([]), ("page",), reader, "text string", path).count() == 0
+
+
+def test_a_sessions_actions_share_one_state(spark, tmp_path):
+    from paperlake.streaming.sessions import rate_limited
+
+    batches = [[(1, 1, "chat", at(0)), (2, 1, "upload", at(0.1)), (3, 1, None, at(0.1))], [(4, 1, "chat", at(0.2)), (5, 1, "upload", at(1.2)), (6, 1, None, at(0.3)), (7, 1, "upload", at(1.3))]]
+    rows, left = run(spark, tmp_path, batches, EVENTS, lambda s: rate_limited(s, "1/minute"))
+    assert sorted((r.event_id, r.action or "", r.n, r.retry_after) for r in rows) == [(4, "chat", 2, 48), (6, "", 2, 48), (7, "upload", 2, 54)]
+    assert left == 1
+
+
+def test_events_of_a_key_are_ordered_over_its_parts():
+    from paperlake.streaming.sessions import _by_time
+
+    parts = [pd.DataFrame({"event_id": [3, 2], "action": ["c", None], "at": [5, 5]}), pd.DataFrame({"event_id": [1, 9], "action": ["a", "d"], "at": [7, 1]})]
+    assert list(_by_time(iter(parts), "event_id", "action")) == [(9, "d"), (2, None), (3, "c"), (1, "a")]
