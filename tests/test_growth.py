@@ -179,3 +179,19 @@ def test_merged_observations_stay_in_their_pages_shuffle(spark, tables):
     found = re.sub(r"#\d+L?", "", plan(similar.merge_observations(rows, similar.same_instrument_pairs(rows).localCheckpoint())))
     assert "Expand" not in found and "hashpartitioning(page_id," in found
     assert "hashpartitioning(page_id, row_no" not in found and "hashpartitioning(page_id, group_no" not in found
+
+
+def test_grouped_deposits_stay_in_their_documents_shuffle(spark, tables, monkeypatch):
+    from paperlake.operators import deposits
+
+    plans = []
+
+    def spy(df):
+        plans.append(re.sub(r"#\d+L?", "", plan(df)))
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(deposits, "written", spy)
+    deposits.logical_deposits(view(spark, tables, "v_candidates"))
+    merged = plans[1]
+    assert "hashpartitioning(doc_id," in merged
+    assert "hashpartitioning(doc_id, row_no" not in merged and "hashpartitioning(doc_id, group_no" not in merged
