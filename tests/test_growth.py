@@ -195,3 +195,21 @@ def test_grouped_deposits_stay_in_their_documents_shuffle(spark, tables, monkeyp
     merged = plans[1]
     assert "hashpartitioning(doc_id," in merged
     assert "hashpartitioning(doc_id, row_no" not in merged and "hashpartitioning(doc_id, group_no" not in merged
+
+
+def test_words_that_cannot_be_like_a_payee_are_not_rated(spark, monkeypatch):
+    from paperlake.operators import similar
+
+    seen, rate = [], similar.with_ratio
+
+    def spy(pairs, left, right):
+        seen.extend((r.p, r.t, r.word) for r in pairs.collect())
+        return rate(pairs, left, right)
+
+    monkeypatch.setattr(similar, "with_ratio", spy)
+    rows = spark.createDataFrame([(1, 1, "Maplewood Gardens"), (1, 2, "Maplewod"), (1, 3, None), (2, 1, "Quite other")], "batch_id long, line_no long, payee_raw string")
+    names = spark.createDataFrame([(1, "Maplewood Gardens Apartments"), (2, "12 Birch")], "batch_id long, alias string")
+    got = {(r.batch_id, r.line_no): r.score for r in similar.payee_score(rows, names).collect()}
+    # the shorter text has two thirds of the longer one's length at least, or the ratio can't be 0.8
+    assert all(min(len(p), len(t)) * 3 >= max(len(p), len(t)) * 1.99 for p, t, word in seen if word) and ("MAPLEWOD", "MAPLEWOOD", True) in seen
+    assert got == {(1, 1): 0.95, (1, 2): 0.941, (1, 3): 0.0, (2, 1): got[2, 1]} and got[2, 1] < 0.8
