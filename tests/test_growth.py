@@ -50,6 +50,27 @@ def test_page_texts_are_made_plain_once(spark, name):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
 
 
+def test_page_patterns_are_tried_where_their_words_are(spark):
+    """Each of some sixty patterns was tried on every text; now only on those that have its words, with the same counts."""
+    from pyspark.sql import functions as F
+
+    from paperlake.operators import pages
+
+    patterns = [*(p for *_, p in pages.SIGNALS), *pages.BACKS, *pages.BANK_REPORT, r"\bENDORSE|DEPOSITORY\s+BANK|DO\s+NOT\s+WRITE", r"\$\s*\d", r"\bMONEY\s*ORDER\b"]
+    plain = lambda p: re.sub(r"\\s[+*]", " ", re.sub(r"\\b|\?", "", p))
+    texts = [x for p in patterns for x in plain(p).split("|") if "\\d" not in x and "(" not in x]
+    texts += ["$12.00", "$ 1234,56 $ 7", "12-1234567", "123456789", "12 34567", "COMMERCIAL DEPOSIT $1,200.00", "COMMERCIAL DEPOSIT SAVINGS 7.25", "SAVINGS DEPOSIT 1.00", "CHECKING DEPOSIT CASH OR CHECKS", "CHECK TOTAL", "PAYMENT CHECK", "BATCH#A", "CHASE x\nTRANSACTION SUMMARY"]
+    texts = [*texts, *(f"X{t}" for t in texts), *(f"{t}X" for t in texts), *(t[:-1] for t in texts), " ".join(texts), ""]
+    t = F.col("t")
+    assert all("contains" in str(pages._times(t, p)) for p in patterns if r"\d{7,12}" not in p)
+    both = F.array(*(F.struct(pages._times(t, p).alias("got"), pages._has(t, p).alias("has"), F.regexp_count(t, F.lit(p)).alias("want")) for p in patterns))
+    found = [(p, r.t, x) for r in spark.createDataFrame([(x,) for x in texts], "t string").select("t", both.alias("all")).collect() for p, x in zip(patterns, r.all, strict=True)]
+    assert [x for x in found if (x[2].got, x[2].has) != (x[2].want, x[2].want > 0)] == []
+    assert len({(p, x.has) for p, _, x in found}) == 2 * len(set(patterns))
+    odd = spark.createDataFrame([("a ‘b’  c\t d",), ("a\tb",), (" a b ",), (None,)], "t string").select(pages.N.plain(t)).collect()
+    assert [r[0] for r in odd] == ["a 'b' c d", "a b", " a b ", ""]
+
+
 def test_observations_of_small_pages_meet_by_one_shuffle(spark, tables, monkeypatch):
     from paperlake.operators import similar
 
