@@ -234,3 +234,34 @@ def test_words_that_cannot_be_like_a_payee_are_not_rated(spark, monkeypatch):
     # the shorter text has two thirds of the longer one's length at least, or the ratio can't be 0.8
     assert all(min(len(p), len(t)) * 3 >= max(len(p), len(t)) * 1.99 for p, t, word in seen if word) and ("MAPLEWOD", "MAPLEWOOD", True) in seen
     assert got == {(1, 1): 0.95, (1, 2): 0.941, (1, 3): 0.0, (2, 1): got[2, 1]} and got[2, 1] < 0.8
+
+
+def test_instruments_are_dealt_by_batch_only(spark, tables, monkeypatch):
+    """Rows were shuffled by the keys of every step; now once by batch, of which all that is asked of their neighbours is a part. Crowded batches meet by keys as before."""
+    from paperlake.operators import selection
+
+    plans, frames = [], [view(spark, tables, v).localCheckpoint() for v in ("v_seen", "v_listed", "v_controls")]
+
+    def spy(df):
+        plans.append(plan(df))
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(selection, "written", spy)
+    short = selection.select_instruments(*frames).localCheckpoint()
+    dealt = [re.sub(r"#\d+L?", "", x) for x in re.findall(r"hashpartitioning\(([^)]*)\)", plans[1])]
+    assert dealt and all(re.fullmatch(r"batch_id, \d+", x) for x in dealt) and len(plans) == 3
+    monkeypatch.setattr(selection, "SMALL", 6)
+    same(short, selection.select_instruments(*frames))
+    assert len(plans) == 7
+
+
+def test_lines_that_several_tables_read_are_written_once(spark, tables, monkeypatch):
+    from paperlake import views
+
+    kept = []
+    monkeypatch.setattr(views, "written", lambda df: kept.append(df.columns) or df.localCheckpoint())
+    seen, listed = views.views(spark, tables, ["v_seen", "v_listed"])
+    assert kept == [["batch_id", "line", "part", "supp", "day"]] and "Window" not in plan(seen) + plan(listed)
+    same(seen, view(spark, tables, "v_seen"))
+    views.views(spark, tables, ["v_heads", "v_observations"])
+    assert len(kept) == 1
