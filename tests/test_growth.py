@@ -265,3 +265,24 @@ def test_lines_that_several_tables_read_are_written_once(spark, tables, monkeypa
     same(seen, view(spark, tables, "v_seen"))
     views.views(spark, tables, ["v_heads", "v_observations"])
     assert len(kept) == 1
+
+
+def test_batches_are_summed_where_their_instruments_lie(spark, tables, monkeypatch):
+    """The instruments chosen were written twice, and shuffled by batch, by serial and by unit; now a row a batch is written, and nothing is dealt by more than the batch."""
+    from paperlake.operators import batches, selection
+
+    kept, frames = {}, [view(spark, tables, v).localCheckpoint() for v in ("v_heads", "v_slips", "v_seen", "v_listed")]
+
+    def spy(df):
+        kept[tuple(df.columns)] = plan(df)
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(selection, "written", spy)
+    got = selection.validate_batches(*frames, as_of="1998-12-01")
+    assert not any("instrument_id" in c for c in kept)
+    sums = kept["batch_id", "shown", "total", "n", "soft"]
+    assert sums.count("Window") >= 2 and "hashpartitioning(serial" not in sums and not re.search(r"hashpartitioning\(batch_id#\d+L?, (serial|unit)", sums)
+    # as by way of the instruments themselves
+    controls, chosen = selection.finalize_evidence(*frames)
+    chosen = chosen.withColumn("line_no", chosen["item_no"])
+    same(got, batches.batch_reconciliation(controls, chosen, batches.risk_scores(chosen, "1998-12-01")))
